@@ -40,7 +40,7 @@ FLAGS: dict[str, Pattern] = {
     "hidden_text": Pattern("text", r"(?i)display\s*:\s*none", ("display",)),
     "punycode_detected": Pattern("host", r"(^|[.])xn--"),
     "idn_homograph": Pattern("host", r"[^\x00-\x7F]"),
-    "macro_risk": Pattern("both", r"(?i)\.(docm|xlsm|pptm)" + _END, (".docm", ".xlsm", ".pptm")),
+    "macro_risk": Pattern("whole", r"(?i)\.(docm|xlsm|pptm)" + _END, (".docm", ".xlsm", ".pptm")),
     "encoding_obfuscation": Pattern("text", r"(=[0-9A-F]{2}){4,}", ("=",)),
     "internal_resource_access": Pattern(
         "text", r"(?i)https?://(?:localhost|" + _PRIVATE + r"|[a-z0-9-]+(?:[:/\"'\s>]|$))", ("http",)
@@ -67,7 +67,7 @@ FLAGS: dict[str, Pattern] = {
     "pdf_path": Pattern("path", r"(?i)\.pdf$"),
     "websocket_use": Pattern("text", r"new WebSocket\(", ("new websocket(",)),
     "websocket_flow": Pattern("text", r"send|onmessage", ("send", "onmessage")),
-    "js_prototype_abuse": Pattern("both", r"__proto__", ("__proto__",)),
+    "js_prototype_abuse": Pattern("whole", r"__proto__", ("__proto__",)),
     "svg_onload": Pattern("text", r"(?i)<svg[^>]*onload", ("<svg",)),
     "oauth_request": Pattern("query", r"(^|&)response_type="),
     "oauth_state": Pattern("query", r"(^|&)state="),
@@ -77,7 +77,7 @@ FLAGS: dict[str, Pattern] = {
         "text", r"(?i)<link[^>]*rel\s*=\s*[\"']manifest[\"'][^>]*href\s*=\s*[\"']https?://", ("manifest",)
     ),
     "polyglot": Pattern(
-        "both",
+        "whole",
         r"(?i)\.(php|exe|js|jsp|asp)\.(png|jpg|jpeg|gif|pdf)" + _END
         + r"|\.(pdf|doc|docx|png|jpg|jpeg|gif)\.(php|exe|js|jsp|asp|scr)" + _END,
     ),
@@ -92,7 +92,7 @@ FLAGS: dict[str, Pattern] = {
     "transparent": Pattern("text", r"(?i)opacity\s*:\s*0(?:\.0+)?\s*[;}\"']", ("opacity",)),
     "fake_chrome": Pattern("text", r"(?i)class\s*=\s*\"[^\"]*(browser-chrome|url-bar)", ("browser-chrome", "url-bar")),
     "web_worker_risk": Pattern("text", r"new Worker\(", ("new worker(",)),
-    "crypto_phishing": Pattern("both", r"(?i)wallet|metamask|contract=0x", ("wallet", "metamask", "contract=0x")),
+    "crypto_phishing": Pattern("whole", r"(?i)wallet|metamask|contract=0x", ("wallet", "metamask", "contract=0x")),
     "spectre_indicators": Pattern("text", r"SharedArrayBuffer", ("sharedarraybuffer",)),
     "meta_refresh": Pattern("text", r"(?i)http-equiv\s*=\s*[\"']?refresh", ("http-equiv",)),
     "form": Pattern("text", r"(?i)<form", ("<form",)),
@@ -102,21 +102,21 @@ FLAGS: dict[str, Pattern] = {
     "hex_encoded_host": Pattern("netloc", r"%[0-9A-Fa-f]{2}"),
     "padding_attack": Pattern("url", r"(%20){10,}"),
     "voice_video_lure": Pattern(
-        "both", r"(?i)voice.?(?:message|verification)|\.mp[34]" + _END, ("voice", ".mp3", ".mp4")
+        "whole", r"(?i)voice.?(?:message|verification)|\.mp[34]" + _END, ("voice", ".mp3", ".mp4")
     ),
     "client_redirect": Pattern("text", r"window\.location|navigator\.userAgent", ("window.", "navigator.")),
-    "rogue_wifi": Pattern("both", r"(?i)wi-?fi.*login", ("wifi", "wi-fi")),
+    "rogue_wifi": Pattern("whole", r"(?i)wi-?fi.*login", ("wifi", "wi-fi")),
     "package_registry": Pattern("host", r"npm|pypi|maven|nuget|rubygems|docker"),
-    "package_words": Pattern("both", r"(?i)update|package", ("update", "package")),
+    "package_words": Pattern("whole", r"(?i)update|package", ("update", "package")),
 }
 
 # Counts: how often does the subject match?
 COUNTS: dict[str, Pattern] = {
     "redirect_chain": Pattern(
-        "both", r"(?i)//(?:bit\.ly|goo\.gl|tinyurl\.com|t\.co)(?:[/?#\s]|$)", ("bit.ly", "goo.gl", "tinyurl.com", "t.co")
+        "whole", r"(?i)//(?:bit\.ly|goo\.gl|tinyurl\.com|t\.co)(?:[/?#\s]|$)", ("bit.ly", "goo.gl", "tinyurl.com", "t.co")
     ),
     "script_tags": Pattern("text", r"(?i)<script", ("<script",)),
-    "password_reset_keywords": Pattern("both", r"(?i)reset|password|verify|account"),
+    "password_reset_keywords": Pattern("whole", r"(?i)reset|password|verify|account"),
     "ransom_keywords": Pattern("text", r"(?i)encrypt|decrypt|btc|bitcoin|pay|recover"),
     "integrity_values": Pattern("text", r"(?i)integrity\s*=", ("integrity",)),
     "sound_integrity_values": Pattern(
@@ -156,7 +156,7 @@ RULE_WEIGHTS: dict[str, float] = {
 def _guarded(pattern: Pattern, hit: Column, miss: Column) -> Column:
     if not pattern.guard:
         return hit
-    haystack = {"text": "lower_text", "both": "lower_both"}[pattern.subject]
+    haystack = {"text": "lower_text", "whole": "lower_whole"}[pattern.subject]
     present = F.col(haystack).contains(pattern.guard[0])
     for literal in pattern.guard[1:]:
         present = present | F.col(haystack).contains(literal)
@@ -205,9 +205,9 @@ def _typo_score(brands: Sequence[str]) -> Column:
 
 
 def _sector() -> Column:
-    column = F.when(F.col("both").rlike(SECTORS[0][1]), SECTORS[0][0])
+    column = F.when(F.col("whole").rlike(SECTORS[0][1]), SECTORS[0][0])
     for name, regex in SECTORS[1:]:
-        column = column.when(F.col("both").rlike(regex), name)
+        column = column.when(F.col("whole").rlike(regex), name)
     return column.otherwise("none")
 
 
@@ -271,12 +271,12 @@ def with_subjects(
     split = df.withColumns({"url": F.coalesce(F.col(url), F.lit("")), "text": F.coalesce(F.col(text), F.lit(""))})
     split = split.withColumn("parts", urls.url_parts(F.col("url")))
     fields = {f: F.coalesce(F.col(f"parts.{f}"), F.lit("")) for f in ("host", "netloc", "path", "query", "fragment", "scheme")}
-    split = split.withColumns({**fields, "both": F.concat_ws(" ", "url", "text")})
+    split = split.withColumns({**fields, "whole": F.concat_ws(" ", "url", "text")})
     return split.withColumns(
         {
             "names": urls.domain_parts(F.col("parts.host"), suffixes),
             "lower_text": F.lower("text"),
-            "lower_both": F.lower("both"),
+            "lower_whole": F.lower("whole"),
         }
     )
 

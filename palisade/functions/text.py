@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Results must equal these patterns and lists.
 SOCIAL_SECURITY = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -50,7 +51,7 @@ def _entropy_of(content: str | bytes | None) -> float | None:
     return float(-np.sum(shares * np.log2(shares + 1e-9)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(content: pd.Series) -> pd.Series:
     """``-sum p*log2(p + 1e-9)`` over the bytes of a text or binary of any length.
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 _MODULES = ("links", "content", "intel", "reporting", "learning", "response", "storage_queries", "streams")
 _queries: dict[str, Query] = {}
@@ -26,6 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return rounded(build(spark, sf_dir))
 

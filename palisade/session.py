@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Broadcasts happen only where Spark's own size check (static estimate, then AQE run-time size) allows it.
@@ -27,3 +31,20 @@ def build_session(app_name: str = "palisade", master: str | None = None, **extra
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as ``--py-files`` would; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / "palisade.zip"
+    with zipfile.ZipFile(archive, "w") as package:
+        for source in sorted(root.rglob("*.py")):
+            package.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
