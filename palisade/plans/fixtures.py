@@ -331,14 +331,15 @@ def playbooks(spark: SparkSession) -> DataFrame:
     flat = spark.createDataFrame(
         list(ACTIONS), "name string, step int, action string, action_type string, priority string, parameters string"
     )
-    action = F.struct(
-        F.col("action").alias("name"),
-        F.col("action_type").alias("type"),
-        F.from_json("parameters", "map<string,string>").alias("parameters"),
-        "priority",
+    steps = F.array_sort(F.collect_list(F.struct("step", "action", "action_type", "parameters", "priority")))
+    action = lambda s: F.struct(
+        s["action"].alias("name"),
+        s["action_type"].alias("type"),
+        F.from_json(s["parameters"], "map<string,string>").alias("parameters"),
+        s["priority"].alias("priority"),
     )
-    nested = flat.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("step", action.alias("a")))).alias("s"))
-    return names.join(nested.select("name", F.transform("s", lambda x: x["a"]).alias("actions")), "name")
+    nested = flat.groupBy("name").agg(steps.alias("steps")).select("name", F.transform("steps", action).alias("actions"))
+    return names.join(nested, "name")
 
 
 ALERTS = """alerts AS (
