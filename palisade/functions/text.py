@@ -89,8 +89,8 @@ def age_in_days(created: Column, reference: Column) -> Column:
 
 
 def encrypt_text(text: Column, key: Column) -> Column:
-    """AES-GCM, base64 text; the random nonce makes every result different."""
-    return F.base64(F.aes_encrypt(text, key, F.lit("GCM")))
+    """AES-GCM as base64 on one line; the random nonce makes every result different."""
+    return F.translate(F.base64(F.aes_encrypt(text, key, F.lit("GCM"))), "\r\n", "")
 
 
 def decrypt_text(cipher: Column, key: Column) -> Column:

@@ -17,20 +17,20 @@ _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, so that two engines can be compared by value; ``+ 0.0`` clears a minus zero."""
-    doubles = {f.name: F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0) for f in df.schema if isinstance(f.dataType, T.DoubleType)}
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to a few places, so that two engines can be compared by value; ``+ 0.0`` clears a minus zero."""
+    doubles = {f.name: F.round(F.col(f"`{f.name}`"), places) + F.lit(0.0) for f in df.schema if isinstance(f.dataType, T.DoubleType)}
     return df.withColumns(doubles) if doubles else df
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, places: int = 6) -> Callable[[Query], Query]:
     """Register a query under ``name`` with its equivalent SQL."""
 
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return rounded(build(spark, sf_dir))
+            return rounded(build(spark, sf_dir), places)
 
         if name in _queries:
             raise ValueError(f"query {name} is registered twice")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import encrypt_text, iso_timestamp
 
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 DEFAULT_SOURCETYPE = "security:log"
 DEFAULT_EVENT_INDEX = "threat_detection"
 DEFAULT_DOCUMENT_INDEX = "security-threats"
@@ -22,7 +23,7 @@ def save_records(df: DataFrame, path: str) -> None:
     elif path.endswith(".csv.gz"):
         writer.option("compression", "gzip").csv(path, header=True)
     else:
-        writer.json(path)
+        writer.options(**JSON_OPTIONS).json(path)
 
 
 def event_envelopes(
@@ -95,7 +96,7 @@ def search_documents(
 
 def write_documents(documents: DataFrame, path: str) -> None:
     """Append documents, one folder per index, so a search by index reads only its folder."""
-    documents.write.mode("append").partitionBy("_index").json(path)
+    documents.write.mode("append").options(**JSON_OPTIONS).partitionBy("_index").json(path)
 
 
 def audit_entries(df: DataFrame, event: Column, time: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -110,7 +111,7 @@ def audit_entries(df: DataFrame, event: Column, time: Column | None = None, keep
 
 
 def append_audit(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").json(path)
+    entries.write.mode("append").options(**JSON_OPTIONS).json(path)
 
 
 def encrypted_rows(df: DataFrame, key: Column) -> DataFrame:

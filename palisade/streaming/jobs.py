@@ -42,7 +42,7 @@ def forward(path: str, source: Column, body: Callable[[DataFrame], Column]) -> C
 
 
 def whole_row(df: DataFrame) -> Column:
-    return F.to_json(F.struct(*df.columns))
+    return F.to_json(F.struct(*df.columns), sinks.JSON_OPTIONS)
 
 
 def ingest(
@@ -61,7 +61,7 @@ def ingest(
     def each(batch: DataFrame, name: str) -> None:
         batch.persist()
         send(enrichment.enrich_traffic(validation.valid_records(batch), indicators), name)
-        validation.rejected_records(batch).write.mode("overwrite").json(f"{quarantine}/{name}")
+        validation.rejected_records(batch).write.mode("overwrite").options(**sinks.JSON_OPTIONS).json(f"{quarantine}/{name}")
         batch.unpersist()
 
     return start(checked, each, checkpoint, trigger=trigger)
@@ -86,7 +86,7 @@ def threat_stream(
         scored = threats.score_feed(threats.enrich_iocs(batch, indicators, votes, rules))
         scored.write.mode("overwrite").parquet(f"{store}/{name}")
         stored = batch.sparkSession.read.parquet(f"{store}/{name}")
-        threats.serious(stored).write.mode("overwrite").json(f"{serious}/{name}")
+        threats.serious(stored).write.mode("overwrite").options(**sinks.JSON_OPTIONS).json(f"{serious}/{name}")
 
     return start(iocs, each, checkpoint, trigger=trigger)
 
@@ -139,7 +139,7 @@ def score_stream(
     def each(batch: DataFrame, name: str) -> None:
         score(batch).write.mode("overwrite").parquet(f"{scores}/{name}")
         stored = batch.sparkSession.read.parquet(f"{scores}/{name}")
-        respond(stored).write.mode("overwrite").json(f"{responses}/{name}")
+        respond(stored).write.mode("overwrite").options(**sinks.JSON_OPTIONS).json(f"{responses}/{name}")
 
     return start(rows, each, checkpoint, trigger=trigger)
 
