@@ -13,8 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Forest sizes and default contamination.
 TREES = 150
@@ -145,23 +147,28 @@ class IsolationForest:
         shipped = df.sparkSession.sparkContext.broadcast(packed)
         mean_depth = path_constant(sample) or 1.0
 
-        @F.pandas_udf("double")
-        def anomaly(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        width = len(columns)
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forest = shipped.value
             for batch in batches:
-                result = np.full(len(batch), np.nan)
-                usable = np.array([v is not None and not np.isnan(np.asarray(v, dtype=float)).any() for v in batch], dtype=bool)
-                if usable.any():
-                    points = np.stack([np.asarray(v, dtype=float) for v in batch[usable]])
-                    result[usable] = 2.0 ** (-_mean_path(points, forest) / mean_depth)
-                yield pd.Series(result).astype(object).where(~np.isnan(result), None)
-
+                table = pa.Table.from_batches([batch])
+                lists = table.column("_values").combine_chunks()
+                points = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                found = np.full(len(points), np.nan)
+                usable = ~np.isnan(points).any(axis=1)
+                found[usable] = 2.0 ** (-_mean_path(points[usable], forest) / mean_depth)
+                column = pa.array(found, type=pa.float64(), from_pandas=True)
+                yield from table.drop_columns(["_values"]).append_column("anomaly", column).to_batches()
+
+        kept = list(df.columns if keep is None else keep)
         values = F.array(*[F.col(c).cast("double") for c in columns])
-        scored = df.withColumn("anomaly", anomaly(values))
+        rows = df.select(*kept, values.alias("_values"))
+        schema = T.StructType([*df.select(*kept).schema.fields, T.StructField("anomaly", T.DoubleType())])
+        scored = rows.mapInArrow(walk, schema)
         if offset is not None:
             scored = scored.withColumn("decision", -F.col("anomaly") - F.lit(offset))
-        names = ["anomaly"] + (["decision"] if offset is not None else [])
-        return scored if keep is None else scored.select(*keep, *names)
+        return scored
 
     def save(self, path: str) -> None:
         """Nodes as Parquet with the scalars as columns."""

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -16,6 +17,7 @@ from palisade.functions.urls import url_features
 from palisade.operators.features import process_features
 from palisade.operators.ranking import bin_index, quantiles, ranking_quality, stratified_folds
 from palisade.operators.reports import class_weights
+from palisade.storage import materialize
 
 # Feature order of the flow model, class weights and thresholds.
 FLOW_FEATURES = ("duration", "proto", "src_bytes", "dst_bytes", "packets", "bytes_per_sec", "dst_host_srv_count")
@@ -78,7 +80,8 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return df.join(class_weights(df, label).select(label, "weight"), label)
 
 
-def phishing_stages(label: str = "label", words: int = 1 << 15) -> list:
+def phishing_stages(words: int = 1 << 15) -> list:
+    """Stages up to the feature vector."""
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_at", handleInvalid="keep") for c in URL_CATEGORIES]
     one_hot = OneHotEncoder(inputCols=[f"{c}_at" for c in URL_CATEGORIES], outputCols=[f"{c}_hot" for c in URL_CATEGORIES])
     return [
@@ -88,17 +91,55 @@ def phishing_stages(label: str = "label", words: int = 1 << 15) -> list:
         *indexers,
         one_hot,
         VectorAssembler(inputCols=[*URL_NUMBERS, *[f"{c}_hot" for c in URL_CATEGORIES], "terms"], outputCol="features"),
-        LogisticRegression(labelCol=label, weightCol="weight", maxIter=50, regParam=0.01),
     ]
 
 
-def train_phishing(samples: DataFrame, label: str = "label") -> PipelineModel:
-    """Logistic model over URL features and hashed text, classes balanced by weight."""
-    return Pipeline(stages=phishing_stages(label)).fit(weighted(phishing_inputs(samples), label))
+@dataclass(frozen=True)
+class PhishingModel:
+    """Fitted feature stages and the classifier on top."""
 
+    stages: PipelineModel
+    classifier: LogisticRegressionModel
 
-def score_phishing(model: PipelineModel, samples: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return model.transform(phishing_inputs(samples)).select(*keep, positive_probability().alias("ml_score"))
+    @classmethod
+    def fit(cls, inputs: DataFrame, label: str = "label") -> PhishingModel:
+        """Fit on prepared inputs. The vectors are written once: every iteration then starts from a plain scan
+        instead of carrying the whole feature plan in its tasks, and a lost executor re-reads a file."""
+        stages = Pipeline(stages=phishing_stages()).fit(inputs)
+        vectors = materialize(cls._vectors(stages, inputs).select(label, "weight", "features"), "phishing-vectors")
+        regression = LogisticRegression(labelCol=label, weightCol="weight", maxIter=50, regParam=0.01)
+        return cls(stages, regression.fit(vectors))
+
+    @staticmethod
+    def _vectors(stages: PipelineModel, inputs: DataFrame) -> DataFrame:
+        """Inputs with the vector column, without the names of its 32768 hashed slots: they would travel in
+        every task of every iteration."""
+        rows = stages.transform(inputs)
+        return rows.withColumn("features", F.col("features").alias("features", metadata={"names": "dropped"}))
+
+    def score(self, inputs: DataFrame, keep: Sequence[str], name: str = "ml_score") -> DataFrame:
+        scored = self.classifier.transform(self._vectors(self.stages, inputs))
+        return scored.select(*keep, positive_probability().alias(name))
+
+    def save(self, path: str) -> None:
+        self.stages.write().overwrite().save(f"{path}/stages")
+        self.classifier.write().overwrite().save(f"{path}/classifier")
+
+    @classmethod
+    def load(cls, path: str) -> PhishingModel:
+        return cls(PipelineModel.load(f"{path}/stages"), LogisticRegressionModel.load(f"{path}/classifier"))
+
+
+def train_phishing(samples: DataFrame, label: str = "label") -> PhishingModel:
+    """Logistic model over URL features and hashed text, classes balanced by weight.
+
+    The URL features are written once, since several stages are fitted on them.
+    """
+    return PhishingModel.fit(materialize(weighted(phishing_inputs(samples), label), "phishing-inputs"), label)
+
+
+def score_phishing(model: PhishingModel, samples: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return model.score(phishing_inputs(samples), keep)
 
 
 def cross_validate(samples: DataFrame, key: str, label: str = "label", folds: int = 5) -> DataFrame:
@@ -107,27 +148,25 @@ def cross_validate(samples: DataFrame, key: str, label: str = "label", folds: in
     Features and folds are computed once; each fold's model is a Spark job over the others, and the metrics of
     all folds come from one ranking pass.
     """
-    inputs = stratified_folds(weighted(phishing_inputs(samples), label), key, label, folds).persist()
+    inputs = materialize(stratified_folds(weighted(phishing_inputs(samples), label), key, label, folds), "phishing-folds")
     scored = None
     for fold in range(folds):
-        model = Pipeline(stages=phishing_stages(label)).fit(inputs.filter(F.col("fold") != fold))
-        part = model.transform(inputs.filter(F.col("fold") == fold))
-        part = part.select("fold", label, positive_probability().alias("score"))
+        model = PhishingModel.fit(inputs.filter(F.col("fold") != fold), label)
+        part = model.score(inputs.filter(F.col("fold") == fold), ["fold", label], "score")
         scored = part if scored is None else scored.unionByName(part)
     return ranking_quality(scored, "score", label, by=["fold"])
 
 
 def bootstrap_scores(samples: DataFrame, key: str, label: str = "label", members: int = 5) -> list[DataFrame]:
     """Scores of models fitted on Poisson re-weightings of the rows, keyed by a hash so they repeat."""
-    inputs = weighted(phishing_inputs(samples), label).persist()
+    inputs = materialize(weighted(phishing_inputs(samples), label), "phishing-inputs")
     scores = []
     for member in range(members):
         u = F.abs(F.xxhash64(F.lit(SEED), F.lit(member), F.col(key))).cast("double") / F.lit(2.0**63)
         # Cumulative Poisson(1) probabilities for 0, 1, 2, 3 and 4 copies.
         copies = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).when(u < 0.9810, 3).otherwise(4)
         drawn = inputs.withColumn("weight", F.col("weight") * copies).filter(F.col("weight") > 0)
-        model = Pipeline(stages=phishing_stages(label)).fit(drawn)
-        scores.append(model.transform(inputs).select(key, positive_probability().alias("ml_score")))
+        scores.append(PhishingModel.fit(drawn, label).score(inputs, [key]))
     return scores
 
 
@@ -135,7 +174,7 @@ def reliability(scored: DataFrame, score: str, label: str, bins: int = 10) -> Da
     """Mean score, observed rate and rows per score decile; the input of the calibration."""
     edges = quantiles(scored, [score], [i / bins for i in range(1, bins)])
     edges = edges.agg(F.array_sort(F.collect_list("quantile"))).scalar()
-    binned = scored.withColumn("bin", bin_index(F.col(score), edges, bins))
+    binned = scored.withColumn("_edges", edges).withColumn("bin", bin_index(F.col(score), F.col("_edges"), bins))
     return binned.groupBy("bin").agg(
         F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("observed"), F.count(F.lit(1)).alias("rows")
     )

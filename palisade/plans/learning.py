@@ -1 +1,268 @@
-"""To follow."""
+"""Anomaly forest, classifiers and score arithmetic."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palisade.functions import indicators as ind
+from palisade.operators import enrichment, features, models, ranking, reports, response, scoring
+from palisade.operators.forest import IsolationForest
+from palisade.plans import fixtures as fx
+from palisade.plans.intel import INTELLIGENCE_SQL, url_intelligence_table
+from palisade.plans.registry import query
+from palisade.storage import materialize, scratch_path
+
+# --- score arithmetic ----------------------------------------------------------------------------------
+
+
+@query("ensemble_scores", "SELECT event_id, round(user_id / 150.0 * (1 - (value / 1000.0 - 0.2)), 6) AS score FROM events")
+def ensemble_scores(spark, sf):
+    combined = scoring.ensemble_score(F.col("user_id") / F.lit(150.0), F.col("value") / F.lit(1000.0) - F.lit(0.2))
+    return fx.table(spark, sf, "events").select("event_id", combined.alias("score"))
+
+
+def member_scores(spark, sf, members: int = 5):
+    """Repeated predictions of each document, spread by its size."""
+    documents = fx.table(spark, sf, "documents").select("doc_id", "n_chars")
+    return [documents.select("doc_id", ((F.col("n_chars") * (m + 3) % 101) / 100.0).alias("ml_score")) for m in range(members)]
+
+
+_MEMBERS = """members AS (SELECT doc_id, (n_chars * (m + 3) % 101) / 100.0 AS ml_score FROM documents, (SELECT unnest(range(5)) AS m)),
+uncertain AS (SELECT doc_id, avg(ml_score) AS mean_score, stddev_pop(ml_score) AS uncertainty FROM members GROUP BY doc_id)"""
+
+
+@query(
+    "prediction_uncertainty",
+    f"WITH {_MEMBERS} SELECT doc_id, round(mean_score, 6) AS mean_score, round(uncertainty, 6) AS uncertainty FROM uncertain",
+)
+def prediction_uncertainty(spark, sf):
+    return scoring.uncertainty(member_scores(spark, sf), "doc_id", "ml_score")
+
+
+@query(
+    "fused_verdicts",
+    f"""WITH {INTELLIGENCE_SQL}, scored AS (SELECT sample_id, browsing_malicious OR blacklisted OR dbl_listed AS hit, (length(url) % 11) / 10.0 AS ml, (length(url) % 7) / 6.0 AS rule,
+      (length(url) % 3) / 10.0 AS uncertainty FROM intelligence)
+    SELECT sample_id, hit OR 0.6 * ml + 0.4 * rule > 0.5 + 0.1 * uncertainty AS verdict FROM scored""",
+)
+def fused_verdicts(spark, sf):
+    size = F.length("url")
+    share = lambda n, of: (size % n) / F.lit(of)
+    verdict = scoring.fused_verdict(share(11, 10.0), share(7, 6.0), share(3, 10.0), enrichment.intelligence_hit(F.col("intel")))
+    return url_intelligence_table(spark, sf).select("sample_id", verdict.alias("verdict"))
+
+
+@query(
+    "tamed_scores",
+    """SELECT event_id, round(0.6 * least(1, greatest(0, coalesce(CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 1e100 WHEN 3 THEN -1e50 ELSE value / 500 END, 0)))
+      + 0.25 * (user_id % 6) / 5.0 + 0.15 * least(1, (user_id % 120) / 92.0), 6) AS threat_score FROM events""",
+)
+def tamed_scores(spark, sf):
+    turn = F.col("event_id") % 5
+    confidence = (
+        F.when(turn == 0, F.lit(None).cast("double"))
+        .when(turn == 1, F.lit(float("nan")))
+        .when(turn == 2, F.lit(1e100))
+        .when(turn == 3, F.lit(-1e50))
+        .otherwise(F.col("value") / 500)
+    )
+    score = scoring.threat_score(confidence, F.col("user_id") % 6, F.col("user_id") % 120)
+    return fx.table(spark, sf, "events").select("event_id", score.alias("threat_score"))
+
+
+# --- isolation forest ----------------------------------------------------------------------------------
+
+
+def anomaly_vectors(spark, sf):
+    """Embeddings as sixteen features; each hundredth row is pushed out by a factor of five."""
+    planted = F.col("vec_id") % 100 == 0
+    stretch = F.when(planted, 5.0).otherwise(1.0)
+    parts = [(F.get("embedding", F.lit(i)).cast("double") * stretch).alias(f"f{i}") for i in range(16)]
+    return fx.table(spark, sf, "embeddings").select("vec_id", planted.alias("planted"), *parts)
+
+
+VECTOR_COLUMNS = [f"f{i}" for i in range(16)]
+
+
+@query("anomaly_scores")
+def anomaly_scores(spark, sf):
+    vectors = anomaly_vectors(spark, sf)
+    forest = IsolationForest.fit(vectors, "vec_id", VECTOR_COLUMNS)
+    return forest.score(vectors, keep=["vec_id", "planted"])
+
+
+@query("flow_anomalies")
+def flow_anomalies(spark, sf):
+    """Features chosen by variance, robust scaling, forest, and the rows below the contamination quantile."""
+    flows = features.traffic_features(fx.flows(spark, sf)).withColumn("flow_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "tx_bytes"))
+    selected, _ = features.select_features(flows)
+    scaled = features.scale(flows, features.robust_parameters(flows, selected))
+    forest = IsolationForest.fit(scaled, "flow_id", selected)
+    return forest.score(scaled, keep=["flow_id"]).filter(F.col("decision") < 0)
+
+
+@query("poisoning_signal")
+def poisoning_signal(spark, sf):
+    vectors = anomaly_vectors(spark, sf)
+    forest = IsolationForest.fit(vectors, "vec_id", VECTOR_COLUMNS, trees=100, contamination=0.1)
+    return reports.mean_score(forest.score(vectors))
+
+
+@query("forest_reloaded", "SELECT vec_id, true AS same FROM embeddings")
+def forest_reloaded(spark, sf):
+    vectors = anomaly_vectors(spark, sf)
+    forest = IsolationForest.fit(vectors, "vec_id", VECTOR_COLUMNS, trees=20)
+    path = scratch_path(spark, "forest")
+    forest.save(path)
+    again = IsolationForest.load(spark, path)
+    before = forest.score(vectors, keep=["vec_id"]).withColumnRenamed("decision", "first")
+    after = again.score(vectors, keep=["vec_id"]).withColumnRenamed("decision", "second")
+    return before.join(after, "vec_id").select("vec_id", (F.col("first") == F.col("second")).alias("same"))
+
+
+# --- classifiers ---------------------------------------------------------------------------------------
+
+
+def labelled_flows(spark, sf):
+    return fx.flows(spark, sf).select(
+        "l_orderkey",
+        "l_linenumber",
+        "duration",
+        F.when(F.col("protocol").endswith("O"), 6).otherwise(17).alias("proto"),
+        F.col("tx_bytes").alias("src_bytes"),
+        F.col("rx_bytes").alias("dst_bytes"),
+        F.col("tx_packets").alias("packets"),
+        (F.col("tx_bytes") / F.col("duration")).alias("bytes_per_sec"),
+        F.col("l_linenumber").alias("dst_host_srv_count"),
+        "label",
+    )
+
+
+@query("flow_classification")
+def flow_classification(spark, sf):
+    flows = labelled_flows(spark, sf)
+    model = models.train_flow_classifier(flows, trees=20)
+    return models.classify_flows(model, flows).select("l_orderkey", "l_linenumber", "label", "verdict", "confidence")
+
+
+@query("flow_feature_importance")
+def flow_feature_importance(spark, sf):
+    flows = labelled_flows(spark, sf)
+    return models.feature_importance(models.train_flow_classifier(flows, trees=20), flows)
+
+
+@query("phishing_scores")
+def phishing_scores(spark, sf):
+    mails = fx.mails(spark, sf)
+    return models.score_phishing(models.train_phishing(mails), mails, ["doc_id", "label"])
+
+
+@query("phishing_cross_validation")
+def phishing_cross_validation(spark, sf):
+    return models.cross_validate(fx.mails(spark, sf), "doc_id")
+
+
+@query("bootstrap_uncertainty")
+def bootstrap_uncertainty(spark, sf):
+    members = models.bootstrap_scores(fx.mails(spark, sf), "doc_id", members=3)
+    return scoring.uncertainty(members, "doc_id", "ml_score")
+
+
+@query("phishing_verdicts")
+def phishing_verdicts(spark, sf):
+    """Mails through input check, model, rule score and fusion to hashed verdicts."""
+    mails = fx.mails(spark, sf)
+    model = models.train_phishing(mails)
+    ml = models.score_phishing(model, mails, ["doc_id", "url"])
+    flags = ind.content_indicators(mails, keep=["doc_id"], names=list(ind.RULE_WEIGHTS)).select("doc_id", ind.rule_score().alias("rule_score"))
+    fused = scoring.fused_verdict(F.col("ml_score"), F.col("rule_score"), F.lit(0.0), F.lit(False))
+    return ml.join(flags, "doc_id").select("doc_id", F.sha2("url", 256).alias("url_hash"), fused.alias("prediction"), F.col("ml_score").alias("risk_score"))
+
+
+_SCORED = "scored AS (SELECT doc_id, toxic AS label, (n_chars % 97) / 97.0 AS score FROM labels JOIN documents USING (doc_id))"
+
+
+def scored_labels(spark, sf):
+    joined = fx.table(spark, sf, "labels").join(fx.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return joined.select("doc_id", F.col("toxic").alias("label"), ((F.col("n_chars") % 97) / F.lit(97.0)).alias("score"))
+
+
+_DECILES = "[" + ", ".join(f"quantile_cont(score, {i / 10})" for i in range(1, 10)) + "]"
+
+
+@query(
+    "score_reliability",
+    f"""WITH {_SCORED}, edges AS (SELECT {_DECILES} AS e FROM scored)
+    SELECT CAST(len(list_filter(e, lambda x: x < score)) AS INTEGER) AS bin, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS observed, count(*) AS rows FROM scored, edges GROUP BY 1""",
+)
+def score_reliability(spark, sf):
+    return models.reliability(scored_labels(spark, sf), "score", "label")
+
+
+@query("calibrated_scores")
+def calibrated_scores(spark, sf):
+    scored = scored_labels(spark, sf)
+    return models.apply_calibration(models.calibrate(scored, "score", "label"), scored, "score").select("doc_id", "score", "calibrated")
+
+
+def process_samples(spark, sf):
+    """Processes with entropy inputs and behaviour sequences; the text is joined once per document."""
+    documents = fx.table(spark, sf, "documents").select("doc_id", F.col("text").alias("file_content"))
+    rows = fx.processes(spark, sf)
+    sequences = features.behavior_sequences(rows, "process_id", "ts", "event_id", "api_call_count")
+    return rows.join(documents, "doc_id").join(sequences, "process_id")
+
+
+@query(
+    "process_features",
+    f"""WITH {fx.PROCESSES}, bytes AS (SELECT doc_id, unnest(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ')) AS b FROM documents),
+      counts AS (SELECT doc_id, b, CAST(count(*) AS DOUBLE) AS n FROM bytes WHERE b <> '' GROUP BY doc_id, b),
+      shares AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM counts),
+      entropies AS (SELECT doc_id, -sum(p * log2(p + 1e-9)) AS entropy FROM shares GROUP BY doc_id)
+    SELECT event_id, process_id, round(entropy, 6) AS entropy, round(api_call_count / NULLIF(process_duration, 0), 6) AS api_calls_per_sec,
+      round(coalesce(var_samp(entropy) OVER (PARTITION BY process_id), -1), 6) AS file_entropy_variance FROM processes JOIN entropies USING (doc_id)""",
+)
+def process_features(spark, sf):
+    rated = features.process_features(process_samples(spark, sf)).fillna(-1.0, ["file_entropy_variance"])
+    return rated.select("event_id", "process_id", "entropy", "api_calls_per_sec", "file_entropy_variance")
+
+
+def ransomware_split(spark, sf):
+    """Process inputs, written once, with a stratified fold; fold 0 is the held-out fifth."""
+    inputs = models.process_inputs(process_samples(spark, sf)).select("event_id", "process_id", "is_ransomware", *models.PROCESS_NUMBERS)
+    return materialize(ranking.stratified_folds(inputs, "event_id", "is_ransomware"), "process-inputs")
+
+
+@query("ransomware_report")
+def ransomware_report(spark, sf):
+    split = ransomware_split(spark, sf)
+    model = models.train_ransomware(split.filter("fold <> 0"), rounds=5)
+    held_out = models.score_ransomware(model, split.filter("fold = 0"), ["event_id", "is_ransomware"])
+    return reports.classification_report(held_out, "is_ransomware", "predicted")
+
+
+@query("ransomware_ensemble")
+def ransomware_ensemble(spark, sf):
+    """Boosted-tree score weighted by the anomaly decision of a forest over three static features."""
+    split = ransomware_split(spark, sf)
+    model = models.train_ransomware(split.filter("fold <> 0"), rounds=5)
+    columns = ["entropy", "api_calls_per_sec", "file_entropy_variance"]
+    forest = IsolationForest.fit(split.filter("fold <> 0"), "event_id", columns, trees=50, contamination=0.1)
+    scored = models.score_ransomware(model, forest.score(split), ["event_id", "decision"])
+    return scored.select("event_id", scoring.ensemble_score(F.col("score"), F.col("decision")).alias("score"))
+
+
+@query("detection_responses")
+def detection_responses(spark, sf):
+    """Scores above the alert threshold turned into planned actions."""
+    scored = fx.table(spark, sf, "events").select("event_id", (F.col("value") / F.lit(400.0)).alias("score"))
+    alerts = models.detection_alerts(scored, "event_id", 0.5)
+    return response.response_plan(alerts, fx.playbooks(spark)).select("alert_id", "playbook", "step", "action", "status")
+
+
+@query("model_reloaded")
+def model_reloaded(spark, sf):
+    flows = labelled_flows(spark, sf)
+    path = scratch_path(spark, "flow-model")
+    models.save_model(models.train_flow_classifier(flows, trees=5), path)
+    return models.classify_flows(models.load_model(path), flows).groupBy("verdict").agg(F.count(F.lit(1)).alias("flows"))

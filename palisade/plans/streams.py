@@ -1 +1,130 @@
-"""To follow."""
+"""Streaming jobs run to the end over a file stream of the tables, then read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palisade.operators import models, response
+from palisade.plans import fixtures as fx
+from palisade.plans.intel import IOC_SQL, url_reports
+from palisade.plans.registry import query
+from palisade.storage import scratch_path
+from palisade.streaming import jobs
+
+
+def stream(spark, sf_dir, name):
+    """A given table as a file stream."""
+    schema = fx.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def packet_stream(spark, sf_dir):
+    kind = F.col("event_type")
+    return stream(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        "event_id",
+        "event_type",
+        "value",
+        F.when(kind == "signup", 17).when(kind == "error", 1).otherwise(6).alias("protocol"),
+    )
+
+
+@query(
+    "stream_ingest",
+    f"""WITH {fx.cte('indicators', fx.INDICATOR_COLUMNS, fx.INDICATORS)}, best AS (SELECT value, max_by(threat_type, confidence) AS threat_type FROM indicators GROUP BY value),
+      good AS (SELECT *, '10.0.0.' || (user_id % 250) AS src_ip FROM events WHERE event_type <> 'error')
+    SELECT src_ip, coalesce(threat_type, '') AS threat_type, count(*) AS records, 0 AS rejected FROM good LEFT JOIN best ON best.value = src_ip GROUP BY ALL
+    UNION ALL SELECT 'rejected', 'protocol', 0, count(*) FROM events WHERE event_type = 'error'""",
+)
+def stream_ingest(spark, sf):
+    kind = F.col("event_type")
+    body = F.to_json(
+        F.struct(
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+            F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")).alias("src_ip"),
+            F.lit("8.8.8.8").alias("dst_ip"),
+            F.when(kind == "signup", "UDP").when(kind == "error", "what").otherwise("TCP").alias("protocol"),
+            F.lit("64").alias("length"),
+        )
+    )
+    base = scratch_path(spark, "stream-ingest")
+    messages = stream(spark, sf, "events").select(F.encode(body, "UTF-8").alias("value"))
+    jobs.ingest(messages, fx.indicators(spark), f"{base}/sent", f"{base}/rejected", f"{base}/checkpoint").awaitTermination()
+    sent = spark.read.schema("event struct<src_ip string, threat_type string>").json(f"{base}/sent").select("event.*")
+    good = sent.groupBy("src_ip", F.coalesce("threat_type", F.lit("")).alias("threat_type")).agg(F.count(F.lit(1)).alias("records"))
+    rejected = spark.read.schema("reasons array<string>").json(f"{base}/rejected").select(F.explode("reasons").alias("threat_type"))
+    bad = rejected.groupBy(F.lit("rejected").alias("src_ip"), "threat_type").agg(F.count(F.lit(1)).alias("rejected"))
+    zero = F.lit(0).cast("long")
+    return good.withColumn("rejected", zero).unionByName(bad.withColumn("records", zero))
+
+
+@query("stream_threat_feed", f"WITH {IOC_SQL} SELECT type, threat_level, count(*) AS threats FROM levels WHERE type = 'url' GROUP BY type, threat_level")
+def stream_threat_feed(spark, sf):
+    base = scratch_path(spark, "stream-threats")
+    # The example links join the pages by way of a file of their own, as a second feed would.
+    fx.samples(spark, sf).filter("sample_id >= 9000000000").write.parquet(f"{base}/examples")
+    pages = stream(spark, sf, "pages").select(F.col("page_id").alias("sample_id"), "url")
+    examples = spark.readStream.schema("sample_id long, url string").parquet(f"{base}/examples")
+    feed = pages.union(examples).select(F.concat(F.lit("u"), F.col("sample_id").cast("string")).alias("key"), F.lit("url").alias("type"), F.col("url").alias("value"))
+    jobs.threat_stream(
+        feed, fx.indicators(spark), url_reports(spark, sf), fx.rules(spark), f"{base}/store", f"{base}/serious", f"{base}/checkpoint"
+    ).awaitTermination()
+    stored = spark.read.parquet(f"{base}/store")
+    return stored.groupBy("type", "threat_level").agg(F.count(F.lit(1)).alias("threats"))
+
+
+@query(
+    "stream_protocol_counts",
+    f"WITH {fx.TRAFFIC} SELECT protocol, count(*) AS packets FROM traffic GROUP BY protocol",
+)
+def stream_protocol_counts(spark, sf):
+    base = scratch_path(spark, "stream-protocols")
+    jobs.running_protocol_counts(packet_stream(spark, sf), f"{base}/counts", f"{base}/checkpoint").awaitTermination()
+    counts = spark.read.parquet(f"{base}/counts")
+    # Later batches hold larger running counts.
+    return counts.groupBy("protocol").agg(F.max("packets").alias("packets"))
+
+
+@query(
+    "packet_rate_alerts",
+    f"WITH {fx.TRAFFIC} SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_micros, count(*) AS packets FROM traffic GROUP BY 1 HAVING count(*) > 15",
+)
+def packet_rate_alerts(spark, sf):
+    traffic = fx.traffic(spark, sf).withColumn("timestamp", F.col("ts").cast("timestamp"))
+    alerts = jobs.rate_alerts(traffic, 15, step="1 hour")
+    return alerts.select(F.unix_micros("window_start").alias("window_micros"), "packets")
+
+
+@query(
+    "stream_rate_alerts",
+    f"""WITH {fx.TRAFFIC}, windows AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS packets FROM traffic GROUP BY 1)
+    SELECT epoch_us(w) AS window_micros, packets FROM windows WHERE packets > 15 AND w + INTERVAL 1 HOUR <= date_trunc('milliseconds', (SELECT max(ts) FROM traffic)) - INTERVAL 10 MINUTE""",
+)
+def stream_rate_alerts(spark, sf):
+    base = scratch_path(spark, "stream-rates")
+    jobs.stream_rate_alerts(packet_stream(spark, sf), f"{base}/alerts", f"{base}/checkpoint", 15, step="1 hour").awaitTermination()
+    alerts = spark.read.schema("window_start timestamp, window_end timestamp, packets long").parquet(f"{base}/alerts")
+    return alerts.select(F.unix_micros("window_start").alias("window_micros"), "packets")
+
+
+@query(
+    "stream_detection",
+    """SELECT 'scored' AS kind, count(*) AS n FROM events UNION ALL
+    SELECT 'planned', 4 * count(*) FROM events WHERE value / 400.0 > 0.5""",
+)
+def stream_detection(spark, sf):
+    base = scratch_path(spark, "stream-detection")
+    playbooks = fx.playbooks(spark)
+    score = lambda batch: batch.select("event_id", (F.col("value") / F.lit(400.0)).alias("score"))
+    respond = lambda scored: response.response_plan(models.detection_alerts(scored, "event_id", 0.5), playbooks)
+    jobs.score_stream(packet_stream(spark, sf), score, respond, f"{base}/scores", f"{base}/plans", f"{base}/checkpoint").awaitTermination()
+    scored = spark.read.parquet(f"{base}/scores").agg(F.lit("scored").alias("kind"), F.count(F.lit(1)).alias("n"))
+    planned = spark.read.schema("alert_id long").json(f"{base}/plans").agg(F.lit("planned").alias("kind"), F.count(F.lit(1)).alias("n"))
+    return scored.union(planned)
+
+
+@query("stream_dashboard", "SELECT event_type, count(*) AS threats FROM events GROUP BY event_type")
+def stream_dashboard(spark, sf):
+    base = scratch_path(spark, "stream-dashboard")
+    jobs.dashboard(packet_stream(spark, sf), "event_type", f"{base}/counts", f"{base}/checkpoint", jobs.DRAIN).awaitTermination()
+    return spark.read.parquet(f"{base}/counts").groupBy("event_type").agg(F.max("threats").alias("threats"))
