@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import urls
+from palisade.functions.binding import bound
 
 # Reference table of brand names; callers may bring their own.
 BRANDS = (
@@ -174,8 +175,7 @@ def _count(name: str) -> Column:
 
 
 def _duplicate_parameters() -> Column:
-    names = urls.parameter_names(F.col("query"))
-    return F.size(names) > F.size(F.array_distinct(names))
+    return bound(urls.parameter_names(F.col("query")), lambda names: F.size(names) > F.size(F.array_distinct(names)))
 
 
 def _unsigned_token() -> Column:
@@ -189,13 +189,14 @@ def _unsigned_token() -> Column:
 def _impersonated(brands: Sequence[str]) -> Column:
     """First brand inside the leet-folded host although the registered name is not the brand's."""
     long_names = F.array(*[F.lit(b) for b in sorted(b for b in set(brands) if len(b) >= 5)])
-    host = urls.leet_folded(F.col("host"))
-    return F.get(F.filter(long_names, lambda b: F.contains(host, b) & (F.col("names.domain") != b)), F.lit(0))
+    inside = lambda host: F.filter(long_names, lambda b: F.contains(host, b) & (F.col("names.domain") != b))
+    return F.get(bound(urls.leet_folded(F.col("host")), inside), F.lit(0))
 
 
 def _fronted(brands: Sequence[str]) -> Column:
     choices = F.array(*[F.lit(b) for b in sorted(set(brands))])
-    foreign = F.exists(choices, lambda b: F.contains(F.lower("path"), b) & ~F.contains(F.col("names.domain"), b))
+    own = F.coalesce(F.col("names.domain"), F.lit(""))
+    foreign = bound(F.lower("path"), lambda path: F.exists(choices, lambda b: F.contains(path, b) & ~F.contains(own, b)))
     return F.col("path").contains("/.well-known/") & foreign
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palisade.functions.binding import bound
 from palisade.functions.urls import character_entropy
 
 
@@ -25,10 +26,12 @@ def protocol_entropy(protocol: Column) -> Column:
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as a long, NULL when it is not one."""
-    octets = F.transform(F.split(ip, "[.]"), lambda o: o.try_cast("long"))
-    value = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
-    valid = ip.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$") & F.forall(octets, lambda o: o.between(0, 255))
-    return F.when(valid, value)
+    def combine(octets: Column) -> Column:
+        value = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
+        return F.when(F.forall(octets, lambda o: o.between(0, 255)), value)
+
+    shaped = ip.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$")
+    return F.when(shaped, bound(F.transform(F.split(ip, "[.]"), lambda o: o.try_cast("long")), combine))
 
 
 def clipped(score: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palisade.functions.binding import bound
+
 _PIECE = r"(?s)\{\{|\}\}|\{[^{}]*\}|[^{}]+"
 
 
@@ -25,9 +27,12 @@ def fill_template(template: Column, context: Column) -> Column:
             .otherwise(p)
         )
 
-    filled = F.transform(pieces, piece)
-    sound = (F.array_join(pieces, "") == template) & ~F.exists(filled, lambda p: p.isNull())
-    return F.when(template == "", F.lit("")).when(sound, F.array_join(filled, ""))
+    def joined(parts: Column) -> Column:
+        sound = F.array_join(parts, "") == template
+        whole = lambda filled: F.when(sound & ~F.exists(filled, lambda p: p.isNull()), F.array_join(filled, ""))
+        return bound(F.transform(parts, piece), whole)
+
+    return F.when(template == "", F.lit("")).otherwise(bound(pieces, joined))
 
 
 def has_template(text: Column) -> Column:

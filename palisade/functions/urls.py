@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.binding import bound
+
 # Results must equal these lists and patterns.
 SHORTENERS = ("bit.ly", "goo.gl")
 SUSPICIOUS_PARAMETER = r"(token|auth|session)"
@@ -62,25 +64,25 @@ def domain_parts(host: Column, suffixes: Iterable[str] = SUFFIXES) -> Column:
     becomes a hash set in the plan, so its length does not matter per row.
     """
     known = sorted(set(suffixes))
-    labels = F.split(host, "[.]")
-    count = F.size(labels)
-    tail = lambda i: F.array_join(F.slice(labels, i, count), ".")
-    listed = F.filter(F.sequence(F.lit(1), count), lambda i: tail(i).isin(known))
-    start = F.coalesce(F.array_min(listed), count)
     numeric = is_dotted_quad(host) | host.contains(":")
-    suffix = F.when(numeric, F.lit("")).otherwise(tail(start))
-    domain = F.when(numeric, host).when(start > 1, F.get(labels, start - 2)).otherwise(F.lit(""))
-    subdomain = F.when(~numeric & (start > 2), F.array_join(F.slice(labels, F.lit(1), start - 2), ".")).otherwise("")
-    registered = F.when(~numeric & (start > 1), tail(start - 1)).otherwise(F.lit(""))
-    return F.when(
-        host.isNotNull(),
-        F.struct(
-            suffix.alias("suffix"),
-            domain.alias("domain"),
-            subdomain.alias("subdomain"),
-            registered.alias("registered_domain"),
-        ),
-    )
+
+    def split_at(labels: Column, count: Column, start: Column) -> Column:
+        tail = lambda i: F.array_join(F.slice(labels, i, count), ".")
+        head = F.array_join(F.slice(labels, F.lit(1), F.greatest(start - 2, F.lit(0))), ".")
+        return F.struct(
+            F.when(numeric, F.lit("")).otherwise(tail(start)).alias("suffix"),
+            F.when(numeric, host).when(start > 1, F.get(labels, start - 2)).otherwise(F.lit("")).alias("domain"),
+            F.when(~numeric & (start > 2), head).otherwise(F.lit("")).alias("subdomain"),
+            F.when(~numeric & (start > 1), tail(start - 1)).otherwise(F.lit("")).alias("registered_domain"),
+        )
+
+    def of_labels(labels: Column) -> Column:
+        count = F.size(labels)
+        tail = lambda i: F.array_join(F.slice(labels, i, count), ".")
+        first = F.array_min(F.filter(F.sequence(F.lit(1), count), lambda i: tail(i).isin(known)))
+        return bound(F.coalesce(first, count), lambda start: split_at(labels, count, start))
+
+    return F.when(host.isNotNull(), bound(F.split(host, "[.]"), of_labels))
 
 
 def count_of(text: Column, needle: str) -> Column:
@@ -92,17 +94,13 @@ def count_of(text: Column, needle: str) -> Column:
 def character_entropy(text: Column) -> Column:
     """Shannon entropy in bits over the characters of a short string; NULL on empty."""
     chars = F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))
-    total = F.size(chars).cast("double")
-    bits = F.aggregate(
-        F.array_distinct(chars),
-        F.lit(0.0),
-        lambda acc, c: acc - _plogp(F.size(F.filter(chars, lambda x: x == c)) / total),
-    )
-    return F.when(F.length(text) > 0, bits)
 
+    def bits(letters: Column) -> Column:
+        counts = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)).cast("double"))
+        total = F.size(letters).cast("double")
+        return F.log2(total) - F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n * F.log2(n)) / total
 
-def _plogp(p: Column) -> Column:
-    return p * F.log2(p)
+    return F.when(F.length(text) > 0, bound(chars, bits))
 
 
 def special_character_ratio(text: Column) -> Column:
@@ -179,24 +177,26 @@ def leet_folded(text: Column) -> Column:
 
 def brand_similarity(domain: Column, brands: Sequence[str]) -> Column:
     """Best ``1 - distance / longer length`` over the brands, after folding digits that imitate letters."""
-    folded = leet_folded(domain)
     choices = F.array(*[F.lit(b) for b in sorted(set(brands))])
-    longer = lambda b: F.greatest(F.length(folded), F.length(b)).cast("double")
-    return F.array_max(F.transform(choices, lambda b: 1.0 - F.levenshtein(folded, b) / longer(b)))
+    longer = lambda d, b: F.greatest(F.length(d), F.length(b)).cast("double")
+    best = lambda d: F.array_max(F.transform(choices, lambda b: 1.0 - F.levenshtein(d, b) / longer(d, b)))
+    return bound(leet_folded(domain), best)
+
+
+def _keyboard_table() -> tuple[str, str]:
+    return "".join(KEYBOARD_ROWS), "".join(str(n) * len(row) for n, row in enumerate(KEYBOARD_ROWS, 1))
 
 
 def keyboard_code(text: Column) -> Column:
     """Each character replaced by its keyboard row number; others are kept."""
-    source = "".join(KEYBOARD_ROWS)
-    target = "".join(str(n) * len(row) for n, row in enumerate(KEYBOARD_ROWS, 1))
-    return F.translate(F.lower(text), source, target)
+    return F.translate(F.lower(text), *_keyboard_table())
 
 
 def keyboard_distance(domain: Column, brands: Sequence[str]) -> Column:
     """Smallest edit distance to a brand between keyboard-row codes."""
-    coded = keyboard_code(domain)
-    choices = F.array(*[F.lit(b) for b in sorted(set(brands))])
-    return F.array_min(F.transform(choices, lambda b: F.levenshtein(coded, keyboard_code(b))))
+    codes = sorted({b.lower().translate(str.maketrans(*_keyboard_table())) for b in brands})
+    choices = F.array(*[F.lit(c) for c in codes])
+    return bound(keyboard_code(domain), lambda d: F.array_min(F.transform(choices, lambda c: F.levenshtein(d, c))))
 
 
 def with_url_parts(df: DataFrame, url: str = "url", suffixes: Iterable[str] = SUFFIXES) -> DataFrame:

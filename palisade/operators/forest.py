@@ -135,16 +135,7 @@ class IsolationForest:
         """
         columns, sample, offset = list(self.columns), self.sample, self.offset
         table = self.nodes.orderBy("tree", "node").toPandas()
-        packed = [
-            (
-                t["feature"].to_numpy(np.int64),
-                t["threshold"].to_numpy(),
-                t[["left", "right"]].to_numpy(np.int64),
-                t["depth"].to_numpy() + np.array([path_constant(n) for n in t["size"]]),
-            )
-            for _, t in table.groupby("tree", sort=True)
-        ]
-        shipped = df.sparkSession.sparkContext.broadcast(packed)
+        shipped = df.sparkSession.sparkContext.broadcast(_packed(table))
         mean_depth = path_constant(sample) or 1.0
 
         width = len(columns)
@@ -188,17 +179,33 @@ class IsolationForest:
         return cls(tuple(head["columns"]), stored.drop("columns", "sample", "offset"), head["sample"], head["offset"])
 
 
-def _mean_path(points: np.ndarray, forest: list[tuple]) -> np.ndarray:
-    """Mean path length of each point, all points walking one tree level at a time."""
-    total = np.zeros(len(points))
-    every = np.arange(len(points))
-    for feature, threshold, children, length in forest:
-        at = np.zeros(len(points), dtype=np.int64)
-        moving = every
-        while len(moving):
-            moving = moving[feature[at[moving]] >= 0]
-            here = at[moving]
-            goes_right = points[moving, feature[here]] > threshold[here]
-            at[moving] = children[here, goes_right.astype(np.int64)]
-        total += length[at]
-    return total / len(forest)
+def _packed(table: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """All trees in one set of arrays. A leaf leads back to itself, so a walk needs no case for it."""
+    first = table.groupby("tree")["node"].transform("size").groupby(table["tree"]).first().cumsum().shift(fill_value=0)
+    base = table["tree"].map(first).to_numpy(np.int64)
+    leaf = table["feature"].to_numpy() < 0
+    own = base + table["node"].to_numpy(np.int64)
+    left = np.where(leaf, own, base + table["left"].to_numpy(np.int64))
+    right = np.where(leaf, own, base + table["right"].to_numpy(np.int64))
+    length = table["depth"].to_numpy() + np.array([path_constant(n) for n in table["size"]])
+    feature = np.where(leaf, 0, table["feature"].to_numpy(np.int64))
+    children = np.stack([left, right], axis=1).astype(np.int32).ravel()
+    return first.to_numpy(np.int32), feature.astype(np.int32), table["threshold"].to_numpy(), children, length
+
+
+def _mean_path(points: np.ndarray, forest: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Mean path length of each point: all points go down all trees together, one level at a time."""
+    roots, feature, threshold, children, length = forest
+    total = np.empty(len(points))
+    for start in range(0, len(points), 2000):
+        part = np.ascontiguousarray(points[start : start + 2000])
+        flat, offset = part.ravel(), (np.arange(len(part), dtype=np.int32) * part.shape[1])[:, None]
+        at = np.broadcast_to(roots, (len(part), len(roots)))
+        while True:
+            right = flat[offset + feature[at]] > threshold[at]
+            below = children[2 * at + right]
+            if np.array_equal(below, at):
+                break
+            at = below
+        total[start : start + 2000] = length[at].mean(axis=1)
+    return total

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1024
+SKETCH = 50_000
 HASH_BUCKET_HEX = 3  # 4096 buckets
 
 
@@ -66,20 +67,64 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """``(feature, share, quantile)``, exact with linear interpolation, all columns in one shuffle."""
-    values = long_form(df, columns)
-    placed = value_positions(values, "value", {"n": F.lit(1)}, by=["feature"])
-    sizes = placed.groupBy("feature").agg(F.sum("n").alias("rows"))
-    wanted = sizes.select(
-        "feature", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"), F.col("rows")
-    ).withColumn("at", (F.col("rows") - 1) * F.col("share"))
-    # One row per feature and share: bounded by the arguments.
-    near = placed.join(F.broadcast(wanted), "feature").filter(
-        (F.col("n_before") <= F.ceil("at")) & (F.col("n_before") + F.col("n") > F.floor("at"))
+    """``(feature, share, quantile)``, exact with linear interpolation.
+
+    A first pass sketches all columns at once and brackets each wanted rank; the sketch's error bound puts
+    the rank inside the bracket, give or take the neighbour on either side. A second pass counts what lies
+    below, and only the rows inside a bracket (about 6 in ``SKETCH``) are shuffled and sorted.
+    """
+    margin = 3.0 / SKETCH
+    ends = [e for s in shares for e in (max(0.0, s - margin), min(1.0, s + margin))]
+    number = lambda c: F.col(c).cast("double")
+    sketch = df.agg(
+        *[F.percentile_approx(number(c), F.array(*[F.lit(e) for e in ends]), F.lit(SKETCH)).alias(c) for c in columns]
+    ).first()
+    brackets = {
+        (c, float(s)): (sketch[c][2 * i], sketch[c][2 * i + 1])
+        for c in columns
+        if sketch[c]
+        for i, s in enumerate(shares)
+    }
+    rows = F.struct  # short names keep the two projections below readable
+    outside = df.agg(
+        F.array(
+            *[
+                rows(
+                    F.lit(c).alias("feature"),
+                    F.lit(s).alias("share"),
+                    F.count(number(c)).alias("rows"),
+                    F.count_if(number(c) < low).alias("below"),
+                    F.max(F.when(number(c) < low, number(c))).alias("under"),
+                    F.min(F.when(number(c) > high, number(c))).alias("over"),
+                )
+                for (c, s), (low, high) in brackets.items()
+            ]
+        ).alias("o")
+    ).select(F.explode("o").alias("o")).select("o.*")
+    hits = F.array_compact(
+        F.array(
+            *[
+                F.when(number(c).between(low, high), rows(F.lit(c).alias("feature"), F.lit(s).alias("share"), number(c).alias("value")))
+                for (c, s), (low, high) in brackets.items()
+            ]
+        )
+    )
+    inside = df.select(F.explode(hits).alias("h")).groupBy("h.feature", "h.share", "h.value").agg(F.count(F.lit(1)).alias("n"))
+    smaller = Window.partitionBy("feature", "share").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = inside.withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+    # One row per column and share: bounded by the arguments.
+    ranked = placed.join(F.broadcast(outside), ["feature", "share"]).withColumn("before", F.col("before") + F.col("below"))
+    at = (F.col("rows") - 1) * F.col("share")
+    holds = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
+    found = ranked.groupBy("feature", "share").agg(
+        holds(F.floor(at)).alias("low"),
+        holds(F.ceil(at)).alias("high"),
+        F.first("under").alias("under"),
+        F.first("over").alias("over"),
+        F.first(at).alias("at"),
     )
-    ends = near.groupBy("feature", "share", "at").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    step = F.col("high") - F.col("low")
-    return ends.select("feature", "share", (F.col("low") + step * (F.col("at") - F.floor("at"))).alias("quantile"))
+    low, high = F.coalesce("low", "under"), F.coalesce("high", "over")
+    return found.select("feature", "share", (low + (high - low) * (F.col("at") - F.floor("at"))).alias("quantile"))
 
 
 def ranking_quality(scored: DataFrame, score: str, label: str, recall: float = 0.9, by: Sequence[str] = ()) -> DataFrame:
