@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palisade.functions import numeric
 from palisade.functions.text import byte_entropy, looks_encrypted, note_keyword_count
 from palisade.operators.ranking import bin_index, long_form, quantiles
+from palisade.storage import materialize
 
 # Candidate features, the core pair and the variance limit.
 CANDIDATES = (
@@ -100,7 +101,11 @@ def behavior_sequences(
 
 
 def process_features(processes: DataFrame) -> DataFrame:
-    """Entropy of the content, call rate, entropy variance per process, encryption flag, note words."""
+    """Entropy of the content, call rate, entropy variance per process, encryption flag, note words.
+
+    The row features are written once without the content: the variance needs them twice, and the content
+    should be read and measured only once.
+    """
     rated = processes.withColumns(
         {
             "entropy": byte_entropy(F.col("file_content")),
@@ -109,6 +114,7 @@ def process_features(processes: DataFrame) -> DataFrame:
         }
     )
     rated = rated.withColumn("encryption_pattern", looks_encrypted(F.col("entropy"), F.col("created_files")))
+    rated = materialize(rated.drop("file_content"), "process-features")
     return group_variance(rated, "process_id", "entropy", "file_entropy_variance")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -298,6 +299,7 @@ RULES = (
     ("Org_Host", "domain", ".*[.]example[.]org$", "medium", "hosts of one zone", "Review host|Block domain at firewall", True),
     ("Spam_Farm", "domain", "spam-farm", "critical", "link farm", "Block domain at firewall|Isolate affected systems", True),
     ("Html_File", "file", "[.](html|crypt)$", "high", "file endings", "Quarantine file", True),
+    ("Known_Digest", "hash", sha256(b'{"k": 7}').hexdigest(), "critical", "one event body", "Isolate affected systems", True),
     ("Retired", "domain", ".*", "critical", "switched off", "Nothing", False),
 )
 PLAYBOOK_COLUMNS = "playbook, triggers"

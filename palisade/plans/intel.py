@@ -10,6 +10,7 @@ from palisade.operators import rules, threats
 from palisade.plans import fixtures as fx
 from palisade.plans.links import _BLACK, blacklist_hits
 from palisade.plans.registry import query
+from palisade.storage import materialize
 from palisade.sources import intel as sources
 
 REFERENCE = F.lit("2024-02-01 00:00:00").cast("timestamp")
@@ -391,7 +392,9 @@ def url_scan_results(spark, sf):
 
 def url_intelligence_table(spark, sf):
     """Every sample with the struct of its five checks."""
-    parsed, hits = blacklist_hits(spark, sf)
+    # Five checks look at the parsed URLs, so they are parsed once.
+    parsed = materialize(urls.with_url_parts(fx.samples(spark, sf).select("sample_id", "url")), "parsed-urls")
+    hits = blacklist_hits(spark, parsed)
     parsed = parsed.withColumns({"host": F.col("parts.host"), "registered_domain": F.col("names.registered_domain")})
     records, blocked = dns_records(parsed)
     checked = rules.with_blacklist_flag(parsed, hits, "sample_id")
@@ -436,7 +439,8 @@ IOC_SQL = f"""{fx.DECODED}, {_INDICATORS}, {_BEST}, {_REPORTS}, {_RULES}, iocs A
   SELECT 'h' || sample_id AS key, 'domain' AS type, host AS value FROM names WHERE host IS NOT NULL
   UNION ALL SELECT 'u' || sample_id, 'url', url FROM names
   UNION ALL SELECT 'p' || sample_id, 'file', path FROM names
-  UNION ALL SELECT 'i' || event_id, 'ip', '10.0.0.' || (user_id % 250) FROM events),
+  UNION ALL SELECT 'i' || event_id, 'ip', '10.0.0.' || (user_id % 250) FROM events
+  UNION ALL SELECT 'x' || event_id, 'hash', sha256(props) FROM events),
 ioc_hits AS (SELECT DISTINCT key, name, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS level
   FROM iocs JOIN rules ON active AND iocs.type = rules.type AND regexp_matches(iocs.value, pattern)),
 worst AS (SELECT key, max(level) AS rule_level, string_agg(name, '|' ORDER BY name) AS rules FROM ioc_hits GROUP BY key),
@@ -448,14 +452,15 @@ levels AS (SELECT *, CASE WHEN threat_score >= 0.9 THEN 5 WHEN threat_score >= 0
 
 
 def iocs(spark, sf):
-    """Hosts, URLs and paths of the samples and source addresses of the events as an indicator feed."""
+    """Hosts, URLs and paths of the samples, source addresses and digests of the events as an indicator feed."""
     parsed = urls.with_url_parts(fx.samples(spark, sf))
     key = lambda letter: F.concat(F.lit(letter), F.col("sample_id").cast("string")).alias("key")
     hosts = parsed.filter("parts.host IS NOT NULL").select(key("h"), F.lit("domain").alias("type"), F.col("parts.host").alias("value"))
     links = parsed.select(key("u"), F.lit("url"), "url")
     paths = parsed.select(key("p"), F.lit("file"), "parts.path")
     addresses = fx.traffic(spark, sf).select(F.concat(F.lit("i"), F.col("event_id").cast("string")), F.lit("ip"), "src_ip")
-    return hosts.union(links).union(paths).union(addresses)
+    digests = fx.table(spark, sf, "events").select(F.concat(F.lit("x"), F.col("event_id").cast("string")), F.lit("hash"), F.sha2("props", 256))
+    return hosts.union(links).union(paths).union(addresses).union(digests)
 
 
 def enriched_iocs(spark, sf):

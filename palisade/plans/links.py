@@ -192,11 +192,14 @@ BLACKLIST = (
 )
 
 
-def blacklist_hits(spark, sf):
-    """Samples with parsed parts, and the black-list entries they meet."""
-    parsed = urls.with_url_parts(fx.samples(spark, sf))
+def parsed_samples(spark, sf):
+    return urls.with_url_parts(fx.samples(spark, sf))
+
+
+def blacklist_hits(spark, parsed):
+    """The black-list entries parsed samples meet."""
     entries = fx.inline(spark, BLACKLIST_COLUMNS, BLACKLIST)
-    return parsed, rules.blacklist_matches(parsed, entries, "sample_id", "url", F.col("parts"), F.col("names"))
+    return rules.blacklist_matches(parsed, entries, "sample_id", "url", F.col("parts"), F.col("names"))
 
 
 _BLACK = f"""{fx.cte('blacklist', BLACKLIST_COLUMNS, BLACKLIST)}, hits AS (
@@ -207,7 +210,7 @@ _BLACK = f"""{fx.cte('blacklist', BLACKLIST_COLUMNS, BLACKLIST)}, hits AS (
 
 @query("blacklist_matches", f"WITH {fx.DECODED}, {_BLACK} SELECT * FROM hits")
 def blacklist_matches(spark, sf):
-    return blacklist_hits(spark, sf)[1]
+    return blacklist_hits(spark, parsed_samples(spark, sf))
 
 
 @query(
@@ -215,7 +218,8 @@ def blacklist_matches(spark, sf):
     f"WITH {fx.DECODED}, {_BLACK} SELECT sample_id, url FROM samples ANTI JOIN hits USING (sample_id)",
 )
 def blacklist_clean_urls(spark, sf):
-    parsed, hits = blacklist_hits(spark, sf)
+    parsed = parsed_samples(spark, sf)
+    hits = blacklist_hits(spark, parsed)
     return rules.clean_samples(parsed, hits, "sample_id").select("sample_id", "url")
 
 
@@ -227,7 +231,8 @@ def blacklist_clean_urls(spark, sf):
     FROM names n LEFT JOIN flagged f USING (sample_id) GROUP BY 1, 2""",
 )
 def url_verdict_report(spark, sf):
-    parsed, hits = blacklist_hits(spark, sf)
+    parsed = parsed_samples(spark, sf)
+    hits = blacklist_hits(spark, parsed)
     flagged = rules.with_blacklist_flag(
         parsed.select("sample_id", F.col("names.suffix").alias("tld"), F.col("parts.scheme").alias("scheme")), hits, "sample_id"
     )
