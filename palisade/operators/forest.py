@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.storage import materialize
+
 # Forest sizes and default contamination.
 TREES = 150
 SAMPLE = 256
@@ -88,12 +90,13 @@ def tree_samples(df: DataFrame, key: str, columns: Sequence[str], trees: int, sa
 
 @dataclass(frozen=True)
 class IsolationForest:
-    """Fitted forest: feature names, node table, sample size used, decision offset."""
+    """Fitted forest: feature names, node table, sample size used, decision offset, scores of the training rows."""
 
     columns: tuple[str, ...]
     nodes: DataFrame
     sample: int
     offset: float | None = None
+    training: DataFrame | None = None
 
     @classmethod
     def fit(
@@ -108,7 +111,8 @@ class IsolationForest:
     ) -> IsolationForest:
         """Grow the trees and set the offset to the contamination quantile of the training scores.
 
-        Every row is scored for the offset; the quantile is Spark's mergeable sketch at 1e-4 accuracy.
+        Every row is scored for the offset, and these scores are kept as ``training`` (key, anomaly, decision),
+        so nobody has to score the training rows again. The quantile is Spark's mergeable sketch at 1e-4 accuracy.
         """
         samples = tree_samples(df, key, columns, trees, sample, seed)
 
@@ -123,9 +127,10 @@ class IsolationForest:
         forest = cls(tuple(columns), nodes, int(used))
         if contamination is None:
             return forest
-        normality = forest.score(df, keep=()).select((-F.col("anomaly")).alias("s"))
-        offset = normality.agg(F.percentile_approx("s", F.lit(contamination), F.lit(10_000))).first()[0]
-        return cls(forest.columns, nodes, forest.sample, float(offset))
+        scores = materialize(forest.score(df, keep=[key]), "training-scores")
+        offset = float(scores.agg(F.percentile_approx(-F.col("anomaly"), F.lit(contamination), F.lit(10_000))).first()[0])
+        decided = scores.withColumn("decision", -F.col("anomaly") - F.lit(offset))
+        return cls(forest.columns, nodes, forest.sample, offset, decided)
 
     def score(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
         """Adds ``anomaly`` in (0, 1], and ``decision`` (negative for anomalies) once an offset is known.

@@ -96,7 +96,11 @@ def mean_score(scored: DataFrame, score: str = "decision") -> DataFrame:
 
 
 def counted(df: DataFrame, reasons: Column) -> tuple[DataFrame, Observation]:
-    """The same rows with counters of saved and skipped rows that fill in when the rows are written."""
+    """The same rows with counters of saved and skipped rows that fill in when the rows are written.
+
+    Give the rows a session of their own (``newSession``) when the application also scores with ML models:
+    Spark cannot serialize a model's closure once its session has observed something.
+    """
     seen = Observation()
     watched = df.observe(
         seen, F.count_if(F.size(reasons) == 0).alias("saved"), F.count_if(F.size(reasons) > 0).alias("skipped")

@@ -98,7 +98,7 @@ def flow_anomalies(spark, sf):
     selected, _ = features.select_features(flows)
     scaled = features.scale(flows, features.robust_parameters(flows, selected))
     forest = IsolationForest.fit(scaled, "flow_id", selected)
-    return forest.score(scaled, keep=["flow_id"]).filter(F.col("decision") < 0)
+    return forest.training.select("flow_id", "anomaly", "decision").filter(F.col("decision") < 0)
 
 
 @query("poisoning_signal")

@@ -61,8 +61,14 @@ def record_quarantine(spark, sf):
     f"WITH {_CHECKED} SELECT count(*) FILTER (WHERE reasons = '') AS saved, count(*) FILTER (WHERE reasons <> '') AS skipped FROM reasoned",
 )
 def saved_and_skipped(spark, sf):
-    """The counters come from an observation that fills in while the valid rows are written."""
-    checked = validation.validate_records(raw_records(spark, sf))
+    """The counters come from an observation that fills in while the valid rows are written.
+
+    It has a session of its own: once a session has observed something, ML models of that session can no
+    longer ship their closures (the observation manager is not serializable).
+    """
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.session.timeZone", "UTC")
+    checked = validation.validate_records(raw_records(apart, sf))
     watched, seen = reports.counted(checked, F.col("reasons"))
     validation.valid_records(watched).write.format("noop").mode("overwrite").save()
     counts = seen.get
