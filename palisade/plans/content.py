@@ -13,7 +13,12 @@ from palisade.plans.registry import query
 
 _PHONE = fx.literal(tx.PHONE)
 _SSN = fx.literal(tx.SOCIAL_SECURITY)
-KEY = F.lit(b"0123456789abcdef0123456789abcdef")  # demonstration key; jobs take theirs from the caller
+
+
+def demo_key():
+    """A key for the checks; jobs take theirs from the caller."""
+    return F.lit(b"0123456789abcdef0123456789abcdef")
+
 
 
 def texts(spark, sf):
@@ -108,18 +113,18 @@ def token_sequences(spark, sf):
 )
 def field_encryption(spark, sf):
     documents = fx.table(spark, sf, "documents").select("doc_id", "text", "source", F.col("text").alias("plain"), F.col("source").alias("plain_source"))
-    hidden = tx.encrypt_fields(documents, ["text", "source", "absent"], KEY)
+    hidden = tx.encrypt_fields(documents, ["text", "source", "absent"], demo_key())
     hidden = hidden.withColumns({"text_hidden": F.col("text") != F.col("plain"), "source_hidden": F.col("source") != F.col("plain_source")})
-    shown = tx.decrypt_fields(hidden, ["text", "source"], KEY)
+    shown = tx.decrypt_fields(hidden, ["text", "source"], demo_key())
     return shown.select("doc_id", F.sha2("text", 256).alias("recovered_hash"), F.col("source").alias("recovered_source"), "text_hidden", "source_hidden")
 
 
 @query("tamper_detection", "SELECT doc_id, true AS rejected FROM documents")
 def tamper_detection(spark, sf):
-    documents = fx.table(spark, sf, "documents").select("doc_id", tx.encrypt_text(F.col("text"), KEY).alias("cipher"))
+    documents = fx.table(spark, sf, "documents").select("doc_id", tx.encrypt_text(F.col("text"), demo_key()).alias("cipher"))
     tail = F.when(F.substring("cipher", -10, 10) == "xxxxxxxxxx", "yyyyyyyyyy").otherwise("xxxxxxxxxx")
     broken = F.concat(F.substring("cipher", F.lit(1), F.length("cipher") - 10), tail)
-    return documents.select("doc_id", tx.decrypt_text(broken, KEY).isNull().alias("rejected"))
+    return documents.select("doc_id", tx.decrypt_text(broken, demo_key()).isNull().alias("rejected"))
 
 
 @query(

@@ -13,7 +13,13 @@ from palisade.plans.registry import query
 from palisade.storage import materialize
 from palisade.sources import intel as sources
 
-REFERENCE = F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
+def reference_time():
+    """The moment ages are counted to, just after the newest event."""
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
 _INDICATORS = fx.cte("indicators", fx.INDICATOR_COLUMNS, fx.INDICATORS)
 _BEST = """best AS (SELECT value, max_by(threat_type, (confidence, threat_type)) AS threat_type, CAST(max(confidence) AS DOUBLE) AS confidence
   FROM indicators GROUP BY value)"""
@@ -187,7 +193,7 @@ def registrations(parsed):
 )
 def registration_age(spark, sf):
     parsed = urls.with_url_parts(fx.samples(spark, sf)).withColumn("registered_domain", F.col("names.registered_domain"))
-    found = en.registration_age(parsed, "registered_domain", registrations(parsed), REFERENCE)
+    found = en.registration_age(parsed, "registered_domain", registrations(parsed), reference_time())
     differs = F.coalesce(F.col("registrar") != "Registrar A", F.lit(True))
     return found.select("sample_id", "age_days", "registrar", "young_domain", differs.alias("registrar_differs"))
 
@@ -297,7 +303,7 @@ def certificates(parsed):
 )
 def certificate_facts(spark, sf):
     parsed = urls.with_url_parts(fx.samples(spark, sf)).withColumn("host", F.col("parts.host"))
-    found = en.certificate_facts(parsed, "host", certificates(parsed), REFERENCE)
+    found = en.certificate_facts(parsed, "host", certificates(parsed), reference_time())
     return found.select("sample_id", "cert_valid", "self_signed", "key_size", "subject_mismatch").fillna(False).fillna(-1, ["key_size"])
 
 
@@ -399,9 +405,9 @@ def url_intelligence_table(spark, sf):
     records, blocked = dns_records(parsed)
     checked = rules.with_blacklist_flag(parsed, hits, "sample_id")
     checked = en.safe_browsing(checked, "url", browsing_entries(spark, sf))
-    checked = en.registration_age(checked, "registered_domain", registrations(parsed), REFERENCE)
+    checked = en.registration_age(checked, "registered_domain", registrations(parsed), reference_time())
     checked = en.dns_facts(checked, "registered_domain", records, blocked)
-    checked = en.certificate_facts(checked, "host", certificates(parsed), REFERENCE)
+    checked = en.certificate_facts(checked, "host", certificates(parsed), reference_time())
     return en.url_intelligence(checked, ["sample_id", "url"])
 
 

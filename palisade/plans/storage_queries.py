@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palisade.functions import text as tx
 from palisade.operators import enrichment, validation
 from palisade.plans import fixtures as fx
-from palisade.plans.content import KEY
+from palisade.plans.content import demo_key
 from palisade.plans.intel import IOC_SQL, enriched_iocs
 from palisade.plans.registry import query
 from palisade.operators import threats
@@ -176,8 +176,8 @@ def audit_digests(spark, sf):
 def encrypted_predictions(spark, sf):
     results = fx.table(spark, sf, "pages").select(F.sha2("url", 256).alias("url_hash"), (F.length("html") > 3000).alias("prediction"))
     path = scratch_path(spark, "predictions")
-    sinks.encrypted_rows(results, KEY).write.text(path)
-    plain = tx.decrypt_text(F.col("value"), KEY)
+    sinks.encrypted_rows(results, demo_key()).write.text(path)
+    plain = tx.decrypt_text(F.col("value"), demo_key())
     return spark.read.text(path).select(F.from_json(plain, "url_hash string, prediction boolean").alias("r")).select("r.*")
 
 
@@ -320,8 +320,8 @@ def ingested_files(spark, sf):
     traffic_files(spark, sf).write.csv(f"{base}/log.csv", header=True)
     good = validation.valid_records(validation.validate_records(traffic.read_traffic(spark, f"{base}/log.csv")))
     enriched = enrichment.enrich_traffic(good, fx.indicators(spark))
-    sinks.save_records(tx.encrypt_fields(enriched, ["src_ip"], KEY), f"{base}/log.parquet")
-    plain = tx.decrypt_fields(spark.read.parquet(f"{base}/log.parquet"), ["src_ip"], KEY)
+    sinks.save_records(tx.encrypt_fields(enriched, ["src_ip"], demo_key()), f"{base}/log.parquet")
+    plain = tx.decrypt_fields(spark.read.parquet(f"{base}/log.parquet"), ["src_ip"], demo_key())
     return plain.groupBy("src_ip", F.coalesce("threat_type", F.lit("")).alias("threat_type")).agg(
         F.count(F.lit(1)).alias("records"), F.sum("length").alias("bytes")
     )
