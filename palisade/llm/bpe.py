@@ -79,7 +79,7 @@ class Vocabulary:
         return tuple(chain.from_iterable(self.fragments[data[a:b]] for a, b in zip(edges, edges[1:])))
 
     def merge_fragment(self, data: bytes) -> tuple[int, ...]:
-        return tuple([t.id for t in self.merge(data.decode("latin-1").translate(self.letter_of))])
+        return tuple([t.id for t in self.merge(data.decode("latin-1").translate(self.letter_of))])  # a letter per byte
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + chunk))))

@@ -48,16 +48,19 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``(id, fp)``: the fingerprint of every row's whole text as a signed 64-bit number. Null text counts as empty."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, extra: Column | None = None
+) -> DataFrame:
+    """``(id, extra, fp)``: the fingerprint of every row's whole text as a signed 64-bit number. Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width, seed) for t in texts(batch["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["extra"], pa.array(found)], ["id", "extra", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long")
+    kept = F.lit(0).cast("long") if extra is None else extra.cast("long")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), kept.alias("extra"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(run, "id long, extra long, fp long")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -179,13 +182,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns, whatever their names, are ignored. Equal fingerprints are collapsed before anything is compared.
     """
     found = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = found.groupBy("fp").agg(F.min("id").alias("first_id"))
-    nodes = connected_components(links(classes.select("fp"), radius))
-    rooted = classes.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(found.groupBy("fp").agg(F.min("id").alias("first_id")), radius)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
     return found.join(rooted.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """``(fp, first_id, root)`` of classes of equal fingerprints; root is the smallest fingerprint of the component."""
+    nodes = connected_components(links(classes.select("fp"), radius))
+    return classes.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of each group of near-duplicates, with the columns of ``docs`` as they are.
+
+    A row is known by its id and a hash of its text. If the smallest id has several texts, the smallest hash stays; of rows
+    that repeat both, one stays. Groups without any id keep the row with the smallest hash.
+    """
+    spare = [f"{_unused(docs.columns)}{k}" for k in range(2)]
+    found = materialize(fingerprints(docs, id_col, text_col, extra=F.xxhash64(text_col)), "fingerprints")
+    classes = found.groupBy("fp").agg(F.min(_row_order()).alias("first"))
+    rooted = _rooted(classes.select("fp", F.col("first").alias("first_id")), 3)
+    chosen = rooted.groupBy("root").agg(F.min("first_id").alias("r")).select(F.col("r.id").alias(spare[0]), F.col("r.extra").alias(spare[1]))
+    copies = found.groupBy("id", "extra").agg(F.count(F.lit(1)).alias("n"))
+    keyed = chosen.join(copies, F.col(spare[0]).eqNullSafe(F.col("id")) & (F.col(spare[1]) == F.col("extra"))).select(*spare, "n")
+    marked = docs.withColumns({spare[0]: F.col(id_col).cast("long"), spare[1]: F.xxhash64(text_col)})
+    a, b = marked.alias("a"), keyed.withColumnsRenamed({spare[0]: f"{spare[0]}k", spare[1]: f"{spare[1]}k"}).alias("b")
+    match = F.col(f"a.{spare[0]}").eqNullSafe(F.col(f"b.{spare[0]}k")) & (F.col(f"a.{spare[1]}") == F.col(f"b.{spare[1]}k"))
+    once = a.join(b.where("n = 1"), match, "left_semi").select(*[F.col(f"a.`{c}`") for c in docs.columns])
+    again = a.join(b.where("n > 1"), match, "left_semi")
+    return once.union(again.dropDuplicates(spare).select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _row_order() -> Column:
+    """Orders rows by id, null last, then by the hash of the text."""
+    return F.struct(F.col("id").isNull().alias("missing"), F.col("id"), F.col("extra"))
+
+
+def _unused(names: list[str]) -> str:
+    """A prefix that no column name starts with."""
+    prefix = "row_"
+    while any(n.lower().startswith(prefix) for n in names):
+        prefix = "_" + prefix
+    return prefix
+
+
 def hexadecimal(column: str) -> Column:
     """16 lower-case hexadecimal digits of a signed 64-bit number."""
     return F.lpad(F.lower(F.hex(column)), 16, "0")

@@ -1 +1,285 @@
+"""Document classifier from weak labels: label model by expectation-maximisation, then a hashed linear scorer.
 
+Two properties are learned, low quality and toxicity. For each, overlapping heuristics vote bad, good or abstain; a table
+of human labels, where there is one, is one more voter. The label model estimates each voter's accuracy on either class, and
+the share of bad documents, from the counts of vote patterns over all documents: at most three to the number of voters, so
+the whole corpus takes part and only these counts reach the driver. The posterior of a document's pattern is its soft label.
+A linear scorer over hashed words is trained on a bounded sample of soft labels and then scores every document.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palisade.llm.batches import texts
+from palisade.llm.registry import query
+
+ABSTAIN, GOOD, BAD = 0, 1, 2
+SLOTS = 1 << 20  # hashed features of the scorer
+SAMPLE = 20_000  # documents that the scorer is trained on, about; a hash of the id chooses them
+LEAST_SEEN = 5  # documents of the sample that must hold a feature
+PUNCTUATION = ".,;:!?\"'()[]{}<>|#*$%&-_/\\"
+SYMBOLS = re.compile(r"[#*$%&|<>]")
+
+# General insults; word lists of the heuristics, not taken from any data set.
+INTELLECT = ("idiot", "moron", "stupid", "imbecile", "dimwit", "dumb", "fool", "halfwit", "clown", "brainless")
+WORTH = ("scum", "trash", "worthless", "pathetic", "loser", "vermin", "filth", "disgusting", "garbage", "parasite", "subhuman")
+
+QUALITY_VOTERS = ("symbols", "repetition", "capitals", "exclamations", "line copies", "length", "human")
+TOXIC_VOTERS = ("intellect", "worth", "several insults", "no insult", "human")
+
+
+def _vote(bad: bool, good: bool) -> int:
+    return BAD if bad else GOOD if good else ABSTAIN
+
+
+def _matcher(words: tuple[str, ...]):
+    pattern = re.compile(rf"(?<!\w)(?:{'|'.join(words)})s?(?!\w)")
+    return lambda lower: pattern.findall(lower) if any(w in lower for w in words) else []
+
+
+_INTELLECT, _WORTH = _matcher(INTELLECT), _matcher(WORTH)
+
+
+@dataclass
+class Signals:
+    """What the heuristics say of a text, and its hashed features."""
+
+    quality: int  # votes as digits of base three, the first voter lowest
+    toxic: int
+    shape: list[str]
+    words: set[str]
+
+
+def signals(text: str) -> Signals:
+    """Votes and features of one whole text."""
+    lower = text.lower()
+    words = lower.split()
+    n = len(words)
+    symbols = len(SYMBOLS.findall(text)) / max(n, 1)
+    if len(lower) == len(text):
+        changed = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) != np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+        capitals = np.count_nonzero(changed) / max(1, len(text) - text.count(" "))
+    else:
+        capitals = sum(map(str.isupper, text)) / max(1, len(text) - text.count(" "))
+    loud = text.count("!") / max(n, 1)
+    distinct = set(words)
+    same = sum(a == b for a, b in zip(words, words[1:])) / max(n, 1)
+    lines = [line for line in text.split("\n") if line.strip()]
+    copies = 1 - len(set(lines)) / len(lines) if lines else 0.0
+    first, second = _INTELLECT(lower), _WORTH(lower)
+    insults = len(first) + len(second)
+    quality = (
+        _vote(symbols > 0.3, symbols < 0.05),
+        _vote(same > 0.2, same < 0.05),
+        _vote(capitals > 0.5, capitals < 0.2),
+        _vote(loud > 0.2, loud < 0.05),
+        _vote(copies > 0.3, copies < 0.1),
+        _vote(n < 3, n >= 50),
+    )
+    toxic = (_vote(bool(first), False), _vote(bool(second), False), _vote(insults > 1, False), _vote(False, not insults and n >= 5))
+    shape = [f"\n{name} {min(5, int(10 * value))}" for name, value in (("symbols", symbols), ("capitals", capitals), ("loud", loud), ("same", same), ("copies", copies))]
+    return Signals(_digits(quality), _digits(toxic), [*shape, f"\nlength {min(n, 3)}"], distinct)
+
+
+def _digits(votes: tuple[int, ...]) -> int:
+    return sum(vote * 3**place for place, vote in enumerate(votes))
+
+
+def features(found: Signals) -> np.ndarray:
+    """Distinct slots of a text's words, without punctuation around them, and of its shape."""
+    stripped = {w.strip(PUNCTUATION) for w in found.words}
+    stripped.discard("")
+    names = [*stripped, *found.shape]
+    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS for w in names), np.int32, len(names)))
+
+
+@dataclass
+class LabelModel:
+    """Share of bad documents, and the accuracies of each voter when it votes: on bad and on good documents."""
+
+    share: float
+    on_bad: np.ndarray
+    on_good: np.ndarray
+
+    def posterior(self, pattern: int) -> float:
+        """Probability that a document with these votes is bad."""
+        odds = np.log(self.share) - np.log1p(-self.share)
+        for right_bad, right_good in zip(self.on_bad, self.on_good):
+            pattern, vote = divmod(pattern, 3)
+            if vote == BAD:
+                odds += np.log(right_bad) - np.log1p(-right_good)
+            elif vote == GOOD:
+                odds += np.log1p(-right_bad) - np.log(right_good)
+        return float(1 / (1 + np.exp(-odds)))
+
+
+def label_model(counts: dict[int, int], voters: int, rounds: int = 100, weight: float = 20.0) -> LabelModel:
+    """Expectation-maximisation over counts of vote patterns.
+
+    Voters are taken as independent given the class, abstaining as saying nothing. Each estimate carries ``weight`` made-up
+    votes in favour of a voter that is better than chance, so a class that nobody saw doesn't turn the voters round.
+    """
+    patterns = np.array(sorted(counts), np.int64)
+    numbers = np.array([counts[p] for p in patterns], float)
+    votes = patterns[:, None] // 3 ** np.arange(voters) % 3 if len(patterns) else np.zeros((0, voters), int)
+    said_bad, said_good = votes == BAD, votes == GOOD
+    model = LabelModel(0.1, np.full(voters, 0.8), np.full(voters, 0.95))
+    for _ in range(rounds):
+        odds = np.log(model.share) - np.log1p(-model.share)
+        odds = odds + said_bad @ (np.log(model.on_bad) - np.log1p(-model.on_good)) + said_good @ (np.log1p(-model.on_bad) - np.log(model.on_good))
+        bad = numbers / (1 + np.exp(-np.clip(odds, -500, 500)))
+        good = numbers - bad
+        before = model
+        model = LabelModel(
+            (bad.sum() + 0.1 * weight) / (numbers.sum() + weight),
+            (bad @ said_bad + 0.8 * weight) / (bad @ (said_bad | said_good) + weight),
+            (good @ said_good + 0.95 * weight) / (good @ (said_bad | said_good) + weight),
+        )
+        if abs(model.share - before.share) + np.abs(model.on_bad - before.on_bad).sum() + np.abs(model.on_good - before.on_good).sum() < 1e-9:
+            break
+    return model
+
+
+def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 150, rate: float = 0.5, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights of all slots and the intercept: logistic regression on soft labels by AdaGrad over the whole sample."""
+    weights = np.zeros(SLOTS)
+    if not rows:
+        return weights, -5.0
+    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+    common = np.bincount(flat, minlength=SLOTS) >= LEAST_SEEN
+    owner = np.repeat(np.arange(len(rows)), sizes)[common[flat]]
+    kept, place = np.unique(flat[common[flat]], return_inverse=True)
+    w, bias = np.zeros(len(kept)), -2.0
+    seen, seen_bias = np.full(len(kept), 1e-8), 1e-8
+    for _ in range(rounds):
+        score = np.bincount(owner, w[place], len(rows)) + bias
+        error = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - targets) / len(rows)
+        slope = np.bincount(place, error[owner], len(kept)) + penalty * w
+        seen += slope**2
+        seen_bias += error.sum() ** 2
+        w -= rate * slope / np.sqrt(seen)
+        bias -= rate * error.sum() / np.sqrt(seen_bias)
+    weights[kept] = w
+    return weights, bias
+
+
+@dataclass
+class Scorer:
+    """Weights and intercepts for low quality and toxicity, and the label models behind them."""
+
+    weights: np.ndarray  # float32, two rows
+    bias: np.ndarray
+    quality: LabelModel
+    toxic: LabelModel
+
+    def score(self, text: str) -> tuple[float, float]:
+        slots = features(signals(text))
+        odds = self.weights[:, slots].sum(axis=1, dtype=float) + self.bias
+        low, toxic = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        return float(low), float(toxic)
+
+
+def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
+    """Label models from the votes on all of ``docs``, scorer from about ``sample`` of them.
+
+    ``labels`` (doc_id, quality, toxic: 1 or 0) may cover some documents; of repeated labels the worst counts, null says
+    nothing. Null text is an empty text, documents with a null id have no human label. Without documents the scorer keeps all.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    human = _human(labels) if labels is not None else docs.sparkSession.createDataFrame([], "id long, human_quality int, human_toxic int")
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signals(t) for t in texts(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([s.quality for s in found], pa.int32()), pa.array([s.toxic for s in found], pa.int32())], ["id", "quality", "toxic"])
+
+    votes = _with_human(base.mapInArrow(vote, "id long, quality int, toxic int"), human)
+    counts = votes.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # vote patterns: a number that no corpus exceeds
+    by_quality: dict[int, int] = {}
+    by_toxic: dict[int, int] = {}
+    for row in counts:
+        by_quality[row["quality"]] = by_quality.get(row["quality"], 0) + row["n"]
+        by_toxic[row["toxic"]] = by_toxic.get(row["toxic"], 0) + row["n"]
+    quality, toxic = label_model(by_quality, len(QUALITY_VOTERS)), label_model(by_toxic, len(TOXIC_VOTERS))
+    total = sum(row["n"] for row in counts)
+    share = min(1.0, sample / max(total, 1))
+    chosen = base.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signals(t) for t in texts(batch["text"])]
+            columns = [batch["id"], pa.array([s.quality for s in found], pa.int32()), pa.array([s.toxic for s in found], pa.int32()), pa.array([features(s) for s in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "quality", "toxic", "slots"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: list[np.ndarray] = []
+        targets: list[tuple[float, float]] = []
+        for batch in batches:
+            slots += [np.array(s, np.int32) for s in batch["slots"].to_pylist()]
+            targets += [(quality.posterior(q), toxic.posterior(t)) for q, t in zip(batch["quality"].to_pylist(), batch["toxic"].to_pylist())]
+        goals = np.array(targets).reshape(-1, 2)
+        for head in range(2):
+            weights, bias = fit_scorer(slots, goals[:, head])
+            yield pa.RecordBatch.from_arrays([pa.array([head]), pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], ["head", "weights", "bias"])
+
+    sampled = _with_human(chosen.mapInArrow(featured, "id long, quality int, toxic int, slots array<int>"), human, "slots")
+    heads = sorted(sampled.coalesce(1).mapInArrow(train, "head long, weights binary, bias double").collect())
+    if not heads:
+        return Scorer(np.zeros((2, SLOTS), np.float32), np.full(2, -5.0), quality, toxic)
+    return Scorer(np.stack([np.frombuffer(h["weights"], "<f4") for h in heads]), np.array([h["bias"] for h in heads]), quality, toxic)
+
+
+def _human(labels: DataFrame) -> DataFrame:
+    worst = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    return worst.select(
+        "id",
+        F.when(F.col("q").isNull(), ABSTAIN).when(F.col("q") == 0, BAD).otherwise(GOOD).alias("human_quality"),
+        F.when(F.col("t").isNull(), ABSTAIN).when(F.col("t") == 0, GOOD).otherwise(BAD).alias("human_toxic"),
+    )
+
+
+def _with_human(votes: DataFrame, human: DataFrame, *more: str) -> DataFrame:
+    def last(votes_col: str, voters: tuple[str, ...]) -> Column:
+        return (F.col(votes_col) + F.coalesce(f"human_{votes_col}", F.lit(ABSTAIN)) * 3 ** (len(voters) - 1)).cast("int").alias(votes_col)
+
+    return votes.join(human, "id", "left").select(last("quality", QUALITY_VOTERS), last("toxic", TOXIC_VOTERS), *more)
+
+
+def score_column(spark: SparkSession, scorer: Scorer, text: Column) -> Column:
+    """Struct ``(low_quality, toxic)`` of probabilities for a text column; the weights have a fixed size and are broadcast."""
+    shared = spark.sparkContext.broadcast(scorer)
+
+    @F.arrow_udf("low_quality double, toxic double")
+    def score(column: pa.Array) -> pa.Array:
+        found = np.array([shared.value.score(t) for t in texts(column)]).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["low_quality", "toxic"])
+
+    return score(text)
+
+
+def classify(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, low_quality, toxic, kept)`` of every row of ``docs``; kept where neither probability reaches one half."""
+    scored = docs.select(F.col(id_col).alias("id"), score_column(docs.sparkSession, scorer, F.col(text_col)).alias("s"))
+    return scored.select("id", "s.low_quality", "s.toxic", ((F.col("s.low_quality") < 0.5) & (F.col("s.toxic") < 0.5)).alias("kept"))
+
+
+def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that the scorer keeps, with the columns of ``docs`` as they are."""
+    s = score_column(docs.sparkSession, scorer, F.col(text_col))
+    return docs.where(F.greatest(s["low_quality"], s["toxic"]) < 0.5)
+
+
+@query("op9_weak_label_scorer")
+def op9_weak_label_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = classify(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.withColumnRenamed("id", "doc_id")

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from struct import pack
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -26,15 +26,17 @@ class WordEncoder:
         tokenizer = Tokenizer.from_file(path)
         self.merge = tokenizer.model.tokenize
         self.letter_of = {b: c for c, b in byte_letters().items()}
-        self.special = {t.content: np.uint32(i).tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.special = {t.content: pack("<I", i) for i, t in tokenizer.get_added_tokens_decoder().items()}
         marks = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.stops, self.markers = regex.compile(marks).split, regex.compile(marks).findall
         self.split = regex.compile(WORDS).findall
         self.words, self.chunks = Known(self._word), Known(self._chunk)
 
     def _word(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letter_of)
-        return np.array([t.id for t in self.merge(letters)], "<u4").tobytes()
+        plain = word.isascii() and word.isprintable()  # such letters stand for themselves
+        letters = word if plain else word.encode().decode("latin-1").translate(self.letter_of)
+        ids = [t.id for t in self.merge(letters)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         chunk = unicodedata.normalize("NFC", chunk)
