@@ -32,7 +32,7 @@ RULES = (
     Rule("too_few_words", lambda m: m["n_words"] < 10),
     Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
     Rule("many_symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
-    Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    Rule("repeated_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     Rule("shouting", lambda m: 2 * m["n_upper"] > m["n_letters"]),
     Rule("few_letters", lambda m: 2 * m["n_letters"] < m["word_chars"]),
     Rule("long_words", lambda m: m["word_chars"] > 25 * m["n_words"]),
@@ -167,7 +167,7 @@ def ablations(ledger_rows: DataFrame, policies: dict[str, tuple[str, ...]] = POL
 
 def keep_good(docs: DataFrame, text_col: str = "text", version: str = "v2") -> DataFrame:
     """Rows of ``docs`` that the policy keeps, with the columns of ``docs`` as they are."""
-    failed = _bind(measurements(F.col(text_col)), failure_bits)
+    failed = _bind(measurements(F.col(text_col)), lambda m: failure_bits(m))
     return docs.where(failed.bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
 
 
@@ -190,7 +190,7 @@ covered AS (
   FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id
 ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines OR 2 * n_upper > n_letters OR 2 * n_letters < word_chars
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR 2 * n_upper > n_letters OR 2 * n_letters < word_chars
     OR word_chars > 25 * n_words OR 5 * n_exclamations > n_words) AS kept
 FROM b
 """

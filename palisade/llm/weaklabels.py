@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from palisade.llm.registry import query
 ABSTAIN, GOOD, BAD = 0, 1, 2
 SLOTS = 1 << 20  # hashed features of the scorer
 SAMPLE = 20_000  # documents that the scorer is trained on, about; a hash of the id chooses them
+TRUST = 0.99  # probability that a human label is right
 LEAST_SEEN = 5  # documents of the sample that must hold a feature
+STEMS = (4, 5)  # letters of a word's beginning that count as a feature, so that inflected forms are known
 PUNCTUATION = ".,;:!?\"'()[]{}<>|#*$%&-_/\\"
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -43,7 +46,14 @@ def _vote(bad: bool, good: bool) -> int:
 
 def _matcher(words: tuple[str, ...]):
     pattern = re.compile(rf"(?<!\w)(?:{'|'.join(words)})s?(?!\w)")
-    return lambda lower: pattern.findall(lower) if any(w in lower for w in words) else []
+
+    def find(lower: str) -> list[str]:
+        for word in words:
+            if word in lower:
+                return pattern.findall(lower)
+        return []
+
+    return find
 
 
 _INTELLECT, _WORTH = _matcher(INTELLECT), _matcher(WORTH)
@@ -72,7 +82,7 @@ def signals(text: str) -> Signals:
         capitals = sum(map(str.isupper, text)) / max(1, len(text) - text.count(" "))
     loud = text.count("!") / max(n, 1)
     distinct = set(words)
-    same = sum(a == b for a, b in zip(words, words[1:])) / max(n, 1)
+    same = sum(map(eq, words, words[1:])) / max(n, 1)
     lines = [line for line in text.split("\n") if line.strip()]
     copies = 1 - len(set(lines)) / len(lines) if lines else 0.0
     first, second = _INTELLECT(lower), _WORTH(lower)
@@ -95,79 +105,95 @@ def _digits(votes: tuple[int, ...]) -> int:
 
 
 def features(found: Signals) -> np.ndarray:
-    """Distinct slots of a text's words, without punctuation around them, and of its shape."""
+    """Distinct slots of a text's words without punctuation around them, of their first letters, and of its shape."""
     stripped = {w.strip(PUNCTUATION) for w in found.words}
     stripped.discard("")
-    names = [*stripped, *found.shape]
+    names = [*stripped, *{"^" + w[:k] for k in STEMS for w in stripped if len(w) > k}, *found.shape]
     return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS for w in names), np.int32, len(names)))
 
 
 @dataclass
 class LabelModel:
-    """Share of bad documents, and the accuracies of each voter when it votes: on bad and on good documents."""
+    """Share of bad documents, and how often each voter abstains, says good and says bad about good and bad documents."""
 
     share: float
-    on_bad: np.ndarray
-    on_good: np.ndarray
+    says: np.ndarray  # class (0 good, 1 bad) x voter x vote
+
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        """Log odds that a document with these votes (a row each) is bad."""
+        gain = np.log(self.says[1]) - np.log(self.says[0])
+        return np.log(self.share) - np.log1p(-self.share) + gain[np.arange(votes.shape[1]), votes].sum(axis=1)
 
     def posterior(self, pattern: int) -> float:
-        """Probability that a document with these votes is bad."""
-        odds = np.log(self.share) - np.log1p(-self.share)
-        for right_bad, right_good in zip(self.on_bad, self.on_good):
-            pattern, vote = divmod(pattern, 3)
-            if vote == BAD:
-                odds += np.log(right_bad) - np.log1p(-right_good)
-            elif vote == GOOD:
-                odds += np.log1p(-right_bad) - np.log(right_good)
-        return float(1 / (1 + np.exp(-odds)))
-
-
-def label_model(counts: dict[int, int], voters: int, rounds: int = 100, weight: float = 20.0) -> LabelModel:
+        """Probability that a document with this vote pattern is bad."""
+        return float(1 / (1 + np.exp(-np.clip(self.odds(_votes(np.array([pattern]), self.says.shape[1])), -500, 500)))[0])
+
+
+def _votes(patterns: np.ndarray, voters: int) -> np.ndarray:
+    return patterns[:, None] // 3 ** np.arange(voters) % 3
+
+
+def label_model(counts: dict[int, int], voters: int, rounds: int = 200, weight: float = 20.0, trusted: float | None = TRUST) -> LabelModel:
     """Expectation-maximisation over counts of vote patterns.
 
-    Voters are taken as independent given the class, abstaining as saying nothing. Each estimate carries ``weight`` made-up
-    votes in favour of a voter that is better than chance, so a class that nobody saw doesn't turn the voters round.
+    Votes are taken as independent given the class; abstaining is a vote like the others, as some voters only ever speak
+    up for one class. Each estimate carries ``weight`` made-up votes in favour of a voter that is better than chance, so that
+    a class nobody saw doesn't turn the voters round. The last voter is the human one: what it says is right with the given
+    probability ``trusted`` (None: estimated as the others), and whether it speaks tells nothing.
     """
     patterns = np.array(sorted(counts), np.int64)
     numbers = np.array([counts[p] for p in patterns], float)
-    votes = patterns[:, None] // 3 ** np.arange(voters) % 3 if len(patterns) else np.zeros((0, voters), int)
-    said_bad, said_good = votes == BAD, votes == GOOD
-    model = LabelModel(0.1, np.full(voters, 0.8), np.full(voters, 0.95))
+    votes = _votes(patterns, voters)
+    cast = np.stack([votes == v for v in (ABSTAIN, GOOD, BAD)], axis=2).astype(float)  # pattern x voter x vote
+    prior = np.array([[0.5, 0.45, 0.05], [0.5, 0.05, 0.45]])[:, None, :].repeat(voters, axis=1)
+    model = LabelModel(0.1, prior)
     for _ in range(rounds):
-        odds = np.log(model.share) - np.log1p(-model.share)
-        odds = odds + said_bad @ (np.log(model.on_bad) - np.log1p(-model.on_good)) + said_good @ (np.log1p(-model.on_bad) - np.log(model.on_good))
-        bad = numbers / (1 + np.exp(-np.clip(odds, -500, 500)))
-        good = numbers - bad
-        before = model
-        model = LabelModel(
-            (bad.sum() + 0.1 * weight) / (numbers.sum() + weight),
-            (bad @ said_bad + 0.8 * weight) / (bad @ (said_bad | said_good) + weight),
-            (good @ said_good + 0.95 * weight) / (good @ (said_bad | said_good) + weight),
-        )
-        if abs(model.share - before.share) + np.abs(model.on_bad - before.on_bad).sum() + np.abs(model.on_good - before.on_good).sum() < 1e-9:
+        bad = numbers / (1 + np.exp(-np.clip(model.odds(votes), -500, 500)))
+        weights = np.stack([numbers - bad, bad])
+        says = (np.einsum("cp,pvk->cvk", weights, cast) + weight * prior) / (weights.sum(axis=1)[:, None, None] + weight)
+        if trusted is not None:
+            silent = (numbers @ cast[:, -1, ABSTAIN] + weight / 2) / (numbers.sum() + weight)
+            for kind, right in ((0, GOOD), (1, BAD)):
+                says[kind, -1] = (1 - silent) * (1 - trusted)
+                says[kind, -1, right] = (1 - silent) * trusted
+                says[kind, -1, ABSTAIN] = silent
+        share = (bad.sum() + 0.1 * weight) / (numbers.sum() + weight)
+        still = abs(share - model.share) + np.abs(says - model.says).max() < 1e-9
+        model = LabelModel(share, says)
+        if still:
             break
     return model
 
 
-def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 150, rate: float = 0.5, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights of all slots and the intercept: logistic regression on soft labels by AdaGrad over the whole sample."""
+def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 400, rate: float = 0.5, clear: float = 5.0) -> tuple[np.ndarray, float]:
+    """Weights of all slots and the intercept: logistic regression on soft labels over the whole sample.
+
+    Only features whose share of bad documents differs from the overall share by ``clear`` standard errors take part, so
+    that words of little evidence weigh nothing however many of them a long document holds. AdaGrad steps with shrinkage.
+    """
     weights = np.zeros(SLOTS)
     if not rows:
         return weights, -5.0
-    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    common = np.bincount(flat, minlength=SLOTS) >= LEAST_SEEN
-    owner = np.repeat(np.arange(len(rows)), sizes)[common[flat]]
-    kept, place = np.unique(flat[common[flat]], return_inverse=True)
-    w, bias = np.zeros(len(kept)), -2.0
-    seen, seen_bias = np.full(len(kept), 1e-8), 1e-8
+    n, share = len(rows), targets.mean()
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+    seen = np.bincount(flat, minlength=SLOTS)
+    excess = np.bincount(flat, (targets - share)[owner], SLOTS)
+    chosen = (seen >= LEAST_SEEN) & (np.abs(excess) > clear * np.sqrt(np.maximum(seen, 1) * max(share * (1 - share), 1 / n)))
+    used = chosen[flat]
+    kept, place = np.unique(flat[used], return_inverse=True)
+    owner = owner[used]
+    w, bias = np.zeros(len(kept)), np.log(max(share, 1 / n)) - np.log(max(1 - share, 1 / n))
+    squares, bias_square = np.full(len(kept), 1e-12), 1e-12
     for _ in range(rounds):
-        score = np.bincount(owner, w[place], len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - targets) / len(rows)
-        slope = np.bincount(place, error[owner], len(kept)) + penalty * w
-        seen += slope**2
-        seen_bias += error.sum() ** 2
-        w -= rate * slope / np.sqrt(seen)
-        bias -= rate * error.sum() / np.sqrt(seen_bias)
+        score = np.bincount(owner, w[place], n) + bias
+        error = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - targets) / n
+        slope = np.bincount(place, error[owner], len(kept))
+        squares += slope**2
+        bias_square += error.sum() ** 2
+        step = rate / np.sqrt(squares)
+        w = w - step * slope
+        w = np.sign(w) * np.maximum(np.abs(w) - step / n, 0)
+        bias -= rate * error.sum() / np.sqrt(bias_square)
     weights[kept] = w
     return weights, bias
 
