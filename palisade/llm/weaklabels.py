@@ -38,6 +38,8 @@ WORTH = ("scum", "trash", "worthless", "pathetic", "loser", "vermin", "filth", "
 
 QUALITY_VOTERS = ("symbols", "repetition", "capitals", "exclamations", "line copies", "length", "human")
 TOXIC_VOTERS = ("intellect", "worth", "several insults", "no insult", "human")
+NO_INSULT = TOXIC_VOTERS.index("no insult")
+SILENT = 0.1  # what a document counts in training for toxicity if nothing but the lack of known insults speaks about it
 
 
 def _vote(bad: bool, good: bool) -> int:
@@ -122,6 +124,7 @@ class LabelModel:
     def odds(self, votes: np.ndarray) -> np.ndarray:
         """Log odds that a document with these votes (a row each) is bad."""
         gain = np.log(self.says[1]) - np.log(self.says[0])
+        gain[:, ABSTAIN] = 0  # silence says nothing: voters that look at the same words fall silent together
         return np.log(self.share) - np.log1p(-self.share) + gain[np.arange(votes.shape[1]), votes].sum(axis=1)
 
     def posterior(self, pattern: int) -> float:
@@ -136,8 +139,8 @@ def _votes(patterns: np.ndarray, voters: int) -> np.ndarray:
 def label_model(counts: dict[int, int], voters: int, rounds: int = 200, weight: float = 20.0, trusted: float | None = TRUST) -> LabelModel:
     """Expectation-maximisation over counts of vote patterns.
 
-    Votes are taken as independent given the class; abstaining is a vote like the others, as some voters only ever speak
-    up for one class. Each estimate carries ``weight`` made-up votes in favour of a voter that is better than chance, so that
+    Votes are taken as independent given the class; how often a voter speaks up is estimated with what it says, as some
+    only ever speak up for one class. Each estimate carries ``weight`` made-up votes in favour of a voter that is better than chance, so that
     a class nobody saw doesn't turn the voters round. The last voter is the human one: what it says is right with the given
     probability ``trusted`` (None: estimated as the others), and whether it speaks tells nothing.
     """
@@ -165,8 +168,8 @@ def label_model(counts: dict[int, int], voters: int, rounds: int = 200, weight:
     return model
 
 
-def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 400, rate: float = 0.5, clear: float = 5.0) -> tuple[np.ndarray, float]:
-    """Weights of all slots and the intercept: logistic regression on soft labels over the whole sample.
+def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, trust: np.ndarray, rounds: int = 400, rate: float = 0.5, clear: float = 5.0) -> tuple[np.ndarray, float]:
+    """Weights of all slots and the intercept: logistic regression on soft labels over the whole sample, each counted by ``trust``.
 
     Only features whose share of bad documents differs from the overall share by ``clear`` standard errors take part, so
     that words of little evidence weigh nothing however many of them a long document holds. AdaGrad steps with shrinkage.
@@ -174,10 +177,11 @@ def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 400, r
     weights = np.zeros(SLOTS)
     if not rows:
         return weights, -5.0
-    n, share = len(rows), targets.mean()
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    seen = np.bincount(flat, minlength=SLOTS)
-    excess = np.bincount(flat, (targets - share)[owner], SLOTS)
+    n = trust.sum()
+    share = (trust @ targets) / n
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    seen = np.bincount(flat, trust[owner], SLOTS)
+    excess = np.bincount(flat, (trust * (targets - share))[owner], SLOTS)
     chosen = (seen >= LEAST_SEEN) & (np.abs(excess) > clear * np.sqrt(np.maximum(seen, 1) * max(share * (1 - share), 1 / n)))
     used = chosen[flat]
     kept, place = np.unique(flat[used], return_inverse=True)
@@ -185,8 +189,8 @@ def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 400, r
     w, bias = np.zeros(len(kept)), np.log(max(share, 1 / n)) - np.log(max(1 - share, 1 / n))
     squares, bias_square = np.full(len(kept), 1e-12), 1e-12
     for _ in range(rounds):
-        score = np.bincount(owner, w[place], n) + bias
-        error = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - targets) / n
+        score = np.bincount(owner, w[place], len(rows)) + bias
+        error = trust * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - targets) / n
         slope = np.bincount(place, error[owner], len(kept))
         squares += slope**2
         bias_square += error.sum() ** 2
@@ -249,12 +253,15 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots: list[np.ndarray] = []
         targets: list[tuple[float, float]] = []
+        spoken: list[bool] = []
         for batch in batches:
             slots += [np.array(s, np.int32) for s in batch["slots"].to_pylist()]
             targets += [(quality.posterior(q), toxic.posterior(t)) for q, t in zip(batch["quality"].to_pylist(), batch["toxic"].to_pylist())]
+            spoken += [t not in (0, GOOD * 3**NO_INSULT) for t in batch["toxic"].to_pylist()]
         goals = np.array(targets).reshape(-1, 2)
-        for head in range(2):
-            weights, bias = fit_scorer(slots, goals[:, head])
+        spoken = np.array(spoken, bool)
+        for head, trust in enumerate((np.ones(len(slots)), np.where(spoken, 1.0, SILENT))):
+            weights, bias = fit_scorer(slots, goals[:, head], trust)
             yield pa.RecordBatch.from_arrays([pa.array([head]), pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], ["head", "weights", "bias"])
 
     sampled = _with_human(chosen.mapInArrow(featured, "id long, quality int, toxic int, slots array<int>"), human, "slots")
