@@ -179,17 +179,27 @@ def _duplicate_parameters() -> Column:
 
 
 def _unsigned_token() -> Column:
-    token = F.translate(F.regexp_extract(F.col("text"), JWT_HEADER, 1), "-_", "+/")
-    padded = F.concat(token, F.repeat(F.lit("="), F.pmod(-F.length(token), F.lit(4))))
-    header = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    found = F.coalesce(header.rlike(UNSIGNED_ALGORITHM), F.lit(False))
-    return F.when(F.col("text").contains("eyJ"), found).otherwise(False)
+    """Does any token of the text have a header that asks for no signature?"""
+
+    def unsigned(found: Column) -> Column:
+        token = F.translate(found, "-_", "+/")
+        padded = F.concat(token, F.repeat(F.lit("="), F.pmod(-F.length(token), F.lit(4))))
+        header = F.try_to_binary(padded, F.lit("base64")).cast("string")
+        return F.coalesce(header.rlike(UNSIGNED_ALGORITHM), F.lit(False))
+
+    tokens = F.regexp_extract_all(F.col("text"), F.lit(JWT_HEADER), F.lit(1))
+    return F.when(F.col("text").contains("eyJ"), F.exists(tokens, unsigned)).otherwise(False)
 
 
 def _impersonated(brands: Sequence[str]) -> Column:
-    """First brand inside the leet-folded host although the registered name is not the brand's."""
-    long_names = F.array(*[F.lit(b) for b in sorted(b for b in set(brands) if len(b) >= 5)])
-    inside = lambda host: F.filter(long_names, lambda b: F.contains(host, b) & (F.col("names.domain") != b))
+    """First brand inside the leet-folded host although the registered name is not the brand's.
+
+    A name of fewer than five letters counts only as a whole label or between hyphens: it is part of too many words.
+    """
+    names = F.array(*[F.lit(b) for b in sorted(set(brands))])
+    whole = lambda host, b: F.rlike(host, F.concat(F.lit("(^|[.-])"), b, F.lit("([.-]|$)")))
+    named = lambda host, b: F.when(F.length(b) >= 5, F.contains(host, b)).otherwise(F.contains(host, b) & whole(host, b))
+    inside = lambda host: F.filter(names, lambda b: named(host, b) & (F.col("names.domain") != b))
     return F.get(bound(urls.leet_folded(F.col("host")), inside), F.lit(0))
 
 
@@ -262,7 +272,8 @@ def indicator_columns(brands: Sequence[str] = BRANDS) -> dict[str, Column]:
 
 def host_header_injection(headers: Column, host: Column) -> Column:
     """The Host header names another host than the URL; false when there is none."""
-    return F.coalesce(F.lower(F.try_element_at(headers, F.lit("Host"))) != host, F.lit(False))
+    named = F.map_filter(headers, lambda name, _: F.lower(name) == "host")  # header names have no case
+    return F.coalesce(F.exists(F.map_values(named), lambda value: F.lower(value) != host), F.lit(False))
 
 
 def with_subjects(

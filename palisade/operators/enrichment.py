@@ -30,10 +30,27 @@ TRUSTED_ISSUERS = ("DigiCert Inc", "Google Trust Services", "Let's Encrypt", "Se
 _PREFIX_BITS = 16
 
 
-def lookup(df: DataFrame, key: str, snapshot: DataFrame, snapshot_key: str, columns: Mapping[str, Column]) -> DataFrame:
-    """``df`` plus derived snapshot columns; the snapshot has one row per key, misses give NULL."""
-    derived = snapshot.select(F.col(snapshot_key).alias("_key"), *[c.alias(n) for n, c in columns.items()])
-    return df.join(derived, F.col(key) == F.col("_key"), "left").drop("_key")
+def lookup(
+    df: DataFrame, key: str, snapshot: DataFrame, snapshot_key: str, columns: Mapping[str, Column], fold: bool = False
+) -> DataFrame:
+    """``df`` plus derived snapshot columns; misses give NULL, and no row of ``df`` is multiplied or lost.
+
+    Of several snapshot rows with one key the smallest counts, by the derived columns from left to right. ``fold`` compares
+    keys without regard to case. Rows without a key meet nothing: their keys are replaced by a number of their own, so
+    that they don't all travel to one partition.
+    """
+    folded = (lambda c: F.lower(c)) if fold else (lambda c: c)
+    derived = snapshot.select(folded(F.col(snapshot_key).cast("string")).alias("_key"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_found"))
+    one = derived.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_found").alias("_found"))
+    asked = folded(F.col(key).cast("string"))
+    spread = F.concat(F.lit("\x00"), F.pmod(F.hash(*_numbers(df)), F.lit(1024)).cast("string"))
+    met = df.withColumn("_asked", F.coalesce(asked, spread)).join(one, F.col("_asked") == F.col("_key"), "left")
+    return met.withColumns({n: F.col("_found")[n] for n in columns}).drop("_asked", "_key", "_found")
+
+
+def _numbers(df: DataFrame) -> list[Column]:
+    """The first few narrow columns: enough to tell rows apart without keeping wide ones in the plan."""
+    return [F.col(f"`{name}`") for name, kind in df.dtypes if kind in ("int", "bigint", "double", "timestamp", "timestamp_ntz")][:3] or [F.lit(0)]
 
 
 def best_indicators(indicators: DataFrame) -> DataFrame:
@@ -64,7 +81,7 @@ def file_verdicts(files: DataFrame, digest: str, verdicts: DataFrame) -> DataFra
     """Threat type and confidence of each known digest."""
     rank = F.struct("confidence", "threat_type")
     best = verdicts.groupBy(F.lower("hash").alias("hash")).agg(F.max(rank).alias("v"))
-    return lookup(files, digest, best, "hash", {"threat_type": F.col("v.threat_type"), "confidence": F.col("v.confidence")})
+    return lookup(files, digest, best, "hash", {"threat_type": F.col("v.threat_type"), "confidence": F.col("v.confidence")}, fold=True)
 
 
 def reputation_votes(df: DataFrame, url: str, reports: DataFrame) -> DataFrame:

@@ -58,6 +58,9 @@ def select_features(df: DataFrame, candidates: Sequence[str] = CANDIDATES) -> tu
 def robust_parameters(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Median and inter-quartile range per column; a zero range becomes 1. Three numbers per column are read."""
     found = {(r["feature"], r["share"]): r["quantile"] for r in quantiles(df, columns).collect()}
+    missing = [c for c in columns if (c, 0.5) not in found]
+    if missing:
+        raise ValueError(f"columns without any value can't be scaled: {missing}")
     spread = {c: found[c, 0.75] - found[c, 0.25] for c in columns}
     return {c: (found[c, 0.5], spread[c] or 1.0) for c in columns}
 

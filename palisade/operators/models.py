@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import exp
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
@@ -19,7 +20,7 @@ from palisade.operators.ranking import bin_index, quantiles, ranking_quality, st
 from palisade.operators.reports import class_weights
 from palisade.storage import materialize
 
-# Feature order of the flow model, class weights and thresholds.
+# Feature order of the flow model, class weights and thresholds, and the feature names below.
 FLOW_FEATURES = ("duration", "proto", "src_bytes", "dst_bytes", "packets", "bytes_per_sec", "dst_host_srv_count")
 RANSOMWARE_WEIGHTS = {0: 1.0, 1: 5.0}
 RANSOMWARE_THRESHOLD = 0.7
@@ -46,18 +47,27 @@ def positive_probability(column: str = "probability") -> Column:
 
 
 def train_flow_classifier(flows: DataFrame, label: str = "label", trees: int = 100, depth: int = 8) -> PipelineModel:
-    assemble = VectorAssembler(inputCols=list(FLOW_FEATURES), outputCol="features", handleInvalid="skip")
+    """Forest over the flow features; ``label`` holds two or more classes. Rows with a missing feature teach nothing."""
+    assemble = VectorAssembler(inputCols=list(FLOW_FEATURES), outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED)
-    return Pipeline(stages=[assemble, forest]).fit(flows)
+    return Pipeline(stages=[assemble, forest]).fit(flows.filter(_complete()))
+
+
+def _complete() -> Column:
+    """Rows in which every flow feature is a number."""
+    usable = F.lit(True)
+    for name in FLOW_FEATURES:
+        usable = usable & F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
+    return F.coalesce(usable, F.lit(False))
 
 
 def classify_flows(model: PipelineModel, flows: DataFrame) -> DataFrame:
-    """Flow columns with ``verdict`` and ``confidence``, the largest class probability."""
+    """Flow columns with ``verdict`` and ``confidence``, the largest class probability; NULL where a feature is missing."""
     scored = model.transform(flows)
     return scored.select(
         *flows.columns,
-        F.col("prediction").cast("int").alias("verdict"),
-        F.array_max(vector_to_array("probability")).alias("confidence"),
+        F.when(_complete(), F.col("prediction").cast("int")).alias("verdict"),
+        F.when(_complete(), F.array_max(vector_to_array("probability"))).alias("confidence"),
     )
 
 
@@ -76,8 +86,11 @@ def phishing_inputs(samples: DataFrame, url: str = "url") -> DataFrame:
 
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
-    """``weight`` balances the classes."""
-    return df.join(class_weights(df, label).select(label, "weight"), label)
+    """``weight`` balances the classes. The weights are a number per class, read once and put into the projection."""
+    weight = F.lit(None).cast("double")
+    for row in class_weights(df, label).select(label, "weight").collect():
+        weight = F.when(F.col(label) == row[label], F.lit(row["weight"])).otherwise(weight)
+    return df.filter(F.col(label).isNotNull()).withColumn("weight", weight)
 
 
 def phishing_stages(words: int = 1 << 15) -> list:
@@ -157,14 +170,27 @@ def cross_validate(samples: DataFrame, key: str, label: str = "label", folds: in
     return ranking_quality(scored, "score", label, by=["fold"])
 
 
+def _poisson_steps() -> list[float]:
+    """Cumulative Poisson(1) probabilities, as far as a double tells them from one."""
+    steps, term, count = [], exp(-1), 0
+    total = term
+    while total < 1 and (not steps or total > steps[-1]):
+        steps.append(total)
+        count += 1
+        term /= count
+        total += term
+    return steps
+
+
 def bootstrap_scores(samples: DataFrame, key: str, label: str = "label", members: int = 5) -> list[DataFrame]:
     """Scores of models fitted on Poisson re-weightings of the rows, keyed by a hash so they repeat."""
     inputs = materialize(weighted(phishing_inputs(samples), label), "phishing-inputs")
     scores = []
     for member in range(members):
-        u = F.abs(F.xxhash64(F.lit(SEED), F.lit(member), F.col(key))).cast("double") / F.lit(2.0**63)
-        # Cumulative Poisson(1) probabilities for 0, 1, 2, 3 and 4 copies.
-        copies = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).when(u < 0.9810, 3).otherwise(4)
+        u = F.xxhash64(F.lit(SEED), F.lit(member), F.col(key)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+        copies = F.lit(0)
+        for count, below in enumerate(_poisson_steps()):
+            copies = F.when(u >= below, count + 1).otherwise(copies)
         drawn = inputs.withColumn("weight", F.col("weight") * copies).filter(F.col("weight") > 0)
         scores.append(PhishingModel.fit(drawn, label).score(inputs, [key]))
     return scores
@@ -206,7 +232,7 @@ def process_inputs(processes: DataFrame) -> DataFrame:
     rated = process_features(processes).withColumns({"sequence_mean": mean, "sequence_max": F.array_max(steps)})
     return rated.withColumns(
         {
-            "sequence_deviation": F.sqrt(F.greatest(F.lit(0.0), squares / n - F.col("sequence_mean") ** 2)),
+            "sequence_deviation": F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares, n) - F.col("sequence_mean") ** 2)),
             "sequence_last": F.try_element_at(steps, F.lit(-1)),
         }
     ).fillna(0.0, subset=list(PROCESS_NUMBERS))

@@ -141,10 +141,10 @@ def ranking_quality(scored: DataFrame, score: str, label: str, recall: float = 0
     caught = F.col("_p") - F.col("positives_before")
     alarms = caught + F.col("_n") - F.col("negatives_before")
     pairs = F.col("positives") * (F.col("negatives_before") + F.col("negatives") / 2)
-    enough = caught / F.col("_p") >= recall
+    enough = F.try_divide(caught, F.col("_p")) >= recall  # a group without positives has no recall
     return sides.groupBy(*by).agg(
         F.try_divide(F.sum(pairs), (F.first("_p") * F.first("_n")).cast("double")).alias("auc"),
-        F.max(F.when(enough, caught / alarms)).alias("precision_at_recall"),
+        F.max(F.when(enough, F.try_divide(caught, alarms))).alias("precision_at_recall"),
     )
 
 

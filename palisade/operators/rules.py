@@ -1,92 +1,119 @@
 """Black list and indicator-rule matching.
 
-Regular expressions have no join key, so they are never joined: the (small, active) rules become literals
-of the projection and each pattern is compiled once per task. A rule table larger than one block is read
-in blocks and takes one more pass per block; no rule is left out.
+Regular expressions have no join key, so they are never joined: the active rules, a control table, become literals of one
+projection and each pattern is compiled once per task. Patterns stand in blocks, and a block is only tried where one
+expression made of all its patterns matches. The input is scanned once for any number of rules of any type; a row's hits are
+an array of that row, so nothing is shuffled to remove repeats and nothing is joined back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from itertools import islice
+import re
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.operators.enrichment import lookup
 from palisade.operators.validation import level_name, level_number
-from palisade.storage import control_rows
 
-RULES_PER_PASS = 500
+BLOCK = 50
+# A group reference counts groups from the start of the expression, so such a pattern can't stand inside another one.
+_REFERENCE = re.compile(r"\\[1-9]|\\k<|\(\?<[A-Za-z]")
 
 
-def _blocks(rules: DataFrame) -> Iterator[list[Row]]:
-    rows = control_rows(rules, RULES_PER_PASS)
-    if rows is not None:
-        yield rows
-        return
-    remaining = rules.toLocalIterator()
-    while block := list(islice(remaining, RULES_PER_PASS)):
-        yield block
+def pattern_names(subject: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+    """Sorted distinct names of the ``(name, pattern)`` pairs found in the subject; empty for NULL."""
+    empty = F.array().cast("array<string>")
+    pairs = sorted(set(patterns))
+    found = []
+    for start in range(0, len(pairs), BLOCK):
+        block = pairs[start : start + BLOCK]
+        names = F.array_compact(F.array(*[F.when(subject.rlike(p), F.lit(n)) for n, p in block]))
+        if len(block) > 1 and not any(_REFERENCE.search(p) for _, p in block):
+            names = F.when(subject.rlike("|".join(f"(?:{p})" for _, p in block)), names).otherwise(empty)
+        found.append(names)
+    return F.array_sort(F.array_distinct(F.concat(*found))) if found else empty
+
+
+def _pairs(patterns: DataFrame) -> list[tuple[str, str]]:
+    """Pairs of a control table."""
+    return [(r["name"], r["pattern"]) for r in patterns.select("name", "pattern").distinct().collect()]
 
 
 def regex_matches(df: DataFrame, subject: Column, patterns: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``name`` for each ``(name, pattern)`` found in the subject."""
-    found = None
-    for block in _blocks(patterns.select("name", "pattern").distinct()):
-        hits = F.array_compact(F.array(*[F.when(subject.rlike(r["pattern"]), F.lit(r["name"])) for r in block]))
-        part = df.select(*keep, F.explode(hits).alias("name")) if block else None
-        found = part if found is None else found if part is None else found.unionByName(part)
-    if found is None:
-        found = df.select(*keep, F.lit(None).cast("string").alias("name")).filter(F.lit(False))
-    return found
+    """``keep`` and ``name`` for each name of ``patterns(name, pattern)`` found in the subject, once a row."""
+    return df.select(*keep, F.explode(pattern_names(subject, _pairs(patterns))).alias("name"))
 
 
-def blacklist_matches(samples: DataFrame, blacklist: DataFrame, key: str, url: str, parts: Column, names: Column) -> DataFrame:
-    """``(key, kind, value)`` for each black-list entry a URL meets.
+def with_blacklist_entries(samples: DataFrame, blacklist: DataFrame, url: str, parts: Column, names: Column) -> DataFrame:
+    """``samples`` with ``entries``, the ``(kind, value)`` of each black-list entry the row's URL meets.
 
-    Domains match the host or its registered domain, addresses the host, patterns the whole URL.
+    Domains match the host or its registered domain, addresses the host, patterns the whole URL. Names are two look-ups
+    against the list reduced to one row per value; a row is never joined to itself.
     """
-    parts_known = samples.select(
-        key,
-        F.explode(F.array_distinct(F.array_compact(F.array(parts["host"], names["registered_domain"])))).alias("value"),
-        parts["host"].alias("host"),
+    listed = blacklist.filter(F.col("kind").isin("domain", "ip")).groupBy(F.lower("value").alias("value"))
+    listed = listed.agg(F.bool_or(F.col("kind") == "domain").alias("domain"), F.bool_or(F.col("kind") == "ip").alias("ip"))
+    patterns = [(v, v) for (v,) in blacklist.filter("kind = 'pattern'").select("value").distinct().collect()]
+    keyed = samples.withColumns({"_host": parts["host"], "_registered": names["registered_domain"]})
+    found = lookup(keyed, "_host", listed, "value", {"_on_host": F.struct("domain", "ip")})
+    found = lookup(found, "_registered", listed, "value", {"_on_registered": F.struct("domain")})
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    by_name = F.array(
+        F.when(F.col("_on_host")["domain"], entry("domain", F.col("_host"))),
+        F.when(F.col("_on_registered")["domain"], entry("domain", F.col("_registered"))),
+        F.when(F.col("_on_host")["ip"], entry("ip", F.col("_host"))),
     )
-    by_name = blacklist.filter(F.col("kind").isin("domain", "ip")).select("kind", F.lower("value").alias("value")).distinct()
-    equal = parts_known.join(by_name, "value").filter((F.col("kind") == "domain") | (F.col("value") == F.col("host")))
-    patterns = blacklist.filter(F.col("kind") == "pattern").select(F.col("value").alias("name"), F.col("value").alias("pattern"))
-    by_pattern = regex_matches(samples, F.col(url), patterns, [key])
-    return equal.select(key, "kind", "value").unionByName(
-        by_pattern.select(key, F.lit("pattern").alias("kind"), F.col("name").alias("value"))
+    by_pattern = F.transform(pattern_names(F.col(url), patterns), lambda p: entry("pattern", p))
+    return found.withColumn("entries", F.array_distinct(F.concat(F.array_compact(by_name), by_pattern))).drop(
+        "_host", "_registered", "_on_host", "_on_registered"
     )
 
 
-def with_blacklist_flag(samples: DataFrame, matches: DataFrame, key: str) -> DataFrame:
-    """``blacklisted`` is true for rows with a match."""
-    hit = matches.select(key).distinct().withColumn("_hit", F.lit(True))
-    return samples.join(hit, key, "left").withColumn("blacklisted", F.coalesce("_hit", F.lit(False))).drop("_hit")
+def blacklist_matches(listed: DataFrame, key: str) -> DataFrame:
+    """``(key, kind, value)`` for each entry of rows with ``entries``."""
+    return listed.select(key, F.explode("entries").alias("e")).select(key, "e.kind", "e.value")
 
 
-def clean_samples(samples: DataFrame, matches: DataFrame, key: str) -> DataFrame:
-    return samples.join(matches.select(key), key, "left_anti")
+def with_blacklist_flag(listed: DataFrame) -> DataFrame:
+    """``blacklisted`` in place of ``entries``: is there one?"""
+    return listed.withColumn("blacklisted", F.size("entries") > 0).drop("entries")
 
 
-def rule_hits(df: DataFrame, key: str, subjects: Mapping[str, Column], rules: DataFrame) -> DataFrame:
-    """``(key, name)`` for each active rule met.
+def clean_samples(listed: DataFrame) -> DataFrame:
+    """Rows that meet no entry."""
+    return listed.filter(F.size("entries") == 0).drop("entries")
+
+
+def with_rule_names(df: DataFrame, subjects: Mapping[str, Column], rules: DataFrame, name: str = "rules") -> DataFrame:
+    """``df`` with the sorted distinct names of the active rules that each row meets.
 
-    ``subjects`` maps a rule type to the column its patterns look at. Rules of type ``hash`` are compared
-    for equality by a join; all others are regular expressions.
+    ``subjects`` maps a rule type to the column its patterns look at. Rules of type ``hash`` are compared for equality by a
+    look-up, case folded; all others are regular expressions.
     """
     active = rules.filter("active")
-    found = None
-    for kind, subject in subjects.items():
-        of_kind = active.filter(F.col("type") == kind)
-        if kind == "hash":
-            digests = of_kind.select(F.lower("pattern").alias("_digest"), "name").distinct()
-            hits = df.select(key, F.lower(subject).alias("_digest")).join(digests, "_digest").select(key, "name")
-        else:
-            hits = regex_matches(df, subject, of_kind, [key])
-        found = hits if found is None else found.unionByName(hits)
-    return found.distinct()
+    table = active.select("type", "name", "pattern").distinct()
+    known = [(r["type"], r["name"], r["pattern"]) for r in table.filter("type <> 'hash'").collect()]
+    parts = [pattern_names(s, [(n, p) for t, n, p in known if t == kind]) for kind, s in subjects.items() if kind != "hash"]
+    found = df
+    if "hash" in subjects:
+        digests = table.filter("type = 'hash'").groupBy(F.lower("pattern").alias("_digest")).agg(F.array_sort(F.collect_set("name")).alias("names"))
+        found = found.withColumn("_subject", F.lower(subjects["hash"]))
+        found = lookup(found, "_subject", digests, "_digest", {"_by_digest": F.col("names")})
+        parts.append(F.coalesce("_by_digest", F.array().cast("array<string>")))
+    return found.withColumn(name, F.array_sort(F.array_distinct(F.concat(*parts)))).drop("_subject", "_by_digest")
+
+
+def rule_hits(df: DataFrame, key: str, subjects: Mapping[str, Column], rules: DataFrame) -> DataFrame:
+    """``(key, name)`` for each active rule met."""
+    return with_rule_names(df, subjects, rules, "_names").select(key, F.explode("_names").alias("name"))
+
+
+def levels_by_name(rules: DataFrame) -> Column | None:
+    """Literal map of rule names to their severity, the worst of rules that share a name; None without rules."""
+    level = F.max(level_number(F.col("severity"))).alias("level")
+    pairs = [F.lit(v) for r in rules.groupBy("name").agg(level).filter("level IS NOT NULL").orderBy("name").collect() for v in (r["name"], r["level"])]
+    return F.create_map(*pairs) if pairs else None
 
 
 def rule_verdicts(hits: DataFrame, rules: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from palisade.operators import enrichment, rules as rule_ops
 from palisade.operators.scoring import score_threats
-from palisade.operators.validation import level_number
 
 # Indicator types.
 TYPES = ("ip", "domain", "url", "hash", "email", "file")
@@ -16,7 +15,7 @@ TYPES = ("ip", "domain", "url", "hash", "email", "file")
 def enrich_iocs(iocs: DataFrame, indicators: DataFrame, reports: DataFrame, rules: DataFrame) -> DataFrame:
     """``(key, type, value)`` rows with known threat and confidence, vote count and worst rule severity.
 
-    The steps are snapshot joins; rules look only at values of their own type.
+    The steps are snapshot look-ups and rule names in the row; the feed is read once. Rules look only at values of their own type.
     """
     best = enrichment.best_indicators(indicators)
     known = {"known_threat": F.col("threat_type"), "known_confidence": F.col("confidence")}
@@ -25,19 +24,10 @@ def enrich_iocs(iocs: DataFrame, indicators: DataFrame, reports: DataFrame, rule
     hashed = found.withColumn("_hash", F.sha2("value", 256))
     found = enrichment.lookup(hashed, "_hash", votes, "url_hash", {"positives": F.col("r.positives")}).drop("_hash")
     subjects = {t: F.when(F.col("type") == t, F.col("value")) for t in ("domain", "file", "hash")}
-    hits = rule_ops.rule_hits(iocs, "key", subjects, rules)
-    severity = rules.select("name", level_number(F.col("severity")).alias("level"))
-    worst = hits.join(severity, "name").groupBy("key").agg(
-        F.max("level").alias("rule_level"), F.array_sort(F.collect_set("name")).alias("rules")
-    )
-    joined = found.join(worst, "key", "left")
-    return joined.withColumns(
-        {
-            "positives": F.coalesce("positives", F.lit(0)),
-            "rule_level": F.coalesce("rule_level", F.lit(0)),
-            "rules": F.coalesce("rules", F.array().cast("array<string>")),
-        }
-    )
+    named = rule_ops.with_rule_names(found, subjects, rules)
+    levels = rule_ops.levels_by_name(rules)
+    worst = F.array_max(F.transform("rules", lambda n: F.try_element_at(levels, n))) if levels is not None else F.lit(0)
+    return named.withColumns({"positives": F.coalesce("positives", F.lit(0)), "rule_level": F.coalesce(worst, F.lit(0))})
 
 
 def score_feed(enriched: DataFrame) -> DataFrame:

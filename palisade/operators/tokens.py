@@ -1,12 +1,13 @@
-"""Vocabulary and fixed-length token sequences."""
+"""Vocabulary and windows of token ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Vocabulary size and sequence length.
-VOCABULARY = 30_000
+from palisade.storage import materialize
+
+# Sequence length and the two reserved ids.
 LENGTH = 1024
 PADDING, UNKNOWN = 0, 1
 
@@ -15,26 +16,38 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def vocabulary(df: DataFrame, text: str, size: int = VOCABULARY) -> DataFrame:
-    """``(token, n, token_id)`` of the most frequent tokens, ties by token; ids start after padding and unknown.
+def vocabulary(df: DataFrame, text: str, size: int | None = None) -> DataFrame:
+    """``(token, n, token_id)`` of all tokens, the most frequent first, ties by token; ids follow padding and unknown.
 
-    Counting combines map-side; only the top ``size`` rows are ever numbered.
+    Counting combines map-side. A rank is the number of tokens with larger counts, plus those with the same count in
+    smaller buckets of first letters, plus the place in the bucket, so no task sorts the vocabulary; the only table in one
+    task has a row per distinct count. With ``size`` only the first so many tokens get a row.
     """
     counts = df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(size)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    return top.select("token", "n", (rank + UNKNOWN).alias("token_id"))
+    counts = materialize(counts, "token-counts").withColumn("_bucket", F.substring("token", 1, 3))
+    buckets = counts.groupBy("n", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    larger = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = buckets.groupBy("n").agg(F.sum("_rows").alias("_rows")).select("n", F.coalesce(F.sum("_rows").over(larger), F.lit(0)).alias("_larger"))
+    smaller = Window.partitionBy("n").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select("n", "_bucket", F.coalesce(F.sum("_rows").over(smaller), F.lit(0)).alias("_smaller"))
+    placed = counts.withColumn("_place", F.row_number().over(Window.partitionBy("n", "_bucket").orderBy("token")))
+    rank = F.col("_larger") + F.col("_smaller") + F.col("_place")
+    numbered = placed.join(offsets, ["n", "_bucket"]).join(levels, "n").select("token", "n", (rank + UNKNOWN).cast("int").alias("token_id"))
+    return numbered if size is None else numbered.filter(F.col("token_id") <= size + UNKNOWN)
 
 
 def token_sequences(df: DataFrame, key: str, text: str, vocabulary_table: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(key, sequence)``: the first ``length`` token ids in order, padded with zeros behind.
+    """``(key, window, sequence)``: all token ids of a text in windows of ``length``, the last one padded with zeros behind.
 
-    Each row is cut to ``length`` tokens before it is exploded, so a long text costs no more than a short one.
+    Every token is in exactly one window, and a text without tokens has one window of padding. Rows that share a key keep
+    windows of their own. A window is the largest group that is ever gathered.
     """
-    cut = df.select(key, F.slice(words(F.col(text)), 1, length).alias("tokens"))
-    each = cut.select(key, F.posexplode_outer("tokens").alias("at", "token"))
+    numbered = df.select(key, F.monotonically_increasing_id().alias("_row"), words(F.col(text)).alias("tokens"))
+    each = numbered.select(key, "_row", F.posexplode_outer("tokens").alias("at", "token"))
     known = each.join(vocabulary_table.select("token", "token_id"), "token", "left")
     token_id = F.when(F.col("token").isNotNull(), F.coalesce("token_id", F.lit(UNKNOWN)))
-    rows = known.groupBy(key).agg(F.sort_array(F.collect_list(F.when(token_id.isNotNull(), F.struct("at", token_id.alias("id"))))).alias("_pairs"))
+    window = F.coalesce(F.floor(F.col("at") / length), F.lit(0)).cast("int").alias("window")
+    pairs = F.sort_array(F.collect_list(F.when(token_id.isNotNull(), F.struct("at", token_id.alias("id")))))
+    rows = known.groupBy(key, "_row", window).agg(pairs.alias("_pairs"))
     ids = F.transform("_pairs", lambda p: p["id"])
-    return rows.select(key, F.concat(ids, F.array_repeat(F.lit(PADDING), length - F.size("_pairs"))).alias("sequence"))
+    return rows.select(key, "window", F.concat(ids, F.array_repeat(F.lit(PADDING), length - F.size("_pairs"))).alias("sequence"))

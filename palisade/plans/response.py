@@ -14,11 +14,11 @@ _MATCHED = f"""{fx.ALERTS}, {_BOOKS}, matched AS (SELECT DISTINCT alert_id, play
   FROM (SELECT alert_id, unnest(triggers) AS trigger FROM alerts) JOIN (SELECT playbook, unnest(string_split(triggers, '|')) AS trigger FROM books) USING (trigger))"""
 # The templates of the fixture playbooks, filled; NULL where a key is missing.
 _FILLED = f"""{_MATCHED}, filled AS (SELECT alert_id, playbook, step, action, action_type, priority,
-    CASE WHEN action = 'isolate_host' THEN source_ip WHEN action = 'freeze_shares' THEN source_ip
-      WHEN action = 'collect_forensic_data' THEN '["memory_dump","process_list"]' WHEN action = 'alert_soc' THEN '["soc@example.com"]'
-      WHEN action = 'block_ioc' THEN '["' || malicious_hash || '","' || c2_server || '"]' END AS main,
+    CASE WHEN action = 'isolate_host' THEN source_ip WHEN action = 'stop_backups' THEN source_ip
+      WHEN action = 'collect_forensic_data' THEN '["open_files"]' WHEN action = 'alert_soc' THEN '["night-desk@example.net","lead@example.net"]'
+      WHEN action = 'block_ioc' THEN '["' || c2_server || '","' || malicious_hash || '","' || source_ip || '"]' END AS main,
     contains(parameters, 'malicious_hash') AS had_list_template,
-    CASE WHEN action = 'freeze_shares' THEN 'unknown' WHEN action = 'block_ioc' AND c2_server IS NULL THEN 'failed'
+    CASE WHEN action = 'stop_backups' THEN 'unknown' WHEN action = 'block_ioc' AND c2_server IS NULL THEN 'failed'
       WHEN action = 'isolate_host' AND NOT contains(parameters, 'quarantine_duration') THEN 'failed' ELSE 'completed' END AS status
   FROM matched JOIN alerts USING (alert_id) JOIN steps USING (playbook))"""
 
@@ -78,13 +78,13 @@ def action_plan_sink(spark, sf):
 
 @query(
     "playbook_execution",
-    f"""WITH {fx.ALERTS}, {_BOOKS}, asked AS (SELECT *, CASE WHEN alert_id % 3 = 0 THEN 'Encryption lockdown' ELSE 'Ransomware response' END AS playbook FROM alerts)
-    SELECT alert_id, playbook, CASE WHEN playbook = 'Ransomware response' AND c2_server IS NOT NULL THEN 'contained' ELSE 'partial' END AS status,
-      CASE WHEN playbook = 'Encryption lockdown' THEN '' WHEN c2_server IS NULL THEN 'isolate_host|collect_forensic_data|alert_soc'
-        ELSE 'isolate_host|collect_forensic_data|block_ioc|alert_soc' END AS actions_taken FROM asked""",
+    f"""WITH {fx.ALERTS}, {_BOOKS}, asked AS (SELECT *, CASE WHEN alert_id % 3 = 0 THEN 'Locked files' ELSE 'First hour' END AS playbook FROM alerts)
+    SELECT alert_id, playbook, CASE WHEN playbook = 'First hour' AND c2_server IS NOT NULL THEN 'contained' ELSE 'partial' END AS status,
+      CASE WHEN playbook = 'Locked files' THEN 'collect_forensic_data' WHEN c2_server IS NULL THEN 'alert_soc|isolate_host'
+        ELSE 'alert_soc|block_ioc|isolate_host' END AS actions_taken FROM asked""",
 )
 def playbook_execution(spark, sf):
-    name = F.when(F.col("alert_id") % 3 == 0, "Encryption lockdown").otherwise("Ransomware response")
+    name = F.when(F.col("alert_id") % 3 == 0, "Locked files").otherwise("First hour")
     requests = fx.alerts(spark, sf).withColumn("playbook_id", name)
     done = response.execute_playbook(requests, fx.playbooks(spark))
     return done.withColumn("actions_taken", F.array_join("actions_taken", "|"))

@@ -159,7 +159,7 @@ def search_by_index(spark, sf):
     path = scratch_path(spark, "documents")
     sinks.write_documents(search_index(spark, sf), path)
     stored = spark.read.schema("event_id long, severity string, event_data string, _index string").json(path)
-    hits = validation.term_search(stored.filter("_index = 'threats-error'"), "severity", "critical", "event_id", None)
+    hits = validation.term_search(stored.filter("_index = 'threats-error'"), "severity", "critical")
     return hits.select("event_id", "event_data")
 
 

@@ -110,7 +110,7 @@ def stream_rate_alerts(spark, sf):
 @query(
     "stream_detection",
     """SELECT 'scored' AS kind, count(*) AS n FROM events UNION ALL
-    SELECT 'planned', 4 * count(*) FROM events WHERE value / 400.0 > 0.5""",
+    SELECT 'planned', 3 * count(*) FROM events WHERE value / 400.0 > 0.5""",
 )
 def stream_detection(spark, sf):
     base = scratch_path(spark, "stream-detection")

@@ -48,10 +48,12 @@ def explode_blacklist(document: DataFrame) -> DataFrame:
 
 
 def read_blacklist(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Black list entries; a missing file gives an empty list."""
+    """Black list entries. Only a path that isn't there gives an empty list: any other fault must not switch the list off."""
     try:
         document = spark.read.schema(BLACKLIST).json(path, multiLine=not lines)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         document = spark.createDataFrame([], BLACKLIST)
     return explode_blacklist(document)
 

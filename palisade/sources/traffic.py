@@ -38,6 +38,13 @@ def read_traffic_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+class Truncated(ValueError):
+    """A capture that ends inside a record."""
+
+    def __init__(self, offset: int) -> None:
+        super().__init__(f"the record at offset {offset} is cut")
+
+
 def _frames(content: bytes) -> Iterator[tuple[float, bytes]]:
     """Time and bytes of each record of one classic capture file."""
     if content[:4] not in _MAGIC or len(content) < 24:
@@ -48,16 +55,18 @@ def _frames(content: bytes) -> Iterator[tuple[float, bytes]]:
     while at + 16 <= len(content):
         seconds, fraction, captured, _ = header.unpack_from(content, at)
         if at + 16 + captured > len(content):
-            return
+            raise Truncated(at)
         yield seconds + fraction / scale, content[at + 16 : at + 16 + captured]
         at += 16 + captured
+    if at < len(content):
+        raise Truncated(at)
 
 
 def split_captures(files: DataFrame, strict: bool = True) -> DataFrame:
     """One row per captured frame from rows of ``path`` and ``content``.
 
-    Files are spread over tasks and leave each task in small batches. A file that is no capture fails
-    the job; with ``strict=False`` it becomes one row with ``error`` set instead.
+    Files are spread over tasks and leave each task in small batches. A file that is no capture, or ends inside a record,
+    fails the job; with ``strict=False`` its whole records stay and one more row has ``error`` set.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,10 +129,21 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     )
 
 
+def _capture_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(path)
+
+
 def read_captures(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Packets of all capture files below ``path``; files are the unit of parallelism."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(path)
-    return decode_frames(split_captures(files, strict).filter(F.col("error").isNull()))
+    """Packets of all capture files below ``path``; files are the unit of parallelism.
+
+    With ``strict=False`` damaged files give what they hold; ``rejected_captures`` lists them.
+    """
+    return decode_frames(split_captures(_capture_files(spark, path), strict).filter(F.col("error").isNull()))
+
+
+def rejected_captures(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, error)`` of capture files that are damaged: the quarantine of ``read_captures(strict=False)``."""
+    return split_captures(_capture_files(spark, path), strict=False).filter(F.col("error").isNotNull()).select("path", "error")
 
 
 def read_traffic(spark: SparkSession, path: str) -> DataFrame:

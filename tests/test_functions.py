@@ -92,5 +92,5 @@ def test_examples_score_above_plain_pages(spark, small):
     flagged = ind.content_indicators(fx.samples(spark, small), keep=["sample_id", "url"], names=list(ind.RULE_WEIGHTS))
     scores = flagged.select("sample_id", "url", ind.rule_score().alias("s"))
     pages = scores.filter("sample_id < 9000000000").agg(F.max("s")).first()[0]
-    strong = scores.filter(F.col("url").isin("http://form.example/", "http://hop.example/", "https://banking.example/", "http://docs.example/"))
+    strong = scores.filter(F.col("url").isin("https://form.example/5", "https://form.example/7", "https://page.example/6", "https://page.example/12"))
     assert strong.count() == 4 and strong.agg(F.min("s")).first()[0] > max(pages, 0.7)

@@ -63,20 +63,40 @@ def test_feature_choice():
         features.choose_features({"a": 0.0}, core=("x", "y"))
 
 
-def test_vocabulary_and_padding(spark):
-    df = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "c B")], "id long, t string")
-    words = tokens.vocabulary(df, "t", 2)
-    rows = {r.id: r.sequence for r in tokens.token_sequences(df, "id", "t", words, 4).collect()}
-    assert rows == {1: [2, 3, 2, 0], 2: [0, 0, 0, 0], 3: [1, 2, 0, 0]}
+def test_vocabulary_and_windows(spark):
+    df = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "c B"), (4, None), (1, "a a b c a c b")], "id long, t string")
+    words = tokens.vocabulary(df, "t")
+    assert {r.token: (r.n, r.token_id) for r in words.collect()} == {"b": (5, 2), "a": (4, 3), "c": (3, 4)}
+    assert sorted(r.token for r in tokens.vocabulary(df, "t", 2).collect()) == ["a", "b"]
+    rows = sorted((r.id, r.window, r.sequence) for r in tokens.token_sequences(df, "id", "t", tokens.vocabulary(df, "t", 2), 4).collect())
+    assert rows == [(1, 0, [2, 3, 2, 0]), (1, 0, [3, 3, 2, 1]), (1, 1, [3, 1, 2, 0]), (2, 0, [0] * 4), (3, 0, [1, 2, 0, 0]), (4, 0, [0] * 4)]
+
+
+def test_vocabulary_ranks_like_a_sort(spark):
+    rng = np.random.default_rng(9)
+    text = [" ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.3, 50)) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "id long, t string")
+    found = sorted((r.token_id, r.token, r.n) for r in tokens.vocabulary(df, "t").collect())
+    assert [(t, n) for _, t, n in found] == sorted(((t, n) for _, t, n in found), key=lambda p: (-p[1], p[0]))
+    assert [i for i, _, _ in found] == list(range(2, len(found) + 2))
 
 
 def test_rule_blocks_miss_nothing(spark, small, monkeypatch):
     df = fx.samples(spark, small)
-    patterns = spark.createDataFrame([(f"r{i}", f"{i}$") for i in range(10)] + [("all", "http")], "name string, pattern string")
+    patterns = spark.createDataFrame([(f"r{i}", f"{i}$") for i in range(10)] + [("all", "http"), ("all", "example"), ("twice", r"(.)\1")], "name string, pattern string")
     whole = sorted(map(tuple, rules.regex_matches(df, F.col("url"), patterns, ["sample_id"]).collect()))
-    monkeypatch.setattr(rules, "RULES_PER_PASS", 3)
+    monkeypatch.setattr(rules, "BLOCK", 3)
     assert sorted(map(tuple, rules.regex_matches(df, F.col("url"), patterns, ["sample_id"]).collect())) == whole
-    assert len(whole) > 0
+    assert len(whole) == len(set(whole)) > 0
+
+
+def test_rules_of_all_types_read_their_input_once(spark, small):
+    plan = queries()["ioc_rule_verdicts"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("pages.parquet") <= 1 and plan.count("Relation") <= 1
+    rows = spark.createDataFrame([("1", "domain", "a.b"), ("2", "hash", "ABcd"), ("3", "file", None)], "key string, type string, value string")
+    table = spark.createDataFrame([("n", "domain", "a", True), ("n", "domain", "b$", True), ("h", "hash", "abCD", True), ("off", "domain", ".", False)], "name string, type string, pattern string, active boolean")
+    subjects = {t: F.when(F.col("type") == t, F.col("value")) for t in ("domain", "file", "hash")}
+    assert sorted(map(tuple, rules.rule_hits(rows, "key", subjects, table).collect())) == [("1", "n"), ("2", "h")]
 
 
 def test_no_rules_give_no_hits(spark, small):
@@ -91,6 +111,28 @@ def test_enrichment_takes_the_surest_entry_and_keeps_rows(spark):
     assert rows == [("1", "high"), ("3", "high"), ("4", None)]
 
 
+def test_look_ups_keep_every_row_once(spark):
+    rows = spark.createDataFrame([(1, "A"), (2, "b"), (3, None), (4, "zz"), (5, "A")], "n long, k string")
+    snapshot = spark.createDataFrame([("a", 5), ("a", 3), ("A", 9), ("B", None), (None, 7), ("b", 8)], "k2 string, v int")
+    found = enrichment.lookup(rows, "k", snapshot, "k2", {"v": F.col("v")}, fold=True)
+    assert found.columns == ["n", "k", "v"]
+    assert sorted(map(tuple, found.select("n", "v").collect())) == [(1, 3), (2, None), (3, None), (4, None), (5, 3)]
+    exact = {r.n: r.v for r in enrichment.lookup(rows, "k", snapshot, "k2", {"v": F.col("v")}).collect()}
+    assert exact == {1: 9, 2: 8, 3: None, 4: None, 5: 9}
+
+
+def test_file_digests_have_no_case(spark):
+    files = spark.createDataFrame([("ABCD",), ("abce",)], "digest string")
+    bad = spark.createDataFrame([("abcD", "worm", 0.4), ("ABCD", "worm", 0.9)], "hash string, threat_type string, confidence double")
+    assert {r.digest: r.confidence for r in enrichment.file_verdicts(files, "digest", bad).collect()} == {"ABCD": 0.9, "abce": None}
+
+
+def test_a_group_of_one_class_has_no_ranking(spark):
+    df = spark.createDataFrame([("a", 0.5, 0), ("a", 0.7, 0), ("b", 0.2, 1), ("b", 0.1, 0)], "g string, s double, label int")
+    rows = {r.g: (r.auc, r.precision_at_recall) for r in ranking.ranking_quality(df, "s", "label", by=["g"]).collect()}
+    assert rows == {"a": (None, None), "b": (1.0, 1.0)}
+
+
 def playbook(spark):
     return spark.createDataFrame(
         [("p", ["ransomware"], [("block_ioc", "f", {"iocs": '["{ioc}","{src_ip}"]'}, None), ("isolate_host", "n", {"ip_address": "{src_ip}"}, None), ("dance", "x", {}, None)])],

@@ -47,10 +47,14 @@ def test_corrupt_capture_fails_or_is_skipped(spark, tmp_path):
     assert traffic.read_captures(spark, str(tmp_path), strict=False).count() == 1
 
 
-def test_truncated_capture_keeps_whole_packets(spark, tmp_path):
+@pytest.mark.parametrize("lost", [5, 60])
+def test_truncated_capture_is_told(spark, tmp_path, lost):
     whole = capture([frame(6, (1, 1, 1, 1), (2, 2, 2, 2), 80)] * 2)
-    (tmp_path / "cut.pcap").write_bytes(whole[:-5])
-    assert traffic.read_captures(spark, str(tmp_path)).count() == 1
+    (tmp_path / "cut.pcap").write_bytes(whole[:-lost])
+    with pytest.raises(Exception, match="is cut"):
+        traffic.read_captures(spark, str(tmp_path)).collect()
+    assert traffic.read_captures(spark, str(tmp_path), strict=False).count() == 1
+    assert [r.error for r in traffic.rejected_captures(spark, str(tmp_path)).collect()] == ["the record at offset 94 is cut"]
 
 
 def test_csv_log_end_to_end(spark, tmp_path):
