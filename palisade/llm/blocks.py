@@ -200,7 +200,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return placed.select("path", "before").repartition("path").mapInArrow(run, "id long, start long, ids binary")
+    files = max(1, manifest.count())  # a number of its own keeps adaptive execution from joining the tiny partitions
+    return placed.select("path", "before").repartition(files, "path").mapInArrow(run, "id long, start long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -32,6 +32,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 25
+BUNDLES_A_TASK = 2
 INDEX = "id string, bundle string, frame int, frame_start long, frame_bytes long, record_start long, record_bytes long"
 RECORD = "id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary, intact boolean"
 
@@ -234,8 +235,9 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
                             found.append(entry if payloads else entry | {"payload": None})
                         yield pa.RecordBatch.from_pylist(found, _RECORD_SCHEMA)
 
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition("bundle").mapInArrow(run, RECORD)
+    bundles = materialize(index.select("bundle").distinct(), "bundles")
+    tasks = -(-bundles.count() // BUNDLES_A_TASK)  # a number of its own keeps adaptive execution from joining the tiny partitions
+    return bundles.repartition(max(1, tasks), "bundle").mapInArrow(run, RECORD)
 
 
 _RECORD_SCHEMA = pa.schema(
