@@ -130,15 +130,16 @@ def format_windows(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([] if tokens is None else [tokens.alias("own_tokens")]),
     )
     size = (estimated_tokens(F.col("text")) if tokens is None else F.col("own_tokens")) + TURN_COST
-    sized = base.withColumn("size", size.cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK)).drop("own_tokens")
     order = ["turn", "role", "text"]
-
-    sums = sized.groupBy("conv", "block").agg(F.sum("size").alias("total"))
-    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("conv", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    within = sized.withColumn("upto", F.sum("size").over(inside))
-    placed = within.join(sums, F.col("conv").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")))
+    # keys without nulls, so that the window and the join below share one partitioning of the texts
+    keys = {"own": F.coalesce("conv", F.lit(0)), "none": F.col("conv").isNull(), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60)))}
+    sized = base.withColumn("size", size.cast("long")).withColumns(keys).drop("own_tokens")
+
+    sums = sized.groupBy(*keys).agg(F.sum("size").alias("total"))
+    earlier = Window.partitionBy("own", "none").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.withColumn("upto", F.sum("size").over(inside)).join(sums, list(keys))
     placed = placed.withColumn("end", F.col("before") + F.col("upto")).withColumn("start", F.col("end") - F.col("size"))
     placed = placed.withColumn("cell", F.floor(F.col("start") / cell)).select("conv", "cell", "start", "end", "role", "text")
 
