@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.operators.ranking import quantiles
 from palisade.storage import materialize
 
 # Forest sizes and default contamination.
@@ -75,15 +76,16 @@ def tree_samples(df: DataFrame, key: str, columns: Sequence[str], trees: int, sa
     values = F.array(*[F.col(c).cast("double") for c in columns])
     rows = df.select(F.col(key).alias("row_key"), values.alias("values")).filter(~F.exists("values", lambda v: v.isNull() | F.isnan(v)))
     uniform = lambda *parts: F.abs(F.xxhash64(*parts)).cast("double") / _HASH_SPAN
-    total = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
+    total = max(1, rows.count())
     wanted = float(trees * sample)
     pool = rows.filter(uniform(F.lit(seed), F.col("row_key")) < _SURPLUS * wanted / total)
-    pool_size = F.least(total, F.lit(_SURPLUS * wanted))
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    dealt = dealt.withColumn("draw", F.xxhash64(F.lit(seed), F.col("tree"), F.col("row_key")))
-    # Twice the wanted share of the pool reaches a tree; the rank then cuts to exactly ``sample`` rows.
-    share = F.lit(_SURPLUS * sample) / pool_size
-    near = dealt.filter(F.abs("draw").cast("double") / _HASH_SPAN < share)
+    pool_size = min(total, _SURPLUS * wanted)
+    draw = lambda tree: F.xxhash64(F.lit(seed), tree, F.col("row_key"))
+    # Twice the wanted share of the pool reaches a tree, chosen inside the row before it is exploded; the rank then
+    # cuts to exactly ``sample`` rows.
+    share = F.lit(_SURPLUS * sample / pool_size)
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.abs(draw(tree)).cast("double") / _HASH_SPAN < share)
+    near = pool.withColumn("tree", F.explode(drawn)).withColumn("draw", draw(F.col("tree")))
     order = Window.partitionBy("tree").orderBy("draw", "row_key")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).drop("rank", "draw")
 
@@ -112,7 +114,8 @@ class IsolationForest:
         """Grow the trees and set the offset to the contamination quantile of the training scores.
 
         Every row is scored for the offset, and these scores are kept as ``training`` (key, anomaly, decision),
-        so nobody has to score the training rows again. The quantile is Spark's mergeable sketch at 1e-4 accuracy.
+        so nobody has to score the training rows again. The quantile is exact. ``sample`` rows a tree are part of the method:
+        a bound on the rows that a tree grows from, whatever the size of the table.
         """
         samples = tree_samples(df, key, columns, trees, sample, seed)
 
@@ -120,7 +123,7 @@ class IsolationForest:
             ordered = group.sort_values("row_key")
             return _grow(np.stack(ordered["values"].to_numpy()), int(ordered["tree"].iloc[0]), seed)
 
-        nodes = samples.groupBy("tree").applyInPandas(grow, NODES).persist()
+        nodes = materialize(samples.groupBy("tree").applyInPandas(grow, NODES), "forest-nodes")
         used = nodes.agg(F.max(F.when(F.col("node") == 0, F.col("size")))).first()[0]
         if not used:
             raise ValueError("no usable rows to fit on")
@@ -128,7 +131,8 @@ class IsolationForest:
         if contamination is None:
             return forest
         scores = materialize(forest.score(df, keep=[key]), "training-scores")
-        offset = float(scores.agg(F.percentile_approx(-F.col("anomaly"), F.lit(contamination), F.lit(10_000))).first()[0])
+        negative = scores.select((-F.col("anomaly")).alias("negative"))
+        offset = float(quantiles(negative, ["negative"], [contamination]).first()["quantile"])
         decided = scores.withColumn("decision", -F.col("anomaly") - F.lit(offset))
         return cls(forest.columns, nodes, forest.sample, offset, decided)
 

@@ -398,8 +398,13 @@ def url_scan_results(spark, sf):
 
 def url_intelligence_table(spark, sf):
     """Every sample with the struct of its five checks."""
+    return url_intelligence_of(spark, sf, fx.samples(spark, sf).select("sample_id", "url"))
+
+
+def url_intelligence_of(spark, sf, links):
+    """Links ``(sample_id, url)`` with the struct of their five checks."""
     # Five checks look at the parsed URLs, so they are parsed once.
-    parsed = materialize(urls.with_url_parts(fx.samples(spark, sf).select("sample_id", "url")), "parsed-urls")
+    parsed = materialize(urls.with_url_parts(links), "parsed-urls")
     checked = rules.with_blacklist_flag(listed_samples(spark, parsed))
     keys = {"host": F.col("parts.host"), "registered_domain": F.col("names.registered_domain")}
     parsed, checked = parsed.withColumns(keys), checked.withColumns(keys)

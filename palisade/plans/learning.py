@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade.functions import indicators as ind
-from palisade.operators import enrichment, features, models, ranking, reports, response, scoring
+from palisade.functions import urls
+from palisade.operators import enrichment, features, models, ranking, reports, response, scoring, validation
 from palisade.operators.forest import IsolationForest
 from palisade.plans import fixtures as fx
-from palisade.plans.intel import INTELLIGENCE_SQL, url_intelligence_table
+from palisade.plans.intel import INTELLIGENCE_SQL, url_intelligence_of, url_intelligence_table
 from palisade.plans.registry import query
 from palisade.storage import materialize, scratch_path
 
@@ -88,7 +89,7 @@ VECTOR_COLUMNS = [f"f{i}" for i in range(16)]
 def anomaly_scores(spark, sf):
     vectors = anomaly_vectors(spark, sf)
     forest = IsolationForest.fit(vectors, "vec_id", VECTOR_COLUMNS)
-    return forest.score(vectors, keep=["vec_id", "planted"])
+    return forest.training.join(vectors.select("vec_id", "planted"), "vec_id")
 
 
 @query("flow_anomalies")
@@ -96,7 +97,8 @@ def flow_anomalies(spark, sf):
     """Features chosen by variance, robust scaling, forest, and the rows below the contamination quantile."""
     flows = features.traffic_features(fx.flows(spark, sf)).withColumn("flow_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "tx_bytes"))
     selected, _ = features.select_features(flows)
-    scaled = features.scale(flows, features.robust_parameters(flows, selected))
+    flows = materialize(flows.select("flow_id", *selected), "flow-features")
+    scaled = materialize(features.scale(flows, features.robust_parameters(flows, selected)), "scaled-flows")
     forest = IsolationForest.fit(scaled, "flow_id", selected)
     return forest.training.select("flow_id", "anomaly", "decision").filter(F.col("decision") < 0)
 
@@ -104,14 +106,14 @@ def flow_anomalies(spark, sf):
 @query("poisoning_signal")
 def poisoning_signal(spark, sf):
     vectors = anomaly_vectors(spark, sf)
-    forest = IsolationForest.fit(vectors, "vec_id", VECTOR_COLUMNS, trees=100, contamination=0.1)
-    return reports.mean_score(forest.score(vectors))
+    forest = IsolationForest.fit(vectors, "vec_id", VECTOR_COLUMNS, contamination=0.1)
+    return reports.mean_score(forest.training)
 
 
 @query("forest_reloaded", "SELECT vec_id, true AS same FROM embeddings")
 def forest_reloaded(spark, sf):
     vectors = anomaly_vectors(spark, sf)
-    forest = IsolationForest.fit(vectors, "vec_id", VECTOR_COLUMNS, trees=20)
+    forest = IsolationForest.fit(vectors, "vec_id", VECTOR_COLUMNS)
     path = scratch_path(spark, "forest")
     forest.save(path)
     again = IsolationForest.load(spark, path)
@@ -135,26 +137,39 @@ def labelled_flows(spark, sf):
         (F.col("tx_bytes") / F.col("duration")).alias("bytes_per_sec"),
         F.col("l_linenumber").alias("dst_host_srv_count"),
         "label",
+        F.when(F.col("protocol").startswith("R"), 2).when(F.col("protocol").startswith("A"), 1).otherwise(0).alias("class"),
     )
 
 
+def flow_split(spark, sf):
+    """Labelled flows, written once, with a stratified fold; fold 0 is the held-out fifth."""
+    keyed = labelled_flows(spark, sf).withColumn("flow_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "src_bytes"))
+    return materialize(ranking.stratified_folds(keyed, "flow_id", "class"), "flow-split")
+
+
 @query("flow_classification")
 def flow_classification(spark, sf):
-    flows = labelled_flows(spark, sf)
-    model = models.train_flow_classifier(flows, trees=20)
-    return models.classify_flows(model, flows).select("l_orderkey", "l_linenumber", "label", "verdict", "confidence")
+    """Normal, suspicious or malicious (0, 1, 2): learnt from four folds, told for the fifth."""
+    split = flow_split(spark, sf)
+    model = models.train_flow_classifier(split.filter("fold <> 0"), "class")
+    return models.classify_flows(model, split.filter("fold = 0")).select("l_orderkey", "l_linenumber", "class", "verdict", "confidence")
 
 
 @query("flow_feature_importance")
 def flow_feature_importance(spark, sf):
-    flows = labelled_flows(spark, sf)
-    return models.feature_importance(models.train_flow_classifier(flows, trees=20), flows)
+    flows = materialize(labelled_flows(spark, sf), "flows")
+    return models.feature_importance(models.train_flow_classifier(flows), flows)
+
+
+def mail_split(spark, sf):
+    return materialize(ranking.stratified_folds(fx.mails(spark, sf), "doc_id", "label"), "mail-split")
 
 
 @query("phishing_scores")
 def phishing_scores(spark, sf):
-    mails = fx.mails(spark, sf)
-    return models.score_phishing(models.train_phishing(mails), mails, ["doc_id", "label"])
+    """Scores of the mails of fold 0 by a model of the others."""
+    split = mail_split(spark, sf)
+    return models.score_phishing(models.train_phishing(split.filter("fold <> 0")), split.filter("fold = 0"), ["doc_id", "label"])
 
 
 @query("phishing_cross_validation")
@@ -164,19 +179,28 @@ def phishing_cross_validation(spark, sf):
 
 @query("bootstrap_uncertainty")
 def bootstrap_uncertainty(spark, sf):
-    members = models.bootstrap_scores(fx.mails(spark, sf), "doc_id", members=3)
+    members = models.bootstrap_scores(fx.mails(spark, sf), "doc_id")
     return scoring.uncertainty(members, "doc_id", "ml_score")
 
 
 @query("phishing_verdicts")
 def phishing_verdicts(spark, sf):
-    """Mails through input check, model, rule score and fusion to hashed verdicts."""
-    mails = fx.mails(spark, sf)
-    model = models.train_phishing(mails)
-    ml = models.score_phishing(model, mails, ["doc_id", "url"])
-    flags = ind.content_indicators(mails, keep=["doc_id"], names=list(ind.RULE_WEIGHTS)).select("doc_id", ind.rule_score().alias("rule_score"))
-    fused = scoring.fused_verdict(F.col("ml_score"), F.col("rule_score"), F.lit(0.0), F.lit(False))
-    return ml.join(flags, "doc_id").select("doc_id", F.sha2("url", 256).alias("url_hash"), fused.alias("prediction"), F.col("ml_score").alias("risk_score"))
+    """Mails from input check to a hashed verdict: canonical URL, intelligence, model with uncertainty, rules, fusion.
+
+    A mail that the check refuses keeps its reason and gets no prediction.
+    """
+    mails = fx.mails(spark, sf).withColumns({"problem": validation.input_problem(F.col("url"), F.col("text")), "canonical": urls.canonical_url(F.col("url"))})
+    mails = materialize(mails, "mails")
+    good = mails.filter("problem IS NULL")
+    scores = scoring.uncertainty(models.bootstrap_scores(good, "doc_id"), "doc_id", "ml_score")
+    flags = ind.content_indicators(good, keep=["doc_id"], names=list(ind.RULE_WEIGHTS)).select("doc_id", ind.rule_score().alias("rule_score"))
+    links = good.select("canonical").distinct().select(F.xxhash64("canonical").alias("sample_id"), F.col("canonical").alias("url"))
+    intel = url_intelligence_of(spark, sf, links).select(F.col("url").alias("canonical"), enrichment.intelligence_hit(F.col("intel")).alias("hit"))
+    found = mails.join(scores, "doc_id", "left").join(flags, "doc_id", "left").join(intel, "canonical", "left")
+    fused = scoring.fused_verdict(F.col("mean_score"), F.col("rule_score"), F.col("uncertainty"), F.col("hit"))
+    return found.withColumn("prediction", F.when(F.col("problem").isNull(), fused)).select(
+        "doc_id", F.sha2("canonical", 256).alias("url_hash"), "problem", "hit", "rule_score", "prediction", F.col("mean_score").alias("risk_score"), "uncertainty"
+    )
 
 
 _SCORED = "scored AS (SELECT doc_id, toxic AS label, (n_chars % 97) / 97.0 AS score FROM labels JOIN documents USING (doc_id))"
@@ -201,8 +225,10 @@ def score_reliability(spark, sf):
 
 @query("calibrated_scores")
 def calibrated_scores(spark, sf):
-    scored = scored_labels(spark, sf)
-    return models.apply_calibration(models.calibrate(scored, "score", "label"), scored, "score").select("doc_id", "score", "calibrated")
+    """Mapping of four folds, applied to the fifth."""
+    split = materialize(ranking.stratified_folds(scored_labels(spark, sf), "doc_id", "label"), "scored-split")
+    model = models.calibrate(split.filter("fold <> 0"), "score", "label")
+    return models.apply_calibration(model, split.filter("fold = 0"), "score").select("doc_id", "label", "score", "calibrated")
 
 
 def process_samples(spark, sf):
@@ -236,7 +262,7 @@ def ransomware_split(spark, sf):
 @query("ransomware_report")
 def ransomware_report(spark, sf):
     split = ransomware_split(spark, sf)
-    model = models.train_ransomware(split.filter("fold <> 0"), rounds=5)
+    model = models.train_ransomware(split.filter("fold <> 0"))
     held_out = models.score_ransomware(model, split.filter("fold = 0"), ["event_id", "is_ransomware"])
     return reports.classification_report(held_out, "is_ransomware", "predicted")
 
@@ -245,9 +271,9 @@ def ransomware_report(spark, sf):
 def ransomware_ensemble(spark, sf):
     """Boosted-tree score weighted by the anomaly decision of a forest over three static features."""
     split = ransomware_split(spark, sf)
-    model = models.train_ransomware(split.filter("fold <> 0"), rounds=5)
+    model = models.train_ransomware(split.filter("fold <> 0"))
     columns = ["entropy", "api_calls_per_sec", "file_entropy_variance"]
-    forest = IsolationForest.fit(split.filter("fold <> 0"), "event_id", columns, trees=50, contamination=0.1)
+    forest = IsolationForest.fit(split.filter("fold <> 0"), "event_id", columns, contamination=0.1)
     scored = models.score_ransomware(model, forest.score(split), ["event_id", "decision"])
     return scored.select("event_id", scoring.ensemble_score(F.col("score"), F.col("decision")).alias("score"))
 
@@ -264,9 +290,34 @@ def detection_responses(spark, sf):
     return response.response_plan(alerts, fx.playbooks(spark)).select("alert_id", "playbook", "step", "action", "status")
 
 
-@query("model_reloaded")
+@query("model_reloaded", "SELECT true AS same, count(*) AS flows FROM lineitem")
 def model_reloaded(spark, sf):
-    flows = labelled_flows(spark, sf)
+    """Verdicts of a flow model before and after it was saved, row by row."""
+    flows = materialize(labelled_flows(spark, sf), "flows")
     path = scratch_path(spark, "flow-model")
-    models.save_model(models.train_flow_classifier(flows, trees=5), path)
-    return models.classify_flows(models.load_model(path), flows).groupBy("verdict").agg(F.count(F.lit(1)).alias("flows"))
+    model = models.train_flow_classifier(flows)
+    models.save_model(model, path)
+    again = models.classify_flows(models.load_model(path), models.classify_flows(model, flows).withColumnsRenamed({"verdict": "first", "confidence": "sure"}))
+    same = F.col("verdict").eqNullSafe(F.col("first")) & F.col("confidence").eqNullSafe(F.col("sure"))
+    return again.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("flows"))
+
+
+@query("phishing_reloaded", f"WITH {fx.MAILS} SELECT true AS same, count(*) AS mails FROM mails")
+def phishing_reloaded(spark, sf):
+    """Scores of a mail model before and after it was saved, row by row."""
+    inputs = materialize(models.phishing_inputs(models.weighted(fx.mails(spark, sf), "label")), "phishing-inputs")
+    path = scratch_path(spark, "phishing-model")
+    model = models.PhishingModel.fit(inputs)
+    model.save(path)
+    before = model.score(inputs, ["doc_id"], "first")
+    again = models.PhishingModel.load(path).score(inputs, ["doc_id"], "second")
+    return before.join(again, "doc_id").groupBy((F.col("first") == F.col("second")).alias("same")).agg(F.count(F.lit(1)).alias("mails"))
+
+
+@query("ransomware_detections")
+def ransomware_detections(spark, sf):
+    """Model scores above the alert threshold turned into planned actions."""
+    split = ransomware_split(spark, sf)
+    model = models.train_ransomware(split.filter("fold <> 0"))
+    scored = materialize(models.score_ransomware(model, split, ["event_id"]), "ransomware-scores")
+    return response.response_plan(models.detection_alerts(scored, "event_id"), fx.playbooks(spark)).select("alert_id", "playbook", "step", "action", "status")

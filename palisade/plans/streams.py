@@ -98,13 +98,13 @@ def packet_rate_alerts(spark, sf):
 @query(
     "stream_rate_alerts",
     f"""WITH {fx.TRAFFIC}, windows AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS packets FROM traffic GROUP BY 1)
-    SELECT epoch_us(w) AS window_micros, packets FROM windows WHERE packets > 15 AND w + INTERVAL 1 HOUR <= date_trunc('milliseconds', (SELECT max(ts) FROM traffic)) - INTERVAL 10 MINUTE""",
+    SELECT epoch_us(w) AS window_micros, packets FROM windows WHERE packets > 15""",
 )
 def stream_rate_alerts(spark, sf):
     base = scratch_path(spark, "stream-rates")
     jobs.stream_rate_alerts(packet_stream(spark, sf), f"{base}/alerts", f"{base}/checkpoint", 15, step="1 hour").awaitTermination()
-    alerts = spark.read.schema("window_start timestamp, window_end timestamp, packets long").parquet(f"{base}/alerts")
-    return alerts.select(F.unix_micros("window_start").alias("window_micros"), "packets")
+    alerts = spark.read.schema("window_start timestamp, window_end timestamp, packets long").parquet(f"{base}/alerts/*")
+    return alerts.groupBy(F.unix_micros("window_start").alias("window_micros")).agg(F.max("packets").alias("packets"))
 
 
 @query(
@@ -127,4 +127,4 @@ def stream_detection(spark, sf):
 def stream_dashboard(spark, sf):
     base = scratch_path(spark, "stream-dashboard")
     jobs.dashboard(packet_stream(spark, sf), "event_type", f"{base}/counts", f"{base}/checkpoint", jobs.DRAIN).awaitTermination()
-    return spark.read.parquet(f"{base}/counts").groupBy("event_type").agg(F.max("threats").alias("threats"))
+    return spark.read.parquet(f"{base}/counts").select("event_type", "threats")

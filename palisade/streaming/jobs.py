@@ -119,10 +119,17 @@ def stream_rate_alerts(
     watermark: str = WATERMARK,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Rate alerts of closed windows; rows later than the watermark are dropped, so the state stays bounded."""
+    """Rate alerts; rows later than the watermark are dropped, so the state stays bounded.
+
+    A running stream appends an alert once its window is closed. A drained one ends with windows still open: it writes every
+    window as it stands after each batch, in a folder a batch, and the largest count of a window is its last.
+    """
     alerts = rate_alerts(packets.withWatermark(time, watermark), limit, time, step)
+    if trigger is None or trigger == DRAIN:
+        each = lambda batch, name: batch.write.mode("overwrite").parquet(f"{path}/{name}")
+        return start(alerts, each, checkpoint, mode="update", trigger=DRAIN)
     writer = alerts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or DRAIN)).format("parquet").start(path)
+    return writer.trigger(**trigger).format("parquet").start(path)
 
 
 def score_stream(
@@ -147,5 +154,5 @@ def score_stream(
 def dashboard(events: DataFrame, name: str, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Threat counts rewritten at every refresh."""
     counts = reports.threat_counts(events, name)
-    write = lambda batch, label: batch.write.mode("overwrite").parquet(f"{path}/{label}")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
     return start(counts, write, checkpoint, mode="complete", trigger=trigger or REFRESH)

@@ -7,10 +7,6 @@ from palisade.plans import oracles, queries
 
 SQL = oracles()
 QUERIES = queries()
-# These train models for longer; tests/test_learning.py looks at their results on small inputs.
-SLOW = {"phishing_cross_validation", "bootstrap_uncertainty", "phishing_verdicts", "ransomware_ensemble", "flow_anomalies", "phishing_scores"}
-
-
 @pytest.fixture(scope="module")
 def duck(small):
     return connect(small)
@@ -21,6 +17,6 @@ def test_same_as_sql(spark, small, duck, name):
     assert differences(QUERIES[name](spark, small).toPandas(), duck.execute(SQL[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
