@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array([head]), pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], ["head", "weights", "bias"])
 
     sampled = _with_human(chosen.mapInArrow(featured, "id long, quality int, toxic int, slots array<int>"), human, "slots")
-    heads = sorted(sampled.coalesce(1).mapInArrow(train, "head long, weights binary, bias double").collect())
+    heads = sorted(sampled.repartition(1).mapInArrow(train, "head long, weights binary, bias double").collect())
     if not heads:
         return Scorer(np.zeros((2, SLOTS), np.float32), np.full(2, -5.0), quality, toxic)
     return Scorer(np.stack([np.frombuffer(h["weights"], "<f4") for h in heads]), np.array([h["bias"] for h in heads]), quality, toxic)
