@@ -15,12 +15,23 @@ _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
 
+BATCH_ROWS = 2000  # rows of whole texts that a Python worker gets at a time
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and keep Arrow batches of texts small."""
+    ship_package(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under ``name``; the package reaches the workers before it runs."""
 
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return build(spark, sf_dir)
 
         if name in _queries:

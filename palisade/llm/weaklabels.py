@@ -229,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signals(t) for t in texts(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([s.quality for s in found], pa.int32()), pa.array([s.toxic for s in found], pa.int32())], ["id", "quality", "toxic"])
+            found = [(s.quality, s.toxic) for s in map(signals, texts(batch["text"]))]  # a text's words are dropped before the next one
+            yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array([f[k] for f in found], pa.int32()) for k in range(2))], ["id", "quality", "toxic"])
 
     votes = _with_human(base.mapInArrow(vote, "id long, quality int, toxic int"), human)
     counts = votes.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # vote patterns: a number that no corpus exceeds
@@ -246,8 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signals(t) for t in texts(batch["text"])]
-            columns = [batch["id"], pa.array([s.quality for s in found], pa.int32()), pa.array([s.toxic for s in found], pa.int32()), pa.array([features(s) for s in found], pa.list_(pa.int32()))]
+            found = [(s.quality, s.toxic, features(s)) for s in map(signals, texts(batch["text"]))]
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            columns = [batch["id"], *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "quality", "toxic", "slots"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
