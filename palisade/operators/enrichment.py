@@ -168,6 +168,8 @@ def country_risk(
 ) -> DataFrame:
     """Country of an address by the narrowest range holding it, risk flag, VPN-exit flag.
 
+    ``locatable`` is false for addresses that the ranges can't hold, such as IPv6: their country is unknown, not safe.
+
     Only distinct addresses meet the ranges, through an equi-join on the address prefix, so neither a hot
     address nor the interval condition reaches the large table.
     """
@@ -182,6 +184,7 @@ def country_risk(
         {
             "country_high_risk": F.coalesce(F.col("country").isin(*risky), F.lit(False)),
             "vpn_exit": F.coalesce("vpn_exit", F.lit(False)),
+            "locatable": ipv4_number(F.col(ip)).isNotNull(),
         }
     )
 

@@ -262,14 +262,14 @@ EXITS = ("10.0.0.11", "10.0.0.120")
     f"""WITH {fx.TRAFFIC}, {fx.cte('ranges', RANGE_COLUMNS, RANGES)}, addresses AS (SELECT DISTINCT src_ip,
         list_reduce(list_transform(string_split(src_ip, '.'), lambda o: CAST(o AS BIGINT)), lambda a, b: a * 256 + b) AS n FROM traffic),
       located AS (SELECT src_ip, min_by(country, (last - first, country)) AS country FROM addresses JOIN ranges ON n BETWEEN first AND last GROUP BY src_ip)
-    SELECT event_id, country, coalesce(country IN ('IR', 'KP', 'RU', 'SY'), false) AS country_high_risk, src_ip IN {EXITS!r} AS vpn_exit
+    SELECT event_id, country, coalesce(country IN ('IR', 'KP', 'RU', 'SY'), false) AS country_high_risk, src_ip IN {EXITS!r} AS vpn_exit, true AS locatable
     FROM traffic LEFT JOIN located USING (src_ip)""",
 )
 def country_risk(spark, sf):
     ranges = fx.inline(spark, RANGE_COLUMNS, RANGES).withColumns({c: F.col(c).cast("long") for c in ("first", "last")})
     exits = sources.known_malicious(spark, EXITS)
     found = en.country_risk(fx.traffic(spark, sf), "src_ip", ranges, exits)
-    return found.select("event_id", "country", "country_high_risk", "vpn_exit")
+    return found.select("event_id", "country", "country_high_risk", "vpn_exit", "locatable")
 
 
 _CERTIFICATES = """certificates AS (SELECT DISTINCT host, TIMESTAMP '2024-02-01' + to_days(CAST(length(host) - 20 AS INTEGER)) AS not_after,

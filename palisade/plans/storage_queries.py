@@ -281,22 +281,25 @@ def labelled_file_scan(spark, sf):
 
 @query(
     "process_file_scan",
-    f"WITH {fx.PROCESSES} SELECT process_id, api_call_count, round(process_duration, 6) AS process_duration, files, '1.00 2.50' AS steps, is_ransomware FROM processes",
+    f"""WITH {fx.PROCESSES} SELECT process_id, sha256(replace(text, chr(13), '')) AS content_hash, api_call_count, round(process_duration, 6) AS process_duration, files,
+      api_call_count || '.00 ' || (event_id % 90) || '.50' AS steps, is_ransomware FROM processes JOIN documents USING (doc_id)""",
 )
 def process_file_scan(spark, sf):
     path = scratch_path(spark, "processes")
-    fx.processes(spark, sf).select(
+    content = fx.table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit("")).alias("file_content"))
+    fx.processes(spark, sf).join(content, "doc_id").select(
         "process_id",
-        F.lit("x").alias("file_content"),
+        "file_content",
         "api_call_count",
         "process_duration",
         F.to_json("created_files").alias("created_files"),
-        F.lit("[1.0,2.5]").alias("behavior_sequence"),
+        F.to_json(F.array(F.col("api_call_count").cast("double"), (F.col("event_id") % 90) + 0.5)).alias("behavior_sequence"),
         "is_ransomware",
-    ).write.csv(path, header=True, escape='"')
+    ).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = intel.read_process_samples(spark, path)
     steps = F.array_join(F.transform("behavior_sequence", lambda x: F.format_string("%.2f", x)), " ")
-    return rows.select("process_id", "api_call_count", "process_duration", F.array_join("created_files", "|").alias("files"), steps.alias("steps"), "is_ransomware")
+    content = F.sha2("file_content", 256).alias("content_hash")
+    return rows.select("process_id", content, "api_call_count", "process_duration", F.array_join("created_files", "|").alias("files"), steps.alias("steps"), "is_ransomware")
 
 
 @query("dataset_digests", "SELECT doc_id AS path, doc_id % 10 <> 7 AS intact FROM documents")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.storage import materialize
+
 from palisade.functions.text import encrypt_text, iso_timestamp
 
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -64,11 +66,17 @@ def envelope_json(envelopes: DataFrame) -> DataFrame:
     return envelopes.filter("valid").select(line.alias("value"))
 
 
-def send_events(envelopes: DataFrame, path: str, quarantine: str | None = None) -> None:
-    """Append valid envelopes as text lines; invalid ones go to ``quarantine``."""
-    envelope_json(envelopes).write.mode("append").text(path)
+def send_events(envelopes: DataFrame, path: str, quarantine: str | None = None, batch: str | None = None) -> None:
+    """Write valid envelopes as text lines; invalid ones go to ``quarantine``.
+
+    With a ``batch`` name they go to a folder of that name, so that sending a batch again replaces it. The envelopes are
+    written once before they are split, so both parts come from one evaluation.
+    """
+    stored = materialize(envelopes, "envelopes")
+    mode, below = ("append", "") if batch is None else ("overwrite", f"/batch={batch}")
+    envelope_json(stored).write.mode(mode).text(path + below)
     if quarantine:
-        envelopes.filter("NOT valid").write.mode("append").json(quarantine)
+        stored.filter("NOT valid").write.mode(mode).json(quarantine + below)
 
 
 def search_documents(

@@ -93,3 +93,45 @@ def test_invalid_events_are_quarantined(spark, tmp_path):
     sent = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/sent").collect()]
     assert len(sent) == 1 and sent[0]["event"] == {"threat": "phishing"} and sent[0]["index"] == "threat_detection"
     assert spark.read.json(f"{tmp_path}/bad").count() == 2
+
+
+def test_a_batch_sent_again_replaces_itself(spark, tmp_path):
+    events = spark.createDataFrame([('{"a":1}', "s"), ("invalid", "s")], "body string, source string")
+    for _ in range(2):
+        sinks.send_events(sinks.event_envelopes(events, F.col("body"), F.col("source")), f"{tmp_path}/sent", f"{tmp_path}/bad", batch="7")
+    assert spark.read.text(f"{tmp_path}/sent/*").count() == 1 and spark.read.json(f"{tmp_path}/bad/*").count() == 1
+
+
+def test_a_black_list_that_cant_be_read_is_no_empty_list(spark, tmp_path, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    class Broken:
+        def schema(self, _):
+            return self
+
+        def json(self, *_, **__):
+            raise AnalysisException("denied", errorClass="UNSUPPORTED_FEATURE")
+
+    class Session:
+        read = Broken()
+
+    with pytest.raises(AnalysisException):
+        intel.read_blacklist(Session(), "x")
+
+
+def test_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    for name, data in (("a.bin", b"one"), ("b.bin", b"two")):
+        (tmp_path / name).write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    manifest = spark.createDataFrame([("a.bin", hashlib.sha256(b"one").hexdigest().upper()), ("b.bin", hashlib.sha256(b"2").hexdigest()), ("c.bin", "00")], "path string, expected string")
+    assert {r.path: r.intact for r in intel.check_digests(files, manifest).collect()} == {"a.bin": True, "b.bin": False, "c.bin": False}
+
+
+def test_addresses_that_cant_be_located_are_told(spark):
+    ranges = spark.createDataFrame([(167772160, 184549375, "US")], "first long, last long, country string")
+    exits = spark.createDataFrame([("10.0.0.1",)], "ip string")
+    rows = spark.createDataFrame([("10.0.0.1",), ("2001:db8::1",), (None,)], "ip string")
+    found = {r.ip: (r.country, r.locatable) for r in enrichment.country_risk(rows, "ip", ranges, exits).collect()}
+    assert found == {"10.0.0.1": ("US", True), "2001:db8::1": (None, False), None: (None, False)}
