@@ -12,10 +12,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from palisade.llm.registry import query
 
 # Fixed value: how byte-level vocabularies of this family split a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT = 1 << 19  # entries of a table of known pieces; a full table is emptied
+KEPT = 1 << 18  # entries of a table of known pieces; a full table is emptied
 LONGEST_KEPT = 64  # characters of a piece worth keeping
 
 
@@ -48,6 +49,7 @@ class Vocabulary:
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.bytes_of = {i: bytes(letters[c] for c in word) for word, i in tokenizer.get_vocab(with_added_tokens=False).items() if word not in self.special}
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
+        self.table = pa.array([*(self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)), b""], pa.large_binary())
         self.letter_of = {b: c for c, b in letters.items()}
         self.meets = np.zeros((256, 256), bool)  # pairs of bytes that some token holds side by side
         for value in self.bytes_of.values():
@@ -70,46 +72,52 @@ class Vocabulary:
         values = np.frombuffer(data, np.uint8)
         return (np.flatnonzero(~self.meets[values[:-1], values[1:]]) + 1).tolist()
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> bytes:
         data = piece.encode()
         edges = self.cuts(data)
         if not edges:
-            return self.merge_fragment(data)
+            plain = piece.isascii() and piece.isprintable()  # such letters stand for themselves, but the space
+            return self._merged(piece.replace(" ", self.letter_of[32])) if plain else self.merge_fragment(data)
         edges = [0, *edges, len(data)]
-        return tuple(chain.from_iterable(self.fragments[data[a:b]] for a, b in zip(edges, edges[1:])))
+        return b"".join([self.fragments[data[a:b]] for a, b in zip(edges, edges[1:])])
 
-    def merge_fragment(self, data: bytes) -> tuple[int, ...]:
-        return tuple([t.id for t in self.merge(data.decode("latin-1").translate(self.letter_of))])  # a letter per byte
+    def merge_fragment(self, data: bytes) -> bytes:
+        """Ids of a fragment, 4 bytes each."""
+        return self._merged(data.decode("latin-1").translate(self.letter_of))  # a letter per byte
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + chunk))))
+    def _merged(self, letters: str) -> bytes:
+        ids = [t.id for t in self.merge(letters)]
+        return pack(f"<{len(ids)}i", *ids)
 
-    def _plain(self, text: str) -> Iterator[int]:
+    def encode_chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
+
+    def _plain(self, text: str) -> bytes:
         """Ids without special tokens. A space between two characters that aren't white space always starts a piece, so what
         stands between such spaces is encoded on its own; the first part has no space in front."""
         parts = self.lone_space(text) if self.wide_space(text) else text.split(" ")
-        first = chain.from_iterable(map(self.pieces.__getitem__, self.split(parts[0])))
-        return chain(first, chain.from_iterable(map(self.chunks.__getitem__, parts[1:])))
+        first = map(self.pieces.__getitem__, self.split(parts[0]))
+        return b"".join([*first, *map(self.chunks.__getitem__, parts[1:])])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; strings of special tokens give their ids, as in the library."""
         parts = self.stops(text) if self.stops and any(s in text for s in self.special) else [text]
-        if len(parts) == 1:
-            return np.fromiter(self._plain(text), np.int32)
-        marks = [self.special[m] for m in self.markers(text)]
-        ids: list[int] = []
-        for part, mark in zip(parts, [*marks, None]):
-            ids.extend(self._plain(part))
-            if mark is not None:
-                ids.append(mark)
-        return np.array(ids, np.int32)
+        marks = [pack("<i", self.special[m]) for m in self.markers(text)] if len(parts) > 1 else []
+        return np.frombuffer(b"".join(self._plain(part) + mark for part, mark in zip(parts, [*marks, b""])), "<i4")
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids, special tokens included; ids outside the vocabulary are left out, broken UTF-8 is replaced."""
-        return b"".join(map(self._bytes_of, ids)).decode("utf-8", "replace")
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of consecutive spans of ids, from each end to the next, special tokens included.
 
-    def _bytes_of(self, i: int) -> bytes:
-        return self.bytes_of.get(i, b"")
+        The bytes of all ids are gathered at once. Ids outside the vocabulary are left out, broken UTF-8 is replaced.
+        """
+        known = np.where((ids >= 0) & (ids < len(self.table) - 1), ids, len(self.table) - 1)
+        gathered = self.table.take(pa.array(known))
+        places = np.frombuffer(gathered.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(gathered.buffers()[2]) if len(ids) else memoryview(b"")
+        return [str(data[places[a] : places[b]], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 class Known(dict):
@@ -159,7 +167,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            found = [words.decode(ids or ()) for ids in batch["ids"].to_pylist()]
+            column = batch["ids"]
+            lengths = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+            found = words.decode_all(column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]))
             yield pa.RecordBatch.from_arrays([batch["id"], batch["ids"], pa.array(found, pa.string())], ["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, text string")
