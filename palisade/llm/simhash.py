@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm import overlap
 from palisade.llm.batches import texts, whole_groups
 from palisade.llm.registry import query
 from palisade.llm.unions import connected_components, join_sets
@@ -189,24 +190,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _rooted(classes: DataFrame, radius: int) -> DataFrame:
     """``(fp, first_id, root)`` of classes of equal fingerprints; root is the smallest fingerprint of the component."""
-    nodes = connected_components(links(classes.select("fp"), radius))
+    return _rooted_by(classes, links(classes.select("fp"), radius))
+
+
+def _rooted_by(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(fp, first_id, root)`` of classes linked by ``edges``; root is the smallest class of the component."""
+    nodes = connected_components(edges)
     return classes.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The row with the smallest id of each group of near-duplicates, with the columns of ``docs`` as they are.
 
-    A row is known by its id and a hash of its text. If the smallest id has several texts, the smallest hash stays; of rows
-    that repeat both, one stays. Groups without any id keep the row with the smallest hash.
+    Two rows are linked if the sets of their shingles of ``width`` words have a Jaccard similarity of ``similarity`` at least;
+    a group is linked directly or through others (``palisade.llm.overlap``, exact). A row is known by its id and a hash of its
+    text. If the smallest id has several texts, the smallest hash stays; of rows that repeat both, one stays. Groups without
+    any id keep the row with the smallest hash.
     """
     spare = [f"{_unused(docs.columns)}{k}" for k in range(2)]
-    found = materialize(fingerprints(docs, id_col, text_col, extra=F.xxhash64(text_col)), "fingerprints")
-    classes = found.groupBy("fp").agg(F.min(_row_order()).alias("first"))
-    rooted = _rooted(classes.select("fp", F.col("first").alias("first_id")), 3)
+    marked = docs.withColumns({spare[0]: F.col(id_col).cast("long"), spare[1]: F.xxhash64(text_col)})
+    chosen_texts = marked.select(F.col(spare[0]).alias("id"), F.col(spare[1]).alias("extra"), F.col(text_col).alias("text"))
+    found = materialize(overlap.shingle_sets(chosen_texts, width, similarity), "sets")
+    classes = found.groupBy("fp").agg(F.min(_row_order()).alias("first_id"))
+    rooted = _rooted_by(classes, overlap.links(chosen_texts, found, classes, width, similarity))
     chosen = rooted.groupBy("root").agg(F.min("first_id").alias("r")).select(F.col("r.id").alias(spare[0]), F.col("r.extra").alias(spare[1]))
     copies = found.groupBy("id", "extra").agg(F.count(F.lit(1)).alias("n"))
     keyed = chosen.join(copies, F.col(spare[0]).eqNullSafe(F.col("id")) & (F.col(spare[1]) == F.col("extra"))).select(*spare, "n")
-    marked = docs.withColumns({spare[0]: F.col(id_col).cast("long"), spare[1]: F.xxhash64(text_col)})
     a, b = marked.alias("a"), keyed.withColumnsRenamed({spare[0]: f"{spare[0]}k", spare[1]: f"{spare[1]}k"}).alias("b")
     match = F.col(f"a.{spare[0]}").eqNullSafe(F.col(f"b.{spare[0]}k")) & (F.col(f"a.{spare[1]}") == F.col(f"b.{spare[1]}k"))
     once = a.join(b.where("n = 1"), match, "left_semi").select(*[F.col(f"a.`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palisade.llm import simhash, unions, vectors
+from palisade.llm import overlap, simhash, unions, vectors
 from palisade.llm.registry import queries
 
 
@@ -90,6 +90,34 @@ def test_one_of_each_keeps_a_row_of_every_group(spark):
     assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == sorted([(1, a), (2, b), (None, "only without an id here"), (8, "")], key=str)
 
 
+def plain_sets(texts):
+    words = [(t or "").encode().lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in words]
+
+
+@pytest.mark.parametrize("limits", [{}, {"PIECE_ROWS": 4, "COMMON": 10, "COLUMNS": 16}, {"SAMPLED_ROWS": 0, "SAMPLE": 3}])
+def test_one_of_each_finds_one_word_edits_like_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(overlap, name, value)
+    r = random.Random(6)
+    line = " ".join(f"common{i}" for i in range(12))
+    rows = []
+    for _ in range(25):
+        own = [f"W{r.randrange(400)}é" for _ in range(r.choice([3, 20, 64, 90]))]
+        rows.append(" ".join(own))
+        for _ in range(r.randrange(5)):
+            edited = list(own)
+            edited[r.randrange(len(own))] = f"edit{r.randrange(9)}"
+            rows.append(" ".join(edited[: r.choice([len(own), len(own) - 2])]) + r.choice(["", "", " " + line]))
+    rows += [line, line + " more", None, "", "one", "ONE", "one two three four five", "six seven"]
+    sets = plain_sets(rows)
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in alike if (plain_fingerprint(rows[i]) ^ plain_fingerprint(rows[j])).bit_count() > 3]
+    root = reachable(range(len(rows)), alike)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert far and {x["doc_id"] for x in simhash.one_of_each(docs).collect()} == {k for k in root if root[k] == k}
+
+
 def test_empty_tables(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
