@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palisade.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = ("warc", "quality", "vectors", "bpe", "simhash", "blocks", "packing", "ppm", "weaklabels", "chat", "merkle", "piecemodel")
+_MODULES = ("warc", "quality", "vectors", "bpe", "simhash", "blocks", "packing", "ppm", "weaklabels", "chat", "merkle", "piecemodel", "negatives")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
