@@ -1,12 +1,12 @@
 """Token ids of the lower-casing word vocabulary, as little-endian unsigned 32-bit numbers.
 
-The normaliser and the word pattern of the file are applied to the whole text, and the library's BPE model encodes each word
-once: words repeat, so their ids are kept in a bounded table.
+Texts are cut at spaces, which no word holds. ASCII chunks are lower-cased and split by the word pattern; others go through the
+library's normaliser and pre-tokenizer. The library's BPE model encodes each word once: words and chunks repeat, so their ids
+are kept in bounded tables.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from functools import lru_cache
 from struct import pack
 
@@ -30,19 +30,22 @@ class WordEncoder:
         marks = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.stops, self.markers = regex.compile(marks).split, regex.compile(marks).findall
         self.split = regex.compile(WORDS).findall
+        self.normalize, self.pieces = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.words, self.chunks = Known(self._word), Known(self._chunk)
 
-    def _word(self, word: str) -> bytes:
-        plain = word.isascii() and word.isprintable()  # such letters stand for themselves
-        letters = word if plain else word.encode().decode("latin-1").translate(self.letter_of)
+    def _letters(self, letters: str) -> bytes:
         ids = [t.id for t in self.merge(letters)]
         return pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        chunk = unicodedata.normalize("NFC", chunk)
-        # the library lower-cases letter by letter; only the capital sigma depends on its place otherwise
-        chunk = "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
-        return b"".join(map(self.words.__getitem__, self.split(chunk)))
+        if chunk.isascii():
+            return b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
+        # what is a letter, a digit or a capital is the library's own affair: its tables may be of another Unicode version
+        pieces = self.pieces(self.normalize(chunk))
+        return b"".join([self._letters(letters) for letters, _ in pieces])
+
+    def _word(self, word: str) -> bytes:
+        return self._letters(word if word.isprintable() else word.translate(self.letter_of))
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))  # no word holds white space
