@@ -4,8 +4,8 @@ Built levels are stored as node rows linked to their parents. A recursive query
 appends the siblings found there, folds the leaf's own (perhaps tampered) hash with them, and goes on to the next parent.
 
 Rows are numbered in the order of the tree. A node's row is repeated for every block of ``BLOCK`` such numbers below it, and
-a leaf meets the copy of its own block: so the root, which every leaf meets, is no hot key. A step carries only the hash
-folded so far; the siblings of each step are rows of the result and are put together once at the end.
+a leaf meets the copy of its own block: so the root, which every leaf meets, is no hot key. A step climbs two levels and
+carries only the hash folded so far; the siblings of each step are rows of the result and are put together once at the end.
 """
 
 from __future__ import annotations
@@ -83,9 +83,11 @@ def levels(leaves: DataFrame, label: str) -> DataFrame:
 
 
 def parent_links(nodes: DataFrame, sources: int) -> DataFrame:
-    """Node rows with the key of their parent and their place below it, a copy for every block of rows below the node.
+    """Node rows linked to their parents, a copy for every block of rows below the node.
 
-    The root of a group is a leaf of the tree of sources; the root of all has no parent.
+    A row holds its own children's digests, its place below its parent, the parent's children's digests, and the parent's own
+    link, so that one look-up climbs two levels. The root of a group is a leaf of the tree of sources; the root of all has no
+    parent.
     """
     top = F.col("n") == 1
     leaf_of_sources = top & (F.col("g") != SOURCES) & F.lit(sources > 1)
@@ -96,20 +98,40 @@ def parent_links(nodes: DataFrame, sources: int) -> DataFrame:
         F.when(leaf_of_sources, F.col("g")).when(~top, F.col("pos")).cast("long").alias("up_from"),
     )
     blocks = F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK)))
-    return linked.select(
+    rows = linked.select(
         blocks.alias("block"), "g", "level", "pos", "kids", "up_g", "up_level",
         F.floor(F.col("up_from") / ARITY).alias("up_pos"), (F.col("up_from") % ARITY).cast("int").alias("up_place"),
     )
+    # a leaf's path takes every second row of its group, each of which also holds the row above
+    above = rows.select(
+        "block", F.col("g").alias("up_g"), F.col("level").alias("up_level"), F.col("pos").alias("up_pos"), F.col("kids").alias("up_kids"),
+        F.col("up_g").alias("next_g"), F.col("up_level").alias("next_level"), F.col("up_pos").alias("next_pos"), F.col("up_place").alias("next_place"),
+    )
+    taken = rows.where((F.col("g") == SOURCES) | (F.col("level") % 2 == 1))
+    return taken.join(above, ["block", "up_g", "up_level", "up_pos"], "left").drop("up_g", "up_level", "up_pos")
+
+
+def _siblings(kids: str, place: str) -> tuple[str, str]:
+    """SQL for the digests before and after a place."""
+    return f"substring({kids}, 1, 32 * {place})", f"substring({kids}, 32 * {place} + 33)"
+
+
+def _fold(kids: str, place: str, own: str) -> str:
+    """SQL for the parent's digest, with ``own`` at its place among the children."""
+    before, after = _siblings(kids, place)
+    return f"unhex(sha2(lower(hex(concat({before}, {own}, {after}))), 256))"
 
 
-CLIMB = """
+_PARENT = _fold("n.kids", "c.place", "c.digest")
+CLIMB = f"""
 WITH RECURSIVE climb MAX RECURSION LEVEL 200 AS (
-  SELECT at, 0 AS step, g, level, pos, place, digest, CAST('' AS BINARY) AS siblings FROM {starts}
+  SELECT at, 0 AS step, g, level, pos, place, digest, CAST('' AS BINARY) AS siblings FROM {{starts}}
   UNION ALL
-  SELECT c.at, c.step + 1, n.up_g, n.up_level, n.up_pos, n.up_place,
-    unhex(sha2(lower(hex(concat(substring(n.kids, 1, 32 * c.place), c.digest, substring(n.kids, 32 * c.place + 33)))), 256)),
-    concat(substring(n.kids, 1, 32 * c.place), substring(n.kids, 32 * c.place + 33))
-  FROM climb c JOIN {nodes} n ON n.block = c.at DIV {block} AND n.g = c.g AND n.level = c.level AND n.pos = c.pos
+  SELECT c.at, c.step + 1, n.next_g, n.next_level, n.next_pos, n.next_place,
+    CASE WHEN n.up_kids IS NULL THEN {_PARENT} ELSE {_fold("n.up_kids", "n.up_place", _PARENT)} END,
+    CASE WHEN n.up_kids IS NULL THEN concat({", ".join(_siblings("n.kids", "c.place"))})
+      ELSE concat({", ".join(_siblings("n.kids", "c.place") + _siblings("n.up_kids", "n.up_place"))}) END
+  FROM climb c JOIN {{nodes}} n ON n.block = c.at DIV {BLOCK} AND n.g = c.g AND n.level = c.level AND n.pos = c.pos
 )
 SELECT at, step, digest, siblings FROM climb
 """
@@ -122,7 +144,7 @@ def climb(starts: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     spark = starts.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # rows of the recursion grow with the input
-    steps = spark.sql(CLIMB.format(starts="{starts}", nodes="{nodes}", block=BLOCK), starts=starts, nodes=nodes)
+    steps = spark.sql(CLIMB, starts=starts, nodes=nodes)
     met = F.sort_array(F.collect_list(F.struct("step", "siblings")))["siblings"]
     return steps.groupBy("at").agg(F.max_by("digest", "step").alias("folded"), met.alias("met")).select(
         "at", "folded", digest(F.lower(F.array_join(F.transform("met", F.hex), ""))).alias("proof")
