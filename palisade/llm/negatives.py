@@ -72,7 +72,8 @@ class Codebooks:
         self.books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.codewords = codewords
         for width in sorted({len(v) for v in sample}):
-            rows = np.array([v for v in sample if len(v) == width], np.float64).reshape(-1, width)
+            own = [v for v in sample if len(v) == width]
+            rows = np.array(own, np.float64).reshape(len(own), width)
             self.books[width] = fit_codewords(rows[:, : width // 2], codewords), fit_codewords(rows[:, width // 2 :], codewords)
 
     def of(self, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palisade.llm import chat, ppm, quality, simhash, warc, weaklabels
+from palisade.llm import chat, merkle, ppm, quality, warc, weaklabels
 from palisade.llm.registry import oracles, queries
 
 
@@ -343,6 +343,11 @@ def test_chat_query(spark, small):
 # --- pipeline
 
 
+def five_word_set(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_pipeline_like_its_parts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     left = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -351,14 +356,15 @@ def test_pipeline_like_its_parts(spark, small):
     filtered = docs.where(F.col("doc_id").isin(sorted(left)))
     scorer = weaklabels.fit(filtered, spark.read.parquet(f"{small}/labels.parquet"))
     left = {k: t for k, t in left.items() if max(scorer.score(t or "")) < 0.5}
-    prints = {k: simhash.fingerprint(t or "") for k, t in left.items()}
+    sets = {k: five_word_set(t) for k, t in left.items()}
     root = {k: k for k in left}
     changed = True
     while changed:
         changed = False
         for a in left:
             for b in left:
-                if (prints[a] ^ prints[b]).bit_count() <= 3 and root[a] < root[b]:
+                alike = sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+                if alike and root[a] < root[b]:
                     root[b], changed = root[a], True
     kept = {k for k in left if root[k] == k}
     found = corpus_pipeline.run(spark, small).collect()
@@ -375,3 +381,75 @@ def test_stages_take_odd_rows(spark, small):
             if name != "packing":
                 assert docs.columns == given.columns
         assert docs.select("doc_id").distinct().count() == rows
+
+
+# --- manifest
+
+
+def plain_manifest(rows):
+    """Rows (doc_id, source, lang, n_chars, text) -> list of (doc_id, leaf, subroot, root, proof, folded, verified)."""
+
+    def h(data):
+        return hashlib.sha256(data.encode()).hexdigest()
+
+    def leaf(row):
+        return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def bent(row):
+        odd = row[0] is None or zlib.crc32(str(row[0]).encode()) % 2
+        return row if odd or row[4] is None else (*row[:4], row[4].replace("\n", ""))
+
+    def build(nodes):
+        """Levels of a tree, from the leaves to the one node left."""
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([h("".join(levels[-1][i : i + 3])) for i in range(0, len(levels[-1]), 3)])
+        return levels
+
+    def rise(levels, place, own):
+        met = ""
+        for level in levels[:-1]:
+            run = level[place // 3 * 3 : place // 3 * 3 + 3]
+            before, after = "".join(run[: place % 3]), "".join(run[place % 3 + 1 :])
+            met, own, place = met + before + after, h(before + own + after), place // 3
+        return met, own
+
+    order = sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[0] is not None, r[0] or 0, leaf(r)))
+    sources = list(dict.fromkeys(r[1] for r in order))
+    groups = {s: [r for r in order if r[1] == s] for s in sources}
+    lower = {s: build([leaf(r) for r in groups[s]]) for s in sources}
+    upper = build([lower[s][-1][0] for s in sources])
+    found = []
+    for at, s in enumerate(sources):
+        for place, r in enumerate(groups[s]):
+            one, own = rise(lower[s], place, leaf(bent(r)))
+            two, own = rise(upper, at, own)
+            found.append((r[0], leaf(r), lower[s][-1][0], upper[-1][0], h(one + two), own, own == upper[-1][0]))
+    return found
+
+
+def manifest_rows(spark, rows):
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, source string, lang string, n_chars int, text string, digest int, key string").repartition(3)
+    text = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return [(r["key"], *(r[c].hex() for c in ("leaf", "subroot", "root", "proof", "folded")), r["verified"]) for r in merkle.manifest(docs, {"text": text}).collect()]
+
+
+@pytest.mark.parametrize("sizes", [[1], [2], [3], [4], [1, 1], [9, 1, 10], [28, 3, 1, 1, 5, 2, 40, 1, 1, 1, 2]])
+def test_manifest_of_trees_of_all_shapes(spark, monkeypatch, sizes):
+    monkeypatch.setattr(merkle, "BLOCK", 4)  # many blocks: the upper nodes are repeated
+    monkeypatch.setattr(merkle, "CLIMB", merkle.CLIMB.replace("DIV 8192", "DIV 4"))
+    rows = [(100 * s + i, f"source{s}", "en", i, f"text {i}\nof {s}") for s, n in enumerate(sizes) for i in range(n)]
+    assert sorted(manifest_rows(spark, rows)) == sorted(plain_manifest(rows))
+
+
+def test_manifest_of_odd_rows(spark):
+    rows = [(None, None, None, None, None), (1, None, "de", 3, "a\nb"), (2, "é", "en", 1, ""), (2, "é", "en", 1, ""), (2, "é", "fr", 1, "\n" * 5), (3, "z", "en", 0, "x" * 100_000 + "\n"), (-4, "z", None, None, None)]
+    assert sorted(manifest_rows(spark, rows), key=str) == sorted(plain_manifest(rows), key=str)
+    assert manifest_rows(spark, []) == []
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars int, text string")
+    assert merkle.manifest(docs).where("verified").count() == len(rows)  # nothing tampered with
+
+
+def test_manifest_query(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    assert sorted(map(tuple, queries()["op12_recursive_manifest"](spark, small).collect())) == sorted(plain_manifest(rows))

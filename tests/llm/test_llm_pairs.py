@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palisade.llm import overlap, simhash, unions, vectors
+from palisade.llm import negatives, overlap, simhash, unions, vectors
 from palisade.llm.registry import queries
 
 
@@ -179,3 +179,105 @@ def test_a_hot_group_isnt_expanded(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same words in every one of these").otherwise(F.concat(F.lit("word "), F.col("id"), F.lit(" more "), F.col("id") * 7)).alias("text"))
     found = simhash.near_duplicates(docs)
     assert found.where("component = 0").count() >= 6667
+
+
+# --- hard negatives
+
+
+def plain_negatives(rows, anchors, positives=5, count=3, low=50, high=95):
+    """Rows (id, label, whole-number vector or None) by comparing every anchor with every row."""
+    usable = [r for r in rows if r[0] is not None and r[1] is not None and r[2] is not None]
+    found = []
+    for key, label, vector in usable:
+        if not anchors(key):
+            continue
+        scored = [(-sum(a * b for a, b in zip(vector, v)), k, other) for k, other, v in usable if k != key and len(v) == len(vector)]
+        for minus, positive, _ in sorted(s for s in scored if s[2] == label)[:positives]:
+            fits = sorted((m, k) for m, k, other in scored if other != label and low * -minus <= 100 * -m <= high * -minus)
+            found += [(key, positive, rank, k, -minus, -m) for rank, (m, k) in enumerate(fits[:count], 1)]
+    return sorted(found)
+
+
+def mined(spark, rows, every, **settings):
+    table = spark.createDataFrame([(k, label, v, 1, "x") for k, label, v in rows], "vec_id long, label int, embedding array<double>, cell int, path string").repartition(3)
+    return sorted(map(tuple, negatives.mine(table, anchors=F.col("vec_id") % every == 0, scale=1, **settings).collect()))
+
+
+@pytest.mark.parametrize("cell_rows, piece", [(256, 4096), (2, 3)])
+def test_negatives_like_brute_force(spark, monkeypatch, cell_rows, piece):
+    monkeypatch.setattr(negatives, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(negatives, "PIECE", piece)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-200, 200, (6, 8))
+    rows = [(i, int(rng.integers(0, 3)), (centres[i % 6] + rng.integers(-40, 40, 8)).tolist()) for i in range(300)]
+    rows += [(400 + i, i % 2, rows[5][2]) for i in range(30)]  # ties
+    rows += [(500, 1, rows[5][2]), (500, 1, rows[5][2]), (505, 0, rows[6][2])]  # repeated rows, an anchor among them
+    rows += [(600, 1, [0] * 8), (605, 1, []), (606, 0, []), (607, 1, []), (610, 1, [5, 6]), (611, 1, [5, 7]), (612, 0, [4, 5]), (615, 1, [3]), (616, 1, [3]), (617, 2, [2])]
+    odd = [(None, 1, rows[5][2]), (700, None, rows[5][2]), (705, 1, None)]
+    wanted = plain_negatives(rows + odd, lambda k: k % 5 == 0)
+    floats = [(k, label, None if v is None else [float(x) for x in v]) for k, label, v in rows + odd]
+    floats += [(710, 1, [float("nan")] * 8), (715, 1, [float("inf")] + [1.0] * 7), (720, 1, [None] + [1.0] * 7)]
+    assert len(wanted) > 100 and {w[0] for w in wanted} >= {500, 610}
+    assert mined(spark, floats, 5) == wanted
+    assert mined(spark, floats, 5, sample=4) == wanted  # most vectors far from all codewords, widths without any
+
+
+def test_negatives_of_long_vectors_and_none(spark):
+    far = [(i, i % 2, [float((i * 7919 % 1000) << 20), float((i * 104729 % 1000) << 20), 1.0]) for i in range(60)]  # products beyond 2 ** 53
+    whole = [(k, label, [int(x) for x in v]) for k, label, v in far]
+    assert mined(spark, far, 5) == plain_negatives(whole, lambda k: k % 5 == 0)
+    assert mined(spark, [], 5) == [] and mined(spark, [(1, 1, [1.0])], 5) == []
+    table = spark.createDataFrame([(0, [0.999, -0.001], 1)], "vec_id long, embedding array<double>, label int")
+    assert negatives.mine(table).count() == 0
+
+
+def test_cells_come_in_falling_order():
+    rng = np.random.default_rng(1)
+    for a, b in ((1, 1), (1, 7), (6, 1), (5, 9)):
+        left, right = rng.integers(0, 6, a).astype(float), rng.integers(0, 6, b).astype(float)
+        walked = list(negatives.falling_cells(left, right))
+        assert sorted((i, j) for _, i, j in walked) == [(i, j) for i in range(a) for j in range(b)]
+        assert [w[0] for w in walked] == sorted((x + y for x in left for y in right), reverse=True)
+
+
+def test_few_cells_are_read_where_groups_lie_apart():
+    """The certificate stops early, and what it returns is still what comparing all rows gives."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((30, 8))
+    centres *= 2000 / np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = [(i, i % 2, (centres[i % 30] * (0.8 if i // 30 % 2 else 1) + rng.integers(-9, 9, 8)).astype(int).tolist()) for i in range(1201)]
+    rows = [(i, (i + i // 30) % 2, v) for i, _, v in rows]
+    books = negatives.Codebooks([v for _, _, v in rows], 60)
+    vectors_of = np.array([v for _, _, v in rows], float)
+    placed, left, right = books.place(vectors_of)
+
+    class InMemory:
+        def __init__(self):
+            self.books, self.reads = books, []
+            self.reach = {(8, c): (left[placed == c].max(), right[placed == c].max()) for c in set(placed.tolist())}
+            self.radius = {8: tuple(np.array([r[codes == k].max(initial=-np.inf) for k in range(len(book))]) for r, codes, book in zip((left, right), (placed // 60, placed % 60), books.of(8)))}
+
+        def read(self, width, cell):
+            self.reads.append(cell)
+            own = np.flatnonzero(placed == cell)
+            yield np.array([rows[i][0] for i in own]), np.array([rows[i][1] for i in own]), vectors_of[own]
+
+    found, reads, cells = [], 0, InMemory()
+    for key in range(0, 1201, 100):
+        anchor = negatives.Anchor(key, rows[key][1], np.array(rows[key][2]), cells, 5)
+        negatives.certify([anchor], cells)
+        anchor.windows = [negatives.Window(k, -minus, 50, 95, 3) for minus, k in anchor.held]
+        anchor.start()
+        negatives.certify([anchor], cells)
+        found += [(key, w.positive, rank, k, w.score, -minus) for w in anchor.windows for rank, (minus, k) in enumerate(w.held, 1)]
+    assert sorted(found) == plain_negatives(rows, lambda k: k % 100 == 0) and len(found) > 100
+    assert len(cells.reads) < 13 * 2 * len(cells.reach) / 4
+
+
+def test_negatives_query(spark, small):
+    rows = []
+    for r in spark.read.parquet(f"{small}/embeddings.parquet").collect():
+        label = r["label"] if r["vec_id"] % 7 or r["label"] is None else (r["label"] + 1) % 10
+        good = r["embedding"] is not None and all(x is not None and np.isfinite(x) for x in r["embedding"])
+        rows.append((r["vec_id"], label, [int(np.floor(256 * float(x))) for x in r["embedding"]] if good else None))
+    assert sorted(map(tuple, queries()["op11_inverted_multi_index"](spark, small).collect())) == plain_negatives(rows, lambda k: k % 50 == 0)

@@ -1,5 +1,6 @@
 """Token operators against the tokenizers library and exact round trips."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -7,11 +8,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from palisade.llm import blocks, bpe, packing, wordtokens
+from palisade.llm import blocks, bpe, packing, piecemodel, wordtokens
 from palisade.llm.registry import queries
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -198,3 +200,102 @@ def test_packing_query(spark, small, library):
     for r in rows:
         own = ids[r["doc_id"]]
         assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+# --- characters and words that two libraries may see otherwise
+
+CHARACTERS = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+def in_context():
+    """Every character alone, and beside letters, digits, marks and spaces."""
+    for start in range(0, len(CHARACTERS), 1 << 14):
+        yield [form for c in CHARACTERS[start : start + (1 << 14)] for form in (c, f"a{c}b 1{c}:{c} {c}")]
+
+
+def test_every_character_like_the_libraries(library):
+    byte_library, word_library = library
+    bytes_of, words = bpe.vocabulary(BYTES), wordtokens.word_encoder(WORDS)
+    for texts in in_context():
+        for text, found in zip(texts, byte_library.encode_batch(texts, add_special_tokens=False)):
+            assert bytes_of.encode(text).tolist() == found.ids, ascii(text)
+        for text, found in zip(texts, word_library.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(words.encode(text), "<u4").tolist() == found.ids, ascii(text)
+
+
+def test_words_of_newer_unicode_versions_by_name():
+    lib = Tokenizer.from_file(WORDS)
+    for text in (":\u0558", "\u0558\u058b\u058c", "x\u208f\u209d\u209e\u209f", "\ua7dd1", ":\U00018d80", "\u0558 \u0558:"):
+        assert np.frombuffer(wordtokens.word_encoder(WORDS).encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+# --- byte-level BPE by a serialised sentencepiece model
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    ranks = piecemodel.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return piecemodel.piece_model(RANKS, public_tokenizers.PATTERN), library
+
+
+def test_piece_model_like_the_library(pieces):
+    model, library = pieces
+
+    @settings(max_examples=400, deadline=None)
+    @given(texts)
+    def check(text):
+        ids = library.encode_ordinary(text)
+        assert model.encode(text).tolist() == ids
+        assert model.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0] == text.encode()
+
+    check()
+    for batch in in_context():
+        for text in batch:
+            assert model.encode(text).tolist() == library.encode_ordinary(text), ascii(text)
+    for token in piecemodel.read_ranks(RANKS):
+        text = token.decode("utf-8", "ignore")
+        assert model.encode(text).tolist() == library.encode_ordinary(text)
+
+
+def test_serialised_model_is_the_vocabulary(pieces):
+    model, _ = pieces
+    ranks = piecemodel.read_ranks(RANKS)
+    assert model.model.get_piece_size() == len(ranks) + 1 and model.model.unk_id() == len(ranks)
+    assert {v: k for k, v in model.bytes_of.items()} == ranks
+    assert all(model.model.get_score(i) == -i for i in range(0, len(ranks), 997))
+
+
+def test_piece_model_of_scattered_ranks(tmp_path):
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc", b"cab"]  # "cab" can't be merged from its parts: only a whole match
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {i * 3 + 5}\n" for i, t in enumerate(tokens)))
+    ranks = piecemodel.read_ranks(str(path))
+    library = tiktoken.Encoding("few", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    model = piecemodel.PieceModel(str(path), public_tokenizers.PATTERN)
+    for text in ("abc", "cab", "xcab", "abcabcab bc", "aabbcc", "", "é"):
+        assert model.encode(text).tolist() == library.encode_ordinary(text)
+    assert model.decode_all(np.array([-1, 5 + 3 * 97, 999_999]), np.array([0, 3])) == [b"a"]
+
+
+def test_piece_model_tables(spark, pieces):
+    _, library = pieces
+    back = piecemodel.decode(piecemodel.encode(table(spark), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    wanted = sorted(((k, library.encode_ordinary(t or ""), (t or "").encode()) for k, t in ROWS), key=str)
+    assert sorted(((r["id"], r["ids"], bytes(r["data"])) for r in back), key=str) == wanted
+    nothing = piecemodel.encode(spark.createDataFrame([], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
+    assert piecemodel.decode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+    lost = spark.createDataFrame([(1, None)], "id long, ids array<int>")
+    assert [tuple(r) for r in piecemodel.decode(lost, RANKS, public_tokenizers.PATTERN).collect()] == [(1, None, b"")]
+
+
+def test_piece_model_query(spark, small, pieces):
+    _, library = pieces
+    wanted = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        ids = library.encode_ordinary(r["text"] or "")
+        wanted[r["doc_id"]] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
+    found = {r["doc_id"]: tuple(r)[1:4] for r in queries()["op13_piece_model_bpe"](spark, small).collect()}
+    assert found == wanted
