@@ -142,6 +142,25 @@ def dns_facts(df: DataFrame, domain: str, records: DataFrame, blocklist: DataFra
     )
 
 
+def domain_facts(registrations: DataFrame, records: DataFrame, reference: Column) -> DataFrame:
+    """``(domain, days_since_registration, dnssec_enabled)``: both snapshots reduced to one row per domain and put together."""
+    ages = registrations.groupBy("domain").agg(F.min(age_in_days(F.get("created", F.lit(0)), reference)).alias("days_since_registration"))
+    keys = records.groupBy("domain").agg(F.min((F.col("dnskeys") > 0).cast("int")).alias("dnssec_enabled"))
+    return ages.join(keys, "domain", "full")
+
+
+def with_domain_facts(df: DataFrame, domain: str, facts: DataFrame) -> DataFrame:
+    """``df`` with ``days_since_registration`` (-1 where unknown) and ``dnssec_enabled`` (0 where unknown), by one look-up."""
+    names = {"days_since_registration": -1, "dnssec_enabled": 0}
+    found = lookup(df, domain, facts, "domain", {n: F.col(n) for n in names})
+    return found.withColumns({n: F.coalesce(n, F.lit(unknown)) for n, unknown in names.items()})
+
+
+def url_record(df: DataFrame, facts: DataFrame, url: str = "url") -> DataFrame:
+    """The whole feature record of each URL: the features of its text and the facts of its registered domain."""
+    return with_domain_facts(urls.url_features(df, url), "registered_domain", facts)
+
+
 def asn_reputation(df: DataFrame, ip: str, asns: DataFrame) -> DataFrame:
     """Network number, description, hosting risk and data-centre flag of an address."""
     facts = {

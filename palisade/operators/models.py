@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial, reduce
 from math import exp
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions import numeric
 from palisade.functions.urls import url_features
+from palisade.operators.enrichment import url_record
 from palisade.operators.features import process_features
 from palisade.operators.ranking import bin_index, quantiles, ranking_quality, stratified_folds
 from palisade.operators.reports import class_weights
+from palisade.operators.sequences import SequenceModel
 from palisade.storage import materialize
 
 # Feature order of the flow model, class weights and thresholds, and the feature names below.
@@ -30,7 +36,7 @@ SEED = 42
 URL_NUMBERS = (
     "uses_https", "port_number", "has_ipv4", "has_ipv6", "is_shortened", "subdomain_count", "domain_length", "is_idn",
     "path_depth", "num_params", "has_suspicious_param", "entropy", "special_char_ratio", "hex_char_count",
-    "obfuscation_score",
+    "obfuscation_score", "days_since_registration", "dnssec_enabled",
 )
 URL_CATEGORIES = ("tld", "file_extension")
 PROCESS_NUMBERS = (
@@ -80,9 +86,16 @@ def feature_importance(model: PipelineModel, flows: DataFrame, names: Sequence[s
 # --- URL and text --------------------------------------------------------------------------------------
 
 
-def phishing_inputs(samples: DataFrame, url: str = "url") -> DataFrame:
-    """Samples with URL features; unknown numbers are 0, unknown categories ``none``."""
-    return url_features(samples, url).fillna(0, subset=list(URL_NUMBERS)).fillna("none", subset=list(URL_CATEGORIES))
+def phishing_inputs(samples: DataFrame, url: str = "url", facts: DataFrame | None = None) -> DataFrame:
+    """Samples with the whole URL record; unknown numbers are 0, unknown categories ``none``.
+
+    ``facts`` are the ``domain_facts`` of the registered domains; without them age and keys are unknown (-1 and 0).
+    """
+    if facts is None:
+        record = url_features(samples, url).withColumns({"days_since_registration": F.lit(-1), "dnssec_enabled": F.lit(0)})
+    else:
+        record = url_record(samples, facts, url)
+    return record.fillna(0, subset=list(URL_NUMBERS)).fillna("none", subset=list(URL_CATEGORIES))
 
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
@@ -93,7 +106,10 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return df.filter(F.col(label).isNotNull()).withColumn("weight", weight)
 
 
-def phishing_stages(words: int = 1 << 15) -> list:
+WORDS = 1 << 15  # hashed slots of a text's words
+
+
+def phishing_stages(words: int = WORDS) -> list:
     """Stages up to the feature vector."""
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_at", handleInvalid="keep") for c in URL_CATEGORIES]
     one_hot = OneHotEncoder(inputCols=[f"{c}_at" for c in URL_CATEGORIES], outputCols=[f"{c}_hot" for c in URL_CATEGORIES])
@@ -115,17 +131,20 @@ class PhishingModel:
     classifier: LogisticRegressionModel
 
     @classmethod
-    def fit(cls, inputs: DataFrame, label: str = "label") -> PhishingModel:
+    def fit(cls, inputs: DataFrame, label: str = "label", words: int = WORDS) -> PhishingModel:
         """Fit on prepared inputs. The vectors are written once: every iteration then starts from a plain scan
         instead of carrying the whole feature plan in its tasks, and a lost executor re-reads a file."""
-        stages = Pipeline(stages=phishing_stages()).fit(inputs)
+        stages = Pipeline(stages=phishing_stages(words)).fit(inputs)
         vectors = materialize(cls._vectors(stages, inputs).select(label, "weight", "features"), "phishing-vectors")
-        regression = LogisticRegression(labelCol=label, weightCol="weight", maxIter=50, regParam=0.01)
-        return cls(stages, regression.fit(vectors))
+        return cls(stages, cls.regression(label).fit(vectors))
+
+    @staticmethod
+    def regression(label: str, weight: str = "weight") -> LogisticRegression:
+        return LogisticRegression(labelCol=label, weightCol=weight, maxIter=50, regParam=0.01)
 
     @staticmethod
     def _vectors(stages: PipelineModel, inputs: DataFrame) -> DataFrame:
-        """Inputs with the vector column, without the names of its 32768 hashed slots: they would travel in
+        """Inputs with the vector column, without the names of its hashed slots: they would travel in
         every task of every iteration."""
         rows = stages.transform(inputs)
         return rows.withColumn("features", F.col("features").alias("features", metadata={"names": "dropped"}))
@@ -143,31 +162,48 @@ class PhishingModel:
         return cls(PipelineModel.load(f"{path}/stages"), LogisticRegressionModel.load(f"{path}/classifier"))
 
 
-def train_phishing(samples: DataFrame, label: str = "label") -> PhishingModel:
-    """Logistic model over URL features and hashed text, classes balanced by weight.
+def train_phishing(samples: DataFrame, label: str = "label", facts: DataFrame | None = None, words: int = WORDS) -> PhishingModel:
+    """Logistic model over URL features and hashed text in ``words`` slots, classes balanced by weight.
 
     The URL features are written once, since several stages are fitted on them.
     """
-    return PhishingModel.fit(materialize(weighted(phishing_inputs(samples), label), "phishing-inputs"), label)
+    return PhishingModel.fit(materialize(weighted(phishing_inputs(samples, facts=facts), label), "phishing-inputs"), label, words)
+
+
+def score_phishing(model: PhishingModel, samples: DataFrame, keep: Sequence[str], facts: DataFrame | None = None) -> DataFrame:
+    return model.score(phishing_inputs(samples, facts=facts), keep)
 
 
-def score_phishing(model: PhishingModel, samples: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return model.score(phishing_inputs(samples), keep)
+def _written_vectors(inputs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Feature vectors of prepared inputs, from stages fitted once on all of them, written once.
+
+    The stages see no labels: they number suffixes and file endings and weigh words by the texts that hold them.
+    """
+    stages = Pipeline(stages=phishing_stages()).fit(inputs)
+    return materialize(PhishingModel._vectors(stages, inputs).select(*keep, "weight", "features"), "phishing-vectors")
+
+
+def _at_once(jobs: Sequence[Callable[[], DataFrame]], threads: int = 4) -> list[DataFrame]:
+    """Results of jobs that the driver starts side by side; Spark shares the executors among them."""
+    with ThreadPoolExecutor(threads) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
 
 
 def cross_validate(samples: DataFrame, key: str, label: str = "label", folds: int = 5) -> DataFrame:
     """``(fold, auc, precision_at_recall)`` of stratified cross-validation.
 
-    Features and folds are computed once; each fold's model is a Spark job over the others, and the metrics of
-    all folds come from one ranking pass.
+    Vectors and folds are computed once, the folds' models are fitted side by side, each on the others' rows, and the metrics
+    of all folds come from one ranking pass.
     """
     inputs = materialize(stratified_folds(weighted(phishing_inputs(samples), label), key, label, folds), "phishing-folds")
-    scored = None
-    for fold in range(folds):
-        model = PhishingModel.fit(inputs.filter(F.col("fold") != fold), label)
-        part = model.score(inputs.filter(F.col("fold") == fold), ["fold", label], "score")
-        scored = part if scored is None else scored.unionByName(part)
-    return ranking_quality(scored, "score", label, by=["fold"])
+    vectors = _written_vectors(inputs, ["fold", label])
+
+    def scored(fold: int) -> DataFrame:
+        model = PhishingModel.regression(label).fit(vectors.filter(F.col("fold") != fold))
+        return model.transform(vectors.filter(F.col("fold") == fold)).select("fold", label, positive_probability().alias("score"))
+
+    parts = _at_once([partial(scored, fold) for fold in range(folds)])
+    return ranking_quality(reduce(DataFrame.unionByName, parts), "score", label, by=["fold"])
 
 
 def _poisson_steps() -> list[float]:
@@ -183,17 +219,22 @@ def _poisson_steps() -> list[float]:
 
 
 def bootstrap_scores(samples: DataFrame, key: str, label: str = "label", members: int = 5) -> list[DataFrame]:
-    """Scores of models fitted on Poisson re-weightings of the rows, keyed by a hash so they repeat."""
+    """Scores of models fitted on Poisson re-weightings of the rows, keyed by a hash so they repeat.
+
+    Vectors are computed once, and the members are fitted side by side.
+    """
     inputs = materialize(weighted(phishing_inputs(samples), label), "phishing-inputs")
-    scores = []
-    for member in range(members):
+    vectors = _written_vectors(inputs, [key, label])
+
+    def scored(member: int) -> DataFrame:
         u = F.xxhash64(F.lit(SEED), F.lit(member), F.col(key)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
         copies = F.lit(0)
         for count, below in enumerate(_poisson_steps()):
             copies = F.when(u >= below, count + 1).otherwise(copies)
-        drawn = inputs.withColumn("weight", F.col("weight") * copies).filter(F.col("weight") > 0)
-        scores.append(PhishingModel.fit(drawn, label).score(inputs, [key]))
-    return scores
+        drawn = vectors.withColumn("weight", F.col("weight") * copies).filter(F.col("weight") > 0)
+        return PhishingModel.regression(label).fit(drawn).transform(vectors).select(key, positive_probability().alias("ml_score"))
+
+    return _at_once([partial(scored, member) for member in range(members)])
 
 
 def reliability(scored: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -238,10 +279,10 @@ def process_inputs(processes: DataFrame) -> DataFrame:
     ).fillna(0.0, subset=list(PROCESS_NUMBERS))
 
 
-def train_ransomware(inputs: DataFrame, label: str = "is_ransomware", rounds: int = 20) -> PipelineModel:
+def train_ransomware(inputs: DataFrame, label: str = "is_ransomware", rounds: int = 20, numbers: Sequence[str] = PROCESS_NUMBERS) -> PipelineModel:
     """Boosted trees over process inputs; positives weigh five times as much."""
     weight = F.when(F.col(label) == 1, RANSOMWARE_WEIGHTS[1]).otherwise(RANSOMWARE_WEIGHTS[0])
-    assemble = VectorAssembler(inputCols=list(PROCESS_NUMBERS), outputCol="features")
+    assemble = VectorAssembler(inputCols=list(numbers), outputCol="features")
     trees = GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=4, seed=SEED)
     return Pipeline(stages=[assemble, trees]).fit(inputs.withColumn("weight", weight))
 
@@ -260,6 +301,60 @@ def detection_alerts(scored: DataFrame, key: str, threshold: float = ALERT_THRES
     )
 
 
+TIMELINE_NUMBERS = (*PROCESS_NUMBERS, "sequence_log_odds")
+
+
+def timeline_inputs(windows: DataFrame, sequence: SequenceModel) -> DataFrame:
+    """Model inputs of rows with the arrays ``steps`` and ``entropies`` of their latest events; NULL numbers become 0.
+
+    Every number comes from the row alone, so a batch and a stream give the same.
+    """
+    steps, entropies = F.col("steps"), F.col("entropies")
+    known = lambda a: F.filter(a, lambda x: x.isNotNull())
+    total = lambda a, f: F.aggregate(known(a), F.lit(0.0), lambda s, x: s + f(x))
+    count = lambda a: F.size(known(a)).cast("double")
+    mean = lambda a: F.try_divide(total(a, lambda x: x), count(a))
+    means = windows.withColumns({"sequence_mean": mean(steps), "_entropy_mean": mean(entropies)})
+    spread = lambda a, m: total(a, lambda x: (x - F.col(m)) * (x - F.col(m)))
+    return means.withColumns(
+        {
+            "entropy": F.try_element_at(entropies, F.lit(-1)),
+            "api_calls_per_sec": numeric.per_second(F.col("api_call_count"), F.col("process_duration")),
+            "file_entropy_variance": F.try_divide(spread(entropies, "_entropy_mean"), count(entropies) - 1),
+            "sequence_deviation": F.sqrt(F.try_divide(spread(steps, "sequence_mean"), count(steps))),
+            "sequence_max": F.array_max(steps),
+            "sequence_last": F.try_element_at(steps, F.lit(-1)),
+            "sequence_log_odds": sequence.score(steps),
+        }
+    ).drop("_entropy_mean").fillna(0.0, subset=list(TIMELINE_NUMBERS))
+
+
+@dataclass(frozen=True)
+class TimelineModel:
+    """A sequence model and boosted trees over behaviour as it stood at each event."""
+
+    sequence: SequenceModel
+    trees: PipelineModel
+
+    @classmethod
+    def fit(cls, windows: DataFrame, edges: Sequence[float], label: str = "is_ransomware", rounds: int = 20) -> TimelineModel:
+        """Fit both on labelled windows; the inputs are written once for the rounds of the trees."""
+        sequence = SequenceModel.fit(windows, label, "steps", edges)
+        inputs = materialize(timeline_inputs(windows, sequence).select(label, *TIMELINE_NUMBERS), "timeline-inputs")
+        return cls(sequence, train_ransomware(inputs, label, rounds, TIMELINE_NUMBERS))
+
+    def score(self, windows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        return score_ransomware(self.trees, timeline_inputs(windows, self.sequence), keep)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.sequence.save(spark, f"{path}/sequence")
+        save_model(self.trees, f"{path}/trees")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TimelineModel:
+        return cls(SequenceModel.load(spark, f"{path}/sequence"), load_model(f"{path}/trees"))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

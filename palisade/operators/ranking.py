@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.storage import materialize
+
 BINS = 1024
 SKETCH = 50_000
 HASH_BUCKET_HEX = 3  # 4096 buckets
@@ -168,3 +170,20 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5) -> Dat
     return placed.withColumn("fold", ((F.col("_offset") + F.col("_rank") - 1) % folds).cast("int")).drop(
         "_digest", "_bucket", "_slot", "_label", "_offset", "_rank"
     )
+
+
+def group_positions(df: DataFrame, key: str, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Rows with ``name``, their place from 0 inside ``key`` in the order of the columns ``order``; null keys are one group.
+
+    Rows are spread by range over key and order and sorted where they are, so a hot key takes many partitions. Only the
+    bounds of each key in each partition are added up.
+    """
+    tie = F.monotonically_increasing_id()
+    spread = df.withColumn("_tie", tie).repartitionByRange(key, *order, "_tie").sortWithinPartitions(key, *order, "_tie").drop("_tie")
+    placed = materialize(spread.withColumn("_turn", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_turn", 33)  # the partition a row was sorted in
+    spans = placed.groupBy(part.alias("_part"), F.col(key).alias("_key")).agg(F.min("_turn").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part")) - F.col("_n")
+    shifts = spans.select("_part", "_key", (before - F.col("_first")).alias("_shift"))
+    joined = placed.join(shifts, (part == F.col("_part")) & F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn(name, F.col("_turn") + F.col("_shift")).drop("_turn", "_part", "_key", "_shift")

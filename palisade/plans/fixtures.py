@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.urls import SUFFIXES, URI
+from palisade.operators.ranking import group_positions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -320,30 +321,39 @@ MAILS = """mails AS (
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     size = pages.agg(F.count(F.lit(1))).scalar()
-    labelled = documents.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("page_id", F.col("doc_id") % size)
-    return labelled.join(pages, "page_id").select("doc_id", "url", "text", F.col("toxic").alias("label"))
+    labelled = documents.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("place", F.col("doc_id") % size)
+    placed = labelled.join(by_place(pages, "page_id"), "place").join(pages.select("page_id", "url"), "page_id")
+    return placed.select("doc_id", "url", "text", F.col("toxic").alias("label"))
+
+
+def by_place(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, place)``: the place of each id among all, so that nothing depends on ids without gaps."""
+    placed = group_positions(rows.select(key).withColumn("_all", F.lit(0)), "_all", [key], "place")
+    return placed.select(key, "place")
 
 
 # --- processes -----------------------------------------------------------------------------------------
 
 PROCESSES = """processes AS (
   SELECT e.event_id, e.ts, e.user_id AS process_id, CAST(json_extract(e.props, '$.k') AS BIGINT) AS api_call_count,
-    e.value AS process_duration, e.event_id % (SELECT count(*) FROM documents) AS doc_id,
+    e.value AS process_duration, d.doc_id,
     CASE WHEN e.event_id % 7 = 0 THEN 'a.locky|README_decrypt.txt' ELSE 'b.txt' END AS files,
     CAST(e.value >= 70 AS INTEGER) AS is_ransomware
-  FROM events e)"""
+  FROM events e JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) d ON d.place = e.event_id % (SELECT count(*) FROM documents))"""
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = table(spark, sf_dir, "documents").agg(F.count(F.lit(1))).scalar()
+    documents = table(spark, sf_dir, "documents")
+    size = documents.agg(F.count(F.lit(1))).scalar()
     files = F.when(F.col("event_id") % 7 == 0, "a.locky|README_decrypt.txt").otherwise("b.txt")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").withColumn("place", F.col("event_id") % size).join(by_place(documents, "doc_id"), "place")
+    return events.select(
         "event_id",
         "ts",
         F.col("user_id").alias("process_id"),
         F.get_json_object("props", "$.k").cast("long").alias("api_call_count"),
         F.col("value").alias("process_duration"),
-        (F.col("event_id") % size).alias("doc_id"),
+        "doc_id",
         F.split(files, "[|]").alias("created_files"),
         (F.col("value") >= 70).cast("int").alias("is_ransomware"),
     )

@@ -8,8 +8,8 @@ from palisade.functions import urls
 from palisade.operators import enrichment as en
 from palisade.operators import rules, threats
 from palisade.plans import fixtures as fx
-from palisade.plans.links import _BLACK, listed_samples
-from palisade.plans.registry import query
+from palisade.plans.links import _BLACK, known, listed_samples
+from palisade.plans.registry import query, registered_sql
 from palisade.storage import materialize
 from palisade.sources import intel as sources
 
@@ -226,6 +226,27 @@ def dns_facts(spark, sf):
     return found.select("sample_id", "dnssec", joined("mx").alias("mx"), "authenticated", "dbl_listed")
 
 
+_SAMPLE_FEATURES = ("url_network_features", "url_domain_features", "url_path_features", "url_security_features")
+
+
+@query(
+    "url_feature_record",
+    f"""WITH facts AS (WITH {fx.DECODED}, {_REGISTRATIONS}, {_DNS} SELECT sample_id,
+        coalesce(CAST(floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(created)) / 86400000000.0) AS INTEGER), -1) AS days_since_registration,
+        CAST(coalesce(dnskeys > 0, false) AS INTEGER) AS dnssec_enabled
+      FROM names LEFT JOIN registrations r ON r.domain = registered_domain LEFT JOIN dns ON dns.domain = registered_domain)
+    SELECT * FROM facts JOIN ({') JOIN ('.join(f"{registered_sql(n)}" + f") AS {n} USING (sample_id" for n in _SAMPLE_FEATURES)})""",
+)
+def url_feature_record(spark, sf):
+    """Every feature of every sample, with the age and the keys of its domain."""
+    samples = fx.samples(spark, sf)
+    parsed = urls.with_url_parts(samples)
+    facts = en.domain_facts(registrations(parsed), dns_records(parsed)[0], reference_time())
+    names = [f.name for f in urls.url_features(samples).schema if f.name not in samples.columns]
+    record = en.url_record(samples.select("sample_id", "url"), facts)
+    return known(record.select("sample_id", *names, "days_since_registration", "dnssec_enabled"))
+
+
 _ASNS = """asns AS (SELECT DISTINCT src_ip AS ip, user_id % 250 AS asn,
     CASE user_id % 4 WHEN 0 THEN 'Amazon Technologies' WHEN 1 THEN 'Bulletproof Hosting Ltd' WHEN 2 THEN 'Google Cloud' ELSE 'City Telecom' END AS description
   FROM traffic WHERE user_id % 5 <> 0)"""

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from palisade.functions import indicators as ind
 from palisade.functions import urls
-from palisade.operators import enrichment, features, models, ranking, reports, response, scoring, validation
+from palisade.functions.text import byte_entropy
+from palisade.operators import enrichment, features, models, ranking, reports, response, scoring, sequences, validation
 from palisade.operators.forest import IsolationForest
 from palisade.plans import fixtures as fx
-from palisade.plans.intel import INTELLIGENCE_SQL, url_intelligence_of, url_intelligence_table
+from palisade.plans.intel import INTELLIGENCE_SQL, dns_records, reference_time, registrations, url_intelligence_of, url_intelligence_table
 from palisade.plans.registry import query
 from palisade.storage import materialize, scratch_path
+from palisade.streaming import detection
 
 # --- score arithmetic ----------------------------------------------------------------------------------
 
@@ -169,7 +171,9 @@ def mail_split(spark, sf):
 def phishing_scores(spark, sf):
     """Scores of the mails of fold 0 by a model of the others."""
     split = mail_split(spark, sf)
-    return models.score_phishing(models.train_phishing(split.filter("fold <> 0")), split.filter("fold = 0"), ["doc_id", "label"])
+    parsed = urls.with_url_parts(split)
+    facts = materialize(enrichment.domain_facts(registrations(parsed), dns_records(parsed)[0], reference_time()), "domain-facts")
+    return models.score_phishing(models.train_phishing(split.filter("fold <> 0"), facts=facts), split.filter("fold = 0"), ["doc_id", "label"], facts)
 
 
 @query("phishing_cross_validation")
@@ -278,15 +282,80 @@ def ransomware_ensemble(spark, sf):
     return scored.select("event_id", scoring.ensemble_score(F.col("score"), F.col("decision")).alias("score"))
 
 
+EDGES = (20.0, 40.0, 60.0, 80.0)  # of calls per event, where a step changes its symbol
+
+
+def timeline_samples(spark, sf):
+    """Processes with the arrays of their latest steps and entropies at each event, written once without the content."""
+    documents = fx.table(spark, sf, "documents").select("doc_id", byte_entropy(F.col("text")).alias("entropy"))
+    rows = fx.processes(spark, sf).withColumn("timestamp", F.col("ts").cast("timestamp")).join(documents, "doc_id").drop("created_files", "ts")
+    windows = sequences.trailing_windows(rows, "process_id", "timestamp", "event_id", {"steps": "api_call_count", "entropies": "entropy"})
+    return materialize(windows, "timeline")
+
+
+def step_samples(spark, sf):
+    """Events with their label and the latest steps of their process."""
+    rows = fx.table(spark, sf, "events").select(
+        "event_id", F.col("user_id").alias("process_id"), "ts", F.get_json_object("props", "$.k").cast("long").alias("step"), (F.col("value") >= 70).cast("int").alias("label")
+    )
+    return sequences.trailing_windows(rows, "process_id", "ts", "event_id", {"steps": "step"}, length=STEPS)
+
+
+STEPS, ORDER = 8, 2
+_STEPS = f"""steps AS (SELECT event_id, user_id, ts, CAST(value >= 70 AS INTEGER) AS label, CAST(floor(least(CAST(json_extract(props, '$.k') AS DOUBLE), 99) / 20) AS INTEGER) AS sym FROM events),
+windows AS (SELECT event_id, label, array_agg(sym) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS {STEPS - 1} PRECEDING) AS s FROM steps),
+placed AS (SELECT event_id, label, s, unnest(range(1, len(s) + 1)) AS t FROM windows),
+transitions AS (SELECT label, array_to_string(s[t - k:t - 1], ',') AS context, s[t] AS symbol, count(*) AS n
+  FROM placed, (VALUES (0), (1), (2)) AS o(k) WHERE event_id % 5 <> 0 AND t > k GROUP BY ALL)"""
+_ODDS = f"""{_STEPS}, totals AS (SELECT label, context, sum(n) AS total, count(*) AS kinds FROM transitions GROUP BY ALL),
+symbols AS (SELECT unnest(range(5)) AS symbol), labels_of AS (SELECT unnest([0, 1]) AS label),
+order0 AS (SELECT label, '' AS context, symbol, (coalesce(n, 0) + coalesce(kinds, 0) * 0.2::DOUBLE) / (coalesce(total, 0) + coalesce(kinds, 0)) AS p
+  FROM symbols CROSS JOIN labels_of LEFT JOIN (SELECT * FROM transitions WHERE context = '') USING (label, symbol) LEFT JOIN (SELECT * FROM totals WHERE context = '') USING (label)),
+order1 AS (SELECT b.label, c.symbol::VARCHAR AS context, b.symbol, CASE WHEN total IS NULL THEN p ELSE (coalesce(n, 0) + kinds * p) / (total + kinds) END AS p
+  FROM order0 b CROSS JOIN symbols c LEFT JOIN transitions x ON x.label = b.label AND x.context = c.symbol::VARCHAR AND x.symbol = b.symbol LEFT JOIN totals y ON y.label = b.label AND y.context = c.symbol::VARCHAR),
+order2 AS (SELECT b.label, c.symbol || ',' || b.context AS context, b.symbol, CASE WHEN total IS NULL THEN p ELSE (coalesce(n, 0) + kinds * p) / (total + kinds) END AS p
+  FROM order1 b CROSS JOIN symbols c LEFT JOIN transitions x ON x.label = b.label AND x.context = c.symbol || ',' || b.context AND x.symbol = b.symbol
+  LEFT JOIN totals y ON y.label = b.label AND y.context = c.symbol || ',' || b.context),
+odds AS (SELECT context, symbol, ln(max(p) FILTER (label = 1) / max(p) FILTER (label = 0)) AS log_odds FROM (SELECT * FROM order0 UNION ALL SELECT * FROM order1 UNION ALL SELECT * FROM order2) GROUP BY ALL)"""
+_SCORES = f"""{_ODDS}, sequence_scored AS (SELECT event_id, sum(log_odds) AS log_odds FROM placed JOIN odds
+  ON odds.symbol = s[t] AND odds.context = array_to_string(s[greatest(t - 2, 1):t - 1], ',') GROUP BY event_id)"""
+
+
+@query("sequence_transitions", f"WITH {_STEPS} SELECT label, context, symbol, n FROM transitions")
+def sequence_transitions(spark, sf):
+    """How often each step followed its contexts of up to two steps, by class, over the events that train."""
+    samples = step_samples(spark, sf).filter("event_id % 5 <> 0").select("label", sequences.symbols(F.col("steps"), EDGES).alias("found"))
+    return sequences.transition_counts(samples, "label", "found", ORDER)
+
+
+@query("sequence_log_odds", f"WITH {_ODDS} SELECT context, symbol, round(log_odds, 6) AS log_odds FROM odds")
+def sequence_log_odds(spark, sf):
+    return sequences.log_odds_table(sequence_transitions(spark, sf), len(EDGES) + 1, ORDER).select("context", "symbol", "log_odds")
+
+
+def sequence_scored(spark, sf):
+    samples = materialize(step_samples(spark, sf), "step-samples")
+    model = sequences.SequenceModel.fit(samples.filter("event_id % 5 <> 0"), "label", "steps", EDGES, ORDER)
+    return samples.select("event_id", "label", model.score(F.col("steps")).alias("log_odds"))
+
+
+@query("sequence_scores", f"WITH {_SCORES} SELECT event_id, round(log_odds, 6) AS log_odds FROM sequence_scored")
+def sequence_scores(spark, sf):
+    return sequence_scored(spark, sf).select("event_id", "log_odds")
+
+
+_SUSPICION = 0.1  # log-odds of the alerts below
+
+
 @query(
     "detection_responses",
-    """SELECT event_id AS alert_id, 'First hour' AS playbook, CAST(step AS INTEGER) AS step, action, CASE WHEN action = 'alert_soc' THEN 'completed' ELSE 'failed' END AS status
-    FROM events, (VALUES (1, 'alert_soc'), (2, 'block_ioc'), (3, 'isolate_host')) AS s(step, action) WHERE value / 400.0 > 0.5""",
+    f"""WITH {_SCORES} SELECT event_id AS alert_id, 'First hour' AS playbook, CAST(step AS INTEGER) AS step, action, CASE WHEN action = 'alert_soc' THEN 'completed' ELSE 'failed' END AS status
+    FROM sequence_scored, (VALUES (1, 'alert_soc'), (2, 'block_ioc'), (3, 'isolate_host')) AS s(step, action) WHERE round(log_odds, 6) > {_SUSPICION}""",
 )
 def detection_responses(spark, sf):
-    """Scores above the alert threshold turned into planned actions."""
-    scored = fx.table(spark, sf, "events").select("event_id", (F.col("value") / F.lit(400.0)).alias("score"))
-    alerts = models.detection_alerts(scored, "event_id", 0.5)
+    """Events whose sequence the model finds suspicious, turned into planned actions."""
+    scored = sequence_scored(spark, sf).select("event_id", F.round("log_odds", 6).alias("score"))
+    alerts = models.detection_alerts(scored, "event_id", _SUSPICION)
     return response.response_plan(alerts, fx.playbooks(spark)).select("alert_id", "playbook", "step", "action", "status")
 
 
@@ -314,10 +383,37 @@ def phishing_reloaded(spark, sf):
     return before.join(again, "doc_id").groupBy((F.col("first") == F.col("second")).alias("same")).agg(F.count(F.lit(1)).alias("mails"))
 
 
+ALERT_SCORE = 0.5  # of the alerts below: the given labels are random, so few scores come near the models' own threshold
+
+
+def timeline_scores(spark, sf):
+    """Scores of a timeline model, fitted on four folds and applied to all events."""
+    windows = timeline_samples(spark, sf)
+    split = ranking.stratified_folds(windows.select("event_id", "is_ransomware"), "event_id", "is_ransomware").select("event_id", "fold")
+    model = models.TimelineModel.fit(windows.join(split, "event_id").filter("fold <> 0"), EDGES)
+    return model, windows, split
+
+
+@query("ransomware_sequence_report")
+def ransomware_sequence_report(spark, sf):
+    """Ranking quality on the held-out fold: boosted trees with and without the sequence model, and that model alone."""
+    windows = timeline_samples(spark, sf)
+    split = ranking.stratified_folds(windows.select("event_id", "is_ransomware"), "event_id", "is_ransomware").select("event_id", "fold")
+    windows = materialize(windows.join(split, "event_id"), "timeline-split")
+    model = models.TimelineModel.fit(windows.filter("fold <> 0"), EDGES)
+    inputs = materialize(models.timeline_inputs(windows, model.sequence), "timeline-inputs")
+    plain = models.train_ransomware(inputs.filter("fold <> 0"))
+    held_out = inputs.filter("fold = 0")
+    both = models.score_ransomware(model.trees, held_out, ["is_ransomware"]).select(F.lit("trees and sequence").alias("model"), "is_ransomware", "score")
+    trees = models.score_ransomware(plain, held_out, ["is_ransomware"]).select(F.lit("trees").alias("model"), "is_ransomware", "score")
+    alone = held_out.select(F.lit("sequence").alias("model"), "is_ransomware", F.col("sequence_log_odds").alias("score"))
+    return ranking.ranking_quality(both.union(trees).union(alone), "score", "is_ransomware", by=["model"])
+
+
 @query("ransomware_detections")
 def ransomware_detections(spark, sf):
-    """Model scores above the alert threshold turned into planned actions."""
-    split = ransomware_split(spark, sf)
-    model = models.train_ransomware(split.filter("fold <> 0"))
-    scored = materialize(models.score_ransomware(model, split, ["event_id"]), "ransomware-scores")
-    return response.response_plan(models.detection_alerts(scored, "event_id"), fx.playbooks(spark)).select("alert_id", "playbook", "step", "action", "status")
+    """Alerts of the timeline model, one per process and ten minutes, turned into planned actions."""
+    model, windows, _ = timeline_scores(spark, sf)
+    scored = model.score(windows, ["event_id", "process_id", "timestamp"])
+    alerts = materialize(detection.quiet_alerts(scored, "process_id", "timestamp", "event_id", ALERT_SCORE), "alerts")
+    return response.response_plan(models.detection_alerts(alerts, "event_id", ALERT_SCORE), fx.playbooks(spark)).select("alert_id", "playbook", "step", "action", "status")

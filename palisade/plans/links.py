@@ -106,13 +106,13 @@ def url_security_features(spark, sf):
 
 
 @query(
-    "url_feature_record",
+    "url_feature_summary",
     f"""WITH {fx.DECODED} SELECT suffix AS tld, count(*) AS urls, round(avg({fx.entropy_sql('decoded')}), 6) AS mean_entropy,
       round(avg({_SIX}), 6) AS mean_obfuscation, CAST(max({_count.format('path', '/')}) AS INTEGER) AS deepest_path,
       CAST(sum(CAST(scheme = 'https' AS INTEGER)) AS BIGINT) AS https_urls
     FROM names p GROUP BY suffix""",
 )
-def url_feature_record(spark, sf):
+def url_feature_summary(spark, sf):
     features = urls.url_features(fx.samples(spark, sf))
     return features.groupBy("tld").agg(
         F.count(F.lit(1)).alias("urls"),

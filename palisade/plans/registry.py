@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from palisade.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = ("links", "content", "intel", "reporting", "learning", "response", "storage_queries", "streams")
+_MODULES = ("links", "content", "intel", "reporting", "learning", "response", "storage_queries", "streams", "feed_queries", "table_lookups")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
@@ -42,6 +42,11 @@ def query(name: str, sql: str | None = None, places: int = 6) -> Callable[[Query
     return register
 
 
+def registered_sql(name: str) -> str:
+    """SQL of a query registered before, for queries that are made of others."""
+    return _oracles[name]
+
+
 def _load() -> None:
     for module in _MODULES:
         import_module(f"palisade.plans.{module}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import functions as F
 
 from palisade.functions import text as tx
@@ -11,8 +12,8 @@ from palisade.plans.content import demo_key
 from palisade.plans.intel import IOC_SQL, enriched_iocs
 from palisade.plans.registry import query
 from palisade.operators import threats
-from palisade.sources import intel, sinks, traffic
-from palisade.storage import scratch_path
+from palisade.sources import captures, intel, ledger, sinks, traffic
+from palisade.storage import materialize, scratch_path
 
 _RECORDS = "event_id, epoch_us(date_trunc('second', ts)) AS micros, src_ip, dst_ip, protocol, length"
 
@@ -328,3 +329,63 @@ def ingested_files(spark, sf):
     return plain.groupBy("src_ip", F.coalesce("threat_type", F.lit("")).alias("threat_type")).agg(
         F.count(F.lit(1)).alias("records"), F.sum("length").alias("bytes")
     )
+
+
+ARP = "00000000" "00000000" "2A000000" "2A000000" "FFFFFFFFFFFF" "112233445566" "0806" "0001080006040001" "112233445566" "0A000001" "000000000000" "0A000002"
+
+
+def write_captures(spark, sf, path):
+    """The capture files of the traffic, each with one frame more that is no IP packet; written by tasks."""
+
+    def write(frames):
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                system, inner = FileSystem.from_uri(path)
+                system.create_dir(inner, recursive=True)
+                with system.open_output_stream(f"{inner}/{name}") as file:
+                    file.write(bytes(content) + bytes.fromhex(ARP))
+            yield frame[["path"]]
+
+    return capture_blobs(spark, sf).mapInPandas(write, "path string").count()
+
+
+@query(
+    "captured_files",
+    f"""WITH {fx.TRAFFIC}, {fx.cte('indicators', fx.INDICATOR_COLUMNS, fx.INDICATORS)}, best AS (SELECT value, max_by(threat_type, confidence) AS threat_type FROM indicators GROUP BY value)
+    SELECT t.src_ip, coalesce(s.threat_type, d.threat_type, '') AS threat_type, count(*) AS records, CAST(sum(length) AS BIGINT) AS bytes
+    FROM traffic t LEFT JOIN best s ON s.value = t.src_ip LEFT JOIN best d ON d.value = t.dst_ip GROUP BY ALL
+    UNION ALL SELECT 'quarantine', 'ARP', count(DISTINCT event_id // 500), 0 FROM traffic
+    UNION ALL SELECT 'quarantine', 'damaged', 0, 0""",
+)
+def captured_files(spark, sf):
+    """Capture files read by ranges of 50,000 bytes, packets enriched, everything else counted."""
+    base = scratch_path(spark, "captures")
+    write_captures(spark, sf, base)
+    index = captures.capture_index(spark, base, 50_000)
+    frames = captures.read_frames(index)
+    enriched = enrichment.enrich_traffic(captures.packets(frames), fx.indicators(spark))
+    found = enriched.groupBy("src_ip", F.coalesce("threat_type", F.lit("")).alias("threat_type")).agg(F.count(F.lit(1)).alias("records"), F.sum("length").alias("bytes"))
+    other = captures.other_frames(frames).groupBy(F.lit("quarantine").alias("src_ip"), F.col("reason").alias("threat_type")).agg(F.count(F.lit(1)).alias("records"), F.lit(0).cast("long").alias("bytes"))
+    damaged = captures.damaged_captures(index).agg(F.lit("quarantine").alias("src_ip"), F.lit("damaged").alias("threat_type"), F.count(F.lit(1)).alias("records"), F.lit(0).cast("long").alias("bytes"))
+    return found.unionByName(other).unionByName(damaged)
+
+
+@query(
+    "audit_verification",
+    """WITH numbered AS (SELECT event_type AS batch, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS position FROM events)
+    SELECT batch, position, CASE WHEN event_id % 97 = 1 THEN 'removed' ELSE 'changed' END AS problem FROM numbered WHERE event_id % 97 = 1 OR event_id % 89 = 2
+    UNION ALL SELECT 'seals broken', 0, 'none'""",
+)
+def audit_verification(spark, sf):
+    """Audit batches, each written twice, then checked after lines were changed and removed."""
+    log = ledger.AuditLog(spark, scratch_path(spark, "audit-log"))
+    events = materialize(fx.table(spark, sf, "events").select("event_id", "event_type", F.concat_ws(" ", "event_id", "props").alias("line")), "audit-lines")
+    kinds = sorted(r[0] for r in events.select("event_type").distinct().collect())  # a batch for each type of event
+    for kind in kinds:
+        for _ in range(2):
+            log.append(events.filter(F.col("event_type") == kind), kind, "line", ["event_id"])
+    number = F.substring_index("line", " ", 1).cast("long")
+    tampered = log.lines.read(ledger.LINES).filter(number % 97 != 1).withColumn("line", F.when(number % 89 == 2, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    broken = log.broken_seals()
+    state = spark.createDataFrame([("seals broken", len(broken), ", ".join(f"{b}: {w}" for b, w in broken) or "none")], "batch string, position long, problem string")
+    return log.verify(tampered).union(state)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palisade.operators import models, response
+from palisade.functions.text import byte_entropy
+from palisade.operators import models
 from palisade.plans import fixtures as fx
 from palisade.plans.intel import IOC_SQL, url_reports
+from palisade.plans.learning import ALERT_SCORE, timeline_scores
 from palisade.plans.registry import query
-from palisade.storage import scratch_path
-from palisade.streaming import jobs
+from palisade.storage import materialize, scratch_path
+from palisade.streaming import detection, jobs
 
 
 def stream(spark, sf_dir, name):
@@ -107,20 +109,59 @@ def stream_rate_alerts(spark, sf):
     return alerts.groupBy(F.unix_micros("window_start").alias("window_micros")).agg(F.max("packets").alias("packets"))
 
 
+def timed_files(rows, time, parts, path):
+    """Rows written as ``parts`` files that follow each other in time, so that a file stream reads them in order."""
+    edges = rows.select(F.percentile_approx(time, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    place = sum((F.col(time) > F.lit(e)).cast("int") for e in edges)
+    numbered = materialize(rows.withColumn("_part", place), "timed")
+    for part in range(parts):
+        numbered.filter(F.col("_part") == part).drop("_part").repartition(1).write.mode("append").parquet(path)
+    return path
+
+
+def detect_in_stream(spark, sf, model_path, base):
+    """Events as a stream of several batches, scored by the saved model; alerts from a second stream over the scores."""
+    documents = fx.table(spark, sf, "documents").select("doc_id", byte_entropy(F.col("text")).alias("entropy"))
+    processes = fx.processes(spark, sf).withColumn("timestamp", F.col("ts").cast("timestamp")).join(documents, "doc_id").drop("created_files", "ts")
+    timed_files(processes, "timestamp", 3, f"{base}/events")
+    rows = spark.readStream.schema(processes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+    windows = detection.trailing_stream(rows, "process_id", "timestamp", "event_id", {"steps": "api_call_count", "entropies": "entropy"}, expire="365 days")
+    model = models.TimelineModel.load(spark, model_path)
+    score = lambda batch: model.score(batch, ["event_id", "process_id", "timestamp"])
+    scoring = detection.score_windows(windows, score, f"{base}/scores", f"{base}/scoring")
+    scoring.awaitTermination()
+    detection.report_late_rows(spark, scoring, f"{base}/late")
+    stored = spark.readStream.schema("event_id long, process_id long, timestamp timestamp, score double, predicted int")
+    stored = stored.option("recursiveFileLookup", "true").parquet(f"{base}/scores")
+    alerts = detection.quiet_stream(stored, "process_id", "timestamp", "event_id", ALERT_SCORE)
+    jobs.start(alerts, lambda batch, name: batch.write.mode("overwrite").parquet(f"{base}/alerts/{name}"), f"{base}/alerting").awaitTermination()
+
+
 @query(
     "stream_detection",
-    """SELECT 'scored' AS kind, count(*) AS n FROM events UNION ALL
-    SELECT 'planned', 3 * count(*) FROM events WHERE value / 400.0 > 0.5""",
+    """SELECT 'scored' AS kind, count(*) AS n FROM events UNION ALL SELECT 'processes', count(DISTINCT user_id) FROM events
+    UNION ALL SELECT 'unlike the batch', 0 UNION ALL SELECT 'alerts unlike the batch', 0 UNION ALL SELECT 'late', 0""",
 )
 def stream_detection(spark, sf):
+    """The model's scores and alerts in a stream, held row by row against those of the batch."""
     base = scratch_path(spark, "stream-detection")
-    playbooks = fx.playbooks(spark)
-    score = lambda batch: batch.select("event_id", (F.col("value") / F.lit(400.0)).alias("score"))
-    respond = lambda scored: response.response_plan(models.detection_alerts(scored, "event_id", 0.5), playbooks)
-    jobs.score_stream(packet_stream(spark, sf), score, respond, f"{base}/scores", f"{base}/plans", f"{base}/checkpoint").awaitTermination()
-    scored = spark.read.parquet(f"{base}/scores").agg(F.lit("scored").alias("kind"), F.count(F.lit(1)).alias("n"))
-    planned = spark.read.schema("alert_id long").json(f"{base}/plans").agg(F.lit("planned").alias("kind"), F.count(F.lit(1)).alias("n"))
-    return scored.union(planned)
+    model, windows, _ = timeline_scores(spark, sf)
+    model.save(spark, f"{base}/model")
+    detect_in_stream(spark, sf, f"{base}/model", base)
+    batch = materialize(model.score(windows, ["event_id", "process_id", "timestamp"]), "batch-scores")
+    found = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/scores")
+    alerts = spark.read.option("recursiveFileLookup", "true").schema("event_id long, score double, kind string").parquet(f"{base}/alerts").filter("kind = 'alert'")
+    wanted = detection.quiet_alerts(batch, "process_id", "timestamp", "event_id", ALERT_SCORE)
+    unlike = lambda a, b, c: a.select(c).exceptAll(b.select(c)).union(b.select(c).exceptAll(a.select(c)))
+    counted = lambda kind, rows: rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    late = spark.read.schema("late_rows long").json(f"{base}/late").agg(F.lit("late").alias("kind"), F.coalesce(F.sum("late_rows"), F.lit(0)).alias("n"))
+    return (
+        counted("scored", found)
+        .union(counted("processes", found.select("process_id").distinct()))
+        .union(counted("unlike the batch", unlike(found, batch, ["event_id", "score"])))
+        .union(counted("alerts unlike the batch", unlike(alerts, wanted, ["event_id", "score"])))
+        .union(late)
+    )
 
 
 @query("stream_dashboard", "SELECT event_type, count(*) AS threats FROM events GROUP BY event_type")

@@ -147,10 +147,16 @@ def rejected_captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_traffic(spark: SparkSession, path: str) -> DataFrame:
-    """Reader chosen by file extension."""
-    if path.endswith(".pcap"):
-        packets = read_captures(spark, path).filter(F.col("src_ip").isNotNull())
-        return packets.select("timestamp", "src_ip", "dst_ip", "protocol", "length")
+    """Reader chosen by file extension. Captures are read by byte range; a damaged one fails, and frames without an IPv4 packet
+    are left to ``captures.other_frames``."""
+    if path.endswith((".pcap", ".pcapng")):
+        from palisade.sources import captures  # which decodes by this module
+
+        index = captures.capture_index(spark, path)
+        damaged = captures.damaged_captures(index).first()
+        if damaged:
+            raise ValueError(f"{damaged['path']}: {damaged['error']}")
+        return captures.packets(captures.read_frames(index)).select("timestamp", "src_ip", "dst_ip", "protocol", "length")
     if path.endswith(".csv"):
         return read_traffic_csv(spark, path)
     raise ValueError(f"unsupported file format: {path}")
