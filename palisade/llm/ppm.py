@@ -9,20 +9,28 @@ length of a byte follows from the counts along one path of the trie. Texts are r
 by single spaces, then an end mark, which is the event that the word model scores too.
 
 Scale: a pass counts six-byte strings and words per task, the sums are combined by key; shorter contexts are sums of longer
-ones. Every worker reads the trie from a table in the shared folder. Its size is bounded by ``MODEL_ROWS``: beyond it, strings
-below a count (a power of two) are left out of the trie at all orders above one, while their bytes still count in shorter ones.
-Words: the ``HEAVY_WORDS`` most frequent, about, are looked up in the worker; all others of a document meet their counts in a join.
+ones, and every string stays. The trie is cut into shards by the last two bytes of the context: all that a byte's code length
+takes from contexts of two bytes and more is in one shard, the at most 65,792 shorter strings are in each. Tasks build the
+shards and put them into the shared folder. A scoring task takes some megabytes of strings at a time, and the shards in turn,
+of which it keeps a few; so its memory depends on neither the corpus nor its texts. Words: the ``HEAVY_WORDS`` most frequent, about, are looked up in the worker; all others of a document meet their counts in a join.
 """
 
 from __future__ import annotations
 
+import io
+import logging
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +39,8 @@ from palisade.llm.batches import filesystem, texts
 from palisade.llm.registry import query
 from palisade.storage import materialize, scratch_path
 
+log = logging.getLogger(__name__)
+
 ORDER = 5
 START, END = 0xFF, 0xFE  # bytes that UTF-8 text never holds
 SYMBOLS = 255  # all bytes but the start mark
@@ -38,7 +48,9 @@ END_WORD = b"\n"  # the end as a word; words hold no white space
 CHUNK = 1 << 20  # bytes of text whose strings are sorted together
 KEPT_KEYS = 1 << 21  # strings a task keeps before it hands its counts on
 KEPT_WORDS = 1 << 18
-MODEL_ROWS = 1 << 22
+SHARD_ROWS = 3 << 20  # strings of a shard, unless a single pair of bytes has more
+HELD_SHARDS = 2
+SPAN = 8  # chunks of strings that meet the shards together
 HEAVY_WORDS = 1 << 18
 
 
@@ -187,6 +199,24 @@ class Model:
         result[open_] -= np.log10(max(left, 1))
         return result
 
+    def dump(self) -> bytes:
+        """The arrays as one file."""
+        out = io.BytesIO()
+        parts = {f"s{k}_{i}": a for k, found in enumerate(self.strings) for i, a in enumerate(found)}
+        parts |= {f"c{k}_{i}": a for k, found in enumerate(self.contexts) for i, a in enumerate(found)}
+        np.savez(out, **parts)
+        return out.getvalue()
+
+    @classmethod
+    def read(cls, path: str, order: int) -> Model:
+        model = cls.__new__(cls)
+        system, inner = filesystem(path)
+        with system.open_input_stream(inner) as file, np.load(io.BytesIO(file.read())) as parts:
+            model.order = order
+            model.strings = [tuple(parts[f"s{k}_{i}"] for i in range(2)) for k in range(order + 1)]
+            model.contexts = [tuple(parts[f"c{k}_{i}"] for i in range(4)) for k in range(order + 1)]
+        return model
+
 
 def _mask(count: int) -> np.uint64:
     return np.uint64((1 << 8 * count) - 1)
@@ -200,29 +230,93 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(table[place] == wanted, place, -1)
 
 
+@dataclass(frozen=True)
+class Trie:
+    """Where the shards of a trie lie: shard i holds the pairs of context bytes from ``edges[i]`` up to the next edge."""
+
+    paths: tuple[str, ...]
+    edges: tuple[int, ...]
+    order: int
+    n_strings: int
+
+    def shard_of(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, ((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64), side="right") - 1
+
+    def log10(self, chunks: list[np.ndarray], backwards: bool = False) -> list[np.ndarray]:
+        """Log probabilities of the strings of each chunk; the shards are read one after the other."""
+        places = [self.shard_of(keys) for keys in chunks]
+        found = [np.zeros(len(keys)) for keys in chunks]
+        turns = range(len(self.paths))
+        for shard in reversed(turns) if backwards else turns:
+            asked = [np.flatnonzero(p == shard) for p in places]
+            if any(map(len, asked)):
+                model = _shard(self.paths[shard], self.order)
+                for keys, own, costs in zip(chunks, asked, found):
+                    costs[own] = model.log10(keys[own])
+        return found
+
+
+@lru_cache(maxsize=HELD_SHARDS)
+def _shard(path: str, order: int) -> Model:
+    """A shard, read by a Python worker when it is asked for."""
+    return Model.read(path, order)
+
+
 @lru_cache(maxsize=1)
-def _loaded(model_path: str, words_path: str, order: int, divisor: float) -> tuple[Model, dict[bytes, float]]:
-    """The trie, and the frequent words' log10 probabilities, read once per Python worker."""
-    system, inner = filesystem(model_path)
-    table = pq.read_table(inner, filesystem=system, columns=["level", "key", "n"])
-    model = Model(*(table[c].to_numpy() for c in ("level", "key", "n")), order)
-    system, inner = filesystem(words_path)
+def _heavy_words(path: str, divisor: float) -> dict[bytes, float]:
+    """The frequent words' log10 probabilities, read once per Python worker."""
+    system, inner = filesystem(path)
     heavy = pq.read_table(inner, filesystem=system, columns=["word", "n"])
-    return model, dict(zip(heavy["word"].to_pylist(), np.log10((heavy["n"].to_numpy() + 0.5) / divisor).tolist()))
+    return dict(zip(heavy["word"].to_pylist(), np.log10((heavy["n"].to_numpy() + 0.5) / divisor).tolist()))
 
 
-def write_model(counts: DataFrame, folder: str, order: int = ORDER, most: int = MODEL_ROWS) -> str:
-    """Write the trie of ``count_strings`` as a table ``(level, key, n)`` and return its path."""
+def write_trie(counts: DataFrame, folder: str, order: int = ORDER, most: int | None = None) -> Trie:
+    """Write the trie of ``count_strings`` below ``folder``, in shards of about ``most`` strings.
+
+    Every string counted is in it. The pairs of bytes, at most 65,536, are counted and cut into shards; a task builds a shard.
+    An empty table of counts gives a trie that knows nothing.
+    """
+    spark = counts.sparkSession
     top = counts.where("gram IS NOT NULL").select(F.col("gram").alias("key"), "n")
     levels = None
     for k in range(order, -1, -1):
         own = top if k == order else top.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
         own = own.select(F.lit(k).alias("level"), "key", "n")
         levels = own if levels is None else levels.union(own)
-    levels = materialize(levels, "strings")
-    least = _least_count(levels.where("level > 1"), most)
-    levels.where((F.col("n") >= least) | (F.col("level") < 2)).write.parquet(folder)
-    return folder
+    strings_path = f"{folder}/strings"
+    levels.write.partitionBy("level").parquet(strings_path)
+    levels = spark.read.schema("level int, key long, n long").parquet(strings_path)
+    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    sizes = sorted((r["pair"], r["rows"]) for r in levels.where("level > 1").groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("rows")).collect())
+    edges, held = [0], 0
+    for code, rows in sizes:
+        if held and held + rows > (most or SHARD_ROWS):
+            edges.append(code)
+            held = 0
+        held += rows
+    n_strings = sum(rows for _, rows in sizes) + levels.where("level < 2").count()
+    log.info("the trie holds %d strings in %d shards", n_strings, len(edges))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        system, inner = filesystem(folder)
+        parts = [rows[rows["level"] > 1]]
+        for level in (0, 1):
+            base = f"{inner}/strings/level={level}"
+            if system.get_file_info(base).type != fs.FileType.NotFound:
+                parts.append(pq.read_table(base, filesystem=system, columns=["key", "n"], partitioning=None).to_pandas().assign(level=level))
+        whole = pd.concat(parts)
+        model = Model(whole["level"].to_numpy(), whole["key"].to_numpy(), whole["n"].to_numpy(), order)
+        name = f"{folder}/{uuid.uuid4().hex}.npz"  # of this attempt; the table of shards names those that count
+        with system.open_output_stream(inner + name[len(folder) :]) as file:
+            file.write(model.dump())
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "path": [name]})
+
+    starts = F.array(*[F.lit(e) for e in edges])
+    shard = F.size(F.filter(starts, lambda e: e <= pair)) - 1
+    rows = levels.where("level > 1").select(shard.alias("shard"), "level", "key", "n")
+    rows = rows.union(spark.range(len(edges)).select(F.col("id").cast("int").alias("shard"), F.lit(-1), F.lit(0).cast("long"), F.lit(0).cast("long")))
+    built = materialize(rows.groupBy("shard").applyInPandas(build, "shard int, path string"), "shards")
+    return Trie(tuple(r["path"] for r in built.orderBy("shard").collect()), tuple(edges), order, n_strings)
 
 
 def held_out(key: Column) -> Column:
@@ -241,7 +335,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = base.withColumn("held_out", held_out(F.col("id")))
     counts = materialize(count_strings(base.where("NOT held_out"), order), "counts")
-    model_path = write_model(counts, scratch_path(spark, "trie"), order)
+    trie = write_trie(counts, scratch_path(spark, "trie"), order)
     words = counts.where("word IS NOT NULL").select("word", "n")
     total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     heavy = _least_count(words, HEAVY_WORDS)
@@ -250,8 +344,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     divisor = total + 0.5 * (vocabulary + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, terms = _loaded(model_path, words_path, order, divisor)
-        row = TaskContext.get().partitionId() << 40
+        terms = _heavy_words(words_path, divisor)
+        row, turn = TaskContext.get().partitionId() << 40, False
         for batch in batches:
             datas, sizes, known, sums, rare = [], [], [], [], []
             for text in texts(batch["text"]):
@@ -272,9 +366,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sums.append(score)
                 rare.append(others)
             scores = np.zeros(len(datas))
-            for keys, owners in strings(datas, order):
-                unique, place = np.unique(keys, return_inverse=True)
-                scores += np.bincount(owners, model.log10(unique)[place], len(datas))
+            chunks = strings(datas, order)
+            while span := list(islice(chunks, SPAN)):
+                found = [np.unique(keys, return_inverse=True) for keys, _ in span]
+                owners = [own for _, own in span]
+                del span
+                turn = not turn
+                for costs, (_, place), own in zip(trie.log10([keys for keys, _ in found], turn), found, owners):
+                    scores += np.bincount(own, costs[place], len(datas))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(datas))), batch["id"], batch["held_out"], pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(scores), _pairs(rare)],
                 ["row", "id", "held_out", "n_tokens", "known", "sum", "score", "rare"],

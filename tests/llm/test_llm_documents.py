@@ -228,7 +228,7 @@ def scored(frame):
     return sorted((str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in frame.collect())
 
 
-@pytest.mark.parametrize("limits", [{}, {"HEAVY_WORDS": 5, "CHUNK": 64, "KEPT_KEYS": 300, "KEPT_WORDS": 10}])
+@pytest.mark.parametrize("limits", [{}, {"HEAVY_WORDS": 5, "CHUNK": 64, "KEPT_KEYS": 300, "KEPT_WORDS": 10}, {"SHARD_ROWS": 20, "CHUNK": 64, "SPAN": 2}])
 def test_scores_like_the_definition(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(ppm, name, value)
@@ -251,14 +251,17 @@ def test_probabilities_sum_to_one():
         assert abs((10 ** model.log10(asked)).sum() - 1) < 1e-9
 
 
-def test_a_bounded_trie_is_still_a_distribution(spark, tmp_path):
+def test_every_string_is_in_one_of_many_shards(spark, tmp_path):
     docs = spark.createDataFrame([(f"some words and more of the {w}",) for w in ("cat", "dog", "cow")], "text string")
-    path = ppm.write_model(ppm.count_strings(docs).cache(), str(tmp_path / "m"), most=40)
-    table = spark.read.parquet(path).toPandas()
-    model = ppm.Model(table.level.to_numpy(), table.key.to_numpy(), table.n.to_numpy(), ppm.ORDER)
-    assert (table.level > 1).sum() <= 40
-    asked = np.array([int.from_bytes(b"d mor" + bytes([s]), "big") for s in range(255)], np.uint64)
-    assert abs((10 ** model.log10(asked)).sum() - 1) < 1e-9
+    counts = ppm.count_strings(docs).cache()
+    whole, cut = ppm.write_trie(counts, str(tmp_path / "whole")), ppm.write_trie(counts, str(tmp_path / "cut"), most=10)
+    assert len(whole.paths) == 1 and len(cut.paths) > 5 and whole.n_strings == cut.n_strings
+    held = [ppm.Model.read(p, ppm.ORDER) for p in cut.paths]
+    assert sum(len(m.strings[k][0]) for m in held for k in range(2, 6)) + sum(len(held[0].strings[k][0]) for k in (0, 1)) == cut.n_strings
+    for context in (b"d mor", b"\xff\xff\xffso", b"zzzzz", b"zz\x00\x00\x00", b"f the"):
+        asked = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(255)], np.uint64)
+        one, many = whole.log10([asked])[0], cut.log10([asked, asked[:0]], True)[0]
+        assert np.array_equal(one, many) and abs((10**one).sum() - 1) < 1e-9
 
 
 def test_score_query(spark, small):
