@@ -248,9 +248,10 @@ def reliability(scored: DataFrame, score: str, label: str, bins: int = 10) -> Da
 
 
 def calibrate(scored: DataFrame, score: str, label: str) -> IsotonicRegression:
-    """Monotone mapping of scores to observed rates, fitted on the ten reliability bins."""
-    bins = reliability(scored, score, label).withColumn("weight", F.col("rows").cast("double"))
-    return IsotonicRegression(featuresCol="mean_score", labelCol="observed", weightCol="weight").fit(bins)
+    """Monotone mapping of scores to observed rates, fitted on every distinct score with the number of its rows as weight."""
+    known = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    points = known.groupBy(F.col(score).cast("double").alias("mean_score")).agg(F.avg(F.col(label).cast("double")).alias("observed"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="mean_score", labelCol="observed", weightCol="weight").fit(points)
 
 
 def apply_calibration(model, scored: DataFrame, score: str) -> DataFrame:

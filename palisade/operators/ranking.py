@@ -7,15 +7,17 @@ offset. Only inside a bin is anything sorted. The bin edges influence balance, n
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from math import ceil, floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.storage import materialize
 
 BINS = 1024
-SKETCH = 50_000
 HASH_BUCKET_HEX = 3  # 4096 buckets
 
 
@@ -43,8 +45,7 @@ def value_positions(
     distinct = distinct.agg(*[F.sum(w).alias(n) for n, w in weights.items()])
     shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     edges = distinct.groupBy(*groups).agg(F.percentile_approx(value, shares, F.lit(10 * bins)).alias("_edges"))
-    # At most `bins` numbers per group: the size of this side is known.
-    edged = distinct.join(F.broadcast(edges), groups) if groups else distinct.withColumn("_edges", edges.scalar())
+    edged = distinct.join(edges, groups) if groups else distinct.withColumn("_edges", edges.scalar())
     binned = edged.withColumn("_bin", bin_index(F.col(value), F.col("_edges"), bins)).drop("_edges")
     totals = binned.groupBy(*groups, "_bin").agg(*[F.sum(n).alias(n) for n in weights])
     earlier = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +54,8 @@ def value_positions(
     )
     smaller = Window.partitionBy(*groups, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = binned.withColumns({f"_{n}_inside": F.coalesce(F.sum(n).over(smaller), F.lit(0)) for n in weights})
-    joined = inside.join(F.broadcast(offsets), [*groups, "_bin"])
+    # Without groups at most ``bins`` rows; groups may be many, so Spark decides by their size.
+    joined = inside.join(offsets if groups else F.broadcast(offsets), [*groups, "_bin"])
     return joined.select(
         *groups,
         value,
@@ -68,65 +70,77 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.feature", "p.value")
 
 
+def _ordered_keys(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order; NaN is the largest, both zeros are one."""
+    whole = np.where(np.isnan(values), np.nan, values + 0.0)
+    bits = whole.view(np.uint64)
+    return np.where(bits >> np.uint64(63) != 0, ~bits, bits | np.uint64(1 << 63))
+
+
+def _value_of(key: int) -> float:
+    """The double of a key."""
+    bits = key & ~(1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _histogram(numbers: DataFrame, active: Mapping[int, set[int]], level: int) -> DataFrame:
+    """``(place, prefix, bucket, n)``: rows by the next 16 bits of their keys, for the prefixes wanted of each column.
+
+    A task holds one array of 65,536 counts for each wanted prefix, and hands on what isn't zero.
+    """
+    shift = 48 - 16 * level
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {(place, prefix): np.zeros(1 << 16, np.int64) for place, prefixes in active.items() for prefix in prefixes}
+        for batch in batches:
+            for place, prefixes in active.items():
+                keys = _ordered_keys(batch.column(place).drop_null().to_numpy(zero_copy_only=False))
+                above = keys >> np.uint64(shift + 16) if level else np.zeros(len(keys), np.uint64)
+                bucket = ((keys >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64)
+                for prefix in prefixes:
+                    own = bucket if not level else bucket[above == np.uint64(prefix)]
+                    if len(own):
+                        counts[place, prefix] += np.bincount(own, minlength=1 << 16)
+        for (place, prefix), found in counts.items():
+            some = np.flatnonzero(found)
+            columns = [np.full(len(some), place, np.int32), np.full(len(some), prefix, np.int64), some.astype(np.int32), found[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "prefix", "bucket", "n"])
+
+    parts = numbers.mapInArrow(run, "place int, prefix long, bucket int, n long")
+    return parts.groupBy("place", "prefix", "bucket").agg(F.sum("n").alias("n"))
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """``(feature, share, quantile)``, exact with linear interpolation.
+    """``(feature, share, quantile)``, exact with linear interpolation; a column without numbers has none.
 
-    A first pass sketches all columns at once and brackets each wanted rank; the sketch's error bound puts
-    the rank inside the bracket, give or take the neighbour on either side. A second pass counts what lies
-    below, and only the rows inside a bracket (about 6 in ``SKETCH``) are shuffled and sorted.
+    Selection by histograms: doubles become 64-bit keys of the same order, and four passes each settle 16 bits of the keys at
+    the wanted ranks. No row is shuffled or sorted; a pass shuffles at most 65,536 counts for each rank and task.
     """
-    margin = 3.0 / SKETCH
-    ends = [e for s in shares for e in (max(0.0, s - margin), min(1.0, s + margin))]
-    number = lambda c: F.col(c).cast("double")
-    sketch = df.agg(
-        *[F.percentile_approx(number(c), F.array(*[F.lit(e) for e in ends]), F.lit(SKETCH)).alias(c) for c in columns]
-    ).first()
-    brackets = {
-        (c, float(s)): (sketch[c][2 * i], sketch[c][2 * i + 1])
-        for c in columns
-        if sketch[c]
-        for i, s in enumerate(shares)
-    }
-    rows = F.struct  # short names keep the two projections below readable
-    outside = df.agg(
-        F.array(
-            *[
-                rows(
-                    F.lit(c).alias("feature"),
-                    F.lit(s).alias("share"),
-                    F.count(number(c)).alias("rows"),
-                    F.count_if(number(c) < low).alias("below"),
-                    F.max(F.when(number(c) < low, number(c))).alias("under"),
-                    F.min(F.when(number(c) > high, number(c))).alias("over"),
-                )
-                for (c, s), (low, high) in brackets.items()
-            ]
-        ).alias("o")
-    ).select(F.explode("o").alias("o")).select("o.*")
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(number(c).between(low, high), rows(F.lit(c).alias("feature"), F.lit(s).alias("share"), number(c).alias("value")))
-                for (c, s), (low, high) in brackets.items()
-            ]
-        )
-    )
-    inside = df.select(F.explode(hits).alias("h")).groupBy("h.feature", "h.share", "h.value").agg(F.count(F.lit(1)).alias("n"))
-    smaller = Window.partitionBy("feature", "share").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    placed = inside.withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-    # One row per column and share: bounded by the arguments.
-    ranked = placed.join(F.broadcast(outside), ["feature", "share"]).withColumn("before", F.col("before") + F.col("below"))
-    at = (F.col("rows") - 1) * F.col("share")
-    holds = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
-    found = ranked.groupBy("feature", "share").agg(
-        holds(F.floor(at)).alias("low"),
-        holds(F.ceil(at)).alias("high"),
-        F.first("under").alias("under"),
-        F.first("over").alias("over"),
-        F.first(at).alias("at"),
-    )
-    low, high = F.coalesce("low", "under"), F.coalesce("high", "over")
-    return found.select("feature", "share", (low + (high - low) * (F.col("at") - F.floor("at"))).alias("quantile"))
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    spark = df.sparkSession
+    first = materialize(_histogram(numbers, {i: {0} for i in range(len(columns))}, 0), "histogram")
+    rows = {r["place"]: r["rows"] for r in first.groupBy("place").agg(F.sum("n").alias("rows")).collect()}
+    at = {(i, float(s)): (n - 1) * float(s) for i, n in rows.items() for s in shares}
+    ranks = sorted({(i, int(f(a))) for (i, _), a in at.items() for f in (floor, ceil)})
+    known = {(i, rank): (0, rank) for i, rank in ranks}  # the settled bits of the key, and the rank among the rows that share them
+    for level in range(4):
+        if not known:
+            break
+        active: dict[int, set[int]] = {}
+        for (i, _), (prefix, _) in known.items():
+            active.setdefault(i, set()).add(prefix)
+        counts = first if level == 0 else materialize(_histogram(numbers, active, level), "histogram")
+        smaller = Window.partitionBy("place", "prefix").orderBy("bucket")
+        placed = counts.withColumn("upto", F.sum("n").over(smaller)).withColumn("before", F.col("upto") - F.col("n"))
+        asked = spark.createDataFrame([(i, prefix, inside, rank) for (i, rank), (prefix, inside) in known.items()], "place int, prefix long, inside long, rank long")
+        met = placed.join(asked, ["place", "prefix"]).filter((F.col("before") <= F.col("inside")) & (F.col("inside") < F.col("upto")))
+        known = {(r["place"], r["rank"]): (r["prefix"] << 16 | r["bucket"], r["inside"] - r["before"]) for r in met.collect()}  # a row for each rank
+    value = {where: _value_of(prefix) for where, (prefix, _) in known.items()}
+    found = []
+    for (i, share), a in at.items():
+        low, high = value[i, floor(a)], value[i, ceil(a)]
+        found.append((columns[i], share, low if low == high else low + (high - low) * (a - floor(a))))
+    return spark.createDataFrame(found, "feature string, share double, quantile double")
 
 
 def ranking_quality(scored: DataFrame, score: str, label: str, recall: float = 0.9, by: Sequence[str] = ()) -> DataFrame:
@@ -137,7 +151,7 @@ def ranking_quality(scored: DataFrame, score: str, label: str, recall: float = 0
     }
     placed = value_positions(scored, score, weights, by=by)
     sums = placed.groupBy(*by).agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
-    sides = placed.join(F.broadcast(sums), list(by)) if by else placed.withColumn("_s", sums.select(F.struct("_p", "_n")).scalar()).select(
+    sides = placed.join(sums, list(by)) if by else placed.withColumn("_s", sums.select(F.struct("_p", "_n")).scalar()).select(
         "*", F.col("_s._p"), F.col("_s._n")
     )
     caught = F.col("_p") - F.col("positives_before")

@@ -98,9 +98,10 @@ def response_plan(alerts: DataFrame, playbooks: DataFrame) -> DataFrame:
     )
 
 
-def write_plan(plan: DataFrame, path: str) -> None:
-    """Append the plan; carrying out an action is left to whoever reads it."""
-    plan.withColumn("planned_at", F.current_timestamp()).write.mode("append").json(path)
+def write_plan(plan: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append the plan; carrying out an action is left to whoever reads it. A named batch is there once however often it is sent."""
+    folder, mode = (path, "append") if batch is None else (f"{path}/batch={batch}", "overwrite")
+    plan.withColumn("planned_at", F.current_timestamp()).write.mode(mode).json(folder)
 
 
 def execute_playbook(requests: DataFrame, playbooks: DataFrame) -> DataFrame:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade.functions import indicators as ind
+from palisade.functions import text as tx
 from palisade.functions import urls
 from palisade.functions.text import byte_entropy
 from palisade.operators import enrichment, features, models, ranking, reports, response, scoring, sequences, validation
 from palisade.operators.forest import IsolationForest
 from palisade.plans import fixtures as fx
+from palisade.plans.content import demo_key
 from palisade.plans.intel import INTELLIGENCE_SQL, dns_records, reference_time, registrations, url_intelligence_of, url_intelligence_table
 from palisade.plans.registry import query
 from palisade.storage import materialize, scratch_path
+from palisade.sources import sinks
 from palisade.streaming import detection
 
 # --- score arithmetic ----------------------------------------------------------------------------------
@@ -229,10 +232,12 @@ def score_reliability(spark, sf):
 
 @query("calibrated_scores")
 def calibrated_scores(spark, sf):
-    """Mapping of four folds, applied to the fifth."""
-    split = materialize(ranking.stratified_folds(scored_labels(spark, sf), "doc_id", "label"), "scored-split")
-    model = models.calibrate(split.filter("fold <> 0"), "score", "label")
-    return models.apply_calibration(model, split.filter("fold = 0"), "score").select("doc_id", "label", "score", "calibrated")
+    """A mail model of three folds, its scores mapped to observed rates by a fourth, applied to the fifth."""
+    split = mail_split(spark, sf)
+    model = models.train_phishing(split.filter("fold > 1"))
+    scored = materialize(models.score_phishing(model, split.filter("fold < 2"), ["doc_id", "label", "fold"]).withColumnRenamed("ml_score", "score"), "scored-split")
+    mapping = models.calibrate(scored.filter("fold = 1"), "score", "label")
+    return models.apply_calibration(mapping, scored.filter("fold = 0"), "score").select("doc_id", "label", "score", "calibrated")
 
 
 def process_samples(spark, sf):
@@ -344,6 +349,29 @@ def sequence_scores(spark, sf):
     return sequence_scored(spark, sf).select("event_id", "log_odds")
 
 
+@query(
+    "batch_projection",
+    f"""WITH {_SCORES} SELECT sha256('event:' || event_id) AS url_hash, round(log_odds, 6) > 0 AS prediction, round(1 / (1 + exp(-log_odds)), 6) AS risk_score FROM sequence_scored""",
+)
+def batch_projection(spark, sf):
+    """The sequence model's predictions as they leave a batch."""
+    score = F.col("log_odds")
+    scored = sequence_scored(spark, sf).select(
+        F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("url"), (F.round(score, 6) > 0).alias("prediction"), (1 / (1 + F.exp(-score))).alias("share")
+    )
+    return validation.batch_projection(scored, "url", "prediction", "share")
+
+
+@query("encrypted_predictions", f"WITH {_SCORES} SELECT sha256(event_id::VARCHAR) AS event_hash, round(log_odds, 6) > 0 AS prediction FROM sequence_scored")
+def encrypted_predictions(spark, sf):
+    """The same predictions, stored encrypted and read back."""
+    results = sequence_scored(spark, sf).select(F.sha2(F.col("event_id").cast("string"), 256).alias("event_hash"), (F.round("log_odds", 6) > 0).alias("prediction"))
+    path = scratch_path(spark, "predictions")
+    sinks.encrypted_rows(results, demo_key()).write.text(path)
+    plain = tx.decrypt_text(F.col("value"), demo_key())
+    return spark.read.text(path).select(F.from_json(plain, "event_hash string, prediction boolean").alias("r")).select("r.*")
+
+
 _SUSPICION = 0.1  # log-odds of the alerts below
 
 

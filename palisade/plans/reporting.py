@@ -375,10 +375,3 @@ def alert_cards(spark, sf):
     cards = reports.by_severity(fx.incidents(spark, sf), "severity", "ts", "id")
     description = F.concat(F.lit("user "), F.col("user_id").cast("string"))
     return cards.select("severity", F.col("type").alias("title"), description.alias("description"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-
-
-@query("batch_projection", "SELECT sha256(url) AS url_hash, length(html) > 3000 AS prediction, round(length(html) / 30000.0, 6) AS risk_score FROM pages")
-def batch_projection(spark, sf):
-    size = F.length("html")
-    scored = fx.table(spark, sf, "pages").select("url", (size > 3000).alias("long"), (size / F.lit(30000.0)).alias("share"))
-    return validation.batch_projection(scored, "url", "long", "share")

@@ -164,8 +164,25 @@ def stream_detection(spark, sf):
     )
 
 
+@query(
+    "stream_scan_sources",
+    f"""WITH {fx.TRAFFIC}, seen AS (SELECT src_ip, dst_ip, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS w FROM traffic, (SELECT unnest(range(4)) AS k) WHERE syn_only)
+    SELECT epoch_us(w) AS window_micros, src_ip, count(*) AS syn_packets, count(DISTINCT dst_ip) AS distinct_targets FROM seen GROUP BY ALL""",
+)
+def stream_scan_sources(spark, sf):
+    """Sources and the addresses they probe in windows of a day, every six hours, from a stream of several batches."""
+    base = scratch_path(spark, "stream-scans")
+    rows = fx.traffic(spark, sf).select(F.col("ts").cast("timestamp").alias("timestamp"), "src_ip", "dst_ip", "syn_only")
+    timed_files(rows, "timestamp", 3, f"{base}/packets")
+    packets = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/packets")
+    jobs.stream_scans(packets, f"{base}/windows", f"{base}/checkpoint", target="dst_ip", window="1 day", slide="6 hours").awaitTermination()
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/windows")
+    last = stored.groupBy("window_start", "src_ip").agg(F.max("syn_packets").alias("syn_packets"), F.max_by("targets", "syn_packets").alias("targets"))  # counts only grow
+    return last.select(F.unix_micros("window_start").alias("window_micros"), "src_ip", "syn_packets", F.hll_sketch_estimate("targets").alias("distinct_targets"))
+
+
 @query("stream_dashboard", "SELECT event_type, count(*) AS threats FROM events GROUP BY event_type")
 def stream_dashboard(spark, sf):
     base = scratch_path(spark, "stream-dashboard")
     jobs.dashboard(packet_stream(spark, sf), "event_type", f"{base}/counts", f"{base}/checkpoint", jobs.DRAIN).awaitTermination()
-    return spark.read.parquet(f"{base}/counts").select("event_type", "threats")
+    return jobs.dashboard_counts(spark, "event_type", f"{base}/counts")

@@ -62,6 +62,11 @@ class BatchLedger:
         system.move(waiting, f"{inner}/ledger/{batch}.json")
         return entry
 
+    def latest(self, schema: str) -> DataFrame:
+        """The batch written last: each one is whole before its line is there, so a reader never meets half of one."""
+        known = self.entries()
+        return self.spark.read.schema(schema).parquet(known[-1]["path"]) if known else self.spark.createDataFrame([], schema)
+
     def read(self, schema: str) -> DataFrame:
         """All batches with a line, with the batch's name in ``batch``; ``schema`` is that of the written rows."""
         found = None

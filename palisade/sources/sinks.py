@@ -118,8 +118,10 @@ def audit_entries(df: DataFrame, event: Column, time: Column | None = None, keep
     )
 
 
-def append_audit(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").options(**JSON_OPTIONS).json(path)
+def append_audit(entries: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append audit lines. A named batch has a folder of its own and replaces itself; sealed lines are in ``ledger.AuditLog``."""
+    folder, mode = (path, "append") if batch is None else (f"{path}/batch={batch}", "overwrite")
+    entries.write.mode(mode).options(**JSON_OPTIONS).json(folder)
 
 
 def encrypted_rows(df: DataFrame, key: Column) -> DataFrame:
@@ -127,6 +129,7 @@ def encrypted_rows(df: DataFrame, key: Column) -> DataFrame:
     return df.select(encrypt_text(F.to_json(F.struct(*df.columns)), key).alias("payload"))
 
 
-def store_threats(df: DataFrame, path: str) -> None:
-    """Append scored threats, foldered by type and level."""
-    df.write.mode("append").partitionBy("type", "threat_level").parquet(path)
+def store_threats(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append scored threats, foldered by type and level. A named batch is written once however often it is sent."""
+    folder, mode = (path, "append") if batch is None else (f"{path}/batch={batch}", "overwrite")
+    df.write.mode(mode).partitionBy("type", "threat_level").parquet(folder)

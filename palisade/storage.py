@@ -1,11 +1,11 @@
-"""Where intermediate tables go, and how small control tables reach the driver."""
+"""Where intermediate tables go."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_base: dict[str, str] = {}
 
@@ -40,9 +40,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def control_rows(df: DataFrame, limit: int) -> list[Row] | None:
-    """Rows of a small control table (rules, bounds), or None when it holds more than ``limit``."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade.operators import enrichment, reports, threats, validation
 from palisade.sources import sinks
+from palisade.sources.ledger import BatchLedger
 from palisade.sources.traffic import parse_messages
 
 DRAIN = {"availableNow": True}
@@ -132,6 +133,30 @@ def stream_rate_alerts(
     return writer.trigger(**trigger).format("parquet").start(path)
 
 
+def scan_windows(packets: DataFrame, target: str = "dport", time: str = "timestamp", window: str = "1 hour", slide: str = "15 minutes", lg_k: int = 14) -> DataFrame:
+    """Per sliding window and source: SYN-only packets, and the distinct targets as a sketch that can be merged.
+
+    The sketch has a bounded size (2 ** ``lg_k`` small counters, standard error below one percent), whatever a source scans, so
+    this is the form for a stream; ``reports.scan_sources`` is the exact count of a batch.
+    """
+    probes = packets.filter("syn_only").groupBy(F.window(time, window, slide).alias("w"), "src_ip")
+    found = probes.agg(F.count(F.lit(1)).alias("syn_packets"), F.hll_sketch_agg(target, lg_k).alias("targets"))
+    return found.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "src_ip", "syn_packets", "targets")
+
+
+def scan_totals(windows: DataFrame, by: tuple[str, ...] = ("src_ip",)) -> DataFrame:
+    """Windows merged by ``by``: packets summed and sketches united, which counts a target once however often it was seen."""
+    return windows.groupBy(*by).agg(F.sum("syn_packets").alias("syn_packets"), F.hll_sketch_estimate(F.hll_union_agg("targets")).alias("distinct_targets"))
+
+
+def stream_scans(
+    packets: DataFrame, path: str, checkpoint: str, watermark: str = WATERMARK, trigger: dict | None = None, time: str = "timestamp", **settings
+) -> StreamingQuery:
+    """``scan_windows`` of a stream: every window that a batch changed, as it stands then, in the batch's folder."""
+    found = scan_windows(packets.withWatermark(time, watermark), time=time, **settings)
+    return start(found, lambda batch, name: batch.write.mode("overwrite").parquet(f"{path}/{name}"), checkpoint, mode="update", trigger=trigger)
+
+
 def score_stream(
     rows: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -152,7 +177,12 @@ def score_stream(
 
 
 def dashboard(events: DataFrame, name: str, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Threat counts rewritten at every refresh."""
+    """Threat counts, a version for every refresh; ``dashboard_counts`` reads the newest whole one."""
     counts = reports.threat_counts(events, name)
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    return start(counts, write, checkpoint, mode="complete", trigger=trigger or REFRESH)
+    publish = lambda batch, label: BatchLedger(batch.sparkSession, path).write(batch, label)
+    return start(counts, publish, checkpoint, mode="complete", trigger=trigger or REFRESH)
+
+
+def dashboard_counts(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """``(name, threats)`` of the newest version of a dashboard."""
+    return BatchLedger(spark, path).latest(f"{name} string, threats long")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -70,7 +71,7 @@ def main() -> int:
     parser.add_argument("--sf", default=DEFAULT_SF)
     parser.add_argument("names", nargs="*")
     arguments = parser.parse_args()
-    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
+    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="run-"))
     spark.sparkContext.setLogLevel("ERROR")
     known, sql = queries(), oracles()
     chosen = [n for n in known if not arguments.names or any(n.startswith(a) for a in arguments.names)]

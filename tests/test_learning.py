@@ -72,6 +72,33 @@ def test_verdicts_carry_every_step(spark, small):
     assert (found.prediction == (found.hit.astype(bool) | blend)).all()
 
 
+def pooled(points):
+    """Rates of ascending (score, rate, weight) with neighbours pooled until none falls."""
+    blocks = []
+    for _, rate, weight in sorted(points):
+        blocks.append([rate, weight, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            (r, w, n), (r2, w2, n2) = blocks[-2], blocks.pop()
+            blocks[-1] = [(r * w + r2 * w2) / (w + w2), w + w2, n + n2]
+    return [rate for rate, _, n in blocks for _ in range(n)]
+
+
+def test_calibration_pools_all_distinct_scores(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(s) / 500, int(rng.random() < (s / 500) ** 2)) for s in rng.integers(0, 500, 3000)] + [(None, 1), (0.5, None)]
+    table = spark.createDataFrame(rows, "score double, label int").repartition(5)
+    points = {}
+    for s, y in rows:
+        if s is not None and y is not None:
+            points.setdefault(s, []).append(y)
+    scores = sorted(points)
+    wanted = pooled([(s, sum(points[s]) / len(points[s]), len(points[s])) for s in scores])
+    model = models.calibrate(table, "score", "label")
+    found = models.apply_calibration(model, spark.createDataFrame([(s,) for s in scores], "score double"), "score").orderBy("score").collect()
+    assert [r["calibrated"] for r in found] == pytest.approx(wanted, abs=1e-9)
+    assert len(set(wanted)) > 12  # more levels than ten means could have
+
+
 def test_calibration_is_monotone(spark, small):
     found = queries()["calibrated_scores"](spark, small.replace("sf0.001", "sf0.01")).toPandas().sort_values("score")
     assert found.calibrated.between(0, 1).all() and (np.diff(found.calibrated) >= -1e-12).all()

@@ -18,6 +18,7 @@ def test_a_batch_counts_once(spark, tmp_path):
     spark.range(99).write.parquet(str(tmp_path / "store/data/batch=3/failed"))  # an attempt without a line
     assert [tuple(r) for r in store.read("id long").groupBy("batch").count().orderBy("batch").collect()] == [("batch=1", 10), ("batch=2", 5)]
     assert [e["batch"] for e in store.entries()] == ["batch=1", "batch=2"]
+    assert store.latest("id long").count() == 5
     with pytest.raises(ValueError):
         store.write(spark.range(1), "../elsewhere")
 

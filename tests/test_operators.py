@@ -25,6 +25,28 @@ def test_quantiles_match_numpy(skewed):
     assert all(found[s] == pytest.approx(np.quantile(values, s)) for s in shares)
 
 
+def test_quantiles_of_odd_columns(spark):
+    """Hot, constant, signed, tiny and huge values, several columns at a time, against a sort."""
+    rng = np.random.default_rng(5)
+    columns = {
+        "hot": np.where(rng.random(4000) < 0.4, 7.0, rng.normal(size=4000)), "constant": np.full(4000, -2.5), "zeros": np.where(rng.random(4000) < 0.5, -0.0, 0.0),
+        "wide": np.sign(rng.normal(size=4000)) * 10.0 ** rng.uniform(-300, 300, 4000), "ends": np.where(rng.random(4000) < 0.1, np.inf, rng.normal(size=4000)), "none": [None] * 4000,
+    }
+    rows = list(zip(*[[None if v is None else float(v) for v in c] for c in columns.values()]))
+    rows += [(None,) * 6, (None, None, None, 1.0, None, None)]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(7)
+    shares = (0.0, 0.001, 0.25, 0.5, 0.9, 1.0)
+    found = {(r["feature"], r["share"]): r["quantile"] for r in ranking.quantiles(table, list(columns), shares).collect()}
+    columns["wide"] = np.append(columns["wide"], 1.0)
+    assert set(found) == {(c, s) for c in columns if c != "none" for s in shares}
+    for (c, s), q in found.items():
+        own = np.sort(np.asarray(columns[c], float) + 0.0)
+        at = (len(own) - 1) * s
+        low, high = own[int(np.floor(at))], own[int(np.ceil(at))]
+        assert q == (low if low == high else low + (high - low) * (at - np.floor(at))), (c, s)
+    assert np.isnan(ranking.quantiles(spark.createDataFrame([(float("nan"),), (1.0,)], "v double"), ["v"], [1.0]).first()["quantile"])
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 101])
 def test_quantiles_of_few_rows(spark, n):
     shares = [0.0, 0.1, 0.25, 0.33, 0.5, 0.75, 0.9, 1.0]

@@ -207,3 +207,17 @@ def test_timeline_model_uses_the_order_of_steps(spark, tmp_path):
     scored = again.score(last.filter("process_id >= 80"), ["event_id", "is_ransomware"])
     assert ranking.ranking_quality(scored, "score", "is_ransomware").first()["auc"] > 0.9
     assert scored.exceptAll(model.score(last.filter("process_id >= 80"), ["event_id", "is_ransomware"])).count() == 0
+
+
+def test_sketches_of_scans_are_near_the_exact_counts(spark):
+    """Four sources probe 10 to 50,000 ports over several windows; the merged sketches are within two percent and of bounded size."""
+    sizes = {"a": 10, "b": 1000, "c": 20_000, "d": 50_000}
+    rows = [spark.range(n * 2).select(F.lit(s).alias("src_ip"), (F.col("id") % n).alias("dport"), F.timestamp_seconds(F.col("id") % 7200).alias("timestamp"), F.lit(True).alias("syn_only")) for s, n in sizes.items()]
+    packets = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    windows = jobs.scan_windows(packets).cache()
+    assert windows.agg(F.max(F.length("targets"))).first()[0] < 20_000
+    for row in jobs.scan_totals(windows).collect():
+        assert abs(row["distinct_targets"] - sizes[row["src_ip"]]) <= 0.02 * sizes[row["src_ip"]]
+    exact = packets.filter("src_ip = 'd' AND timestamp < '1970-01-01 01:00:00'").agg(F.countDistinct("dport")).first()[0]
+    hour = windows.filter("src_ip = 'd' AND window_start = '1970-01-01 00:00:00'").select(F.hll_sketch_estimate("targets")).first()[0]
+    assert abs(hour - exact) <= 0.02 * exact
