@@ -1,12 +1,13 @@
 """Token ids of the lower-casing word vocabulary, as little-endian unsigned 32-bit numbers.
 
-Texts are cut at spaces, which no word holds. ASCII chunks are lower-cased and split by the word pattern; others go through the
-library's normaliser and pre-tokenizer. The library's BPE model encodes each word once: words and chunks repeat, so their ids
+Texts are cut at spaces, which no word holds. Chunks of ASCII and of long-standing letters are lower-cased and split by the word
+pattern; all others go through the library's normaliser and pre-tokenizer. The library's BPE model encodes each word once: words and chunks repeat, so their ids
 are kept in bounded tables.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from struct import pack
 
@@ -19,6 +20,11 @@ from palisade.llm.bpe import Known, byte_letters
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+# Characters that have been what they are since early Unicode versions, that no normalisation changes or joins, and that are lower-cased
+# alike everywhere: Latin, Cyrillic, dashes and quotes, kana, the common ideographs. tests/llm compares all characters.
+LASTING = re.compile("[\\x00-\u024f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u2038\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]*").fullmatch
+
+
 class WordEncoder:
     """Encoder of a word-level BPE file of the tokenizers library with NFC, lower case and word ends."""
 
@@ -38,14 +44,15 @@ class WordEncoder:
         return pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
+        if chunk.isascii() or LASTING(chunk):
             return b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
         # what is a letter, a digit or a capital is the library's own affair: its tables may be of another Unicode version
         pieces = self.pieces(self.normalize(chunk))
         return b"".join([self._letters(letters) for letters, _ in pieces])
 
     def _word(self, word: str) -> bytes:
-        return self._letters(word if word.isprintable() else word.translate(self.letter_of))
+        plain = word.isascii() and word.isprintable()  # such letters stand for themselves
+        return self._letters(word if plain else word.encode().decode("latin-1").translate(self.letter_of))
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))  # no word holds white space
