@@ -183,7 +183,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """``(id, start, ids)`` of every document from the files: start counts the ids of all documents before it, ids is little-endian."""
+    """``(id, start, ids)`` of every document from the files: start counts the ids of all documents before it, ids is little-endian.
+
+    Null and repeated ids come back as they were written, a row each; a document without tokens has its end id alone. A document
+    of any length is one row. An empty manifest gives no rows.
+    """
     placed = manifest.withColumn("before", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

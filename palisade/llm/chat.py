@@ -211,6 +211,8 @@ def read_conversations(windows: DataFrame) -> DataFrame:
     """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)`` per conversation, parsed from the windows.
 
     Windows of a conversation are streamed in order, with one running digest: memory holds a window, not a conversation.
+    Null conversation ids are one conversation. Empty texts are turns of their own, equal turns come in the order they were
+    written in, and no windows give no rows.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [part.split()[0] for part in schema.split(", ")]

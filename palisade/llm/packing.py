@@ -171,7 +171,7 @@ def pack_documents(
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """Pieces with a checksum in place of their ids."""
+    """Pieces with a checksum in place of their ids; null and repeated document ids keep their pieces, no pieces give no rows."""
     return pieces.select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group"
     )

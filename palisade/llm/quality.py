@@ -166,7 +166,11 @@ def ablations(ledger_rows: DataFrame, policies: dict[str, tuple[str, ...]] = POL
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", version: str = "v2") -> DataFrame:
-    """Rows of ``docs`` that the policy keeps, with the columns of ``docs`` as they are."""
+    """Rows of ``docs`` that the policy keeps, with the columns of ``docs`` as they are.
+
+    Null and empty texts have too few words and go. Repeated rows are judged alike and each stays or goes; an empty table stays
+    empty. Columns of any names come through untouched.
+    """
     failed = _bind(measurements(F.col(text_col)), lambda m: failure_bits(m))
     return docs.where(failed.bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
 

@@ -205,7 +205,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two rows are linked if the sets of their shingles of ``width`` words have a Jaccard similarity of ``similarity`` at least;
     a group is linked directly or through others (``palisade.llm.overlap``, exact). A row is known by its id and a hash of its
     text. If the smallest id has several texts, the smallest hash stays; of rows that repeat both, one stays. Groups without
-    any id keep the row with the smallest hash.
+    any id keep the row with the smallest hash. Null text and text without words have the empty set and are copies of each
+    other. An empty table stays empty; other columns, whatever their names, come through untouched.
     """
     spare = [f"{_unused(docs.columns)}{k}" for k in range(2)]
     marked = docs.withColumns({spare[0]: F.col(id_col).cast("long"), spare[1]: F.xxhash64(text_col)})

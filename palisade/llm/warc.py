@@ -216,6 +216,8 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the bundles named in ``index``, read frame by frame with the seek table of each bundle.
 
     ``intact`` is true for a response whose payload has the length and digest that its headers state, null for revisits.
+    Records come back in no stated order, with null and repeated page ids as they were written, a row each; empty payloads are
+    empty, not null. An empty index gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +248,10 @@ _RECORD_SCHEMA = pa.schema(
 
 
 def fetch_records(index: DataFrame) -> DataFrame:
-    """The records of the given index rows only: each is read by seeking to its frame and to its offset inside."""
+    """The records of the given index rows only: each is read by seeking to its frame and to its offset inside.
+
+    A row that is asked for twice comes twice; null ids and empty payloads are as in ``read_archives``; no rows ask for nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()

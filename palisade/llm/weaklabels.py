@@ -289,7 +289,10 @@ def _with_human(votes: DataFrame, human: DataFrame, *more: str) -> DataFrame:
 
 
 def score_column(spark: SparkSession, scorer: Scorer, text: Column) -> Column:
-    """Struct ``(low_quality, toxic)`` of probabilities for a text column; the weights have a fixed size and are broadcast."""
+    """Struct ``(low_quality, toxic)`` of probabilities for a text column; the weights have a fixed size and are broadcast.
+
+    Null text scores as empty; texts of any length are read whole, and equal texts score alike.
+    """
     shared = spark.sparkContext.broadcast(scorer)
 
     @F.arrow_udf("low_quality double, toxic double")
@@ -301,13 +304,19 @@ def score_column(spark: SparkSession, scorer: Scorer, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, low_quality, toxic, kept)`` of every row of ``docs``; kept where neither probability reaches one half."""
+    """``(id, low_quality, toxic, kept)`` of every row of ``docs``; kept where neither probability reaches one half.
+
+    Null text scores as empty. Null and repeated ids keep a row each, an empty table gives none, other columns are ignored.
+    """
     scored = docs.select(F.col(id_col).alias("id"), score_column(docs.sparkSession, scorer, F.col(text_col)).alias("s"))
     return scored.select("id", "s.low_quality", "s.toxic", ((F.col("s.low_quality") < 0.5) & (F.col("s.toxic") < 0.5)).alias("kept"))
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that the scorer keeps, with the columns of ``docs`` as they are."""
+    """Rows of ``docs`` that the scorer keeps, with the columns of ``docs`` as they are.
+
+    Null text scores as empty. Repeated rows are judged alike; an empty table stays empty; columns of any names come through.
+    """
     s = score_column(docs.sparkSession, scorer, F.col(text_col))
     return docs.where(F.greatest(s["low_quality"], s["toxic"]) < 0.5)
 
