@@ -14,7 +14,7 @@ from struct import pack
 import regex
 from tokenizers import Tokenizer
 
-from palisade.llm.bpe import Known, byte_letters
+from palisade.llm.bpe import KEPT, LONGEST_KEPT, Known, byte_letters
 
 # Fixed value: the word pattern of this vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -25,6 +25,28 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LASTING = re.compile("[\\x00-\u024f\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u2038\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]*").fullmatch
 
 
+ENDS = ".,;:!?"
+
+
+class Generations(dict):
+    """Results by key, computed on demand, in two tables: when the newer one is full it becomes the older, so frequent keys stay."""
+
+    def __init__(self, compute) -> None:
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """Encoder of a word-level BPE file of the tokenizers library with NFC, lower case and word ends."""
 
@@ -37,7 +59,7 @@ class WordEncoder:
         self.stops, self.markers = regex.compile(marks).split, regex.compile(marks).findall
         self.split = regex.compile(WORDS).findall
         self.normalize, self.pieces = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
-        self.words, self.chunks = Known(self._word), Known(self._chunk)
+        self.words, self.chunks = Known(self._word), Generations(self._chunk)
 
     def _letters(self, letters: str) -> bytes:
         ids = [t.id for t in self.merge(letters)]
@@ -45,7 +67,11 @@ class WordEncoder:
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii() or LASTING(chunk):
-            return b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
+            low = chunk.lower()
+            core = low.rstrip(ENDS)
+            if core.isalpha():  # one word, and marks behind it are another
+                return self.words[core] + self.words[low[len(core) :]] if len(core) < len(low) else self.words[core]
+            return b"".join(map(self.words.__getitem__, self.split(low)))
         # what is a letter, a digit or a capital is the library's own affair: its tables may be of another Unicode version
         pieces = self.pieces(self.normalize(chunk))
         return b"".join([self._letters(letters) for letters, _ in pieces])

@@ -210,7 +210,7 @@ CHARACTERS = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
 def in_context():
     """Every character alone, and beside letters, digits, marks and spaces."""
     for start in range(0, len(CHARACTERS), 1 << 14):
-        yield [form for c in CHARACTERS[start : start + (1 << 14)] for form in (c, f"a{c}b 1{c}:{c} {c}")]
+        yield [form for c in CHARACTERS[start : start + (1 << 14)] for form in (c, f"{c}B.. a{c}b 1{c}:{c} {c}, {c}{c}!?x a{c}'s")]
 
 
 def test_every_character_like_the_libraries(library):
