@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palisade.llm.batches import texts
+from palisade.llm.classes import Splitter
 from palisade.llm.registry import query
 
 # Fixed value: how byte-level vocabularies of this family split a text before merging.
@@ -56,7 +57,7 @@ class Vocabulary:
             for a, b in zip(value, value[1:]):
                 self.meets[a, b] = True
         self.together = {bytes(pair) for pair in np.argwhere(self.meets).tolist()}
-        self.split = regex.compile(PIECES).findall
+        self.split = Splitter(PIECES).split  # the library's classes: its tables and those of ``regex`` may differ
         marks = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.stops = regex.compile(marks).split if marks else None
         self.markers = regex.compile(marks).findall if marks else None

@@ -16,14 +16,13 @@ from struct import pack
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import sentencepiece
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.batches import texts
 from palisade.llm.bpe import KEPT, LONGEST_KEPT, byte_letters
+from palisade.llm.classes import Splitter
 from palisade.llm.registry import query
 
 # Field numbers and values of the sentencepiece model format.
@@ -79,23 +78,6 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _field(TRAINER, trainer) + _field(NORMALIZER, normalizer)
 
 
-def class_changes() -> dict[int, str]:
-    """Stand-ins for characters that this process's ``regex`` classes otherwise than the tiktoken library does.
-
-    The library's tables of letters, digits and white space may be of another Unicode version. It is asked for the class of
-    every character once; a character it sees otherwise is mapped to a plain one of the class it sees.
-    """
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    single = {bytes([b]): b for b in range(256)}
-    theirs, ours = np.zeros(0x110000, np.int8), np.zeros(0x110000, np.int8)
-    for kind, (name, found) in enumerate((("L", r"\p{L}+"), ("N", r"\p{N}+"), ("S", r"\s+")), 1):
-        asked = tiktoken.Encoding(name, pat_str=found, mergeable_ranks=single, special_tokens={})
-        theirs[np.frombuffer(bytes(asked.encode_ordinary(every)).decode().encode("utf-32-le"), "<u4")] = kind
-        ours[np.frombuffer("".join(regex.findall(found, every)).encode("utf-32-le"), "<u4")] = kind
-    stand_ins = "!a1 "
-    return {int(c): stand_ins[theirs[c]] for c in np.flatnonzero(theirs != ours)}
-
-
 class PieceModel:
     """Encoder and decoder of a rank file, as the tiktoken library would, by a sentencepiece model."""
 
@@ -108,21 +90,9 @@ class PieceModel:
         self.whole = {token.decode("latin-1").translate(self.letter_of): pack("<i", rank) for token, rank in ranks.items()}
         self.bytes_of = {int(rank): bytes(byte_of[c] for c in self.model.id_to_piece(i)) for i, rank in enumerate(self.ranks)}
         self.table = pa.array([*(self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)), b""], pa.large_binary())
-        self.find = regex.compile(pattern).findall
-        self.changes = class_changes()
+        self.split = Splitter(pattern).split
         self.known: dict[str, bytes] = {}
 
-    def split(self, text: str) -> list[str]:
-        """Pre-tokens of a text: matches of the pattern, which leaves no character out."""
-        if text.isascii():
-            return self.find(text)
-        alike = text.translate(self.changes)  # as long as the text
-        found = self.find(alike)
-        if alike == text:
-            return found
-        ends = np.cumsum([0, *map(len, found)]).tolist()
-        return [text[a:b] for a, b in zip(ends, ends[1:])]
-
     def _ids(self, parts: list[str]) -> list[bytes]:
         """Ids of pre-tokens, 4 bytes each: a token of the vocabulary is itself, others are merged by the model."""
         letters = [part.encode().decode("latin-1").translate(self.letter_of) for part in parts]
