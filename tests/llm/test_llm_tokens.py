@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from palisade.llm import blocks, bpe, packing, piecemodel, wordtokens
+from palisade.llm import blocks, bpe, classes, packing, piecemodel, wordtokens
 from palisade.llm.registry import queries
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -208,9 +208,12 @@ CHARACTERS = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
 
 
 def in_context():
-    """Every character alone, and beside letters, digits, marks and spaces."""
-    for start in range(0, len(CHARACTERS), 1 << 14):
-        yield [form for c in CHARACTERS[start : start + (1 << 14)] for form in (c, f"{c}B.. a{c}b 1{c}:{c} {c}, {c}{c}!?x a{c}'s")]
+    """Every character between spaces; those whose class is disputed, and many others, beside letters, digits and marks too."""
+    rows = [" ".join(CHARACTERS[i : i + 256]) for i in range(0, len(CHARACTERS), 256)]
+    chosen = sorted(set(classes.class_changes()) | set(range(0x3400)) | {ord(c) for c in CHARACTERS[0x3400::61]})
+    rows += [f"{c}B.. a{c}b 1{c}:{c} {c}, {c}{c}!?x a{c}'s" for c in map(chr, chosen)]
+    for start in range(0, len(rows), 4096):
+        yield rows[start : start + 4096]
 
 
 def test_every_character_like_the_libraries(library):
