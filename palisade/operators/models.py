@@ -11,7 +11,7 @@ from math import exp
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
-from pyspark.ml.feature import IDF, HashingTF, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, Bucketizer, HashingTF, OneHotEncoder, QuantileDiscretizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,11 +52,33 @@ def positive_probability(column: str = "probability") -> Column:
 # --- flows ---------------------------------------------------------------------------------------------
 
 
+BINS = 32  # of a feature: as many as the forest tries
+PARTS = 8  # of a cell, so that a tree's draw leaves out single parts and seldom whole cells
+
+
+def flow_cells(flows: DataFrame, label: str, bins: int = BINS, parts: int = PARTS) -> tuple[Bucketizer, DataFrame]:
+    """The features' quantile bins, and ``(bins, label, weight)``: the rows of each cell of bins and class, counted.
+
+    Trees that split between bins can't tell the rows of a cell apart, so nothing is lost to them; a large cell is dealt into
+    ``parts`` by a hash of its features. The cells are bounded by the bins, whatever the number of rows.
+    """
+    names = [f"{c}_bin" for c in FLOW_FEATURES]
+    cut = QuantileDiscretizer(inputCols=list(FLOW_FEATURES), outputCols=names, numBuckets=bins, handleInvalid="keep").fit(flows)
+    part = F.pmod(F.xxhash64(*FLOW_FEATURES), F.lit(parts)).alias("part")
+    counted = cut.transform(flows).groupBy(*names, label, part).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    plain = [F.col(n).alias(n, metadata={"kind": "dropped"}) for n in names]  # bins are numbers in order, not categories
+    return cut, materialize(counted.select(*plain, label, "weight"), "flow-cells")
+
+
 def train_flow_classifier(flows: DataFrame, label: str = "label", trees: int = 100, depth: int = 8) -> PipelineModel:
-    """Forest over the flow features; ``label`` holds two or more classes. Rows with a missing feature teach nothing."""
-    assemble = VectorAssembler(inputCols=list(FLOW_FEATURES), outputCol="features", handleInvalid="keep")
-    forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED)
-    return Pipeline(stages=[assemble, forest]).fit(flows.filter(_complete()))
+    """Forest over the flow features; ``label`` holds two or more classes. Rows with a missing feature teach nothing.
+
+    Every other row counts, as part of its cell: what the trees' passes read and keep doesn't grow with the rows.
+    """
+    cut, cells = flow_cells(flows.filter(_complete()), label)
+    assemble = VectorAssembler(inputCols=cut.getOutputCols(), outputCol="features", handleInvalid="keep")
+    forest = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED)
+    return PipelineModel([cut, assemble, forest.fit(assemble.transform(cells))])
 
 
 def _complete() -> Column:

@@ -158,3 +158,15 @@ def test_stream_scores_like_batch(spark, small, tmp_path):
     assert stream == pytest.approx(batch)
     alerts = spark.read.schema("alert_id long").json(f"{tmp_path}/alerts").count()
     assert alerts == sum(s > 0.5 for s in batch.values())
+
+
+def test_a_forest_grows_on_cells_whatever_the_rows(spark):
+    rows = spark.range(40_000).select(
+        "id", (F.col("id") % 50).cast("double").alias("duration"), F.lit(6).alias("proto"), F.rand(1).alias("src_bytes"), F.lit(5.0).alias("dst_bytes"),
+        (F.col("id") % 7).alias("packets"), F.lit(1.0).alias("bytes_per_sec"), F.lit(2).alias("dst_host_srv_count"), (F.col("id") % 50 > 24).cast("int").alias("label"),
+    )
+    once, twice = models.flow_cells(rows, "label", 8, 2)[1], models.flow_cells(rows.union(rows), "label", 8, 2)[1]
+    assert once.agg(F.sum("weight")).first()[0] == 40_000 and twice.agg(F.sum("weight")).first()[0] == 80_000
+    assert twice.count() <= 1.1 * once.count() < 8 * 8 * 7 * 2 * 2
+    found = models.classify_flows(models.train_flow_classifier(rows, trees=10), rows).filter("verdict = label").count()
+    assert found > 38_000
