@@ -287,19 +287,28 @@ def apply_calibration(model, scored: DataFrame, score: str) -> DataFrame:
 # --- process behaviour ---------------------------------------------------------------------------------
 
 
-def process_inputs(processes: DataFrame) -> DataFrame:
-    """Process features plus summary numbers of the behaviour sequence; NULL numbers become 0."""
+def sequence_summary(sequences: DataFrame) -> DataFrame:
+    """``behavior_sequence`` replaced by its mean, deviation, largest and last step; all NULL for an empty one."""
     steps = F.col("behavior_sequence")
     n = F.size(steps).cast("double")
     mean = F.try_divide(F.aggregate(steps, F.lit(0.0), lambda a, x: a + x), n)
     squares = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x * x)
-    rated = process_features(processes).withColumns({"sequence_mean": mean, "sequence_max": F.array_max(steps)})
-    return rated.withColumns(
+    found = sequences.withColumns({"sequence_mean": mean, "sequence_max": F.array_max(steps)})
+    return found.withColumns(
         {
             "sequence_deviation": F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares, n) - F.col("sequence_mean") ** 2)),
             "sequence_last": F.try_element_at(steps, F.lit(-1)),
         }
-    ).fillna(0.0, subset=list(PROCESS_NUMBERS))
+    ).drop("behavior_sequence")
+
+
+def process_inputs(processes: DataFrame) -> DataFrame:
+    """Process features plus summary numbers of the behaviour sequence; NULL numbers become 0.
+
+    Rows bring the sequence, or its summary, which is best made once per process and joined.
+    """
+    summed = sequence_summary(processes) if "behavior_sequence" in processes.columns else processes
+    return process_features(summed).fillna(0.0, subset=list(PROCESS_NUMBERS))
 
 
 def train_ransomware(inputs: DataFrame, label: str = "is_ransomware", rounds: int = 20, numbers: Sequence[str] = PROCESS_NUMBERS) -> PipelineModel:

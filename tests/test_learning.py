@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.operators import models, ranking
+from palisade.operators import features, models, ranking
 from palisade.operators.forest import tree_samples
 from palisade.plans import fixtures as fx
 from palisade.plans import learning, queries
@@ -170,3 +170,14 @@ def test_a_forest_grows_on_cells_whatever_the_rows(spark):
     assert twice.count() <= 1.1 * once.count() < 8 * 8 * 7 * 2 * 2
     found = models.classify_flows(models.train_flow_classifier(rows, trees=10), rows).filter("verdict = label").count()
     assert found > 38_000
+
+
+def test_contents_are_measured_once_and_go_with_no_event(spark, small):
+    samples = learning.process_samples(spark, small)
+    assert not {"file_content", "text", "behavior_sequence"} & set(samples.columns)
+    text = fx.table(spark, small, "documents").select("doc_id", F.col("text").alias("file_content"))
+    sequences = features.behavior_sequences(fx.processes(spark, small), "process_id", "ts", "event_id", "api_call_count")
+    whole = fx.processes(spark, small).join(text, "doc_id").join(sequences, "process_id")
+    shown = ["event_id", "process_id", *models.PROCESS_NUMBERS]
+    found, wanted = (sorted(map(tuple, models.process_inputs(rows).select(shown).collect())) for rows in (samples, whole))
+    assert len(found) == fx.table(spark, small, "events").count() and np.allclose(found, wanted, rtol=1e-9)
