@@ -22,6 +22,7 @@ from palisade.sources.traffic import _MAGIC, decode_frames
 from palisade.storage import materialize
 
 RANGE = 128 << 20
+TASK = 128 << 20  # bytes of ranges that a task reads
 CHAIN = 16  # headers in a row that must be plausible
 CHUNK = 4 << 20  # bytes read at a time
 LARGEST = 1 << 18  # bytes of a frame where a capture names no limit
@@ -228,6 +229,16 @@ def _indexed(ranges: DataFrame) -> DataFrame:
     return ranges.mapInArrow(run, INDEX)
 
 
+def _dealt(ranges: DataFrame, *by: str) -> DataFrame:
+    """Ranges dealt to tasks of about ``TASK`` bytes, so that many small captures share a task.
+
+    A few ranges have a task each, up to the session's number of shuffle partitions.
+    """
+    total, count = ranges.agg(F.sum(F.col("high") - F.col("low")), F.count(F.lit(1))).first()
+    least = min(count, int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return ranges.repartition(max(1, least, -(-(total or 0) // TASK)), *by)
+
+
 def capture_index(spark: SparkSession, path: str, range_bytes: int = RANGE, pattern: str = "*.pcap*") -> DataFrame:
     """``(path, length, low, high, start, stop, frames, turns, error)``: agreed bounds of every range of every capture.
 
@@ -239,8 +250,7 @@ def capture_index(spark: SparkSession, path: str, range_bytes: int = RANGE, patt
     lows = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), step.cast("long")))
     ranges = files.select("path", "length", lows.alias("low")).withColumn("high", F.least(F.col("low") + step, F.col("length")))
     unknown = materialize(ranges.withColumn("start", F.lit(None).cast("long")), "ranges")
-    count = unknown.count()
-    index = materialize(_indexed(unknown.repartition(max(1, count), "path", "low")), "index")
+    index = materialize(_indexed(_dealt(unknown, "path", "low")), "index")
     while True:
         turning = index.filter("turns > 0 AND (low > 0 OR high < length)").select("path").distinct()
         checked = index.join(turning, "path", "left_anti").withColumn("expected", F.lag("stop").over(Window.partitionBy("path").orderBy("low")))
@@ -275,8 +285,8 @@ def read_frames(index: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    some = index.filter(F.col("start") < F.col("stop")).select("path", "start", "stop")
-    return some.repartition(max(1, some.count()), "path", "start").mapInArrow(run, FRAMES)
+    some = index.filter(F.col("start") < F.col("stop")).select("path", "start", "stop", "low", "high")
+    return _dealt(some, "path", "start").select("path", "start", "stop").mapInArrow(run, FRAMES)
 
 
 def damaged_captures(index: DataFrame) -> DataFrame:

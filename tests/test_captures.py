@@ -110,3 +110,13 @@ def test_frames_without_ipv4_are_counted(spark, tmp_path):
     assert captures.packets(read).count() == 2
     assert sorted(r["reason"] for r in captures.other_frames(read).collect()) == ["ARP", "IPv6", "damaged IPv4", "short frame"]
     assert traffic.read_traffic(spark, str(tmp_path / "a.pcap")).count() == 2
+
+
+def test_small_captures_share_tasks(spark, tmp_path):
+    header = bytes.fromhex("D4C3B2A10200040000000000" "00000000FFFF000001000000")
+    for i in range(60):
+        (tmp_path / f"c{i}.pcap").write_bytes(header + b"".join(struct.pack("<IIII", 1 + k, i, 20, 20) + bytes([k] * 20) for k in range(5)))
+    index = captures.capture_index(spark, str(tmp_path), 100)
+    frames = captures.read_frames(index)
+    assert index.count() == 180 and frames.count() == 300
+    assert frames.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
