@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import enrichment, validation
+from palisade.plans import storage_queries
 from palisade.sources import intel, sinks, traffic
 
 
@@ -135,3 +136,11 @@ def test_addresses_that_cant_be_located_are_told(spark):
     rows = spark.createDataFrame([("10.0.0.1",), ("2001:db8::1",), (None,)], "ip string")
     found = {r.ip: (r.country, r.locatable) for r in enrichment.country_risk(rows, "ip", ranges, exits).collect()}
     assert found == {"10.0.0.1": ("US", True), "2001:db8::1": (None, False), None: (None, False)}
+
+
+def test_csv_files_with_line_breaks_are_bounded(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage_queries, "scratch_path", lambda _, label: str(tmp_path / label))
+    monkeypatch.setattr(storage_queries, "CSV_FILES", {"maxRecordsPerFile": "50"})
+    found = storage_queries.process_file_scan(spark, small)
+    rows = spark.read.parquet(f"{small}/events.parquet").count()
+    assert found.count() == rows and len(list((tmp_path / "processes").glob("part-*.csv"))) >= rows / 50
