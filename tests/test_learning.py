@@ -1,10 +1,11 @@
 """Learning queries and operators: complete rows, bounds, and quality on rows the model has not seen."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.operators import features, models, ranking
+from palisade.operators import features, forest, models, ranking
 from palisade.operators.forest import tree_samples
 from palisade.plans import fixtures as fx
 from palisade.plans import learning, queries
@@ -181,3 +182,22 @@ def test_contents_are_measured_once_and_go_with_no_event(spark, small):
     shown = ["event_id", "process_id", *models.PROCESS_NUMBERS]
     found, wanted = (sorted(map(tuple, models.process_inputs(rows).select(shown).collect())) for rows in (samples, whole))
     assert len(found) == fx.table(spark, small, "events").count() and np.allclose(found, wanted, rtol=1e-9)
+
+
+def test_points_walk_down_every_tree_like_one_by_one():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(700, 3))
+    points[5, 1], points[6, 2] = np.inf, -np.inf
+    trees = [forest._grow(points[10 + n : 10 + 3 * n], n, 1) for n in (1, 2, 9, 128)]
+
+    def walk(tree, point):
+        nodes, at = tree.set_index("node"), 0
+        while nodes.feature[at] >= 0:
+            at = nodes.right[at] if point[nodes.feature[at]] > nodes.threshold[at] else nodes.left[at]
+        return nodes.depth[at] + forest.path_constant(nodes["size"][at])
+
+    table = pd.concat(trees).sort_values(["tree", "node"]).reset_index(drop=True)
+    packed = forest._packed(table)
+    assert all(packed[4][i] == i or packed[4][i] >= len(trees) for i in range(len(table)))  # children stand in pairs behind the roots
+    wanted = [np.mean([walk(tree, p) for tree in trees]) for p in points]
+    assert np.allclose(forest._mean_path(points, packed), wanted, rtol=1e-12)
