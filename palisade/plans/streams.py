@@ -109,22 +109,31 @@ def stream_rate_alerts(spark, sf):
     return alerts.groupBy(F.unix_micros("window_start").alias("window_micros")).agg(F.max("packets").alias("packets"))
 
 
+FILE_ROWS = 100_000  # of a file, about
+
+
 def timed_files(rows, time, parts, path):
-    """Rows written as ``parts`` files that follow each other in time, so that a file stream reads them in order."""
+    """Rows written in ``parts`` that follow each other in time; returns the number of files of each part.
+
+    A file stream that takes so many files at a time reads part by part. All parts have the same number of files, by the rows of
+    the smallest, and none of these is empty unless its part is.
+    """
     edges = rows.select(F.percentile_approx(time, [i / parts for i in range(1, parts)], 10_000)).first()[0]
     place = sum((F.col(time) > F.lit(e)).cast("int") for e in edges)
     numbered = materialize(rows.withColumn("_part", place), "timed")
+    sizes = {r["_part"]: r["count"] for r in numbered.groupBy("_part").count().collect()}
+    files = max(1, min(sizes.get(part, 0) for part in range(parts)) // FILE_ROWS)
     for part in range(parts):
-        numbered.filter(F.col("_part") == part).drop("_part").repartition(1).write.mode("append").parquet(path)
-    return path
+        numbered.filter(F.col("_part") == part).drop("_part").repartition(files).write.mode("append").parquet(path)
+    return files
 
 
 def detect_in_stream(spark, sf, model_path, base):
     """Events as a stream of several batches, scored by the saved model; alerts from a second stream over the scores."""
     documents = fx.table(spark, sf, "documents").select("doc_id", byte_entropy(F.col("text")).alias("entropy"))
     processes = fx.processes(spark, sf).withColumn("timestamp", F.col("ts").cast("timestamp")).join(documents, "doc_id").drop("created_files", "ts")
-    timed_files(processes, "timestamp", 3, f"{base}/events")
-    rows = spark.readStream.schema(processes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+    files = timed_files(processes, "timestamp", 3, f"{base}/events")
+    rows = spark.readStream.schema(processes.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/events")
     windows = detection.trailing_stream(rows, "process_id", "timestamp", "event_id", {"steps": "api_call_count", "entropies": "entropy"}, expire="365 days")
     model = models.TimelineModel.load(spark, model_path)
     score = lambda batch: model.score(batch, ["event_id", "process_id", "timestamp"])
@@ -173,8 +182,8 @@ def stream_scan_sources(spark, sf):
     """Sources and the addresses they probe in windows of a day, every six hours, from a stream of several batches."""
     base = scratch_path(spark, "stream-scans")
     rows = fx.traffic(spark, sf).select(F.col("ts").cast("timestamp").alias("timestamp"), "src_ip", "dst_ip", "syn_only")
-    timed_files(rows, "timestamp", 3, f"{base}/packets")
-    packets = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/packets")
+    files = timed_files(rows, "timestamp", 3, f"{base}/packets")
+    packets = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/packets")
     jobs.stream_scans(packets, f"{base}/windows", f"{base}/checkpoint", target="dst_ip", window="1 day", slide="6 hours").awaitTermination()
     stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/windows")
     last = stored.groupBy("window_start", "src_ip").agg(F.max("syn_packets").alias("syn_packets"), F.max_by("targets", "syn_packets").alias("targets"))  # counts only grow

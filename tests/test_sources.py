@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import enrichment, validation
-from palisade.plans import storage_queries
+from palisade.plans import storage_queries, streams
 from palisade.sources import intel, sinks, traffic
 
 
@@ -144,3 +144,16 @@ def test_csv_files_with_line_breaks_are_bounded(spark, small, tmp_path, monkeypa
     found = storage_queries.process_file_scan(spark, small)
     rows = spark.read.parquet(f"{small}/events.parquet").count()
     assert found.count() == rows and len(list((tmp_path / "processes").glob("part-*.csv"))) >= rows / 50
+
+
+@pytest.mark.parametrize("rows, files", [(400, 5), (2, 1), (0, 1)])
+def test_parts_in_time_have_as_many_files_each(spark, tmp_path, monkeypatch, rows, files):
+    monkeypatch.setattr(streams, "FILE_ROWS", 25)
+    events = spark.range(rows).select("id", F.timestamp_seconds(F.col("id") * 7).alias("at")) if rows else spark.createDataFrame([(1, None)], "id long, at timestamp")
+    if rows == 0:
+        events = events.withColumn("at", F.timestamp_seconds(F.col("id")))
+    assert streams.timed_files(events, "at", 3, str(tmp_path / "files")) == files
+    made = sorted((tmp_path / "files").glob("part-*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    spans = [[r["id"] for r in spark.read.parquet(*map(str, made[i : i + files])).collect()] for i in range(0, len(made), files)]
+    assert sorted(x for part in spans for x in part) == list(range(rows)) or not rows
+    assert all(max(a) < min(b) for a, b in zip(spans, spans[1:]) if a and b)
