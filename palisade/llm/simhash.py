@@ -41,12 +41,16 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
     total = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, total)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, total))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; zero without any."""
     ones = np.zeros(BITS, np.int64)
-    for start in range(0, total, 1 << 15):
+    for start in range(0, len(hashes), 1 << 15):
         part = hashes[start : start + (1 << 15)].view(np.uint8)
         ones += np.unpackbits(part, bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(
@@ -199,11 +203,25 @@ def _rooted_by(classes: DataFrame, edges: DataFrame) -> DataFrame:
     return classes.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
 
 
+def close_sets(found: DataFrame, radius: int = 3) -> DataFrame:
+    """Candidates ``(src, dst)`` of ``overlap.shingle_sets``: sets whose majority bits the bit planes link, each with the least of them.
+
+    Equal fingerprints are one; the empty set has no candidates, and an empty table gives none.
+    """
+    known = materialize(found.where("n > 0").select("fp", "bits").distinct(), "prints")
+    linked = connected_components(links(known.select(F.col("bits").alias("fp")).distinct(), radius))
+    rooted = known.join(linked, F.col("bits") == F.col("node"), "left").select("fp", F.coalesce("component", "bits").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("fp").alias("dst"))
+    return rooted.join(least, "root").where("fp <> dst").select(F.col("fp").alias("src"), "dst")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The row with the smallest id of each group of near-duplicates, with the columns of ``docs`` as they are.
 
     Two rows are linked if the sets of their shingles of ``width`` words have a Jaccard similarity of ``similarity`` at least;
-    a group is linked directly or through others (``palisade.llm.overlap``, exact). A row is known by its id and a hash of its
+    a group is linked directly or through others. Candidates come from the bit planes, over fingerprints of these sets, and what
+    is similar beyond their radius from chained prefixes (``palisade.llm.overlap``); all are confirmed by whole sets, so the
+    result is exact. A row is known by its id and a hash of its
     text. If the smallest id has several texts, the smallest hash stays; of rows that repeat both, one stays. Groups without
     any id keep the row with the smallest hash. Null text and text without words have the empty set and are copies of each
     other. An empty table stays empty; other columns, whatever their names, come through untouched.
@@ -213,7 +231,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen_texts = marked.select(F.col(spare[0]).alias("id"), F.col(spare[1]).alias("extra"), F.col(text_col).alias("text"))
     found = materialize(overlap.shingle_sets(chosen_texts, width, similarity), "sets")
     classes = found.groupBy("fp").agg(F.min(_row_order()).alias("first_id"))
-    rooted = _rooted_by(classes, overlap.links(chosen_texts, found, classes, width, similarity))
+    near = close_sets(found).union(overlap.chains(found, similarity))
+    rooted = _rooted_by(classes, overlap.links(chosen_texts, near, classes, width, similarity))
     chosen = rooted.groupBy("root").agg(F.min("first_id").alias("r")).select(F.col("r.id").alias(spare[0]), F.col("r.extra").alias(spare[1]))
     copies = found.groupBy("id", "extra").agg(F.count(F.lit(1)).alias("n"))
     keyed = chosen.join(copies, F.col(spare[0]).eqNullSafe(F.col("id")) & (F.col(spare[1]) == F.col("extra"))).select(*spare, "n")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palisade.llm import negatives, overlap, simhash, unions, vectors
@@ -118,6 +119,24 @@ def test_one_of_each_finds_one_word_edits_like_brute_force(spark, monkeypatch, l
     assert far and {x["doc_id"] for x in simhash.one_of_each(docs).collect()} == {k for k in root if root[k] == k}
 
 
+def test_one_of_each_searches_the_bit_planes_and_confirms(spark, monkeypatch):
+    words = [f"w{i}" for i in range(2000)]
+    edited = [*words[:1000], "edit", *words[1001:]]
+    rows = [(0, " ".join(words)), (1, " ".join(edited)), (2, " ".join(reversed(words))), (3, None), (4, " ".join(edited[:1999]))]
+    monkeypatch.setattr(overlap, "chains", lambda found, similarity: found.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (plain_bits(rows[0][1]) ^ plain_bits(rows[1][1])).bit_count() <= 3
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {0, 2, 3}
+    # whole sets decide: fingerprints that agree are candidates, no more
+    monkeypatch.setattr(simhash, "close_sets", lambda found: found.where("n > 0").select(F.col("fp").alias("src"), F.min("fp").over(Window.partitionBy()).alias("dst")))
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {0, 2, 3}
+
+
+def plain_bits(text):
+    hashes = [int(h) for h in overlap.shingles(text, 5)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_empty_tables(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
