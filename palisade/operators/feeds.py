@@ -30,6 +30,7 @@ LEAST = 3  # characters of a literal worth looking for
 SHARD = 100_000  # literals of an automaton
 HELD = 4  # automata that a worker keeps
 BUFFER = 32 << 20  # characters that are looked through for one load of the automata
+PIECES = 50_000  # of subjects in a batch
 APART = 500  # expressions without a literal in one scan
 
 _CAPITALS = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -141,7 +142,7 @@ def required_literal(pattern: str | None, least: int = LEAST) -> str | None:
 
 @dataclass(frozen=True)
 class PatternFeed:
-    """Expressions by type with their literals, and the automata that look for these."""
+    """Expressions by type with their literals, and the automata that look for these, if a worker can keep them."""
 
     anchored: DataFrame
     apart: DataFrame
@@ -163,6 +164,8 @@ class PatternFeed:
             met = asked.mapInArrow(_look_for(kinds, self.shards), out).withColumn("literal", F.explode("literals"))
             tried = met.join(self.anchored, ["type", "literal"]).where(F.rlike("subject", "pattern"))
             found = tried.select("key", "type", "name")
+        elif self.n_anchored and not self.shards:
+            found = self._joined(df, key, subjects)
         if self.n_apart:
             for block in _blocks(self.apart, APART):
                 for kind, subject in subjects.items():
@@ -174,6 +177,41 @@ class PatternFeed:
             found = df.select(F.col(key).alias("key"), F.lit("").alias("type"), F.lit("").alias("name")).limit(0)
         return found.distinct().withColumnRenamed("key", key)
 
+    def _joined(self, df: DataFrame, key: str, subjects: Mapping[str, Column]) -> DataFrame | None:
+        """Hits of the anchored expressions by a join of the subjects' pieces with the literals.
+
+        A piece carries a hash of its subject; the expression decides on the subject itself, so equal hashes do no harm.
+        """
+        sizes = {r["type"]: sorted(r["sizes"]) for r in self.anchored.groupBy("type").agg(F.collect_set(F.length("literal")).alias("sizes")).collect()}
+        entries = [F.struct(F.lit(k).alias("type"), s.cast("string").alias("subject")) for k, s in subjects.items() if k in sizes]
+        if not entries:
+            return None
+        asked = df.select(F.col(key).alias("key"), F.explode(F.array(*entries)).alias("e")).select("key", "e.type", "e.subject").where("subject IS NOT NULL")
+        known = asked.select("type", "subject", F.xxhash64("subject").alias("hash")).distinct()
+        pieces = known.mapInArrow(_pieces_of(sizes), "type string, hash long, literal string")
+        near = pieces.join(self.anchored, ["type", "literal"]).select("type", "hash", "name", "pattern")
+        met = known.join(near, ["type", "hash"]).where(F.rlike("subject", "pattern")).select("type", "subject", "name").distinct()
+        return asked.join(met, ["type", "subject"]).select("key", "type", "name")
+
+
+def _pieces_of(sizes: Mapping[str, list[int]]):
+    """Batch function that gives the different pieces of each subject with the lengths of its type's literals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for kind, subject, number in zip(*(batch[c].to_pylist() for c in ("type", "subject", "hash"))):
+                text = folded(subject)
+                for size in sizes[kind]:
+                    rows += [(kind, number, piece) for piece in {text[i : i + size] for i in range(len(text) - size + 1)}]
+                    if len(rows) >= PIECES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["type", "hash", "literal"])
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["type", "hash", "literal"])
+
+    return run
+
 
 def _blocks(rows: DataFrame, size: int) -> Iterator[list]:
     """Rows in lists of at most ``size``; the driver holds one list at a time."""
@@ -238,7 +276,7 @@ def prepare_feed(patterns: DataFrame, least: int = LEAST, shard: int = SHARD) ->
     """A feed from ``patterns(type, name, pattern)``; repeated rows count once, rows without a pattern never match.
 
     Literals are taken from the expressions by tasks, the automata are built by tasks, one for each shard of about ``shard``
-    literals; the driver only learns where they lie.
+    literals; the driver only learns where they lie. Feeds of more than ``HELD`` shards are joined instead and need none.
     """
     spark = patterns.sparkSession
 
@@ -269,7 +307,7 @@ def prepare_feed(patterns: DataFrame, least: int = LEAST, shard: int = SHARD) ->
     counts = {r["known"]: r["n"] for r in table.groupBy(F.col("literal").isNotNull().alias("known")).agg(F.count(F.lit(1)).alias("n")).collect()}
     pieces = -(-counts.get(True, 0) // shard)
     shards: tuple[tuple[str, str], ...] = ()
-    if pieces:
+    if 0 < pieces <= HELD:
         literals = anchored.select("type", "literal").distinct().withColumn("shard", F.pmod(F.xxhash64("literal"), F.lit(pieces)))
         built = materialize(literals.groupBy("type", "shard").applyInPandas(build, "type string, path string"), "shards")
         shards = tuple(sorted((r["type"], r["path"]) for r in built.collect()))  # a row for each shard

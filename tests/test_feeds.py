@@ -58,6 +58,19 @@ def test_feed_hits_like_trying_everything(spark, monkeypatch, shard):
     assert shard > 2 or len(feed.shards) > 2
 
 
+def test_a_feed_beyond_the_automata_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(feeds, "HELD", 1)
+    monkeypatch.setattr(feeds, "PIECES", 1000)
+    table = spark.createDataFrame(RULES + RULES[:2], "type string, name string, pattern string")
+    rows = spark.createDataFrame([(*r, "t") for r in [*ROWS, (8, "Ünï.evil.example", "/\U0001f600backup/")]], "id long, host string, path string, subject string").repartition(3)
+    feed = feeds.prepare_feed(table, shard=2)
+    assert not feed.shards and feed.n_anchored
+    wanted = {(r[0], kind, name) for r in [*ROWS, (8, "Ünï.evil.example", "")] for kind, name, p in RULES for s in [r[1 if kind == "domain" else 2]] if p and s is not None and re.search(p, s)}
+    found = feed.hits(rows, "id", {"domain": F.col("host"), "file": F.col("path")}).collect()
+    assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
+    assert feed.hits(rows, "id", {"other": F.col("host")}).count() == 0
+
+
 def test_feeds_of_nothing(spark):
     none = spark.createDataFrame([], "type string, name string, pattern string")
     rows = spark.createDataFrame([(1, "a")], "id long, host string")
