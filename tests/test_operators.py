@@ -225,3 +225,12 @@ def test_filters_and_columns_reach_the_scan(spark, small):
 def test_hot_groups_are_cut_before_the_shuffle(spark, small):
     plan = queries()["behavior_sequences"](spark, small)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_python_gets_few_megabytes_of_text_at_a_time(spark, small):
+    import pyarrow as pa
+
+    queries()["byte_entropy"](spark, small)
+    long_texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    sizes = long_texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 40 and max(r["n"] for r in sizes) < 20
