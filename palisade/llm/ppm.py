@@ -46,11 +46,11 @@ START, END = 0xFF, 0xFE  # bytes that UTF-8 text never holds
 SYMBOLS = 255  # all bytes but the start mark
 END_WORD = b"\n"  # the end as a word; words hold no white space
 CHUNK = 1 << 20  # bytes of text whose strings are sorted together
-KEPT_KEYS = 1 << 21  # strings a task keeps before it hands its counts on
+KEPT_KEYS = 1 << 20  # strings a task keeps before it hands its counts on
 KEPT_WORDS = 1 << 18
-SHARD_ROWS = 3 << 20  # strings of a shard, unless a single pair of bytes has more
+SHARD_ROWS = 2 << 20  # strings of a shard, unless a single pair of bytes has more
 HELD_SHARDS = 2
-SPAN = 8  # chunks of strings that meet the shards together
+SPAN = 4  # chunks of strings that meet the shards together
 HEAVY_WORDS = 1 << 18
 
 
@@ -368,8 +368,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             scores = np.zeros(len(datas))
             chunks = strings(datas, order)
             while span := list(islice(chunks, SPAN)):
-                found = [np.unique(keys, return_inverse=True) for keys, _ in span]
-                owners = [own for _, own in span]
+                owners = [own.astype(np.int32) for _, own in span]  # rows of a batch, and places of a chunk: small numbers
+                found = []
+                for i, (keys, _) in enumerate(span):
+                    span[i] = (None, None)
+                    own, place = np.unique(keys, return_inverse=True)
+                    found.append((own, place.astype(np.int32)))
+                    del keys, place
                 del span
                 turn = not turn
                 for costs, (_, place), own in zip(trie.log10([keys for keys, _ in found], turn), found, owners):
