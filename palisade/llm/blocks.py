@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.batches import filesystem, texts
+from palisade.llm.batches import filesystem
 from palisade.llm.registry import query
 from palisade.llm.wordtokens import word_encoder
 from palisade.storage import materialize, scratch_path
@@ -162,15 +162,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, writer = word_encoder(path), struct.pack("<I", end_id), None
+        encoder, writer = word_encoder(path), None
         for batch in batches:
-            for key, text in zip(batch["id"].to_pylist(), texts(batch["text"])):
+            for key, ids in zip(batch["id"].to_pylist(), encoder.encode_all(batch["text"], end_id)):
                 if writer is None:
                     name = f"{folder}/{uuid.uuid4().hex}.tokens"
                     system, inner = filesystem(folder)
                     system.create_dir(inner, recursive=True)
                     writer = BlockWriter(name)
-                writer.add(key, encoder.encode(text) + end)
+                writer.add(key, ids)
         if writer:
             writer.close()
             part = TaskContext.get().partitionId()

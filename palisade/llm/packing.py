@@ -10,7 +10,6 @@ pass: nothing is shuffled and no task sees more than its own rows.
 
 from __future__ import annotations
 
-import struct
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +19,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.batches import texts
 from palisade.llm.registry import query
 from palisade.llm.wordtokens import word_encoder
 
@@ -131,7 +129,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(path), struct.pack("<I", end_id)
+        encoder = word_encoder(path)
         part = TaskContext.get().partitionId() << 40
         sequences = groups = held = 0
         keys: list[int | None] = []
@@ -157,9 +155,9 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns)], names)
 
         for batch in batches:
-            for key, text in zip(batch["id"].to_pylist(), texts(batch["text"])):
+            for key, found in zip(batch["id"].to_pylist(), encoder.encode_all(batch["text"], end_id)):
                 keys.append(key)
-                ids.append(encoder.encode(text) + end)
+                ids.append(found)
                 held += len(ids[-1]) // 4
                 if held >= buffer_tokens:
                     yield from packed()

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -226,6 +227,42 @@ def test_every_character_like_the_libraries(library):
             assert np.frombuffer(words.encode(text), "<u4").tolist() == found.ids, ascii(text)
 
 
+def column_ids(found):
+    return [np.frombuffer(ids, "<u4").tolist() for ids in found]
+
+
+def test_columns_like_the_library(library):
+    own, lib = wordtokens.word_encoder(WORDS), library[1]
+    odd = [t for _, t in ROWS] + ["", ".", "a.", "a..", ".a", "İ. I\u0307 J\u030c", "ΑΣ Σ.", "x<|endoftext|>Y. <|startoftext|>", "É, é; Ñ\n\n中。 \t1२"]
+    for rows in ([], [None], [""], odd, odd * 3, *in_context()):
+        wanted = [[*found.ids, 1] for found in lib.encode_batch([t or "" for t in rows], add_special_tokens=False)]
+        assert column_ids(own.encode_all(pa.array(rows, pa.string()), 1)) == wanted
+    assert column_ids(own.encode_all(pa.array(["cut", *odd])[1:], 1)) == column_ids(own.encode_all(pa.array(odd), 1))
+
+
+def test_slices_and_full_tables_change_no_ids(monkeypatch):
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}." for j in range(26)) for i in range(60)]
+    wanted = column_ids(wordtokens.WordEncoder(WORDS).encode_all(pa.array(texts), 1))
+    monkeypatch.setattr(wordtokens, "SLICE", 50)
+    monkeypatch.setattr(wordtokens, "KEPT", 7)
+    monkeypatch.setattr(wordtokens, "MERGED", 3)
+    small = wordtokens.WordEncoder(WORDS)
+    assert column_ids(small.encode_all(pa.array(texts), 1)) == wanted
+    assert max(len(t) for g in (small.words, small.chunks) for t in (g.newer, g.older)) <= 7
+
+
+def test_distinct_words_of_a_column_are_merged_once(monkeypatch):
+    """However small the tables of known words: a word in capitals, with a mark behind it or in another text is no other word."""
+    monkeypatch.setattr(wordtokens, "KEPT", 4)
+    own = wordtokens.WordEncoder(WORDS)
+    merged = []
+    merge, own.merge = own.merge, lambda word: merged.append(word) or merge(word)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    texts = [" ".join(words), " ".join(w.upper() for w in words), " ".join(w.title() + "," for w in words)] * 3
+    found = column_ids(own.encode_all(pa.array(texts), 1))
+    assert found[0] == found[1] == found[3] and len(merged) == len(words)
+
+
 def test_words_of_newer_unicode_versions_by_name():
     lib = Tokenizer.from_file(WORDS)
     for text in (":\u0558", "\u0558\u058b\u058c", "x\u208f\u209d\u209e\u209f", "\ua7dd1", ":\U00018d80", "\u0558 \u0558:"):
