@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import overlap
 from palisade.llm.batches import texts, whole_groups
+from palisade.llm.marks import flagged
 from palisade.llm.registry import query
 from palisade.llm.unions import connected_components, join_sets
 from palisade.storage import materialize
@@ -221,12 +222,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two rows are linked if the sets of their shingles of ``width`` words have a Jaccard similarity of ``similarity`` at least;
     a group is linked directly or through others. Candidates come from the bit planes, over fingerprints of these sets, and what
     is similar beyond their radius from chained prefixes (``palisade.llm.overlap``); all are confirmed by whole sets, so the
-    result is exact. A row is known by its id and a hash of its
-    text. If the smallest id has several texts, the smallest hash stays; of rows that repeat both, one stays. Groups without
+    result is exact. A row is known by its id and a hash of its text. Rows that stay and are the only ones under their id and hash
+    pass by without a shuffle; all others, and the few whose marks can't be told from theirs, are looked up. If the smallest id has several texts, the smallest hash stays; of rows that repeat both, one stays. Groups without
     any id keep the row with the smallest hash. Null text and text without words have the empty set and are copies of each
     other. An empty table stays empty; other columns, whatever their names, come through untouched.
     """
-    spare = [f"{_unused(docs.columns)}{k}" for k in range(2)]
+    spare = [f"{_unused(docs.columns)}{k}" for k in range(3)]
     marked = docs.withColumns({spare[0]: F.col(id_col).cast("long"), spare[1]: F.xxhash64(text_col)})
     chosen_texts = marked.select(F.col(spare[0]).alias("id"), F.col(spare[1]).alias("extra"), F.col(text_col).alias("text"))
     found = materialize(overlap.shingle_sets(chosen_texts, width, similarity), "sets")
@@ -235,12 +236,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = _rooted_by(classes, overlap.links(chosen_texts, near, classes, width, similarity))
     chosen = rooted.groupBy("root").agg(F.min("first_id").alias("r")).select(F.col("r.id").alias(spare[0]), F.col("r.extra").alias(spare[1]))
     copies = found.groupBy("id", "extra").agg(F.count(F.lit(1)).alias("n"))
-    keyed = chosen.join(copies, F.col(spare[0]).eqNullSafe(F.col("id")) & (F.col(spare[1]) == F.col("extra"))).select(*spare, "n")
-    a, b = marked.alias("a"), keyed.withColumnsRenamed({spare[0]: f"{spare[0]}k", spare[1]: f"{spare[1]}k"}).alias("b")
+    same = F.col(spare[0]).eqNullSafe(F.col("id")) & (F.col(spare[1]) == F.col("extra"))
+    known = materialize(copies.join(chosen, same, "left").select("id", "extra", "n", F.col(spare[1]).isNotNull().alias("kept")), "known")
+    unsure = known.where("n > 1 OR NOT kept").select(F.xxhash64("id", "extra"))
+    told = flagged(marked, F.xxhash64(*spare[:2]), unsure, spare[2])
+    keyed = known.where("kept").select(F.col("id").alias(f"{spare[0]}k"), F.col("extra").alias(f"{spare[1]}k"), "n")
+    a, b = told.where(spare[2]).alias("a"), keyed.alias("b")
     match = F.col(f"a.{spare[0]}").eqNullSafe(F.col(f"b.{spare[0]}k")) & (F.col(f"a.{spare[1]}") == F.col(f"b.{spare[1]}k"))
-    once = a.join(b.where("n = 1"), match, "left_semi").select(*[F.col(f"a.`{c}`") for c in docs.columns])
-    again = a.join(b.where("n > 1"), match, "left_semi")
-    return once.union(again.dropDuplicates(spare).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = a.join(b.where("n = 1"), match, "left_semi")
+    again = a.join(b.where("n > 1"), match, "left_semi").dropDuplicates(spare[:2])
+    return told.where(~F.col(spare[2])).union(once).union(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _row_order() -> Column:

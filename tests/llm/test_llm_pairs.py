@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palisade.llm import negatives, overlap, simhash, unions, vectors
+from palisade.llm import marks, negatives, overlap, simhash, unions, vectors
 from palisade.llm.registry import queries
 
 
@@ -300,3 +300,53 @@ def test_negatives_query(spark, small):
         good = r["embedding"] is not None and all(x is not None and np.isfinite(x) for x in r["embedding"])
         rows.append((r["vec_id"], label, [int(np.floor(256 * float(x))) for x in r["embedding"]] if good else None))
     assert sorted(map(tuple, queries()["op11_inverted_multi_index"](spark, small).collect())) == plain_negatives(rows, lambda k: k % 50 == 0)
+
+
+def test_common_shingles_counts_every_text(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "COMMON", 1 << 12)
+    monkeypatch.setattr(overlap, "SLICE", 1000)
+    monkeypatch.setattr(overlap, "SAMPLED_ROWS", 0)
+    r = random.Random(4)
+    rows = [(k, " ".join(f"w{r.randrange(9)}" for _ in range(30))) for k in range(300)] + [(k, t) for k in range(2) for t in (None, "")]
+    plain = np.zeros(1 << 12)
+    for _, text in rows:
+        for h in overlap.shingles(text or "", 5):
+            plain[int(h) % (1 << 12)] += 1
+    found = overlap.common_shingles(spark.createDataFrame(rows, "extra long, text string").repartition(5), 5)
+    assert found.tolist() == np.minimum(255, np.round(8 * np.log2(plain + 1))).tolist()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_join_what_sizes_and_places_allow_and_no_more(spark, seed):
+    r = random.Random(seed)
+    rows = [(k, n, [r.randrange(9) for _ in range(n + -4 * n // 5 + 1)]) for k, n in enumerate(r.choice([5, 40, r.randrange(20, 90)]) for _ in range(120))]
+    rows = [(k, n, list(dict.fromkeys(p + [100 + k * 100 + i for i in range(len(p))]))[: len(p)]) for k, n, p in rows]
+    found = spark.createDataFrame(rows + rows[:7], "fp long, n long, prefix array<long>")
+    allowed = []
+    for a, m, p in rows:
+        for b, n, q in rows[:a]:
+            for token in set(p) & set(q):
+                shared = min(m - p.index(token), n - q.index(token))
+                if 9 * shared >= 4 * (m + n):
+                    allowed.append((a, b))
+    made = [(e.src, e.dst) for e in overlap.chains(found, 0.8).collect()]
+    assert {(max(e), min(e)) for e in made} <= set(allowed)
+    assert reachable(range(120), made) == reachable(range(120), allowed)
+
+
+@pytest.mark.parametrize("slots", [1, 8, 1 << 24])
+def test_marks_reach_every_row_wanted(spark, monkeypatch, slots):
+    monkeypatch.setattr(marks, "SLOTS", slots)
+    rows = spark.range(2000).select("id", F.lit("text").alias("text"))
+    wanted = spark.range(0, 2000, 40).select(F.xxhash64("id"))
+    found = {x["id"]: x["m"] for x in marks.flagged(rows, F.xxhash64("id"), wanted, "m").collect()}
+    assert len(found) == 2000 and all(found[k] for k in range(0, 2000, 40))
+    assert slots < 1 << 24 or sum(found.values()) < 60
+    assert not any(x["m"] for x in marks.flagged(rows, F.xxhash64("id"), wanted.limit(0), "m").collect())
+
+
+def test_near_copies_with_a_full_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(marks, "SLOTS", 1)
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "x y z"), (None, "x y z"), (3, "other"), (3, "other")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f"), (2, "x y z"), (3, "other")]
