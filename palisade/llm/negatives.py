@@ -32,8 +32,10 @@ SAMPLE = 16384  # rows the codebooks are fitted on
 CELL_ROWS = 256  # rows a cell should hold on average
 CODEWORDS = 128  # codewords of a half at most
 PIECE = 4096  # rows of a record batch of the index
-ANCHORS = 64  # anchors of a task
-HELD = 64 << 20  # bytes of pieces that a worker keeps
+ANCHORS = 64  # anchors of a task; up to GATHERED of them, where there are more than ANCHORS tasks of so many
+GATHERED = 256  # see ANCHORS
+WALKED = 64  # cells that an anchor's heap yields, about, before all that are left are looked at together
+HELD = 256 << 20  # bytes of pieces that a worker keeps
 DIRECTORY = "width int, cell int, path string, batch int, n_rows int, reach_left double, reach_right double"
 FOUND = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
@@ -145,7 +147,9 @@ class Cells:
                 self.held.move_to_end(key)
             else:
                 batch = self._file(key[0]).get_batch(key[1])
-                vectors = batch["vector"].flatten().to_numpy().astype(np.float64 if batch["small"][0].as_py() else np.int64)
+                vectors = batch["vector"].flatten().to_numpy()
+                most = np.abs(vectors.astype(np.float64)).max(initial=0)
+                vectors = vectors.astype(np.float32 if most < 2**23 else np.float64 if batch["small"][0].as_py() else np.int64)
                 piece = batch["id"].to_numpy(), batch["label"].to_numpy(), vectors.reshape(batch.num_rows, width)
                 self.held[key] = piece
                 self.bytes += sum(a.nbytes for a in piece)
@@ -154,16 +158,16 @@ class Cells:
             yield self.held[key]
 
 
-def scores(vectors: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, a row for each anchor.
+def scores(vectors: np.ndarray, anchors: np.ndarray, length: float) -> np.ndarray:
+    """Exact integer inner products, a row for each anchor of at most ``length``; as floats where these hold them.
 
-    Floats hold them exactly while the product of the lengths stays below 2 ** 53; beyond that whole numbers are multiplied.
+    They do while the product of the lengths stays below 2 ** 24 or 2 ** 53; beyond that whole numbers are multiplied.
     """
-    if vectors.dtype == np.float64:
-        asked = anchors.astype(np.float64)
-        longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0) * np.einsum("ij,ij->i", asked, asked).max(initial=0))
-        if longest < 2**52:
-            return (asked @ vectors.T).astype(np.int64)
+    if vectors.dtype != np.int64:
+        longest = max(vectors.max(initial=0), -float(vectors.min(initial=0))) * vectors.shape[1] ** 0.5 * length
+        for kind, most in ((np.float32, 2**23), (np.float64, 2**52)):
+            if longest < most:
+                return anchors.astype(kind) @ vectors.astype(kind, copy=False).T
     return anchors @ vectors.astype(np.int64).T
 
 
@@ -221,6 +225,10 @@ class Anchor:
             return -self.held[-1][0] if len(self.held) == self.count else -np.inf
         return min((w.need() for w in self.windows), default=np.inf)
 
+    def limits(self) -> tuple[float, float]:
+        """The least and the greatest score that may change something."""
+        return self.need(), np.inf if self.windows is None else max((w.high for w in self.windows), default=-np.inf)
+
     def next_cell(self, cells: Cells) -> int | None:
         """The next cell with rows that may matter; None once the result is certified."""
         need = self.need() - self.slack
@@ -253,26 +261,87 @@ class Anchor:
                 window.offer(ids, found)
 
 
+class Block:
+    """Anchors of one width side by side: what a row must score to matter to each, and the cells each has read.
+
+    The heap serves an anchor's first ``WALKED`` cells. An anchor that asks for more gets the others by whole rows of bounds.
+    """
+
+    def __init__(self, anchors: list[Anchor], cells: Cells) -> None:
+        self.anchors, self.width = anchors, anchors[0].width
+        self.whole = np.array([a.whole for a in anchors]).reshape(len(anchors), self.width)
+        self.length = max(sum(n * n for n in a.lengths) ** 0.5 for a in anchors)
+        self.alike = anchors[0].windows is None
+        self.low, self.high = np.array([a.limits() for a in anchors], np.float64).T.copy()
+        known = [(cell, *reach) for (width, cell), reach in cells.reach.items() if width == self.width]
+        self.cells = np.array([k[0] for k in known], np.int64)
+        self.column = {cell: k for k, cell in enumerate(self.cells.tolist())}
+        left, right = np.divmod(self.cells, cells.books.codewords)
+        reach = np.array([k[1:] for k in known], np.float64).reshape(len(known), 2).T
+        middle = np.array([a.middle[0][left] + a.middle[1][right] for a in anchors])
+        spread = np.array([a.lengths for a in anchors]) @ reach
+        slack = np.array([[a.slack] for a in anchors])
+        self.most, self.least = middle + spread + slack, middle - spread - slack
+        self.unread = np.ones(middle.shape, bool)
+
+    def walk(self, cells: Cells) -> None:
+        """Cells by the heaps, for anchors that need few."""
+        left, step, walked = range(len(self.anchors)), 1, 0
+        while left and walked < WALKED:
+            asked: dict[int, list[int]] = {}
+            going = []
+            for place in left:
+                for _ in range(step):
+                    cell = self.anchors[place].next_cell(cells)
+                    if cell is None:
+                        break
+                    asked.setdefault(cell, []).append(place)
+                else:
+                    going.append(place)
+            for cell, places in sorted(asked.items()):
+                self.meet(np.array(places), cells, cell)
+            left, step, walked = going, min(8, 2 * step), walked + step
+
+    def finish(self, cells: Cells) -> None:
+        """The cells left that may matter, those of the highest bounds first; four times as many each time."""
+        step = WALKED
+        while True:
+            matters = self.unread & (self.most >= self.low[:, None]) & (self.least <= self.high[:, None])
+            if not matters.any():
+                return
+            if step < matters.shape[1]:
+                bounds = np.where(matters, self.most, -np.inf)
+                matters &= bounds >= np.partition(bounds, -step, axis=1)[:, -step, None]
+            for column in np.flatnonzero(matters.any(axis=0)).tolist():
+                self.meet(np.flatnonzero(matters[:, column]), cells, int(self.cells[column]))
+            step *= 4
+
+    def meet(self, places: np.ndarray, cells: Cells, cell: int) -> None:
+        """Offer a cell's rows to the anchors that they may change; floats round in order, so none is missed."""
+        self.unread[places, self.column[cell]] = False
+        whole = self.whole[places]
+        for ids, labels, vectors in cells.read(self.width, cell):
+            found = scores(vectors, whole, self.length)
+            low = self.low[places, None].astype(found.dtype if found.dtype.kind == "f" else np.float64)
+            fits = found >= low
+            for k in np.flatnonzero(fits.any(axis=1)).tolist():
+                place, own = places[k], fits[k]
+                anchor = self.anchors[place]
+                own &= ((labels == anchor.label) == self.alike) & (found[k] <= self.high[place])
+                if own.any():
+                    anchor.offer(ids[own], labels[own], found[k, own].astype(np.int64))
+                    self.low[place], self.high[place] = anchor.limits()
+
+
 def certify(anchors: list[Anchor], cells: Cells) -> None:
-    """Read cells until every anchor's result is certified; a cell asked for by several anchors at a time is read once."""
-    open_anchors, step = anchors, 1
-    while open_anchors:
-        asked: dict[tuple[int, int], list[Anchor]] = {}
-        left = []
-        for anchor in open_anchors:
-            for _ in range(step):
-                cell = anchor.next_cell(cells)
-                if cell is None:
-                    break
-                asked.setdefault((anchor.width, cell), []).append(anchor)
-            else:
-                left.append(anchor)
-        for (width, cell), askers in sorted(asked.items(), key=lambda item: item[0]):
-            stacked = np.array([a.whole for a in askers]).reshape(len(askers), width)
-            for ids, labels, vectors in cells.read(width, cell):
-                for anchor, found in zip(askers, scores(vectors, stacked)):
-                    anchor.offer(ids, labels, found)
-        open_anchors, step = left, min(8, 2 * step)
+    """Read cells until every anchor's result is certified; a cell asked for by several anchors at a time is read once.
+
+    What is read beyond need is bounded by what was read before, and a cell is read a few times for all anchors, however many it has.
+    """
+    for width in sorted({a.width for a in anchors}):
+        block = Block([a for a in anchors if a.width == width], cells)
+        block.walk(cells)
+        block.finish(cells)
 
 
 def mine(
@@ -355,12 +424,18 @@ def mine(
     stored = placed.repartitionByRange(max(1, -(-size // (16 * PIECE))), *order).sortWithinPartitions(*order)
     stored.mapInArrow(store, DIRECTORY).write.parquet(directory)
 
+    asking = placed.where("is_anchor").select("id", "label", "width", "cell", "vector")
+    asked = asking.count()
+    gathered = max(ANCHORS, min(GATHERED, asked // ANCHORS))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = None
         for batch in batches:
             cells = cells or Cells(directory, books)
-            for start in range(0, batch.num_rows, ANCHORS):
-                part = batch.slice(start, ANCHORS)
+            parts = max(1, round(batch.num_rows / gathered))
+            edges = [batch.num_rows * k // parts for k in range(parts + 1)]
+            for start, stop in zip(edges, edges[1:]):
+                part = batch.slice(start, stop - start)
                 block = [Anchor(k, label, np.array(v, np.int64), cells, positives) for k, label, v in zip(*(part[c].to_pylist() for c in ("id", "label", "vector")))]
                 certify(block, cells)
                 for anchor in block:
@@ -374,8 +449,7 @@ def mine(
                     columns = [pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(zip(*rows))]
                     yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FOUND.split(", ")])
 
-    asking = placed.where("is_anchor").select("id", "label", "width", "cell", "vector")
-    tasks = max(1, -(-asking.count() // ANCHORS))  # a number of its own: anchors are few bytes and much work
+    tasks = max(1, -(-asked // gathered))  # a number of its own: anchors are few bytes and much work
     return asking.repartitionByRange(tasks, "width", "cell", "id").select("id", "label", "vector").mapInArrow(search, FOUND)
 
 

@@ -350,3 +350,40 @@ def test_near_copies_with_a_full_bitmap(spark, monkeypatch):
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "x y z"), (None, "x y z"), (3, "other"), (3, "other")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f"), (2, "x y z"), (3, "other")]
+
+
+def test_cells_that_no_bound_rules_out_are_read_a_few_times_for_all_anchors():
+    rng = np.random.default_rng(5)
+    vectors_of = rng.integers(-200, 201, (3000, 32)).astype(np.float32)
+    labels = np.arange(3000) % 3
+    books = negatives.Codebooks(vectors_of[:500].astype(int).tolist(), 20)
+    placed, left, right = books.place(vectors_of.astype(float))
+
+    class InMemory:
+        def __init__(self):
+            self.books, self.reads = books, []
+            self.reach = {(32, c): (left[placed == c].max(), right[placed == c].max()) for c in set(placed.tolist())}
+            self.radius = {32: tuple(np.array([r[codes == k].max(initial=-np.inf) for k in range(len(book))]) for r, codes, book in zip((left, right), (placed // 20, placed % 20), books.of(32)))}
+
+        def read(self, width, cell):
+            self.reads.append(cell)
+            own = np.flatnonzero(placed == cell)
+            yield own, labels[own], vectors_of[own]
+
+    cells = InMemory()
+    anchors = [negatives.Anchor(k, labels[k], vectors_of[k].astype(np.int64), cells, 5) for k in range(60)]
+    negatives.certify(anchors, cells)
+    wide = vectors_of.astype(np.int64)
+    for a in anchors:
+        rest = np.flatnonzero((labels == a.label) & (np.arange(3000) != a.key))
+        assert a.held == sorted((-int(wide[a.key] @ wide[k]), int(k)) for k in rest)[:5]
+    assert len(cells.reach) > 200 and len(cells.reads) < 12 * len(cells.reach)
+
+
+@pytest.mark.parametrize("most", [100, 1 << 20, 1 << 33])
+def test_scores_are_whole_numbers(most):
+    rng = np.random.default_rng(most)
+    rows, anchors = rng.integers(-most, most, (50, 4)), rng.integers(-(most >> 8), 1 + (most >> 8), (7, 4))
+    kept = rows.astype(np.float32 if most < 1 << 23 else np.float64)
+    length = float(np.sqrt((anchors.astype(float) ** 2).sum(axis=1).max()))
+    assert (negatives.scores(kept, anchors, length).astype(np.int64) == anchors @ rows.T).all()
