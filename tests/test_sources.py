@@ -157,3 +157,12 @@ def test_parts_in_time_have_as_many_files_each(spark, tmp_path, monkeypatch, row
     spans = [[r["id"] for r in spark.read.parquet(*map(str, made[i : i + files])).collect()] for i in range(0, len(made), files)]
     assert sorted(x for part in spans for x in part) == list(range(rows)) or not rows
     assert all(max(a) < min(b) for a, b in zip(spans, spans[1:]) if a and b)
+
+
+def test_copies_of_a_text_take_little_room_in_csv_files(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage_queries, "scratch_path", lambda _, label: str(tmp_path / label))
+    found = storage_queries.process_file_scan(spark, small)
+    sizes = spark.read.parquet(f"{small}/documents.parquet").select(F.sha2(F.replace("text", F.lit("\r"), F.lit("")), 256).alias("content_hash"), F.octet_length("text").alias("n")).distinct()
+    rows = spark.read.parquet(f"{small}/events.parquet").count()
+    written, text = sum(f.stat().st_size for f in (tmp_path / "processes").glob("part-*")), found.join(sizes, "content_hash").agg(F.sum("n")).first()[0]
+    assert found.count() == rows and written * 5 < text
